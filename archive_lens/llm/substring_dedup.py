@@ -30,7 +30,7 @@ from .kernels import U, Words, buffers, gram_hashes, mix, steps
 
 ROUNDS = 6
 #: Words of windows that a task dedupes at once: bounds its memory.
-BLOCK = 3_000_000
+BLOCK = 1_000_000
 #: Longest stretch of one document that is recompressed at once; stretches overlap by a window.
 STRETCH = 1_000_000
 FAR = 1 << 40
@@ -324,7 +324,7 @@ def _apply(window: int):
 
 def remove_repeats(docs: DataFrame, window: int = 20, targets: int | None = None) -> DataFrame:
     """docs with doc_id and text, and with __kept (words that stay, joined by a space), __n_words and __n_removed."""
-    targets = targets or max(partitions(docs.sparkSession), 1)
+    targets = targets or 4 * partitions(docs.sparkSession)
     keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))).withColumn("__hash", F.xxhash64("text"))
     packed = keyed.select("__id", "__hash", "text").mapInArrow(_find(targets, window), PACKED)
     ranges = packed.groupBy("target").applyInArrow(_decide, RANGES).groupBy("__id", "__hash").agg(F.collect_list("__ranges").alias("__ranges"))
