@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup
+from . import near_dedup, substring_dedup
 from .common import documents, table
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(table(spark, sf_dir, "documents")), k=3, num=85, den=100)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(documents(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {
+    "op4_near_dedup": op4_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
 }
 
