@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_dedup, substring_dedup
-from .common import documents, table
+from . import language_id, near_dedup, packing, quality, substring_dedup
+from .common import documents, fold, table
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,9 +18,27 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(documents(table(spark, sf_dir, "documents")))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats, model = quality.train(documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
+    return quality.score(stats, model).select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    out = language_id.predict(docs, language_id.train(docs, fold(F.col("doc_id"), 5) != 0))
+    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(table(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
 QUERIES = {
     "op4_near_dedup": op4_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_quality": op7_quality,
+    "op9_language_id": op9_language_id,
+    "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {}
