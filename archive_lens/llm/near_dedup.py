@@ -2,21 +2,23 @@
 
 Sets: the distinct shingles of lower-cased words; one signature of minwise tokens per document (COORDINATES of them).
 Documents with the same set form a class, of which only one representative is joined on. Each of TREES independent
-trees starts its nodes from another minwise token; a node of at most LEAF classes is compared exhaustively, a larger one
-is branched by further tokens, selected by a hash of its path (two of them from depth WIDE_FROM on, so that a
-pair at the threshold survives on average in more than one child). In a large node each class is also compared with the
-node's first one, which links big groups of near copies without all their pairs. After each few levels links are
-confirmed and joined into components; a node whose classes are all in one component has nothing left to find and is
-dropped. Large nodes that remain at the last depth are compared as a whole, so nothing is capped.
+trees starts its nodes from another minwise token; a larger node than LEAF classes is branched by further
+tokens, selected by a hash of its path (two of them from depth WIDE_FROM on, so that a pair at the threshold survives on
+average in more than one child), a smaller one is compared exhaustively by one-byte sketches of the signatures, in
+order of set size, so that only sizes that can reach the threshold meet. What agrees there to within 4.5 standard
+deviations of the threshold forms clusters; a node or group passes on one row per class (its least partner), never its pairs.
+
+All pairs of a cluster are then compared on the full sets of its texts, by products of incidence matrices. A cluster of
+more than BLOCK classes is cut into blocks and every two blocks meet in one task; one so large that this would copy each text more often than there
+are trees is compared leaf by leaf instead. Nothing is capped or dropped. Confirmed links are joined into components.
 
 Recall: a pair of similarity s meets in a leaf at depth k with probability s**k per tree; at 0.85 and depth 3, 24 trees
-miss one pair in 10**9. Candidates whose signatures agree in less than the threshold less 4.5 standard deviations are
-not confirmed (one pair in 10**5 at the threshold is missed that way).
+miss one pair in 10**9, at depth 8 one in 2000. The sketch misses one pair in 10**5 at the threshold.
 
 Defined results: null, empty and blank texts have the empty set, link with nothing and are their own component; a text
-with fewer words than a shingle has its whole word sequence as one shingle. Equal sets link. Rows that repeat a doc_id
-are one document of the smallest component reachable from any. A null doc_id counts as smaller than all others and is returned as
-null. Extra columns are not read.
+with fewer words than a shingle has its whole word sequence as one shingle. Equal sets link. Rows that repeat a
+doc_id are each placed by their own text; sets whose smallest doc_id is the same one are in one component. A null doc_id
+counts as smaller than all others and is returned as null. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -33,11 +35,11 @@ from .kernels import U, Words, buffers, gram_hashes, mix, steps
 
 TREES = 24
 COORDINATES = 128
-LEAF = 24
+LEAF = 512
 WIDE_FROM = 5
-#: Levels of branching before links are confirmed and finished nodes dropped.
-LEVELS = 3
 DEEPEST = 24
+#: Classes of a cluster whose full sets are compared in one task.
+BLOCK = 768
 SEEDS = mix((np.arange(COORDINATES, dtype=np.uint64) + U(1)) * U(0x9E3779B97F4A7C15)) | U(1)
 
 
@@ -116,45 +118,62 @@ def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(axis=1)
 
 
-def _leaves(least: float):
-    """All pairs of a leaf whose signatures agree; leaves come sorted and whole, and are bounded by LEAF."""
+def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least index that each of n nodes is connected with by the edges (a, b)."""
+    lab = np.arange(n)
+    while True:
+        m = np.minimum(lab[a], lab[b])
+        new = lab.copy()
+        np.minimum.at(new, a, m)
+        np.minimum.at(new, b, m)
+        new = new[new]
+        if (new == lab).all():
+            return lab
+        lab = new
+
+
+def _edges(rep: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Each node but the first of its component, with that first one."""
+    lab = labels(len(rep), a, b)
+    k = np.flatnonzero(lab != np.arange(len(rep)))
+    return pa.RecordBatch.from_arrays([pa.array(rep[lab[k]], pa.int64()), pa.array(rep[k], pa.int64())], ["a", "b"])
+
+
+def _leaves(least: float, num: int, den: int):
+    """Clusters of each leaf by sketches. Rows come sorted by node and set size."""
 
-    def pairs(node, rep, sig):
+    def links(node, rep, n, sig):
         cut = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1], [True]]))
-        size = np.diff(cut)
-        place = np.arange(len(node)) - np.repeat(cut[:-1], size)
-        size = np.repeat(size, size)
-        for step in range(1, LEAF):
-            i = np.flatnonzero(place + step < size)
-            if not len(i):
+        last = np.repeat(cut[1:], np.diff(cut))
+        at, x, y = np.arange(len(node)), [], []
+        step = 1
+        while True:
+            at = at[at + step < last[at]]
+            at = at[den * n[at] >= num * n[at + step]]  # sizes only grow apart
+            if not len(at):
                 break
-            for p in range(0, len(i), 65536):
-                q = i[p : p + 65536]
-                e = _agree(sig[q], sig[q + step])
-                q, e = q[e >= least], e[e >= least]
-                a, b = rep[q], rep[q + step]
-                ok = a != b
-                yield np.minimum(a, b)[ok], np.maximum(a, b)[ok], e[ok]
+            for p in range(0, len(at), 65536):
+                q = at[p : p + 65536]
+                q = q[_agree(sig[q], sig[q + step]) >= least]
+                x.append(q)
+                y.append(q + step)
+            step += 1
+        if x and sum(map(len, x)):
+            yield _edges(rep, np.concatenate(x), np.concatenate(y))
 
     def run(batches):
-        node, rep, sig = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, COORDINATES), np.uint8)
-
-        def out(node, rep, sig):
-            got = list(pairs(node, rep, sig))
-            if got:
-                a, b, e = (np.concatenate(x) for x in zip(*got, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(e)], ["a", "b", "e"])
-
+        node, rep, n, sig = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, COORDINATES), np.uint8)
         for x in batches:
             node = np.concatenate([node, x.column("node").to_numpy()])
             rep = np.concatenate([rep, x.column("rep").to_numpy()])
+            n = np.concatenate([n, x.column("n").to_numpy()])
             sig = np.concatenate([sig, _matrix(x.column("sketch"), np.uint8, COORDINATES)])
             done = int(np.searchsorted(node, node[-1])) if len(node) else 0
             if done:
-                yield from out(node[:done], rep[:done], sig[:done])
-                node, rep, sig = node[done:], rep[done:], sig[done:]
+                yield from links(node[:done], rep[:done], n[:done], sig[:done])
+                node, rep, n, sig = node[done:], rep[done:], n[done:], sig[done:]
         if len(node):
-            yield from out(node, rep, sig)
+            yield from links(node, rep, n, sig)
 
     return run
 
@@ -164,47 +183,61 @@ def _sketch(batches):
     for b in batches:
         sig = _matrix(b.column("sig"), np.uint32, COORDINATES)
         low = (mix(sig.astype(U)) >> U(56)).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([x.tobytes() for x in low], pa.binary())], ["rep", "sketch"])
-
-
-def _estimate(least: float):
-    def run(batches):
-        for b in batches:
-            e = _agree(_matrix(b.column("x"), np.uint8, COORDINATES), _matrix(b.column("y"), np.uint8, COORDINATES))
-            k = np.flatnonzero(e >= least)
-            yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(k)), b.column("b").take(pa.array(k)), pa.array(e[k])], ["a", "b", "e"])
-
-    return run
+        yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("n"), pa.array([x.tobytes() for x in low], pa.binary())], ["rep", "n", "sketch"])
+
+
+def full_links(doc: np.ndarray, h: np.ndarray, count: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a < b) of sets with den * intersection >= num * union; the sets are the rows (doc, h)."""
+    n = np.bincount(doc, minlength=count)
+    _, col, df = np.unique(h, return_inverse=True, return_counts=True)
+    own = df[col.reshape(-1)] > 1
+    doc, col = doc[own], np.unique(col.reshape(-1)[own], return_inverse=True)[1].reshape(-1)
+    both = np.zeros((count, count), np.float32)
+    o = np.argsort(col, kind="stable")
+    doc, col = doc[o], col[o]
+    for first in range(0, int(col[-1]) + 1 if len(col) else 0, 2048):
+        i, j = np.searchsorted(col, (first, first + 2048))
+        m = np.zeros((count, 2048), np.float32)
+        m[doc[i:j], col[i:j] - first] = 1
+        both += m @ m.T
+    ok = den * both.astype(np.float64) >= num * (n[:, None] + n[None, :] - both)
+    a, b = np.nonzero(np.triu(ok & (n > 0)[:, None] & (n > 0)[None, :], 1))
+    return a, b
 
 
 def _confirm(k: int, num: int, den: int):
-    """Links among pairs of whole texts: den * intersection >= num * union, of full sets."""
-
-    def sets(col, lo, hi):
-        data, offs = buffers(col.slice(lo, hi - lo))
-        doc, h = shingle_sets(data, offs, k)
-        at = np.searchsorted(doc, np.arange(hi - lo + 1))
-        return h, at
+    """Confirmed links of each group, whose rows come together."""
+
+    def links(rep, texts):
+        col = pa.array(texts, pa.large_string())
+        data, offs = buffers(col)
+        doc, h = [], []
+        for lo, _, d, o in steps(data, offs):
+            x, y = shingle_sets(d, o, k)
+            doc.append(x + lo)
+            h.append(y)
+        a, b = full_links(np.concatenate(doc), np.concatenate(h), len(rep), num, den)
+        if len(a):
+            yield _edges(np.array(rep, np.int64), a, b)
 
     def run(batches):
-        for batch in batches:
-            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            keep = []
-            for lo in range(0, len(a), 256):
-                hi = min(len(a), lo + 256)
-                (x, i), (y, j) = sets(batch.column("x"), lo, hi), sets(batch.column("y"), lo, hi)
-                for r in range(hi - lo):
-                    p, q = x[i[r] : i[r + 1]], y[j[r] : j[r + 1]]
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    if den * both >= num * (len(p) + len(q) - both):
-                        keep.append(lo + r)
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], ["a", "b"])
+        key, rep, texts = None, [], []
+        for x in batches:
+            for g, i, j, r, t in zip(*(x.column(c).to_pylist() for c in ("g", "i", "j", "rep", "text")), strict=True):
+                if (g, i, j) != key:
+                    if len(rep) > 1:
+                        yield from links(rep, texts)
+                    key, rep, texts = (g, i, j), [], []
+                rep.append(r)
+                texts.append(t)
+        if len(rep) > 1:
+            yield from links(rep, texts)
 
     return run
 
 
 class _Join:
-    """The state of one join: classes, confirmed links, components."""
+    """The state of one join: classes, leaves, clusters."""
 
     def __init__(self, docs: DataFrame, k: int, num: int, den: int, trees: int):
         self.k, self.num, self.den, self.trees = k, num, den, trees
@@ -212,117 +245,63 @@ class _Join:
         self.least = max(0.0, s - 4.5 * (s * (1 - s) / COORDINATES) ** 0.5)
         self.docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("__id"), F.col("text").cast("string").alias("text"))
         self.signed = materialize(self.docs.mapInArrow(_sign(k), "__id long, n long, h1 long, h2 long, sig binary"), "signatures")
-        self.classes = materialize(self.signed.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("__id").alias("rep"), F.min("sig").alias("sig")), "classes")
-        # a repeated doc_id may stand in several classes: those are linked as one document
-        self.ids = self.classes.groupBy("rep").agg(F.min("sig").alias("sig"))
-        self.sketches = materialize(self.ids.mapInArrow(_sketch, "rep long, sketch binary"), "sketches")
-        self.links = None
-        self.component = None
-
-    def same_document(self) -> DataFrame:
-        """Links between classes that a repeated doc_id stands in."""
-        at = self.signed.filter("n > 0").select("__id", "h1", "h2", "n").distinct()
-        many = at.groupBy("__id").agg(F.count("*").alias("c")).filter("c > 1").select("__id")
-        return at.join(many, "__id").join(self.classes.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"]).select(F.col("__id").alias("a"), F.col("rep").alias("b"))
-
-    def sizes(self, nodes: DataFrame) -> DataFrame:
-        return nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).filter("size > 1")
-
-    def level(self, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(candidate pairs of this level, its large nodes)."""
-        held = materialize(nodes.join(self.sizes(nodes), "node"), "nodes")
-        small = held.filter(F.col("size") <= LEAF).select("node", "rep").join(self.sketches, "rep").select("node", "rep", "sketch")
-        leaf = small.repartition("node").sortWithinPartitions("node").mapInArrow(_leaves(self.least), "a long, b long, e double")
-        large = held.filter(F.col("size") > LEAF)
-        star = large.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-        star = star.join(self.sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("x")), "a").join(self.sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("y")), "b")
-        star = star.mapInArrow(_estimate(self.least), "a long, b long, e double")
-        return leaf.union(star), large.select("node", "rep")
-
-    def confirm(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The links among the pairs, from full sets."""
-        need = pairs.select(F.explode(F.array("a", "b")).alias("__id")).distinct()
-        texts = materialize(self.docs.join(need, "__id").join(self.one_text(), ["__id"]).filter(F.xxhash64("text") == F.col("th")).groupBy("__id").agg(F.min("text").alias("text")), "texts") if self.repeated() else self.docs.join(need, "__id")
-        x = pairs.select("a", "b").join(texts.select(F.col("__id").alias("a"), F.col("text").alias("x")), "a")
-        both = x.join(texts.select(F.col("__id").alias("b"), F.col("text").alias("y")), "b")
-        return materialize(both.select("a", "b", "x", "y").mapInArrow(_confirm(self.k, self.num, self.den), "a long, b long"), name)
-
-    def repeated(self) -> bool:
-        if not hasattr(self, "_repeated"):
-            self._repeated = self.signed.groupBy("__id").agg(F.count("*").alias("c")).filter("c > 1").limit(1).count() > 0
-        return self._repeated
-
-    def one_text(self) -> DataFrame:
-        """For a repeated doc_id, the hash of the text by which it stands for a class."""
-        return self.docs.filter("text is not null").groupBy("__id").agg(F.min(F.xxhash64("text")).alias("th"))
-
-    def absorb(self, pairs: DataFrame) -> None:
-        """Confirm candidate pairs: first each class's likeliest partner, then what is still between two components."""
-        pairs = materialize(pairs.groupBy("a", "b").agg(F.max("e").alias("e")), "pairs")
-        if self.component is not None:
-            pairs = materialize(self.between(pairs), "pairs")
-        best = pairs.groupBy("b").agg(F.max(F.struct("e", (-F.col("a")).alias("m"), "a")).alias("x")).select("x.a", "b")
-        self.join_up(self.confirm(best, "links"))
-        rest = self.between(pairs).join(best, ["a", "b"], "left_anti").select("a", "b")
-        rest = materialize(rest, "pairs")
-        if rest.limit(1).count():
-            self.join_up(self.confirm(rest, "links"))
-
-    def between(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose ends are not yet in one component."""
-        c = self.component
-        ends = pairs.join(c.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(c.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        return ends.filter("coalesce(ca, a) <> coalesce(cb, b)").select(*pairs.columns)
-
-    def join_up(self, links: DataFrame) -> None:
-        self.links = links if self.links is None else self.links.union(links)
-        self.component = components(self.links)
+        full = self.signed.filter("n > 0")
+        self.classes = materialize(full.groupBy("h1", "h2", "n").agg(F.min("__id").alias("rep")), "classes")
+        own = full.join(self.classes, (full["__id"] == self.classes["rep"]) & (full["h1"] == self.classes["h1"]) & (full["h2"] == self.classes["h2"]))
+        # a repeated doc_id may stand for several classes: each has a line of its own, by a key of its set
+        self.ids = materialize(own.select("rep", full["n"], "sig", full["h1"]).dropDuplicates(["rep", "h1"]).drop("h1"), "ids")
+        self.sketches = materialize(self.ids.mapInArrow(_sketch, "rep long, n long, sketch binary"), "sketches")
+
+    def leaf_links(self, small: DataFrame) -> DataFrame:
+        rows = small.join(self.sketches, "rep").select("node", "rep", "n", "sketch")
+        return rows.repartition("node").sortWithinPartitions("node", "n").mapInArrow(_leaves(self.least, self.num, self.den), "a long, b long")
+
+    def confirm(self, groups: DataFrame) -> DataFrame:
+        """Links of full sets within groups (g, rep) of any size: every two blocks of a group meet in one task."""
+        size = groups.groupBy("g").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
+        x = groups.join(size, "g").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+        x = x.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        x = x.filter("blocks < 3 or own <> other").select("g", F.when(F.col("blocks") < 3, 0).otherwise(F.least("own", "other")).alias("i"), F.when(F.col("blocks") < 3, 0).otherwise(F.greatest("own", "other")).alias("j"), "rep").distinct()
+        texts = x.join(self.docs, x["rep"] == self.docs["__id"]).select("g", "i", "j", "rep", "text")
+        return texts.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_confirm(self.k, self.num, self.den), "a long, b long")
 
     def run(self) -> DataFrame:
-        if self.repeated():
-            self.links = materialize(self.same_document(), "links")
-        nodes, depth = self.ids.mapInArrow(_roots(self.trees), "node long, rep long"), 1
+        nodes, depth, leaves, found = self.ids.mapInArrow(_roots(self.trees), "node long, rep long"), 1, [], []
         while True:
-            found = []
-            for _ in range(LEVELS):
-                pairs, large = self.level(nodes)
-                found.append(pairs)
-                more = large.limit(1).count() > 0
-                if not more:
-                    break
-                ways = 2 if depth >= WIDE_FROM else 1
-                nodes = large.join(self.ids, "rep").select("node", "rep", "sig").mapInArrow(_branch(ways), "node long, rep long").distinct()
-                depth += 1
-            pairs = found[0]
-            for p in found[1:]:
-                pairs = pairs.union(p)
-            self.absorb(pairs)
-            if not more:
-                return self.component
-            nodes = materialize(self.unfinished(nodes), "nodes")
-            if not nodes.limit(1).count():
-                return self.component
-            if depth > DEEPEST:
-                self.absorb(self.whole(nodes))
-                return self.component
-
-    def unfinished(self, nodes: DataFrame) -> DataFrame:
-        """Nodes that hold classes of more than one component."""
-        at = nodes.join(self.component.withColumnRenamed("node", "rep"), "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("c"))
-        open_ = at.groupBy("node").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("node")
-        return nodes.join(open_, "node").select("node", "rep")
-
-    def whole(self, nodes: DataFrame) -> DataFrame:
-        """Every pair of the remaining nodes that lies between two components."""
-        x = nodes.select("node", F.col("rep").alias("a")).join(nodes.select("node", F.col("rep").alias("b")), "node").filter("a < b").select("a", "b").distinct()
-        return self.between(x.withColumn("e", F.lit(1.0)))
+            sizes = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).filter("size > 1")
+            held = materialize(nodes.join(sizes, "node"), "nodes")
+            leaves.append(held.filter(F.col("size") <= LEAF).select("node", "rep"))
+            found.append(self.leaf_links(leaves[-1]))
+            large = held.filter(F.col("size") > LEAF)
+            if not large.limit(1).count():
+                break
+            if depth == DEEPEST:
+                found.append(large.select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
+                leaves.append(large.select("node", "rep"))
+                break
+            ways = 2 if depth >= WIDE_FROM else 1
+            nodes = large.join(self.ids, "rep").select("node", "rep", "sig").mapInArrow(_branch(ways), "node long, rep long").distinct()
+            depth += 1
+        all_found, all_leaves = found[0], leaves[0]
+        for x in found[1:]:
+            all_found = all_found.union(x)
+        for x in leaves[1:]:
+            all_leaves = all_leaves.union(x)
+        cluster = components(all_found)
+        sizes = cluster.groupBy("component").agg(F.count("*").alias("size"))
+        cluster = materialize(cluster.join(sizes, "component").select(F.col("node").alias("rep"), F.col("component").alias("g"), (F.col("size") > BLOCK * self.trees).alias("giant")), "clusters")
+        links = self.confirm(cluster.filter("not giant").select("g", "rep"))
+        if cluster.filter("giant").limit(1).count():
+            inner = all_leaves.join(cluster.filter("giant"), "rep").select(F.xxhash64("node", "g").alias("g"), "rep").distinct()
+            links = links.union(self.confirm(inner))
+        return components(links)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, trees: int = TREES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row; linked: den * intersection >= num * union of k-word sets."""
     join = _Join(docs, k, num, den, trees)
     comp = join.run()
-    classes = join.classes.select("h1", "h2", "n", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.col("n").alias("n"), F.coalesce("component", "rep").alias("c"))
+    classes = join.classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("c"))
     out = join.signed.select("__id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left").select("__id", "n", F.coalesce("c", "__id").alias("c"))
     real = lambda x: F.when(F.col(x) != LEAST, F.col(x))
     return out.select(real("__id").alias("doc_id"), F.col("n").alias("n_shingles"), real("c").alias("component_id"), (F.col("__id") == F.col("c")).alias("kept"))
