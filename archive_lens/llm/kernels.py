@@ -16,6 +16,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Everything that is no ASCII letter or digit and no part of a longer character.
+_MARK = np.ones(256, bool)
+_MARK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -62,11 +65,12 @@ def steps(data: np.ndarray, offs: np.ndarray, limit: int = STEP):
 class Words:
     """Words of some documents: start and end byte, document, hash; first[d] is the index of document d's first word."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool = False, bare: bool = False):
+        """lower: A-Z count as a-z; bare: marks and symbols part words as white space does."""
         if lower:
             data = _LOWER[data]
         n = len(data)
-        inside = ~_SPACE[data]
+        inside = ~(_MARK if bare else _SPACE)[data]
         before = np.empty(n, bool)
         before[1:] = inside[:-1]
         cuts = offs[:-1][offs[:-1] < n]
