@@ -7,7 +7,8 @@ bin's pattern of lengths is repeated for as long as the counters allow it, which
 Each piece then finds its bin from its rank among the pieces of its length; ranks come from counts by length and shard,
 so no length is gathered in one task.
 
-Tokenizing: words (split at ASCII white space, which the tokenizer drops and never joins over) are encoded once a task.
+Tokenizing: a text is cut where the tokenizer itself parts it (white space, letters, digits, symbols), and each distinct
+segment is encoded once a worker process.
 
 Defined results: null and empty texts are the end id alone. Each row is packed, repeated rows each by themselves; a null
 doc_id stays null. Extra columns are not read.
@@ -23,71 +24,148 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .kernels import U, Words, buffers, steps
+from .kernels import _LOWER, _SPACE, C1, C2, C3, U, Words, buffers, mix, steps
 
 CAPACITY = 4096
 END = 1
-#: Words that a task keeps encoded.
-KNOWN = 500_000
+#: Segments that a worker process keeps encoded.
+KNOWN = 2_000_000
+#: Letters, digits and symbols as the tokenizer parts them; bytes of Latin-1 letters count as letters.
+_KINDS = np.full(256, 3, np.int8)
+_KINDS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_KINDS[48:58] = 2
 SHARD_ROWS = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
-class WordIds:
-    """ids of words, each distinct word encoded once."""
+class Segments:
+    """The stretches of text that are encoded alone: letters, single digits, runs of symbols of each word, lower-cased.
+
+    The tokenizer parts words there itself. Words with an apostrophe, a `<|`, or characters beyond Latin-1 letters are
+    segments as they stand.
+    """
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray):
+        w = Words(data, offs)
+        n = len(data)
+        kind = _KINDS[data]
+        latin = np.zeros(n, bool)
+        latin[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0xBF) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        pair = latin.copy()
+        pair[:-1] |= latin[1:]
+        odd = (data >= 128) & ~pair | (data == 39)
+        odd[:-1] |= (data[:-1] == 60) & (data[1:] == 124)
+        low = _LOWER[data]
+        low[latin & (data < 0x9F)] += 32
+        if not len(w):
+            self.start = self.end = np.zeros(0, np.int64)
+            self.hash, self.bounds, self.data = np.zeros(0, U), np.zeros(len(offs), np.int64), low
+            return
+        sums = np.concatenate([[0], np.cumsum(odd)])
+        whole = sums[w.end] > sums[w.start]  # words that are one segment
+        lens = w.end - w.start
+        inside = np.flatnonzero(~_SPACE[data])
+        own = np.repeat(whole, lens)
+        low[inside[own]] = data[inside[own]]
+        cut = np.ones(len(inside), bool)
+        k = kind[inside]
+        cut[1:] = (k[1:] != k[:-1]) | (k[1:] == 2)
+        cut &= ~own
+        cut[np.cumsum(lens) - lens] = True
+        head = np.flatnonzero(cut)
+        self.start = inside[head]
+        size = np.diff(np.append(head, len(inside)))
+        self.end = self.start + size
+        x = low[inside].astype(U) | (np.arange(len(inside)) - np.repeat(head, size)).astype(U) << U(8)
+        x = (x + U(1)) * C1
+        x ^= x >> U(32)
+        x *= C2
+        x ^= x >> U(29)
+        self.hash = mix(np.add.reduceat(x, head) + size.astype(U) * C3 + own[head].astype(U))
+        self.bounds = np.searchsorted(self.start, offs)
+        self.data = low
+
+    def text(self, which: np.ndarray) -> list[str]:
+        raw = self.data.tobytes()
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(self.start[which].tolist(), self.end[which].tolist(), strict=True)]
+
+
+class SegmentIds:
+    """ids of segments, each distinct one encoded once a worker process (until KNOWN of them are held)."""
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
         self.clear()
 
     def clear(self) -> None:
-        self.hash, self.slot = np.zeros(0, U), np.zeros(0, np.int64)
-        self.ids, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def encode(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words, ids of each word's count)."""
-        if not len(w):
+        self.tables = [(np.zeros(0, U), np.zeros(0, np.int64)) for _ in range(2)]  # sorted hashes and slots: settled, recent
+        self.ids, self.at, self.slots = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
+
+    def _add(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
+        lens = np.array([len(g) for g in ids], np.int64)
+        used, more = int(self.at[self.slots]), int(lens.sum())
+        while used + more > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.slots + len(ids) + 1 > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        self.ids[used : used + more] = [i for g in ids for i in g]
+        self.at[self.slots + 1 : self.slots + len(ids) + 1] = used + np.cumsum(lens)
+        slots = np.arange(self.slots, self.slots + len(ids))
+        self.slots += len(ids)
+        merge = lambda x, h, s: (lambda h, s, o: (h[o], s[o]))(h := np.concatenate([x[0], h]), np.concatenate([x[1], s]), np.argsort(h))
+        self.tables[1] = merge(self.tables[1], hashes, slots)
+        if len(self.tables[1][0]) > 1 << 16:
+            self.tables = [merge(self.tables[0], *self.tables[1]), (np.zeros(0, U), np.zeros(0, np.int64))]
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        slot = np.full(len(h), -1, np.int64)
+        for held, slots in self.tables:
+            if len(held):
+                at = np.minimum(np.searchsorted(held, h), len(held) - 1)
+                ok = held[at] == h
+                slot[ok] = slots[at[ok]]
+        return slot
+
+    def encode(self, w: Segments) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all segments, number of ids of each)."""
+        if not len(w.hash):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        if len(self.hash) > KNOWN:
+        if self.slots > KNOWN:
             self.clear()
         h, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.hash, h)
-        known = np.zeros(len(h), bool)
-        inside = at < len(self.hash)
-        known[inside] = self.hash[at[inside]] == h[inside]
-        if not known.all():
-            new = np.flatnonzero(~known)
-            raw = w.data.tobytes()
-            texts = [raw[w.start[i] : w.end[i]].decode("utf-8", "replace") for i in first[new]]
-            got = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-            lens = np.array([len(g) for g in got], np.int64)
-            slots = np.arange(len(new)) + len(self.at) - 1
-            self.ids = np.concatenate([self.ids, np.array([i for g in got for i in g], np.uint32)])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lens)])
-            self.hash = np.concatenate([self.hash, h[new]])
-            self.slot = np.concatenate([self.slot, slots])
-            o = np.argsort(self.hash)
-            self.hash, self.slot = self.hash[o], self.slot[o]
-            at = np.searchsorted(self.hash, h)
-        slot = self.slot[at][inverse.reshape(-1)]
+        slot = self._find(h)
+        if len(new := np.flatnonzero(slot < 0)):
+            self._add(h[new], [e.ids for e in self.tokenizer.encode_batch_fast(w.text(first[new]), add_special_tokens=False)])
+            slot = self._find(h)
+        slot = slot[inverse.reshape(-1)]
         count = self.at[slot + 1] - self.at[slot]
         total = np.cumsum(count)
         where = np.repeat(self.at[slot] - (total - count), count) + np.arange(total[-1])
         return self.ids[where], count
 
 
-def _pieces(path: str, capacity: int, end: int, keep_ids: bool):
-    def run(batches):
+_HELD: dict[str, SegmentIds] = {}
+
+
+def _held(path: str) -> SegmentIds:
+    """This worker process's encoder for a tokenizer file."""
+    if path not in _HELD:
         from tokenizers import Tokenizer
 
-        words = WordIds(Tokenizer.from_file(path))
+        _HELD[path] = SegmentIds(Tokenizer.from_file(path))
+    return _HELD[path]
+
+
+def _pieces(path: str, capacity: int, end: int, keep_ids: bool):
+    def run(batches):
+        held = _held(path)
         for batch in batches:
             data, offs = buffers(batch.column("text"))
             names = batch.column("doc_id")
             for lo, hi, d, o in steps(data, offs):
-                w = Words(d, o)
-                ids, count = words.encode(w)
-                bound = np.concatenate([[0], np.cumsum(count)])[w.first]
+                w = Segments(d, o)
+                ids, count = held.encode(w)
+                bound = np.concatenate([[0], np.cumsum(count)])[w.bounds]
                 row, piece, start, length, crc, raw = [], [], [], [], [], []
                 for i in range(hi - lo):
                     own = np.append(ids[bound[i] : bound[i + 1]], np.uint32(end)).astype("<u4")
