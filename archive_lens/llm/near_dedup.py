@@ -2,9 +2,8 @@
 
 Sets: the distinct shingles of lower-cased words; one signature of minwise tokens per document (COORDINATES of them).
 Documents with the same set form a class, of which only one representative is joined on. Each of TREES independent
-trees starts its nodes from another minwise token; a larger node than LEAF classes is branched by further
-tokens, selected by a hash of its path (two of them from depth WIDE_FROM on, so that a pair at the threshold survives on
-average in more than one child), a smaller one is compared exhaustively by one-byte sketches of the signatures, in
+trees starts its nodes from another minwise token; a larger node than LEAF classes is branched by another
+token, selected by a hash of its path, a smaller one is compared exhaustively by one-byte sketches of the signatures, in
 order of set size, so that only sizes that can reach the threshold meet. What agrees there to within 4.5 standard
 deviations of the threshold forms clusters; a node or group passes on one row per class (its least partner), never its pairs.
 
@@ -13,7 +12,9 @@ more than BLOCK classes is cut into blocks and every two blocks meet in one task
 are trees is compared leaf by leaf instead. Nothing is capped or dropped. Confirmed links are joined into components.
 
 Recall: a pair of similarity s meets in a leaf at depth k with probability s**k per tree; at 0.85 and depth 3, 24 trees
-miss one pair in 10**9, at depth 8 one in 2000. The sketch misses one pair in 10**5 at the threshold.
+miss one pair in 10**9, at depth 8 one in 2000 (only groups of many near copies lead that deep, whose members have
+many links each; branching by two tokens there would double their rows at each level). A node that is still large at
+DEEPEST is one cluster as it stands. The sketch misses one pair in 10**5 at the threshold.
 
 Defined results: null, empty and blank texts have the empty set, link with nothing and are their own component; a text
 with fewer words than a shingle has its whole word sequence as one shingle. Equal sets link. Rows that repeat a
@@ -36,7 +37,6 @@ from .kernels import U, Words, buffers, gram_hashes, mix, steps
 TREES = 24
 COORDINATES = 128
 LEAF = 512
-WIDE_FROM = 5
 DEEPEST = 24
 #: Classes of a cluster whose full sets are compared in one task.
 BLOCK = 768
@@ -98,20 +98,13 @@ def _roots(trees: int):
     return run
 
 
-def _branch(ways: int):
-    """Children of nodes: by the class's minwise token at the coordinates that a hash of the path selects."""
-
-    def run(batches):
-        for b in batches:
-            sig, node = _matrix(b.column("sig"), np.uint32, COORDINATES), b.column("node").to_numpy().view(U)
-            rep, rows = b.column("rep").to_numpy(), np.arange(b.num_rows)
-            out = []
-            for i in range(ways):
-                c = (mix(node + U(i + 11)) % U(COORDINATES)).astype(np.int64)
-                out.append(mix(node * U(0xD6E8FEB86659FD93) + (c.astype(U) << U(40)) + sig[rows, c].astype(U) + U(i)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.tile(rep, ways))], ["node", "rep"])
-
-    return run
+def _branch(batches):
+    """Children of nodes: by the class's minwise token at the coordinate that a hash of the path selects."""
+    for b in batches:
+        sig, node = _matrix(b.column("sig"), np.uint32, COORDINATES), b.column("node").to_numpy().view(U)
+        c = (mix(node + U(11)) % U(COORDINATES)).astype(np.int64)
+        child = mix(node * U(0xD6E8FEB86659FD93) + (c.astype(U) << U(40)) + sig[np.arange(b.num_rows), c].astype(U))
+        yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), b.column("rep")], ["node", "rep"])
 
 
 def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -262,7 +255,7 @@ class _Join:
         x = groups.join(size, "g").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
         x = x.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         x = x.filter("blocks < 3 or own <> other").select("g", F.when(F.col("blocks") < 3, 0).otherwise(F.least("own", "other")).alias("i"), F.when(F.col("blocks") < 3, 0).otherwise(F.greatest("own", "other")).alias("j"), "rep").distinct()
-        texts = x.join(self.docs, x["rep"] == self.docs["__id"]).select("g", "i", "j", "rep", "text")
+        texts = x.join(self.docs.hint("merge"), x["rep"] == self.docs["__id"]).select("g", "i", "j", "rep", "text")
         return texts.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_confirm(self.k, self.num, self.den), "a long, b long")
 
     def run(self) -> DataFrame:
@@ -279,8 +272,7 @@ class _Join:
                 found.append(large.select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
                 leaves.append(large.select("node", "rep"))
                 break
-            ways = 2 if depth >= WIDE_FROM else 1
-            nodes = large.join(self.ids, "rep").select("node", "rep", "sig").mapInArrow(_branch(ways), "node long, rep long").distinct()
+            nodes = large.join(self.ids, "rep").select("node", "rep", "sig").mapInArrow(_branch, "node long, rep long")
             depth += 1
         all_found, all_leaves = found[0], leaves[0]
         for x in found[1:]:
