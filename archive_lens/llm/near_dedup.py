@@ -36,7 +36,7 @@ from .kernels import U, Words, buffers, gram_hashes, mix, steps
 
 TREES = 24
 COORDINATES = 128
-LEAF = 512
+LEAF = 2048
 DEEPEST = 24
 #: Classes of a cluster whose full sets are compared in one task.
 BLOCK = 768
