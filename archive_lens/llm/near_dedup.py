@@ -38,6 +38,8 @@ TREES = 24
 COORDINATES = 128
 LEAF = 2048
 DEEPEST = 24
+#: Edges of leaves that a task holds before it reduces them.
+PENDING = 300_000
 #: Classes of a cluster whose full sets are compared in one task.
 BLOCK = 768
 SEEDS = mix((np.arange(COORDINATES, dtype=np.uint64) + U(1)) * U(0x9E3779B97F4A7C15)) | U(1)
@@ -138,7 +140,7 @@ def _leaves(least: float, num: int, den: int):
     def links(node, rep, n, sig):
         cut = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1], [True]]))
         last = np.repeat(cut[1:], np.diff(cut))
-        at, x, y = np.arange(len(node)), [], []
+        at, x, y, held = np.arange(len(node)), [], [], 0
         step = 1
         while True:
             at = at[at + step < last[at]]
@@ -150,6 +152,11 @@ def _leaves(least: float, num: int, den: int):
                 q = q[_agree(sig[q], sig[q + step]) >= least]
                 x.append(q)
                 y.append(q + step)
+                held += len(q)
+                if held > PENDING:  # what is connected stays so by fewer edges
+                    lab = labels(len(node), np.concatenate(x), np.concatenate(y))
+                    k = np.flatnonzero(lab != np.arange(len(node)))
+                    x, y, held = [k], [lab[k]], 0
             step += 1
         if x and sum(map(len, x)):
             yield _edges(rep, np.concatenate(x), np.concatenate(y))
