@@ -1,4 +1,662 @@
-"""The registered queries and their SQL."""
+"""The registered queries and their DuckDB SQL.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Inputs that the tables lack (chat pages, export paths, sizes) are made from them by one SQL expression that both engines
+read, so a query and its oracle start from the same rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import constants as K
+from .functions import scalars as S
+from .functions.udfs import html_unescape, url_quote, url_unquote
+from .operators import refs as R
+from .operators import reports as P
+from .operators import resolve
+from .operators import timeline as T
+from .operators import tree
+from .plans import rewrites
+from .sources.text import lines
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Expressions for both engines.
+
+ROOT = "/r"
+PAGE_FILE = "concat('/r/chats/chat_', lpad(cast(page_id % 40 as string), 3, '0'), '/messages', cast(page_id as string), '.html')"
+EXTRA = [
+    "concat('<a href=\"photos/p', cast(page_id % 9 as string), '.jpg\"><img SRC = ''files/f', cast(page_id % 5 as string), '.pdf'' poster=\"video_files/v.jpg\">')",
+    "concat('<a href=\"../../chats/chat_', lpad(cast(page_id % 37 as string), 3, '0'), '/files/x', cast(page_id % 11 as string), '.pdf\">x</a>')",
+    "concat('<a href=\"https://t.example/', cast(page_id as string), '\"><a href=\"weather.com\"><a href=\"src.zip\"><a href=\"10.0.', cast(page_id % 300 as string), '.1/a\"><a href=\"#top\">')",
+    "concat('<img srcset=\"photos/p', cast(page_id % 9 as string), '.jpg 1x, photos/q', cast(page_id % 4 as string), '.jpg 2x\">')",
+    "'<style>.x{background:url(photos/c.jpg)}'",
+    "concat('.y{background:URL( \"media/photos/m', cast(page_id % 6 as string), '.jpg\" )}')",
+    "'</style><i>url(photos/in.jpg)</i>'",
+    "'<p>url(photos/d.jpg)</p><p style=\"background:url(images/i.png)\">'",
+    "concat('<a href=\"tg://resolve?domain=a', cast(page_id as string), '\"><a href=\"/etc/hosts\"><a href=\"../../../../out', cast(page_id % 3 as string), '.txt\">')",
+]
+PAGE_TEXT = "concat_ws(chr(10), html, " + ", ".join(EXTRA) + ")"
+#: Files that exist: of the pages' own folders, by the same numbers.
+FILES_SPARK = "select distinct concat('/r/chats/chat_', lpad(cast(page_id % 40 as string), 3, '0'), x) as path from pages lateral view explode(array('', '/photos', concat('/photos/p', cast(page_id % 7 as string), '.jpg'), concat('/files/f', cast(page_id % 3 as string), '.pdf'), '/photos/c.jpg', concat('/messages', cast(page_id as string), '.html'))) t as x"
+FILES_SQL = "select distinct concat('/r/chats/chat_', lpad(cast(page_id % 40 as string), 3, '0'), x) as path from (select page_id, unnest(['', '/photos', concat('/photos/p', cast(page_id % 7 as string), '.jpg'), concat('/files/f', cast(page_id % 3 as string), '.pdf'), '/photos/c.jpg', concat('/messages', cast(page_id as string), '.html')]) as x from pages)"
+
+
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").filter("html is not null").selectExpr(f"{PAGE_FILE} as file", f"{PAGE_TEXT} as text")
+
+
+def page_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.refs_by_line(lines(page_texts(spark, sf_dir)))
+
+
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(FILES_SPARK.replace("from pages", "from {pages}"), pages=table(spark, sf_dir, "pages")).withColumn("is_dir", ~F.col("path").rlike(r"\.\w+$")).withColumn("dir", S.dirname(F.col("path"))).withColumn("name", S.basename(F.col("path")))
+
+
+def resolved(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return resolve.link_status(R.classified(page_refs(spark, sf_dir), ROOT), page_files(spark, sf_dir), ROOT, **options)
+
+
+def _in(values) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+def _list(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+#: The refs of all pages: CTEs ending in refs(file, line_no, pass, idx, sub, attr, url, in_css).
+REFS = rf"""texts as (select {PAGE_FILE} as file, {PAGE_TEXT} as text from pages where html is not null),
+parts as (select file, string_split_regex(regexp_replace(text, '(\r\n|\r|\n)$', ''), '\r\n|\r|\n') as l from texts),
+lines as (select file, unnest(l) as line, unnest(range(1, len(l) + 1)) as line_no from parts),
+marked as (select *, contains(lower(line), '<style') as opens, contains(lower(line), '</style') as closes from lines),
+styled as (select file, line_no, line, opens or contains(lower(line), 'style="') or contains(lower(line), 'style=''') or
+  coalesce(last_value(case when closes then 0 when opens then 1 end ignore nulls) over (partition by file order by line_no rows between unbounded preceding and 1 preceding), 0) = 1 as in_css from marked),
+a as (select *, regexp_extract_all(line, '(?i)\b(?:src|href|poster)\s*=\s*(?:"[^"'']+"|''[^"'']+'')') as m from styled),
+a1 as (select file, line_no, in_css, unnest(m) as m, unnest(range(len(m))) as idx from a),
+s as (select *, regexp_extract_all(line, '(?i)\bsrcset\s*=\s*(?:"[^"'']+"|''[^"'']+'')') as m from styled),
+s1 as (select file, line_no, in_css, unnest(m) as m, unnest(range(len(m))) as idx from s),
+s2 as (select file, line_no, in_css, idx, list_filter(list_transform(string_split(regexp_extract(m, '["'']([^"'']+)["'']$', 1), ','), lambda x: string_split_regex(trim(x), '\s+')[1]), lambda x: x <> '') as u from s1),
+s3 as (select file, line_no, in_css, idx, unnest(u) as url, unnest(range(len(u))) as sub from s2),
+c as (select *, regexp_extract_all(line, '(?i)url\(\s*(?:"[^"'')]+"|''[^"'')]+''|[^"'')]+)\s*\)') as m from styled),
+c1 as (select file, line_no, in_css, unnest(m) as m, unnest(range(len(m))) as idx from c),
+refs as (
+  select file, line_no, 0 as pass, idx, 0 as sub, lower(regexp_extract(m, '^([A-Za-z]+)', 1)) as attr, regexp_extract(m, '["'']([^"'']+)["'']$', 1) as url, in_css from a1
+  union all select file, line_no, 1, idx, sub, 'srcset', url, in_css from s3
+  union all select file, line_no, 2, idx, 0, 'css-url', regexp_extract(m, '(?i)^url\(\s*["'']?([^"'')]+)', 1), in_css from c1)"""
+UNESCAPED = "replace(replace(replace(url, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+SKIPPED = "(trim(url) = '' or starts_with(trim(url), '#') or regexp_matches(trim(url), '^[a-zA-Z][a-zA-Z0-9+.-]*:'))"
+HOST = "trim(string_split(path, '/')[1])"
+TLD = f"lower(string_split({HOST}, '.')[-1])"
+IPV4 = "(len(string_split({h}, '.')) = 4 and len(list_filter(string_split({h}, '.'), lambda x: regexp_full_match(x, '\\d{{1,3}}') and coalesce(try_cast(x as integer), 999) <= 255)) = 4)"
+IS_HOST = f"(path <> '' and not regexp_matches(path, '^[./#]') and not regexp_matches(path, '[\\\\ ]') and contains({HOST}, '.') and ({IPV4.format(h=HOST)} or (regexp_full_match({HOST}, '[\\pL\\pN_.-]+') and {TLD} not in {_in(K.FILE_EXTENSIONS)} and regexp_full_match({TLD}, '[a-z]{{2,24}}'))))"
+IS_BARE = f"(path <> '' and not regexp_matches(path, '^[./#]') and not regexp_matches(path, '[/\\\\]') and contains(path, '.') and lower(string_split(path, '.')[-1]) in {_in(K.FILE_EXTENSIONS)})"
+SEGMENTS = "list_filter(string_split(replace(path, '\\', '/'), '/'), lambda x: x not in ('', '.', '..'))"
+CLASSED = rf"""{REFS},
+p as (select *, trim(string_split(string_split({UNESCAPED}, '#')[1], '?')[1]) as path, {SKIPPED} as skipped from refs),
+q as (select *, {SEGMENTS} as seg, not skipped and ({IS_HOST} or {IS_BARE}) as web from p),
+k as (select *, not skipped and list_has_any(seg, {_list(K.MEDIA_DIRS)}) as media,
+  case when skipped then null when seg[1] = 'media' then 'shared' when seg[1] in {_in(K.CHAT_LOCAL_DIRS)} then 'chat_local'
+    when len(seg) >= 3 and seg[1] = 'chats' and regexp_matches(seg[2], '^chat_\d+$') and seg[3] = 'media' then 'shared'
+    when list_has_any(seg, {_list(K.CHAT_LOCAL_DIRS)}) then 'chat_local' end as kind,
+  case when not skipped then nullif(regexp_extract(array_to_string(seg, '/'), '^chats/chat_(\d+)(?:/|$)', 1), '') end as target_chat,
+  nullif(regexp_extract(file, '(?:^|/)chats/chat_(\d+)(?:/|$)', 1), '') as source_chat from q),
+classed as (select *, case when media then kind end as media_class, coalesce(target_chat <> source_chat, false) as cross_chat from k),
+bucketed as (select *, case when skipped or web then 'non_local' when cross_chat then 'cross_chat' when media_class = 'shared' then 'media_shared'
+  when media_class = 'chat_local' then 'media_chat_local' else 'other_local' end as bucket from classed)"""
+#: norm_join in SQL: `..` folded by repeated replacement is not expressible; the pages' references climb at most 4 folders.
+NORM = "case when starts_with(path, '/') then path else concat('/', array_to_string(list_concat(string_split('r/chats/' || string_split(file, '/')[4], '/')[1:greatest(3 - ups, 0)], seg), '/')) end"
+STATUS = rf"""{CLASSED},
+files as ({FILES_SQL}),
+t as (select *, len(list_filter(string_split(path, '/'), lambda x: x = '..')) as ups from bucketed),
+u as (select *, {NORM} as target from t),
+v as (select u.*, f.path is not null as hit from u left join files f on f.path = u.target),
+status as (select *, case when (pass = 2 and not in_css) or skipped or path = '' or (not hit and web) then 'skipped'
+  when not (target = '/r' or starts_with(target, '/r/')) then 'outside' when hit then 'ok' else 'missing' end as status from v)"""
+
+
+# References.
+
+
+@query(f"with {REFS} select file, line_no, idx, attr, url from refs where pass = 0")
+def q_link_refs(spark, sf_dir):
+    return page_refs(spark, sf_dir).filter("pass = 0").select("file", F.col("line_no").cast("long"), F.col("idx").cast("long"), "attr", "url")
+
+
+@query(f"with {REFS} select attr, count(*) as refs, count(distinct url) as urls from refs group by attr")
+def q_link_refs_by_attr(spark, sf_dir):
+    return page_refs(spark, sf_dir).groupBy("attr").agg(F.count("*").alias("refs"), F.countDistinct("url").alias("urls"))
+
+
+@query(f"with {REFS} select file, line_no, idx, sub, url from refs where pass = 1")
+def q_srcset_urls(spark, sf_dir):
+    return page_refs(spark, sf_dir).filter("pass = 1").select("file", F.col("line_no").cast("long"), F.col("idx").cast("long"), F.col("sub").cast("long"), "url")
+
+
+@query(f"with {REFS} select file, line_no, url, in_css from refs where pass = 2")
+def q_css_context(spark, sf_dir):
+    return page_refs(spark, sf_dir).filter("pass = 2").select("file", F.col("line_no").cast("long"), "url", "in_css")
+
+
+@query(f"with {CLASSED} select url, bool_or(skipped) as skipped, bool_or(web) as web, bool_or(media) as media, max(media_class) as media_class, bool_or({IS_HOST}) as host, bool_or({IS_BARE}) as bare_file, bool_or({IPV4.format(h=HOST)}) as ipv4 from bucketed group by url")
+def q_url_flags(spark, sf_dir):
+    p = F.col("path")
+    c = R.classified(page_refs(spark, sf_dir), ROOT)
+    return c.groupBy("url").agg(F.bool_or("skipped").alias("skipped"), F.bool_or("web").alias("web"), F.bool_or("media").alias("media"), F.max("media_class").alias("media_class"), F.bool_or(S.is_host(p)).alias("host"), F.bool_or(S.is_bare_file(p)).alias("bare_file"), F.bool_or(S.is_ipv4(F.trim(F.substring_index(p, "/", 1)))).alias("ipv4"))
+
+
+@query(f"with {CLASSED} select bucket, count(*) as refs from bucketed group by bucket")
+def q_ref_buckets(spark, sf_dir):
+    return R.bucket_counts(R.classified(page_refs(spark, sf_dir), ROOT))
+
+
+@query(f"with {CLASSED}, b as (select bucket, count(*) as n from bucketed group by bucket) select cast(sum(n) as bigint) as total, cast(sum(n) as bigint) = (select count(*) from refs) as sums_match from b")
+def q_bucket_integrity(spark, sf_dir):
+    refs = page_refs(spark, sf_dir)
+    n = refs.agg(F.count("*").alias("all"))
+    b = R.bucket_counts(R.classified(refs, ROOT)).agg(F.sum("refs").alias("total"))
+    return b.crossJoin(n).select("total", (F.col("total") == F.col("all")).alias("sums_match"))
+
+
+@query(f"with {CLASSED} select file, count(*) filter (cross_chat) as cross_chat, count(*) filter (target_chat is not null) as to_chats from bucketed group by file")
+def q_cross_chat(spark, sf_dir):
+    c = R.classified(page_refs(spark, sf_dir), ROOT)
+    return c.groupBy("file").agg(F.count_if("cross_chat").alias("cross_chat"), F.count_if(S.target_chat(F.col("url"), F.col("path")).isNotNull()).alias("to_chats"))
+
+
+@query(f"with {STATUS} select file, status, count(*) as refs from status group by file, status")
+def q_link_status(spark, sf_dir):
+    return resolved(spark, sf_dir).groupBy("file", "status").agg(F.count("*").alias("refs"))
+
+
+@query(f"with {STATUS} select count(*) as total, count(*) filter (status = 'skipped') as skipped, count(*) filter (status = 'ok') as ok, count(*) filter (status = 'missing') as missing, count(*) filter (status = 'outside') as outside, count(*) filter (media_class = 'shared') as media_shared, count(*) filter (media_class = 'shared' and status = 'ok') as media_shared_ok, count(*) filter (media_class = 'chat_local') as media_chat_local, count(*) filter (media_class = 'chat_local' and status = 'ok') as media_chat_local_ok, count(*) filter (cross_chat) as cross_chat, count(*) filter (cross_chat and status = 'ok') as cross_chat_ok, count(*) filter (bucket = 'non_local') as bucket_non_local, count(*) filter (bucket = 'cross_chat') as bucket_cross_chat, count(*) filter (bucket = 'media_shared') as bucket_media_shared, count(*) filter (bucket = 'media_chat_local') as bucket_media_chat_local, count(*) filter (bucket = 'other_local') as bucket_other_local, cast(0 as bigint) as leftover from status")
+def q_link_counters(spark, sf_dir):
+    return resolve.counters(resolved(spark, sf_dir))
+
+
+@query(f"with {STATUS}, r as (select file, line_no, attr, url, target, row_number() over (order by file, line_no, pass, idx, sub) as n from status where status = 'missing') select * from r where n <= 200")
+def q_missing_topk(spark, sf_dir):
+    top = R.first_of_each(resolved(spark, sf_dir).filter("status = 'missing'").withColumn("k", F.lit(1)), "k", 200)
+    return top.select("file", F.col("line_no").cast("long"), "attr", "url", F.col("resolved_path").alias("target"), F.col("n").cast("long"))
+
+
+@query(f"with {STATUS} select url, target as resolved_path, case when starts_with(path, '/') then 'absolute,outside-root' else 'outside-root' end as note, count(*) as refs from status where status = 'outside' group by all")
+def q_outside_root(spark, sf_dir):
+    return resolved(spark, sf_dir).filter("status = 'outside'").groupBy("url", "resolved_path", "note").agg(F.count("*").alias("refs"))
+
+
+@query(f"with {STATUS}, m as (select case when not media then 'skipped' else status end as status from status) select status, count(*) as refs from m group by status")
+def q_scope_media(spark, sf_dir):
+    return resolved(spark, sf_dir, scope="media").groupBy("status").agg(F.count("*").alias("refs"))
+
+
+@query(f"with {STATUS}, b as (select min(file) as first_bad from status where status in ('missing', 'outside')) select status, count(*) as refs from status, b where first_bad is null or file <= first_bad group by status")
+def q_fail_fast(spark, sf_dir):
+    return resolve.fail_fast(resolved(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("refs"))
+
+
+@query(f"with {REFS} select file, line_no, url from refs where pass < 2 and (starts_with(lower(trim(url)), 'tg:') or starts_with(lower(trim(url)), 'https:'))")
+def q_scheme_refs(spark, sf_dir):
+    return R.with_scheme(page_refs(spark, sf_dir), ["tg:", " HTTPS"]).select("file", F.col("line_no").cast("long"), "url")
+
+
+@query(rf"""with {REFS}, m as (select file, line_no, unnest(regexp_extract_all(line, '(?i)\b(?:href|src)\s*=\s*(?:"(?:\.\./)+chats/chat_\d+/[^"'']+"|''(?:\.\./)+chats/chat_\d+/[^"'']+'')')) as m from lines) select file, line_no, regexp_extract(m, '["'']([^"'']+)["'']$', 1) as url from m""")
+def q_split_leftovers(spark, sf_dir):
+    return R.leftovers(lines(page_texts(spark, sf_dir))).select("file", F.col("line_no").cast("long"), "url")
+
+
+@query(f"with {STATUS} select bool_or(status in ('missing', 'outside')) as failed from status")
+def q_exit_code(spark, sf_dir):
+    return resolved(spark, sf_dir).agg(F.bool_or(F.col("status").isin("missing", "outside")).alias("failed"))
+
+
+# Timelines: message pages made from conversations and events.
+
+STAMP = "concat('<div class=\"pull_right date details\" title=\"', lpad(cast({d} as string), 2, '0'), '.', lpad(cast({m} as string), 2, '0'), '.2021 ', lpad(cast({h} as string), 2, '0'), ':', lpad(cast({i} as string), 2, '0'), ':05{z}\">')"
+ZONE = "', case when event_id % 3 = 0 then ' UTC+01:00' when event_id % 3 = 1 then '' else ' UTC-03:30' end, '"
+EVENT_FILE = "concat('/e', cast(user_id % 3 as string), '/chats/chat_', cast(user_id as string), '/messages', case when event_id % 2 = 0 then '' else '2' end, '.html')"
+EVENT_LINES = [
+    ("0", "case when event_id % 5 = 0 then '<div class=\"message service\" id=\"message-1\"><div class=\"body details\">' else '<div class=\"message default\" id=\"m\"><div class=\"message joined\">' end"),
+    ("1", "case when event_id % 5 = 0 then concat(' ', cast(event_id % 31 + 1 as string), ' ', case when event_id % 2 = 0 then 'March' else 'November' end, ' 2020 ') else 'text' end"),
+    ("2", "case when user_id % 4 = 0 then 'none' else " + STAMP.format(d="event_id % 33 + 1", m="event_id % 12 + 1", h="event_id % 24", i="event_id % 60", z=ZONE) + " end"),
+]
+
+
+def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").filter("user_id is not null")
+    out = None
+    for k, x in EVENT_LINES:
+        one = e.selectExpr(f"{EVENT_FILE} as file", f"cast(event_id * 3 + {k} as bigint) as line_no", f"{x} as line", "user_id", "user_id % 3 as export")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _event_sql() -> str:
+    rows = " union all ".join(f"select {EVENT_FILE} as file, user_id, user_id % 3 as export, cast(event_id * 3 + {k} as bigint) as line_no, {x} as line from events where user_id is not null" for k, x in EVENT_LINES)
+    num = lambda i: f"cast(regexp_extract(line, pat, {i}) as integer)"
+    return rf"""l as ({rows}),
+x as (select *, (length(line) - length(replace(line, '{K.MESSAGE_MARK}', ''))) // {len(K.MESSAGE_MARK)} - (length(line) - length(replace(line, '{K.SEPARATOR_MARK}', ''))) // {len(K.SEPARATOR_MARK)} as marks,
+  lag(contains(line, '{K.DETAILS_MARK}')) over (partition by file order by line_no) as after,
+  '<div class="pull_right date details" title="(\d\d)\.(\d\d)\.(\d\d\d\d) (\d\d):(\d\d):(\d\d)(?: UTC([+-]\d\d):(\d\d))?' as pat from l),
+y as (select *, regexp_matches(line, pat) as timed, case when regexp_matches(line, pat) then try_strptime(concat(regexp_extract(line, pat, 3), '-', regexp_extract(line, pat, 2), '-', regexp_extract(line, pat, 1), ' ', regexp_extract(line, pat, 4), ':', regexp_extract(line, pat, 5), ':', regexp_extract(line, pat, 6)), '%Y-%m-%d %H:%M:%S') end as local,
+  coalesce(try_cast(regexp_extract(line, pat, 7) as integer), 0) as zh, coalesce(try_cast(regexp_extract(line, pat, 8) as integer), 0) as zm,
+  case when after then try_strptime(trim(line), '%d %B %Y') end as day from x),
+z as (select *, local - to_minutes(zh * 60 + case when zh >= 0 then zm else -zm end) as ts, min(case when timed and local is null then line_no end) over (partition by file) as stop from y),
+ev as (select * from z where stop is null or line_no <= stop),
+pg as (select file, user_id, export, cast(sum(marks) as bigint) as messages, min(ts) as first, max(ts) as last, min(day) as first_day, max(day) as last_day from ev group by file, user_id, export),
+ch as (select export, user_id, cast(sum(messages) as bigint) as messages, coalesce(min(first), min(first_day)) as first, case when min(first) is not null then max(last) else max(last_day) end as last,
+  case when min(first) is not null then 'message_timestamps' when min(first_day) is not null then 'day_separators' end as basis,
+  min(struct_pack(t := first, f := file)) filter (first is not null).f as first_source, min(struct_pack(t := -epoch_us(last), f := file)) filter (last is not null).f as last_source from pg group by export, user_id)"""
+
+
+EVENTS = _event_sql()
+
+
+def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = event_lines(spark, sf_dir)
+    ids = x.select("file", "user_id", "export").distinct()
+    return T.page_sums(T.page_events(x.select("file", "line_no", "line"))).join(ids, "file")
+
+
+def event_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.chat_timeline(event_pages(spark, sf_dir), "export", "user_id")
+
+
+TIME = "yyyy-MM-dd HH:mm:ss"
+
+
+@query(f"with {EVENTS} select file, messages, strftime(first, '%Y-%m-%d %H:%M:%S') as first, strftime(last, '%Y-%m-%d %H:%M:%S') as last, strftime(first_day, '%Y-%m-%d') as first_day, strftime(last_day, '%Y-%m-%d') as last_day from pg")
+def q_html_timeline(spark, sf_dir):
+    f = lambda c, p=TIME: F.date_format(c, p).alias(c)
+    return event_pages(spark, sf_dir).select("file", "messages", f("first"), f("last"), f("first_day", "yyyy-MM-dd"), f("last_day", "yyyy-MM-dd"))
+
+
+@query(f"with {EVENTS} select user_id, messages, strftime(first, '%Y-%m-%d %H:%M:%S') as first, strftime(last, '%Y-%m-%d %H:%M:%S') as last, basis, first_source, last_source from ch")
+def q_chat_summary(spark, sf_dir):
+    return event_chats(spark, sf_dir).select("user_id", "messages", F.date_format("first", TIME).alias("first"), F.date_format("last", TIME).alias("last"), "basis", "first_source", "last_source")
+
+
+@query(f"with {EVENTS} select export, count(*) as chats, cast(sum(messages) as bigint) as messages, strftime(min(first), '%Y-%m-%d %H:%M:%S') as first, strftime(max(last), '%Y-%m-%d %H:%M:%S') as last, case when bool_or(basis = 'message_timestamps') then 'message_timestamps' else min(basis) end as basis, min(struct_pack(t := first, c := lpad(cast(user_id as string), 12, '0'), s := first_source)) filter (first is not null).s as first_source from ch group by export")
+def q_export_rollup(spark, sf_dir):
+    chats = event_chats(spark, sf_dir).withColumn("chat", F.lpad(F.col("user_id").cast("string"), 12, "0"))
+    return T.export_rollup(chats, "export").select("export", "chats", "messages", F.date_format("first", TIME).alias("first"), F.date_format("last", TIME).alias("last"), "basis", "first_source")
+
+
+@query(f"with {EVENTS} select file, count(*) as lines, cast(sum(marks) as bigint) as marks, count(*) filter (stop is not null) as stopped from ev group by file")
+def q_bad_date_abort(spark, sf_dir):
+    x = event_lines(spark, sf_dir)
+    e = T.page_events(x.select("file", "line_no", "line"))
+    all_lines = e.groupBy("file").agg(F.count("*").alias("lines"), F.sum("marks").alias("marks"))
+    bad = F.col("line").rlike("pull_right") & (F.regexp_extract("line", r'title="(\d\d)', 1).try_cast("int") > F.dayofmonth(F.last_day(F.try_make_timestamp(F.lit(2021), F.regexp_extract("line", r'title="\d\d\.(\d\d)', 1).try_cast("int"), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))))
+    stops = x.filter(bad).select("file").distinct().withColumn("s", F.lit(True))
+    return all_lines.join(stops, "file", "left").select("file", "lines", "marks", F.when(F.col("s"), F.col("lines")).otherwise(F.lit(0)).cast("long").alias("stopped"))
+
+
+@query("select conv_id, count(*) as messages, min(turn) as first_turn, max(turn) as last_turn, conv_id % 10 as export from conversations group by conv_id")
+def q_conversation_chats(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return c.groupBy("conv_id").agg(F.count("*").alias("messages"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn")).withColumn("export", F.col("conv_id") % 10)
+
+
+# SQLite-shaped reports: events as messages, customers as users, suppliers as chats.
+
+MESSAGES = "case when user_id % 7 = 0 then null when user_id % 2 = 0 then 'dialog' else 'group' end as source_type, cast(user_id % 400 as string) as source_id, cast(1500000000 + event_id as string) as time"
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(f"select {MESSAGES} from {{e}}", e=table(spark, sf_dir, "events"))
+
+
+GROUPS = f"m as (select {MESSAGES} from events), g as (select source_type, cast(source_id as bigint) as source_id, count(*) as msgs, min(to_timestamp(cast(time as bigint))) as first, max(to_timestamp(cast(time as bigint))) as last from m where source_type is not null and source_id is not null group by 1, 2)"
+
+
+@query(f"with {GROUPS} select source_type, source_id, msgs, epoch(first)::bigint as first, epoch(last)::bigint as last from g")
+def q_source_groups(spark, sf_dir):
+    return P.source_groups(messages(spark, sf_dir)).select("source_type", "source_id", "msgs", F.unix_seconds("first").alias("first"), F.unix_seconds("last").alias("last"))
+
+
+@query(f"with {GROUPS} select count(*) as messages, min(cast(time as bigint)) as first, max(cast(time as bigint)) as last from m")
+def q_global_range(spark, sf_dir):
+    return P.global_range(messages(spark, sf_dir)).select("messages", F.unix_seconds("first").alias("first"), F.unix_seconds("last").alias("last"))
+
+
+@query(f"with {GROUPS} select nullif(count(*), 0) as chats_backed_up from g")
+def q_chats_backed_up(spark, sf_dir):
+    return P.source_groups(messages(spark, sf_dir)).agg(F.nullif(F.count("*"), F.lit(0)).alias("chats_backed_up"))
+
+
+@query(f"with {GROUPS}, u as (select c_custkey as id, case when c_custkey % 5 = 0 then '' else trim(concat(c_name, ' ', c_mktsegment)) end as name from customer), c as (select s_suppkey as id, s_name as name from supplier) select g.source_type, g.source_id, g.msgs, coalesce(case when source_type = 'dialog' then nullif(u.name, '') else c.name end, concat(source_type, ':', cast(source_id as string))) as name from g left join u on u.id = g.source_id left join c on c.id = g.source_id")
+def q_dialog_or_group_name(spark, sf_dir):
+    blank = lambda c: F.when(F.col("c_custkey") % 5 == 0, "").otherwise(F.col(c))
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), blank("c_name").alias("first_name"), blank("c_mktsegment").alias("last_name"))
+    chats = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return P.named_groups(P.source_groups(messages(spark, sf_dir)), users, chats).select("source_type", "source_id", "msgs", "name")
+
+
+@query("with w as (select distinct user_id % 400 as id from events), a as (select c_custkey as id, case when c_custkey % 3 = 0 then null else c_name end as name from customer), b as (select s_suppkey as id, s_name as name from supplier) select w.id, coalesce(a.name, b.name) as name from w left join a on a.id = w.id left join b on b.id = w.id")
+def q_name_lookup(spark, sf_dir):
+    wanted = table(spark, sf_dir, "events").select((F.col("user_id") % 400).alias("id")).distinct()
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).alias("name"))
+    b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"))
+    return P.first_name_found(wanted, a, b)
+
+
+@query("with w as (select distinct user_id % 400 as id from events where user_id is not null) select id from w where id not in (select c_custkey from customer)")
+def q_ids_not_found(spark, sf_dir):
+    w = table(spark, sf_dir, "events").select((F.col("user_id") % 400).alias("id")).filter("id is not null").distinct()
+    return w.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), "id", "left_anti")
+
+
+# JSON-shaped reports.
+
+
+@query("select user_id, list_sort(json_keys(any_value(props))) is not null as has_keys, count(*) as n, count(distinct array_to_string(list_sort(json_keys(props)), ',')) as shapes from events group by user_id")
+def q_json_keys(spark, sf_dir):
+    keys = F.array_sort(F.json_object_keys("props"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.any_value(keys).isNotNull().alias("has_keys"), F.count("*").alias("n"), F.countDistinct(F.array_join(keys, ",")).alias("shapes"))
+
+
+JSON_TIMES = "cast(1500000000 + turn * 100 + conv_id as string)"
+
+
+@query("select conv_id, count(*) as n, least(min(1500000000 + turn * 100 + conv_id), min(1500003600 + turn * 50)) as first, greatest(max(1500000000 + turn * 100 + conv_id), max(1500003600 + turn * 50)) as last from conversations group by conv_id")
+def q_json_messages(spark, sf_dir):
+    m = F.struct(F.col("turn").cast("string").alias("id"), F.date_format(F.timestamp_seconds(1500003600 + F.col("turn") * 50), "yyyy-MM-dd'T'HH:mm:ss").alias("date"), F.expr(JSON_TIMES).alias("date_unixtime"))
+    chats = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(m).alias("messages"))
+    text = F.to_json(F.struct(F.struct(F.array(F.struct(F.col("conv_id").alias("id"), F.col("messages"))).alias("list")).alias("chats")))
+    c = P.json_chat_ranges(P.json_chats(chats.select(F.col("conv_id").cast("string").alias("path"), text.alias("text"))))
+    return c.select(F.col("id").cast("long").alias("conv_id"), "n", F.unix_seconds("first").alias("first"), F.unix_seconds("last").alias("last"))
+
+
+@query("select event_id, cast(epoch(date_trunc('second', ts)) as bigint) as iso, case when event_id % 4 in (0, 1) then null else event_id end as unix from events")
+def q_unix_iso(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    raw = F.expr("case when event_id % 4 = 0 then '1.5' when event_id % 4 = 1 then 'x' else cast(event_id as string) end")
+    return e.select("event_id", F.unix_seconds(S.parse_iso(text)).alias("iso"), F.unix_seconds(S.parse_unixtime(raw)).alias("unix"))
+
+
+# Folder trees.
+
+ORDER_PATH = "concat('/t/', cast(o_custkey % 20 as string), '/', cast(o_custkey as string), '/', o_orderstatus, '/', cast(o_orderkey as string), '.html')"
+
+
+def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "orders").selectExpr(f"{ORDER_PATH} as path", "cast(floor(o_totalprice) as bigint) as size")
+    return x.withColumn("is_dir", F.lit(False)).withColumn("dir", S.dirname(F.col("path"))).withColumn("name", S.basename(F.col("path")))
+
+
+UP = "select size, unnest([concat('/', array_to_string(p[1:i], '/')) for i in range(0, len(p))]) as dir from (select size, list_filter(string_split(path, '/'), lambda x: x <> '') as p from f)"
+
+
+@query(f"with f as (select {ORDER_PATH} as path, cast(floor(o_totalprice) as bigint) as size from orders), u as ({UP}) select dir, cast(sum(size) as bigint) as bytes from u group by dir")
+def q_dir_sizes(spark, sf_dir):
+    return tree.dir_sizes(order_files(spark, sf_dir), include_dirs=False)
+
+
+@query(f"with f as (select {ORDER_PATH} as path from orders), r as (select distinct concat('/t/', cast(c_custkey % 20 as string)) as root from customer union select concat('/t/', cast(c_custkey % 20 as string), '/', cast(c_custkey as string)) from customer where c_custkey % 3 = 0), j as (select f.path, r.root from f left join r on starts_with(f.path, r.root || '/')) select path, max_by(root, length(root)) as parent from j group by path")
+def q_nearest_ancestor(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    top = F.concat(F.lit("/t/"), (F.col("c_custkey") % 20).cast("string"))
+    roots = c.select(top.alias("path")).union(c.filter("c_custkey % 3 = 0").select(F.concat(top, F.lit("/"), F.col("c_custkey").cast("string")))).distinct()
+    return tree.nearest_ancestor(order_files(spark, sf_dir), roots)
+
+
+@query(f"with f as (select {ORDER_PATH} as path, o_custkey from orders) select path from f where not (o_custkey % 3 = 0)")
+def q_exclude_nested(spark, sf_dir):
+    roots = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.concat(F.lit("/t/"), (F.col("c_custkey") % 20).cast("string"), F.lit("/"), F.col("c_custkey").cast("string")).alias("path"))
+    missing = table(spark, sf_dir, "orders").filter("o_custkey % 3 = 0").select(F.concat(F.lit("/t/"), (F.col("o_custkey") % 20).cast("string"), F.lit("/"), F.col("o_custkey").cast("string")).alias("path"))
+    return tree.outside_of(order_files(spark, sf_dir).select("path"), roots.union(missing).distinct())
+
+
+DB_PATH = "concat('/u/', cast(c_nationkey as string), case when c_custkey % 6 = 0 then '/.telegram_backup/a' else '' end, case when c_custkey % 6 = 1 then '/x' else '' end, '/', cast(c_custkey % 4 as string), '/database.sqlite')"
+
+
+@query(f"with d as (select distinct {DB_PATH} as path from customer), c as (select path from d where contains(path, '/.telegram_backup/')) select path from c union all select path from d where not contains(path, '/.telegram_backup/') and not exists (select 1 from c where starts_with(c.path, regexp_replace(d.path, '[^/]*$', '')))")
+def q_dedupe_canonical(spark, sf_dir):
+    return tree.canonical_databases(table(spark, sf_dir, "customer").selectExpr(f"{DB_PATH} as path").distinct())
+
+
+TREE_FILE = "concat('/m/chat_', cast(l_suppkey % 50 as string), case l_linenumber % 5 when 0 then '/messages.html' when 1 then '/media/photos/' when 2 then '/files/' when 3 then '/photos/big/' else '/css/' end, case when l_linenumber % 5 = 0 then '' else concat(cast(l_orderkey as string), '_', cast(l_linenumber as string), '.bin') end)"
+
+
+@query(f"with f as (select distinct {TREE_FILE} as path from lineitem), r as (select distinct regexp_replace(path, '/messages.html$', '') as root from f where path like '%/messages.html'), k as (select f.path, r.root from f join r on starts_with(f.path, r.root || '/')) select count(*) filter (starts_with(path, root || '/media/')) as media_files, count(*) filter (starts_with(path, root || '/files/') or starts_with(path, root || '/photos/')) as chat_local_files from k")
+def q_count_media_files(spark, sf_dir):
+    f = table(spark, sf_dir, "lineitem").selectExpr(f"{TREE_FILE} as path").distinct()
+    return tree.media_file_counts(f.withColumn("is_dir", F.lit(False)).withColumn("dir", S.dirname(F.col("path"))).withColumn("name", S.basename(F.col("path"))))
+
+
+EXPORT_FILE = "concat('/x/', cast(s_suppkey as string), '/', case n when 0 then case when s_suppkey % 4 = 0 then 'export_results.html' else 'messages.html' end when 1 then 'css' when 2 then case when s_suppkey % 5 = 0 then 'other' else 'js' end when 3 then 'chats' else case when s_suppkey % 3 = 0 then '.archive_lens_export_meta.json' else 'z.txt' end end)"
+
+
+@query(f"with f as (select s_suppkey, unnest([0, 1, 2, 3, 4]) as n from supplier) select concat('/x/', cast(s_suppkey as string)) as path, case when s_suppkey % 4 = 0 then 'html_multi_chat_export' when s_suppkey % 3 = 0 then 'html_single_chat_export_converted' else 'html_single_chat_export' end as kind from (select distinct s_suppkey from f) where s_suppkey % 4 = 0 or s_suppkey % 5 <> 0")
+def q_export_roots(spark, sf_dir):
+    f = table(spark, sf_dir, "supplier").withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(4)))).selectExpr(f"{EXPORT_FILE} as path", "n in (1, 2, 3) as is_dir")
+    return tree.html_export_roots(f.withColumn("dir", S.dirname(F.col("path"))).withColumn("name", S.basename(F.col("path")))).select("path", "kind")
+
+
+@query("with f as (select distinct concat('/h/', cast(l_orderkey as string), '/', case l_linenumber % 3 when 0 then 'Page.HTML' when 1 then 'result.json' else 'messages2.html' end) as path from lineitem) select case when lower(path) like '%.html' then 'html' else 'json' end as kind, count(*) as files, count(distinct case when path like '%/messages2.html' then path end) as pages from f group by 1")
+def q_find_files(spark, sf_dir):
+    f = table(spark, sf_dir, "lineitem").selectExpr("concat('/h/', cast(l_orderkey as string), '/', case l_linenumber % 3 when 0 then 'Page.HTML' when 1 then 'result.json' else 'messages2.html' end) as path").distinct()
+    f = f.withColumn("is_dir", F.lit(False)).withColumn("dir", S.dirname(F.col("path"))).withColumn("name", S.basename(F.col("path")))
+    n = tree.chat_roots(f).agg(F.count("*").alias("r"))
+    h = tree.html_files(f).agg(F.lit("html").alias("kind"), F.count("*").alias("files")).crossJoin(n).select("kind", "files", F.col("r").alias("pages"))
+    return h.unionByName(tree.result_jsons(f).agg(F.lit("json").alias("kind"), F.count("*").alias("files")).withColumn("pages", F.lit(0).cast("long")))
+
+
+# Reports.
+
+REPORTS = "select concat('/c/', cast(doc_id % 60 as string), '/e') as export_root, case when doc_id % 3 = 0 then 'json' when doc_id % 3 = 1 then 'html' else 'sqlite' end as fmt, 'html_single_chat_export' as kind, cast(doc_id as string) as result_json, n_chars as messages_backed_up, cast(doc_id % 60 as string) as chat, cast(doc_id as string) as sub from documents"
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(REPORTS.replace("from documents", "from {documents}"), documents=table(spark, sf_dir, "documents"))
+
+
+@query(f"with r as ({REPORTS}) select fmt, count(*) as reports, cast(sum(messages_backed_up) as bigint) as messages from r group by fmt")
+def q_union_reports(spark, sf_dir):
+    r = reports(spark, sf_dir)
+    parts = [P.as_report(r.filter(F.col("fmt") == f)) for f in ("json", "html", "sqlite")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("fmt").agg(F.count("*").alias("reports"), F.sum("messages_backed_up").alias("messages"))
+
+
+@query(f"with r as ({REPORTS}), n as (select *, row_number() over (partition by export_root order by case fmt when 'json' then 0 when 'html' then 1 else 2 end desc, result_json desc) as n from r) select export_root, fmt, result_json from n where n = 1")
+def q_last_wins(spark, sf_dir):
+    return P.last_by_root(reports(spark, sf_dir)).select("export_root", "fmt", "result_json")
+
+
+@query(f"with r as ({REPORTS}) select chat, sub, messages_backed_up, row_number() over (partition by chat order by messages_backed_up desc nulls last, sub) as n, max(messages_backed_up) over (partition by chat) as most from r")
+def q_collection_groups(spark, sf_dir):
+    return P.primary_exports(reports(spark, sf_dir)).select("chat", "sub", "messages_backed_up", F.col("n").cast("long"), "most")
+
+
+@query(f"with r as ({REPORTS}) select count(*) >= 5 and bool_and(kind like 'html_single_chat_export%' and len(string_split(export_root, '/')) - 1 - 1 >= 2) as collection from r")
+def q_collection_mode(spark, sf_dir):
+    return P.collection_mode(reports(spark, sf_dir), "/c")
+
+
+# Names, sizes, times, urls.
+
+NAME = "concat(' ', replace(coalesce(source, ''), 'src', 'a/b\\c'), chr(9), '  ', substring(coalesce(text, ''), 1, 200), ' . ')"
+
+
+@query("with n as (select doc_id, " + NAME.replace("'a/b\\\\c'", "'a/b\\c'") + r" as s from documents), a as (select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '^\s+|\s+$', '', 'g'), '[/\\]', '_', 'g'), '[\x00-\x1f\x7f]+', '', 'g'), '\s+', ' ', 'g')) as s from n), b as (select doc_id, regexp_replace(case when s = '' then 'unknown_chat' else s end, '[ .]+$', '') as s from a), c as (select doc_id, case when length(s) > 120 then regexp_replace(substring(s, 1, 120), '[ .]+$', '') else s end as s from b) select doc_id, case when s = '' then 'unknown_chat' else s end as name from c")
+def q_sanitize_name(spark, sf_dir):
+    raw = F.concat(F.lit(" "), F.replace(F.coalesce("source", F.lit("")), F.lit("src"), F.lit("a/b\\c")), F.lit("\t  "), F.substring(F.coalesce("text", F.lit("")), 1, 200), F.lit(" . "))
+    return table(spark, sf_dir, "documents").select("doc_id", S.sanitize_name(raw).alias("name"))
+
+
+@query("with n as (select doc_id, concat('chat_', lpad(cast(doc_id as string), 9, '0')) as chat_id, coalesce(source, '') as base from documents) select chat_id, case when row_number() over (partition by base order by chat_id) = 1 then base else concat(base, ' (', chat_id, ')') end as dst from n")
+def q_dedupe_names(spark, sf_dir):
+    c = table(spark, sf_dir, "documents").select(F.concat(F.lit("chat_"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("chat_id"), F.coalesce("source", F.lit("")).alias("base"))
+    return P.dedupe_names(c).select("chat_id", "dst")
+
+
+@query(r"""with t as (select page_id, concat('<div class="text bold">', chr(10), ' <b>', regexp_extract(html, '<title>([^<]*)</title>', 1), '</b> ', chr(10), '</div>') as h from pages) select page_id, nullif(trim(replace(replace(replace(regexp_replace(regexp_extract(h, '(?s)<div class="text bold">\s*(.*?)\s*</div>', 1), '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), '') as title from t""")
+def q_title_extract(spark, sf_dir):
+    head = F.concat(F.lit('<div class="text bold">\n <b>'), F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("</b> \n</div>"))
+    return table(spark, sf_dir, "pages").select("page_id", S.page_title(head).alias("title"))
+
+
+@query("with s as (select l_orderkey, l_linenumber, cast(floor(l_extendedprice * power(7, l_linenumber)) as bigint) as n from lineitem), u as (select *, case when n < 1024 then 0 when n < 1048576 then 1 when n < 1073741824 then 2 when n < 1099511627776 then 3 else 4 end as k from s), v as (select *, n / power(1024.0, k) as x from u) select l_orderkey, l_linenumber, case when k = 0 then concat(cast(n as string), 'B') else concat(case when x >= 100 then printf('%.0f', x) when x >= 10 then printf('%.1f', x) else printf('%.2f', x) end, ['KiB', 'MiB', 'GiB', 'TiB'][k]) end as text from v")
+def q_format_bytes(spark, sf_dir):
+    n = F.floor(F.col("l_extendedprice") * F.pow(F.lit(7.0), F.col("l_linenumber"))).cast("long")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", S.format_bytes(n).alias("text"))
+
+
+@query("with s as (select l_orderkey, l_linenumber, l_quantity, l_linenumber % 6 as k from lineitem) select l_orderkey, l_linenumber, case k when 0 then cast(l_quantity as bigint) when 1 then cast(l_quantity as bigint) * 1000 when 2 then cast(l_quantity as bigint) * 1024 when 3 then cast(l_quantity as bigint) * 1048576 + 524288 when 4 then cast(l_quantity as bigint) * 1024 end as bytes from s")
+def q_parse_bytes(spark, sf_dir):
+    q, k = F.col("l_quantity").cast("long").cast("string"), F.col("l_linenumber") % 6
+    text = F.when(k == 0, q).when(k == 1, F.concat(q, F.lit("KB"))).when(k == 2, F.concat(F.lit(" "), q, F.lit("K"))).when(k == 3, F.concat(q, F.lit(".5MiB"))).when(k == 4, F.concat(q, F.lit("k"))).otherwise(F.concat(q, F.lit("kib")))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", S.parse_bytes(text).alias("bytes"))
+
+
+@query("select o_orderkey, case when o_orderkey % 5 = 0 then null when o_orderkey % 7 = 0 then null else strftime(o_orderdate, '%Y-%m-%d') end as export_date from orders")
+def q_export_date(spark, sf_dir):
+    p = F.concat(F.lit("/b/"), F.when(F.col("o_orderkey") % 2 == 0, "DataExport_").otherwise("ChatExport-"), F.when(F.col("o_orderkey") % 7 == 0, "31.02.2018").otherwise(F.date_format("o_orderdate", "dd_MM_yyyy")), F.lit("/x"))
+    p = F.when(F.col("o_orderkey") % 5 == 0, "/b/Export_01_01_2020").otherwise(p)
+    return table(spark, sf_dir, "orders").select("o_orderkey", S.export_date(p).alias("export_date"))
+
+
+@query("with r as (select o_custkey, min(o_orderdate) as a, max(case when o_orderstatus = 'F' then o_orderdate end) as b from orders group by o_custkey) select o_custkey, concat(strftime(a, '%Y-%m-%dT%H-%M-%SZ'), '__', coalesce(strftime(b, '%Y-%m-%dT%H-%M-%SZ'), 'unknown')) as label, coalesce(strftime(b, '%Y-%m-%dT%H:%M:%SZ'), '?') as shown from r")
+def q_range_label(spark, sf_dir):
+    r = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("a"), F.max(F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate"))).alias("b"))
+    return r.select("o_custkey", S.range_label(F.col("a"), F.col("b")).alias("label"), S.display_time(F.col("b")).alias("shown"))
+
+
+@query("select doc_id, url_encode(coalesce(text, '')) = '' as empty, replace(url_encode(coalesce(text, '')), '%2F', '/') as quoted from documents")
+def q_url_quote(spark, sf_dir):
+    t = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", (t == "").alias("empty"), url_quote(t).alias("quoted"))
+
+
+@query("select page_id, url as decoded, url_encode(url) as coded from pages")
+def q_url_unquote(spark, sf_dir):
+    coded = F.replace(url_quote("url"), F.lit("/"), F.lit("%2F"))
+    return table(spark, sf_dir, "pages").select("page_id", url_unquote(coded).alias("decoded"), coded.alias("coded"))
+
+
+@query("with p as (select page_id, concat('./../', replace(url, '//', '/./../'), '\\x') as path from pages) select page_id, array_to_string(list_filter(string_split(replace(path, '\\', '/'), '/'), lambda x: x not in ('', '.', '..')), '/') as path from p")
+def q_path_norm(spark, sf_dir):
+    p = F.concat(F.lit("./../"), F.replace("url", F.lit("//"), F.lit("/./../")), F.lit("\\x"))
+    return table(spark, sf_dir, "pages").select("page_id", S.strip_dots(p).alias("path"))
+
+
+@query()
+def q_html_unescape(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", html_unescape(F.col("html")).alias("html"))
+
+
+@query("select page_id, concat('/a/b/', cast(page_id as string), '/x') as same, concat('/a/y', cast(page_id as string)) as up, '/z' as absolute, '/' as top from pages")
+def q_norm_join(spark, sf_dir):
+    i = F.col("page_id").cast("string")
+    b = F.concat(F.lit("/a/b/"), i)
+    return table(spark, sf_dir, "pages").select("page_id", S.norm_join(b, F.lit("./q/../x")).alias("same"), S.norm_join(b, F.concat(F.lit("../../y"), i)).alias("up"), S.norm_join(b, F.lit("/z/.")).alias("absolute"), S.norm_join(b, F.lit("../../../../..")).alias("top"))
+
+
+@query("select doc_id, regexp_extract(concat('chats/chat_', cast(doc_id as string), '/messages.html'), 'chat_(\\d+)', 1) as chat, doc_id % 100 as dialog from documents")
+def q_chat_ids(spark, sf_dir):
+    i = F.col("doc_id").cast("string")
+    return table(spark, sf_dir, "documents").select("doc_id", S.source_chat(F.concat(F.lit("chats/chat_"), i, F.lit("/messages.html"))).alias("chat"), S.dialog_id(F.concat(F.lit("a/files/dialogs/chat_"), (F.col("doc_id") % 100).cast("string"), F.lit("_p2.html"))).alias("dialog"))
+
+
+# Plans.
+
+
+@query("select concat('/p/', cast(page_id % 40 as string), '/m', cast(page_id as string), '.html') as file, concat('a#', cast(page_id % 8 as string), '.html') as url, concat('a%23', cast(page_id % 8 as string), '.html') as new from pages where html is not null and page_id % 8 < 5")
+def q_repair_plan(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").filter("html is not null")
+    file = F.concat(F.lit("/p/"), (F.col("page_id") % 40).cast("string"), F.lit("/m"), F.col("page_id").cast("string"), F.lit(".html"))
+    text = F.concat("html", F.lit('<a href="a#'), (F.col("page_id") % 8).cast("string"), F.lit('.html"><a href="page.html#anchor"><a href="a%231.html">'))
+    files = p.filter("page_id % 8 < 5").select(F.concat(F.lit("/p/"), (F.col("page_id") % 40).cast("string"), F.lit("/a#"), (F.col("page_id") % 8).cast("string"), F.lit(".html")).alias("path")).withColumn("is_dir", F.lit(False))
+    return rewrites.repair_links(p.select(file.alias("file"), text.alias("text")), files, "/p").select("file", "url", "new")
+
+
+def _standalone_sql(text: str, chat: str) -> str:
+    for a, b in K.STANDALONE:
+        text = f"replace({text}, '{a}', '{b}')"
+    return f"replace(replace({text}, concat('../../chats/', {chat}, '/'), ''), concat('../chats/', {chat}, '/'), '')"
+
+
+LINKS = "concat('<link href=\"../../css/a.css\"><script src=\"../js/b.js\"><img src=\"../../images/i.png\"><a href=\"../../lists/chats.html\"><a href=\"../lists/chats.html#allow_back\"><a href=\"../../chats/chat_', cast(page_id as string), '/photos/x.jpg\">', coalesce(html, ''))"
+
+
+@query("select page_id, " + _standalone_sql(LINKS, "concat('chat_', cast(page_id as string))") + " as text from pages")
+def q_standalone_rewrite(spark, sf_dir):
+    x = table(spark, sf_dir, "pages").selectExpr("page_id", f"{LINKS} as text", "concat('chat_', cast(page_id as string)) as chat")
+    return x.select("page_id", rewrites.standalone(F.col("text"), F.col("chat")).alias("text"))
+
+
+@query(f"with {REFS}, f as ({FILES_SQL}), x as (select file, url, regexp_replace(file, '/[^/]*$', '') as chat from refs where pass in (0, 2) and attr <> 'poster' and (contains(url, 'photos/') or contains(url, 'files/')) and not contains(url, '..')) select x.file, x.url, count(*) as refs, x.url as new from x join f on f.path = x.chat || '/' || x.url join lines l on false or (l.file = x.file and l.line_no = 1) group by x.file, x.url")
+def q_localize_plan(spark, sf_dir):
+    pages = page_texts(spark, sf_dir)
+    low = lines(pages).withColumn("line", F.replace("line", F.lit("SRC = "), F.lit("src=")))
+    out = rewrites.localize(low, page_files(spark, sf_dir), ROOT)
+    return out.groupBy("file", "url", "new").agg(F.count("*").alias("refs"))
+
+
+RENAME = "select concat('/s/', cast(o_custkey as string), '/', case when o_custkey % 3 = 0 then 'unknown__unknown' else concat(strftime(min(o_orderdate), '%Y-%m-%dT%H-%M-%SZ'), '__', strftime(max(o_orderdate), '%Y-%m-%dT%H-%M-%SZ')) end) as src, concat('/s/', cast(o_custkey as string), '/', strftime(min(o_orderdate), '%Y-%m-%dT%H-%M-%SZ'), '__', strftime(max(o_orderdate), '%Y-%m-%dT%H-%M-%SZ')) as dst, o_custkey from orders group by o_custkey"
+
+
+@query(f"with r as ({RENAME}) select src, dst from r where src <> dst and o_custkey % 5 <> 0")
+def q_rename_plan(spark, sf_dir):
+    r = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"))
+    at = F.concat(F.lit("/s/"), F.col("o_custkey").cast("string"), F.lit("/"))
+    label = S.range_label(F.col("first"), F.col("last"))
+    folders = r.select(F.concat(at, F.when(F.col("o_custkey") % 3 == 0, "unknown__unknown").otherwise(label)).alias("path"), "first", "last")
+    existing = r.filter("o_custkey % 5 = 0").select(F.concat(at, label).alias("path"))
+    return rewrites.rename_plan(folders, existing).select("src", "dst")
+
+
+@query("select concat('/q/', s_name, '/2020-01-01T00-00-00Z__2020-02-01T00-00-00Z/.archive_lens_export_meta.json') as dst, s_name as chat_name from supplier where s_suppkey % 3 <> 0")
+def q_backfill_plan(spark, sf_dir):
+    names = F.when(F.col("s_suppkey") % 3 == 0, F.array(*map(F.lit, ("messages.html", "css", "js", K.MARKER_NAME)))).otherwise(F.array(*map(F.lit, ("messages.html", "css", "js"))))
+    f = table(spark, sf_dir, "supplier").withColumn("name", F.explode(names)).select(F.concat(F.lit("/q/"), "s_name", F.lit("/2020-01-01T00-00-00Z__2020-02-01T00-00-00Z")).alias("dir"), "name")
+    f = f.withColumn("path", F.concat_ws("/", "dir", "name")).withColumn("is_dir", F.col("name").isin("css", "js"))
+    return rewrites.backfill_plan(f, "2024-01-01T00:00:00+00:00").select("dst", F.get_json_object("payload", "$.chat_name").alias("chat_name"))
+
+
+@query("select n_nationkey, n_name from nation where n_regionkey in (select r_regionkey from region where r_name in ('ASIA', 'EUROPE'))")
+def q_split_filter(spark, sf_dir):
+    want = table(spark, sf_dir, "region").filter(F.col("r_name").isin("ASIA", "EUROPE")).select(F.col("r_regionkey").alias("n_regionkey"))
+    return table(spark, sf_dir, "nation").join(want, "n_regionkey", "left_semi").select("n_nationkey", "n_name")
+
+
+@query("select n_nationkey, n_regionkey % 2 = 0 as has_tables from nation")
+def q_table_subset(spark, sf_dir):
+    have = F.when(F.col("n_regionkey") % 2 == 0, F.array(*map(F.lit, ("users", "x", "messages", "chats")))).otherwise(F.array(F.lit("users")))
+    return table(spark, sf_dir, "nation").select("n_nationkey", (F.size(F.array_except(F.array(*map(F.lit, K.REQUIRED_TABLES)), have)) == 0).alias("has_tables"))
+
+
+@query("select n_nationkey, case when n_nationkey % 2 = 0 then concat(n_name, '%20x|', n_name, ' x') else n_name end as variants from nation")
+def q_variants_distinct(spark, sf_dir):
+    p = F.when(F.col("n_nationkey") % 2 == 0, F.concat("n_name", F.lit("%20x"))).otherwise(F.col("n_name"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.array_join(S.candidates(p), "|").alias("variants"))
+
+
+@query("select user_id, count(*) as messages, cast(floor(epoch(min(ts))) as bigint) as first, cast(floor(epoch(max(ts))) as bigint) as last from events group by user_id")
+def q_running_ranges(spark, sf_dir):
+    from .streaming.timeline import running_ranges
+
+    r = running_ranges(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return r.select("user_id", "messages", F.unix_seconds("first").alias("first"), F.unix_seconds("last").alias("last"))
