@@ -19,6 +19,7 @@ Extra columns are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +73,8 @@ class Index:
         self.impacts = [np.array([v for _, v in lists[int(t)]]) for t in self.terms]
         self.most = np.array([v.max() for v in self.impacts])
         self.block = [np.maximum.reduceat(v, np.arange(0, len(v), BLOCK)) for v in self.impacts]
+        self.item_lists, self.impact_lists = [x.tolist() for x in self.items], [x.tolist() for x in self.impacts]
+        self.block_lists, self.most_list = [x.tolist() for x in self.block], self.most.tolist()
         self.per = max(1, -(-len(ids) // COARSE))
         self.coarse = np.zeros((len(self.terms), COARSE), np.float32)
         for t, (i, v) in enumerate(zip(self.items, self.impacts, strict=True)):
@@ -79,49 +82,68 @@ class Index:
         longest = max([len(w) for w in self.words], default=0)
         self.half = max(32, longest)
 
-    def search(self, query: np.ndarray, least: float) -> list[tuple[int, float]]:
-        """Block-max WAND: all items whose score for the (distinct) term numbers of query is least or more."""
-        items, impacts, block, most = self.items, self.impacts, self.block, self.most
-        at = {int(t): 0 for t in query}
-        lists = list(at)
-        found = []
-        head = lambda t: int(items[t][at[t]]) if at[t] < len(items[t]) else len(self.ids)
+    def search(self, query: np.ndarray, least: float, alive: np.ndarray | None = None) -> list[tuple[int, float]]:
+        """Block-max WAND: all items whose score for the (distinct) term numbers of query is least or more.
+
+        alive tells which coarse blocks of items may hold one; all others are passed over at once.
+        """
+        items, impacts, block, most, end = self.item_lists, self.impact_lists, self.block_lists, self.most_list, len(self.ids)
+        lists = query.tolist()
+        at, found, nxt = dict.fromkeys(lists, 0), [], 0
+        starts = None if alive is None else [b * self.per for b in np.flatnonzero(alive).tolist()]
         while True:
-            lists.sort(key=head)
+            if starts is not None:  # to the next block that is alive
+                k = bisect_right(starts, nxt) - 1
+                if k < 0 or nxt >= starts[k] + self.per:
+                    if k + 1 == len(starts):
+                        return found
+                    nxt = starts[k + 1]
+            heads = []
+            for t in lists:
+                own = items[t]
+                j = at[t]
+                if j < len(own) and own[j] < nxt:
+                    j = at[t] = bisect_left(own, nxt, j)
+                if j < len(own):
+                    heads.append((own[j], t))
+            heads.sort()
             bound, pivot = 0.0, -1
-            for k, t in enumerate(lists):
-                if head(t) == len(self.ids):
-                    break
+            for k, (i, t) in enumerate(heads):
                 bound += most[t]
                 if bound >= least:
-                    pivot = head(t)
-                    while k + 1 < len(lists) and head(lists[k + 1]) == pivot:
+                    pivot = i
+                    while k + 1 < len(heads) and heads[k + 1][0] == pivot:
                         k += 1
                     break
             if pivot < 0:
                 return found
-            inside = lists[: k + 1]
-            bound, nxt = 0.0, len(self.ids)
-            for t in inside:  # bounds of the blocks that the pivot would stand in
-                j = int(np.searchsorted(items[t], pivot, "left"))
-                if j < len(items[t]):
+            if starts is not None:
+                s = bisect_right(starts, pivot) - 1
+                if s < 0 or pivot >= starts[s] + self.per:
+                    nxt = pivot
+                    continue
+            # bounds of the blocks that the pivot would stand in
+            bound, skip = 0.0, end
+            for _, t in heads[: k + 1]:
+                own = items[t]
+                j = bisect_left(own, pivot, at[t])
+                if j < len(own):
                     bound += block[t][j // BLOCK]
-                    end = min((j // BLOCK + 1) * BLOCK, len(items[t]))
-                    nxt = min(nxt, int(items[t][end - 1]) + 1)
-            if k + 1 < len(lists):
-                nxt = min(nxt, head(lists[k + 1]))
+                    skip = min(skip, own[min((j // BLOCK + 1) * BLOCK, len(own)) - 1] + 1)
             if bound < least:
-                for t in inside:
-                    at[t] = int(np.searchsorted(items[t], max(nxt, pivot + 1), "left"))
+                if k + 1 < len(heads):
+                    skip = min(skip, heads[k + 1][0])
+                nxt = max(skip, pivot + 1)
                 continue
             score = 0.0
-            for t in inside:
-                j = at[t] = int(np.searchsorted(items[t], pivot, "left"))
-                if j < len(items[t]) and items[t][j] == pivot:
-                    score += float(impacts[t][j])
-                    at[t] += 1
+            for _, t in heads[: k + 1]:
+                own = items[t]
+                j = at[t] = bisect_left(own, pivot, at[t])
+                if j < len(own) and own[j] == pivot:
+                    score += impacts[t][j]
             if score >= least:
                 found.append((pivot, score))
+            nxt = pivot + 1
 
     def hits(self, w: Words, n: int, least: float, overlap: float) -> dict[tuple[int, int], tuple[float, float, float]]:
         """{(document, item): (score, question overlap, answer overlap)} of the best passages."""
@@ -159,9 +181,10 @@ class Index:
         end = np.minimum(start + 2 * self.half, w.first[doc + 1])
         for p in may.tolist():
             q = np.unique(term[first_key[p] : first_key[p + 2 if follows[p] else p + 1]])
-            if self.coarse[q].sum(axis=0).max() < least - 1e-4:
+            alive = self.coarse[q].sum(axis=0) >= least - 1e-4
+            if not alive.any():
                 continue
-            got = self.search(q, least)
+            got = self.search(q, least, alive)
             if not got:
                 continue
             grams = np.unique(np.concatenate([gram_hashes(w.hash[start[p] : end[p]], g) for g in range(1, GRAM + 1)]))
