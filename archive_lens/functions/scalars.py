@@ -86,7 +86,8 @@ def norm_join(base: Column, rel: Column) -> Column:
 def ancestors(path: Column) -> Column:
     """All folders above an absolute path, the root of the file system last."""
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    return F.transform(F.sequence(F.size(parts) - 1, F.lit(0), F.lit(-1)), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))
+    up = F.transform(F.sequence(F.greatest(F.size(parts) - 1, F.lit(0)), F.lit(0), F.lit(-1)), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))
+    return F.when(F.size(parts) > 0, up).otherwise(F.array().cast("array<string>"))
 
 
 def dirname(path: Column) -> Column:

@@ -7,27 +7,28 @@ import urllib.parse
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_unescape(s: pd.Series) -> pd.Series:
     """HTML5 entities, also those without a semicolon."""
     return s.map(lambda x: html.unescape(x) if x is not None and "&" in x else x)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def url_unquote(s: pd.Series) -> pd.Series:
     """Percent decoding that leaves plus signs and broken sequences alone."""
     return s.map(lambda x: urllib.parse.unquote(x) if x is not None and "%" in x else x)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def url_quote(s: pd.Series) -> pd.Series:
     """Percent encoding of a path, slashes kept."""
     return s.map(lambda x: urllib.parse.quote(x, safe="/") if x is not None else None)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_lenient(s: pd.Series) -> pd.Series:
     """UTF-8 without the bytes that are none."""
     return s.map(lambda x: bytes(x).decode("utf-8", "ignore") if x is not None else None)

@@ -10,10 +10,11 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import constants as K
 from ..functions import scalars as S
-from ..functions.udfs import html_unescape, url_quote
+from ..functions.udfs import html_unescape, url_quote, url_unquote
 from ..operators import refs as R
 from ..operators import resolve
 
@@ -23,7 +24,7 @@ _SRCSET = re.compile(r"""(\bsrcset\s*=\s*)(["'])([^"']+)\2""", re.I)
 _CSS = re.compile(r"""url\(\s*(["']?)([^"')]+)\1\s*\)""", re.I)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def apply_rewrites(texts: pd.Series, maps: pd.Series) -> pd.Series:
     """Each text with the urls of its map (a list of (url, new) pairs) replaced where pages hold references."""
 
@@ -164,7 +165,7 @@ def fix_in_place(lines: DataFrame, files: DataFrame, chat_root: str, multi_root:
     left = refs.filter(F.col("url").contains("chats/chat_"))
     tail = F.regexp_replace(S.strip(F.substring_index(S.strip(html_unescape(F.col("url"))), "?", 1)), r"^(?:\.\./)+", "")
     cut = S.strip(F.substring_index(tail, "#", 1))
-    paths = F.array_distinct(F.flatten(F.transform(F.array(tail, cut), lambda v: F.transform(S.candidates(v), lambda c: S.norm_join(F.lit(multi_root), c)))))
+    paths = F.array_distinct(F.transform(F.filter(F.array(tail, url_unquote(tail), cut, url_unquote(cut)), lambda v: v != ""), lambda v: S.norm_join(F.lit(multi_root), v)))
     only = files.filter(~F.col("is_dir"))
     hit = resolve.lookup(left.withColumn("paths", paths), resolve.KEY, F.col("paths"), only).filter("hit")
     rel = S.relative_path(F.lit(multi_root), F.col("target"))
