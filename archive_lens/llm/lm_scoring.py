@@ -283,7 +283,8 @@ def score(docs: DataFrame, training: Column, vocabulary: str) -> tuple[DataFrame
     known = words.mapInArrow(lookup, "hash long, c long, lp double")
     buckets = 4 * partitions(spark)
     dealt = docs.select("doc_id", "text").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("long")).repartition("bucket")
-    need = dealt.sortWithinPartitions("bucket").select("bucket", "text").mapInArrow(_bucket_words, "bucket long, hash long")
+    # both readers take all columns of one exchange, so it is made once
+    need = dealt.sortWithinPartitions("bucket").mapInArrow(_bucket_words, "bucket long, hash long")
     own = need.join(known.hint("merge"), "hash").select("bucket", "hash", "c", "lp")
     end_base = np.log10((ends + 1) / (n + v + 1))
 
