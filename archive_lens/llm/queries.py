@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,4 +75,34 @@ QUERIES = {
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all({t}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CONTROL = "|".join(re.escape(c).replace("'", "''") for c in chat_format.CONTROL)
+_ESCAPED = "(length({x}) + length({x}) - length(replace({x}, '\\', '')) + 2 * len(regexp_extract_all({x}, '" + _CONTROL + "')))"
+_MARKS = sum(map(len, (chat_format.TURN, chat_format.TEXT, chat_format.END)))
+
+ORACLES: dict[str, str] = {
+    "op4_near_dedup": f"""with recursive w as (select doc_id, {_WORDS.format(t=_LOWER)} as ws from documents),
+i as (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from w where len(ws) >= 3),
+sh as (select distinct doc_id, array_to_string(ws[i:i + 2], ' ') as k from i union select doc_id, array_to_string(ws, ' ') from w where len(ws) in (1, 2)),
+n as (select doc_id, count(*) as n from sh group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from sh a join sh b on a.k = b.k and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 85 * (a.n + b.n - c)),
+e as (select x, y from l union select y, x from l),
+r(a, b) as (select doc_id, doc_id from documents union select r.a, e.y from r join e on r.b = e.x),
+m as (select a as doc_id, min(b) as component_id from r group by a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, m.component_id, d.doc_id = m.component_id as kept from documents d join m on m.doc_id = d.doc_id left join n on n.doc_id = d.doc_id""",
+    "op5_chat_format": f"""with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+select conv_id, count(*) as n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum({_MARKS} + {_ESCAPED.format(x="role")} + {_ESCAPED.format(x="text")}) as bigint) as formatted_chars from c group by conv_id""",
+    "op6_substring_dedup": f"""with w as (select doc_id, {_WORDS.format(t="coalesce(text, '')")} as ws from documents),
+s as (select doc_id, ws, unnest(range(1, len(ws) - 18)) as s from w where len(ws) >= 20),
+k as (select doc_id, s, row_number() over (partition by array_to_string(ws[s:s + 19], ' ') order by doc_id, s) as n from s),
+gone as (select distinct doc_id, unnest(range(s, s + 20)) as i from k where n > 1),
+each as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as i from w),
+kept as (select e.doc_id, string_agg(word, ' ' order by e.i) as text, count(*) as n from each e anti join gone g on g.doc_id = e.doc_id and g.i = e.i group by e.doc_id)
+select w.doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(kept.n, 0) as bigint) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256 from w left join kept on kept.doc_id = w.doc_id""",
+}
