@@ -33,7 +33,7 @@ def show_reports(df, nested: bool = True) -> list[str]:
 def main(argv: list[str] | None = None) -> int:
     a = argparse.ArgumentParser(prog="archive_lens")
     a.add_argument("path")
-    for flag in ("json", "no-inspect", "no-sizes", "dedupe-unofficial-sqlite", "check-links", "check-allow-outside-root", "check-fail-fast", "repair-html-links", "split-multi-html", "rename-ranges", "backfill-meta", "apply"):
+    for flag in ("json", "no-inspect", "no-sizes", "dedupe-unofficial-sqlite", "check-links", "check-allow-outside-root", "check-fail-fast", "check-legacy", "repair-html-links", "split-multi-html", "rename-ranges", "backfill-meta", "apply"):
         a.add_argument(f"--{flag}", action="store_true")
     a.add_argument("--check-scope", choices=("all", "media"), default="all")
     a.add_argument("--check-schemes", default="")
@@ -51,11 +51,16 @@ def main(argv: list[str] | None = None) -> int:
     now = datetime.now(timezone.utc).isoformat()
     plan = None
     if o.check_links:
-        got = engine.check_links(spark, o.path, o.check_scope, o.check_schemes.split(","), o.check_allow_outside_root, o.check_fail_fast, o.check_max_missing, o.check_max_schemes)
-        counts = got["counters"].first().asDict()
-        told = {"counters": counts} | {k: [r.asDict() for r in got[k].collect()] for k in ("missing", "schemes", "leftovers", "buckets")}
-        print(json.dumps(told, indent=2) if o.json else "\n".join(f"{k}: {v}" for k, v in counts.items()))
-        return int(bool(counts["missing"] or counts["outside"] or counts["leftover"]))
+        options = {"scope": o.check_scope, "schemes": o.check_schemes.split(","), "allow_outside": o.check_allow_outside_root, "fail_fast": o.check_fail_fast, "most_missing": o.check_max_missing, "most_schemes": o.check_max_schemes, "legacy": o.check_legacy}
+        # text is by backup, JSON of the folder as a whole
+        checks = {o.path: engine.check_links(spark, o.path, **options)} if o.json else engine.check_each(spark, o.path, **options)
+        failed = False
+        for root, got in checks.items():
+            counts = got["counters"].first().asDict()
+            failed |= bool(counts["missing"] or counts["outside"] or counts["leftover"])
+            told = {"counters": counts} | {k: [r.asDict() for r in got[k].collect()] for k in ("missing", "schemes", "leftovers", "buckets")}
+            print(json.dumps(told, indent=2) if o.json else "\n".join([root, *(f"  {k}: {v}" for k, v in counts.items()), *(f"  {r['status']} {r['file']}:{r['line_no']} {r['url']} {r['name'] or ''}" for r in told["missing"])]))
+        return int(failed)
     if o.repair_html_links:
         plan = engine.repair_links(spark, o.path)
     elif o.split_multi_html:

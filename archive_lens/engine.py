@@ -89,21 +89,36 @@ def discover(spark: SparkSession, root: str, inspect: bool = True, sizes: bool =
     return found.join(tree.dir_sizes(files).withColumnRenamed("dir", "export_root"), "export_root", "left")
 
 
-def check_links(spark: SparkSession, root: str, scope: str = "all", schemes: list[str] | None = None, allow_outside: bool = False, fail_fast: bool = False, most_missing: int = 200, most_schemes: int = 200) -> dict[str, DataFrame]:
-    """counters (one row), missing and schemes (the first of each), leftovers, buckets."""
+def check_links(spark: SparkSession, root: str, scope: str = "all", schemes: list[str] | None = None, allow_outside: bool = False, fail_fast: bool = False, most_missing: int = 200, most_schemes: int = 200, legacy: bool = False, exclude: list[str] | None = None) -> dict[str, DataFrame]:
+    """counters (one row), missing and schemes (the first of each, with their chats' names), leftovers, buckets.
+
+    exclude: folders below root whose pages are left to checks of their own.
+    """
     root = os.path.abspath(root)
     files = inventory(spark, root, ".html")
-    rows = lines(texts(files.filter(F.lower("name").endswith(".html"))))
+    pages = files.filter(F.lower("name").endswith(".html") & ~F.col("is_dir"))
+    for x in exclude or []:
+        pages = pages.filter(~S.is_within(F.lit(x), F.col("path")))
+    body = texts(pages)
+    rows = lines(body)
     multi = files.filter((F.col("dir") == root) & ((F.col("name") == K.MULTI_ROOT_NAME) | (F.col("is_dir") & (F.col("name") == "chats")))).limit(1).count() > 0
-    refs = R.classified(R.refs_by_line(rows), root)
+    refs = R.classified(R.refs_by_line(rows), root, legacy)
     out = resolve.link_status(refs, files, root, scope, allow_outside)
     out = resolve.fail_fast(out) if fail_fast else out
     left = R.leftovers(rows) if not multi else R.leftovers(rows).limit(0)
     bad = out.filter(F.col("status").isin("missing", "outside"))
-    pages = files.filter(~F.col("is_dir") & F.lower("name").endswith(".html")).agg(F.count("*").alias("html_files_scanned"))
+    seen = pages.agg(F.count("*").alias("html_files_scanned"))
+    first = body.filter(S.basename(F.col("file")) == K.SINGLE_ROOT_NAME).withColumn("chat_id", S.chat_folder(F.col("file"))).filter("chat_id is not null")
+    titles = first.groupBy("chat_id").agg(F.min_by(S.page_title(F.col("text")), "file").alias("name"))
+    dialogs = spark.createDataFrame([], "id long, name string")
+    for db in sorted(r["path"] for r in tree.named(files, K.DATABASE_NAME).select("path").collect()):
+        if P.has_tables(sqlite.tables(db)):
+            for t in ("users", "chats"):
+                dialogs = dialogs.unionByName(P.names(sqlite.read(spark, db, t)).filter("name is not null"))
+    dialogs = dialogs.groupBy("id").agg(F.min("name").alias("name"))
     return {
-        "counters": resolve.counters(out).drop("leftover").crossJoin(F.broadcast(left.agg(F.count("*").alias("leftover")))).crossJoin(F.broadcast(pages)),
-        "missing": R.first_of_each(bad, "status", most_missing).select("status", "n", "file", "line_no", "attr", "url", "resolved_path", "note"),
+        "counters": resolve.counters(out).drop("leftover").crossJoin(F.broadcast(left.agg(F.count("*").alias("leftover")))).crossJoin(F.broadcast(seen)),
+        "missing": P.with_chat_names(R.first_of_each(bad, "status", most_missing).select("status", "n", "file", "line_no", "attr", "url", "resolved_path", "note"), titles, dialogs),
         "schemes": R.first_of_each(R.with_scheme(refs, schemes or []).withColumn("k", F.lit(1)), "k", most_schemes).select("n", "file", "line_no", "attr", "url"),
         "leftovers": left,
         "buckets": R.bucket_counts(out),
@@ -111,6 +126,18 @@ def check_links(spark: SparkSession, root: str, scope: str = "all", schemes: lis
     }
 
 
+def check_each(spark: SparkSession, root: str, **options) -> dict[str, dict[str, DataFrame]]:
+    """check_links() of every backup found below root by itself, by (depth, path); of root as a whole if there is one at most."""
+    root = os.path.abspath(root)
+    files = inventory(spark, root)
+    roots = tree.html_export_roots(files).select("path").union(tree.named(files, *K.RESULT_NAMES, K.DATABASE_NAME).select(F.col("dir").alias("path"))).distinct()
+    found = sorted((r["path"] for r in roots.collect()), key=lambda p: (p.count("/"), p))  # the backups, a handful
+    if len(found) < 2:
+        return {root: check_links(spark, root, **options)}
+    below = lambda r: [x for x in found if x.startswith(r + "/")]
+    return {r: check_links(spark, r, exclude=below(r), **options) for r in found}
+
+
 def repair_links(spark: SparkSession, root: str) -> DataFrame:
     """The plan that repairs references with an unescaped `#`."""
     root = os.path.abspath(root)

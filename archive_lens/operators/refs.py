@@ -66,13 +66,22 @@ def leftovers(lines: DataFrame) -> DataFrame:
     return found.select("file", "line_no", "idx", F.lower("m.g0").alias("attr"), F.col("m.g1").alias("url"))
 
 
-def classified(refs: DataFrame, root: str) -> DataFrame:
-    """refs with path, skipped, media, media_class, cross_chat, bucket."""
+def classified(refs: DataFrame, root: str, legacy: bool = False) -> DataFrame:
+    """refs with path, skipped, media, media_class, cross_chat, bucket.
+
+    legacy: as an older checker has it; nothing is taken for a web host or a bare file name, only a path's head makes its
+    media class, and css references outside css are of no class.
+    """
     url, path = F.col("url"), F.col("path")
     rel = S.relative_path(F.lit(root.rstrip("/")), F.col("file"))
     out = refs.withColumn("path", S.url_path(url)).withColumn("skipped", S.is_skipped(url))
     out = out.withColumn("media", S.is_media(url, path)).withColumn("media_class", F.when(F.col("media"), S.media_class(url, path)))
-    out = out.withColumn("web", ~F.col("skipped") & (S.is_host(path) | S.is_bare_file(path)))
+    if legacy:
+        head = F.try_element_at(S.segments(path), F.lit(1))
+        simple = F.when(head == "media", "shared").when(head.isin(*K.CHAT_LOCAL_DIRS), "chat_local")
+        out = out.withColumn("media_class", F.when(F.col("media") & ((F.col("pass") < 2) | F.col("in_css")), simple))
+    web = F.lit(False) if legacy else ~F.col("skipped") & (S.is_host(path) | S.is_bare_file(path))
+    out = out.withColumn("web", web)
     target, source = S.target_chat(url, path), S.source_chat(rel)
     out = out.withColumn("cross_chat", F.coalesce(target != source, F.lit(False)))
     bucket = F.when(F.col("skipped") | F.col("web"), "non_local").when(F.col("cross_chat"), "cross_chat").when(F.col("media_class") == "shared", "media_shared").when(F.col("media_class") == "chat_local", "media_chat_local").otherwise("other_local")

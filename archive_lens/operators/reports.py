@@ -100,6 +100,16 @@ def first_name_found(wanted: DataFrame, *tables: DataFrame) -> DataFrame:
     return wanted.join(best, "id", "left")
 
 
+def with_chat_names(rows: DataFrame, titles: DataFrame, dialogs: DataFrame) -> DataFrame:
+    """rows (file) with name: the title of the file's chat folder (chat_id, name), else of its dialog (id, name).
+
+    Joined to the few rows that are shown, so names are looked up for those alone.
+    """
+    x = rows.withColumn("chat_id", S.chat_folder(F.col("file"))).withColumn("id", S.dialog_id(F.col("file")))
+    x = x.join(titles.select("chat_id", F.col("name").alias("t")), "chat_id", "left").join(dialogs.select("id", F.col("name").alias("d")), "id", "left")
+    return x.withColumn("name", F.coalesce("t", "d")).select(*rows.columns, "name")
+
+
 def collection_mode(reports: DataFrame, root: str) -> DataFrame:
     """Whether reports are shown by chat folder: five or more, all single chats, all two or more folders deep."""
     deep = S.depth(F.col("export_root")) - F.lit(len([p for p in root.split("/") if p])) >= 2

@@ -77,6 +77,37 @@ def test_check_links(spark, tmp_path):
     assert [r["url"] for r in got["missing"].orderBy("n").collect()] == ["../../chats/chat_002/files/x.pdf", "photos/b.jpg", "photos/c.jpg"]
 
 
+    old = engine.check_links(spark, str(tmp_path), legacy=True)["counters"].first()
+    assert (old["missing"], old["media_chat_local"]) == (5, 4)
+
+
+def test_check_each_backup(spark, tmp_path):
+    put(tmp_path, "a/export_results.html", '<a href="b.html">')
+    put(tmp_path, "a/chats/chat_001/messages.html", PAGE + '<a href="photos/no.jpg">')
+    put(tmp_path, "a/j/result.json", "{}")
+    put(tmp_path, "a/j/x.html", '<a href="gone.pdf/x">')
+    got = {os.path.relpath(k, tmp_path): v for k, v in engine.check_each(spark, str(tmp_path)).items()}
+    assert {k: v["counters"].first()["total"] for k, v in got.items()} == {"a": 2, "a/j": 1}
+    assert [r["name"] for r in got["a"]["missing"].collect()] == ["Alice & Bob"]
+    assert got["a"]["missing"].first()["url"] == "photos/no.jpg"
+
+
+def test_streams(spark, tmp_path):
+    from archive_lens.streaming.timeline import running_ranges, windowed_counts
+
+    src = "/root/testdata/sf0.001/events.parquet"
+    batch = spark.read.parquet(src)
+    batch.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))
+    for name, df in (("ranges", running_ranges(stream)), ("counts", windowed_counts(stream))):
+        q = df.writeStream.outputMode("complete").format("memory").queryName(name).start()
+        q.processAllAvailable()
+        q.stop()
+    want = {tuple(r) for r in running_ranges(batch).collect()}
+    assert {tuple(r) for r in spark.sql("select * from ranges").collect()} == want
+    assert spark.sql("select sum(messages) as n from counts").first()["n"] == batch.count()
+
+
 def test_json_report(spark, tmp_path):
     put(tmp_path, "j/result.json", json.dumps({"chats": {"list": [
         {"name": "A", "id": 1, "messages": [{"id": 1, "date": "2018-10-09T21:32:23", "date_unixtime": "1539113543"}]},
