@@ -27,7 +27,7 @@ def get_session(app: str = "archive_lens", master: str | None = None, **conf: st
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one is set only where none is configured (tests, local runs)."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("archive_lens.shared.dir", None)
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("archive_lens.shared.dir", None)
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="archive_lens_")
         spark.conf.set("archive_lens.shared.dir", at)
@@ -39,4 +39,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _HELD.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._held_at = path
+    return out
+
+
+_HELD: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(df: DataFrame) -> None:
+    """Delete a table made by materialize() that nothing reads any more."""
+    path = df._held_at
+    _HELD.remove(path)
+    _delete(df.sparkSession, path)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete all tables of materialize(): for callers that have written their results."""
+    while _HELD:
+        _delete(spark, _HELD.pop())
