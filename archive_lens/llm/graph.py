@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, release
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
@@ -19,14 +19,15 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     both = materialize(links.union(links.select("b", "a")).distinct(), "links")
     parent = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("p")), "parents")
     for _ in range(most):
-        near = both.join(parent.withColumnsRenamed({"node": "b"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("p").alias("m"))
+        near = both.join(parent.select(F.col("node").alias("b"), "p"), "b").groupBy(F.col("a").alias("node")).agg(F.min("p").alias("m"))
         grand = parent.select(F.col("node").alias("p"), F.col("p").alias("g"))
-        each = parent.join(near, "node").join(grand, "p")
+        each = parent.select("node", "p").join(near, "node").join(grand, "p")
         told = each.select(F.explode(F.array(F.struct("node", F.least("m", "p", "g").alias("p")), F.struct(F.col("p").alias("node"), F.least("m", "g").alias("p")))).alias("x")).select("x.*")
         new = told.groupBy("node").agg(F.min("p").alias("p"))
-        new = materialize(new.join(parent.withColumnRenamed("p", "was"), "node").select("node", "p", (F.col("p") < F.col("was")).alias("moved")), "parents")
-        moved = new.filter("moved").limit(1).count()
-        parent = new.select("node", "p")
-        if not moved:
-            break
-    return parent.select("node", F.col("p").alias("component"))
+        held = new.join(parent.select("node", F.col("p").alias("was")), "node").select("node", "p", (F.col("p") < F.col("was")).alias("moved"))
+        new = materialize(held, "parents")
+        release(parent)  # the new table stands by itself
+        parent = new
+        if not new.filter("moved").limit(1).count():
+            return parent.select("node", F.col("p").alias("component"))
+    raise RuntimeError(f"components have not settled in {most} rounds")
