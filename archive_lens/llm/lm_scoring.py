@@ -254,7 +254,9 @@ def score(docs: DataFrame, training: Column, vocabulary: str) -> tuple[DataFrame
     spark = docs.sparkSession
     lattice = Lattice(vocabulary)
     rows = docs.select("doc_id", "text", training.alias("training"))
-    words = materialize(rows.select("text", "training").mapInArrow(_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
+    # tasks have summed their own words; the partitions are many, as each word costs time afterwards
+    told = rows.select("text", "training").mapInArrow(_words, "word binary, c long").repartition(4 * partitions(spark), "word")
+    words = materialize(told.groupBy("word").agg(F.sum("c").alias("c")), "words")
     ends = rows.filter("training").count()
     m = words.filter("c > 0").agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("c") == 1, 1)), F.lit(0)).alias("once")).first()
     n, v, once = m["n"] + ends, m["v"] + (ends > 0), m["once"]
