@@ -34,7 +34,7 @@ KNOWN = 2_000_000
 _KINDS = np.full(256, 3, np.int8)
 _KINDS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 _KINDS[48:58] = 2
-SHARD_ROWS = 20_000
+SHARD_ROWS = 4_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
