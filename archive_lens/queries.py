@@ -562,7 +562,7 @@ def q_path_norm(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", S.strip_dots(p).alias("path"))
 
 
-@query()
+@query("select page_id, regexp_replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;?', '&', 'g') as html from pages")
 def q_html_unescape(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html_unescape(F.col("html")).alias("html"))
 
