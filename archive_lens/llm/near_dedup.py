@@ -41,7 +41,7 @@ DEEPEST = 24
 #: Edges of leaves that a task holds before it reduces them.
 PENDING = 300_000
 #: Classes of a cluster whose full sets are compared in one task.
-BLOCK = 768
+BLOCK = 384
 SEEDS = mix((np.arange(COORDINATES, dtype=np.uint64) + U(1)) * U(0x9E3779B97F4A7C15)) | U(1)
 
 
@@ -147,8 +147,8 @@ def _leaves(least: float, num: int, den: int):
             at = at[den * n[at] >= num * n[at + step]]  # sizes only grow apart
             if not len(at):
                 break
-            for p in range(0, len(at), 65536):
-                q = at[p : p + 65536]
+            for p in range(0, len(at), 16384):
+                q = at[p : p + 16384]
                 q = q[_agree(sig[q], sig[q + step]) >= least]
                 x.append(q)
                 y.append(q + step)
@@ -200,9 +200,13 @@ def full_links(doc: np.ndarray, h: np.ndarray, count: int, num: int, den: int) -
         m = np.zeros((count, 2048), np.float32)
         m[doc[i:j], col[i:j] - first] = 1
         both += m @ m.T
-    ok = den * both.astype(np.float64) >= num * (n[:, None] + n[None, :] - both)
-    a, b = np.nonzero(np.triu(ok & (n > 0)[:, None] & (n > 0)[None, :], 1))
-    return a, b
+    a, b = [], []
+    for i in np.flatnonzero(n).tolist():  # row by row: no matrix beside the one of intersections
+        row = both[i, i + 1 :].astype(np.float64)
+        j = np.flatnonzero((den * row >= num * (n[i] + n[i + 1 :] - row)) & (n[i + 1 :] > 0)) + i + 1
+        a.append(np.full(len(j), i))
+        b.append(j)
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def _confirm(k: int, num: int, den: int):
