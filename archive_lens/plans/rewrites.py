@@ -138,7 +138,8 @@ def split_plan(files: DataFrame, pages: DataFrame, lines: DataFrame, root: str,
     own = own.select(F.lit(0).alias("rank"), F.lit("copy").alias("action"), F.col("path").alias("src"), F.concat("dst_root", F.lit("/"), inside).alias("dst"), F.lit(None).cast("string").alias("payload"))
     shared_top = F.element_at(F.split(S.relative_path(F.lit(root), F.col("path")), "/"), 1)
     assets = below.withColumn("top", shared_top).filter(F.col("top").isin("css", "js", "images", "profile_pictures")).select("path", S.relative_path(F.lit(root), F.col("path")).alias("rel"))
-    assets = assets.crossJoin(F.broadcast(chats.select("dst_root"))).select(F.lit(1).alias("rank"), F.lit("copy").alias("action"), F.col("path").alias("src"), F.concat("dst_root", F.lit("/"), "rel").alias("dst"), F.lit(None).cast("string").alias("payload"))
+    # every chat gets every shared asset: the plan itself is their product
+    assets = assets.crossJoin(chats.select("dst_root")).select(F.lit(1).alias("rank"), F.lit("copy").alias("action"), F.col("path").alias("src"), F.concat("dst_root", F.lit("/"), "rel").alias("dst"), F.lit(None).cast("string").alias("payload"))
     moves = localize(lines, files, root).join(pages.select("file", "chat_id"), "file").join(chats.select("chat_id", "dst_root"), "chat_id")
     media = moves.filter("shared").select("dst_root", "target").distinct().select(F.lit(2).alias("rank"), F.lit("copy").alias("action"), F.col("target").alias("src"), F.concat("dst_root", F.lit("/media/"), S.relative_path(F.lit(root), F.col("target"))).alias("dst"), F.lit(None).cast("string").alias("payload"))
     text = pages.select("file", "chat_id", standalone(F.col("text"), F.col("chat_id")).alias("text"))
