@@ -30,33 +30,53 @@ def style_context(lines: DataFrame) -> DataFrame:
     return lines.withColumn("in_css", opens | held | low.contains('style="') | low.contains("style='"))
 
 
-def attribute_refs(lines: DataFrame, pattern: str = K.ATTRIBUTE) -> DataFrame:
-    found = lines.select("*", F.posexplode(all_groups(F.col("line"), pattern, 1, 3)).alias("idx", "m"))
-    return found.select("file", "line_no", F.lit(0).alias("pass"), "idx", F.lit(0).alias("sub"), F.lower("m.g0").alias("attr"), F.col("m.g1").alias("url"), "in_css")
+REF = "array<struct<pass:int,idx:int,sub:int,attr:string,url:string>>"
+
+
+def _ref(kind: int, idx: Column, sub: Column, attr: Column, url: Column) -> Column:
+    return F.struct(F.lit(kind).alias("pass"), idx.cast("int").alias("idx"), sub.cast("int").alias("sub"), attr.alias("attr"), url.alias("url"))
+
 
+def attribute_array(text: Column, pattern: str = K.ATTRIBUTE) -> Column:
+    return F.transform(all_groups(text, pattern, 1, 3), lambda m, i: _ref(0, i, F.lit(0), F.lower(m["g0"]), m["g1"])).cast(REF)
 
-def srcset_refs(lines: DataFrame) -> DataFrame:
+
+def srcset_array(text: Column) -> Column:
     """Each first word of a srcset's parts between commas."""
-    urls = F.filter(F.transform(F.split("m.g0", ","), lambda x: F.element_at(F.split(S.strip(x), r"(?U)\s+"), 1)), lambda x: x != "")
-    found = lines.select("*", F.posexplode(all_groups(F.col("line"), K.SRCSET, 2)).alias("idx", "m")).select("*", F.posexplode(urls).alias("sub", "url"))
-    return found.select("file", "line_no", F.lit(1).alias("pass"), "idx", "sub", F.lit("srcset").alias("attr"), "url", "in_css")
+    urls = lambda v: F.filter(F.transform(F.split(v, ","), lambda x: F.element_at(F.split(S.strip(x), r"(?U)\s+"), 1)), lambda x: x != "")
+    return F.flatten(F.transform(all_groups(text, K.SRCSET, 2), lambda m, i: F.transform(urls(m["g0"]), lambda u, k: _ref(1, i, k, F.lit("srcset"), u)))).cast(REF)
+
+
+def css_array(text: Column) -> Column:
+    return F.transform(all_groups(text, K.CSS, 2), lambda m, i: _ref(2, i, F.lit(0), F.lit("css-url"), m["g0"])).cast(REF)
+
+
+def exploded(lines: DataFrame, *arrays: Column) -> DataFrame:
+    """One row a reference; all generators share one pass over the lines."""
+    return lines.select("file", "line_no", "in_css", F.explode(F.concat(*arrays)).alias("r")).select("file", "line_no", "r.*", "in_css").select(*REFS)
+
+
+def attribute_refs(lines: DataFrame, pattern: str = K.ATTRIBUTE) -> DataFrame:
+    return exploded(lines, attribute_array(F.col("line"), pattern))
 
 
 def css_refs(lines: DataFrame) -> DataFrame:
-    found = lines.select("*", F.posexplode(all_groups(F.col("line"), K.CSS, 2)).alias("idx", "m"))
-    return found.select("file", "line_no", F.lit(2).alias("pass"), "idx", F.lit(0).alias("sub"), F.lit("css-url").alias("attr"), F.col("m.g0").alias("url"), "in_css")
+    return exploded(lines, css_array(F.col("line")))
+
+
+def all_refs(lines: DataFrame) -> DataFrame:
+    line = F.col("line")
+    return exploded(lines, attribute_array(line), srcset_array(line), css_array(line))
 
 
 def refs_by_line(lines: DataFrame) -> DataFrame:
     """All references of (file, line_no, line); lines without any keyword are dropped before the expressions run."""
-    hot = style_context(lines).filter(F.lower("line").rlike(r"href|src|poster|srcset|url\("))
-    return attribute_refs(hot).unionByName(srcset_refs(hot)).unionByName(css_refs(hot))
+    return all_refs(style_context(lines).filter(F.lower("line").rlike(r"href|src|poster|srcset|url\(")))
 
 
 def refs_whole(texts: DataFrame) -> DataFrame:
     """References of whole texts (file, text), which may span lines."""
-    whole = texts.select("file", F.lit(0).alias("line_no"), F.col("text").alias("line"), F.lit(True).alias("in_css"))
-    return attribute_refs(whole).unionByName(srcset_refs(whole)).unionByName(css_refs(whole))
+    return all_refs(texts.select("file", F.lit(0).alias("line_no"), F.col("text").alias("line"), F.lit(True).alias("in_css")))
 
 
 def leftovers(lines: DataFrame) -> DataFrame:
