@@ -7,9 +7,9 @@ savings, and how many windows save more than fixed numbers of bytes, are calibra
 with the labels' own share of toxic rows.
 
 All windows of a whole text count. The dictionaries and the fit are learned from a bounded sample: at most TOXIC and
-ORDINARY labelled training rows, those with the smallest hash of doc_id, and of these the texts of up to LONGEST characters. (Dictionaries that zstandard's own trainer
-selects find a held-out area under the curve of 0.73 to 0.86, as they favour what all text shares; chosen by
-contrast, 0.99.)
+ORDINARY labelled training rows, those with the smallest hash of doc_id, and of these the texts of up to LONGEST characters.
+(Dictionaries that zstandard's own trainer selects find a held-out area under the curve of 0.73 to 0.86, as they
+favour what all text shares; chosen by contrast, 0.99.)
 
 Defined results: null, empty and blank texts have one empty window, and a score. Rows that repeat a doc_id are each
 scored. Without training rows of both classes every score is the labels' share of toxic rows (0 without any). Null
