@@ -28,14 +28,14 @@ from pyspark.sql import functions as F
 
 WINDOW, STRIDE = 8, 6
 LEVEL = 3
-BASE_BYTES, OWN_BYTES = 32 * 1024, 600
+BASE_BYTES, OWN_BYTES = 32 * 1024, 800
 TOXIC, ORDINARY = 1500, 3000
 #: Characters of the longest text that is learned from (longer ones are scored like all others).
 LONGEST = 50_000
 #: Least documents that a term of the contrast stands in, least length, least ratio to the documents expected from the
 #: other class, least surplus over them in standard deviations.
 LEAST_DOCS, LEAST_LENGTH, CONTRAST, SURPRISE = 4, 4, 5.0, 5.0
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7, 8)
 SAVED = (4, 6, 8)
 #: Windows compressed in one call.
 BATCH = 20_000
