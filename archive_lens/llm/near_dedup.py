@@ -11,10 +11,9 @@ All pairs of a cluster are then compared on the full sets of its texts, by produ
 more than BLOCK classes is cut into blocks and every two blocks meet in one task; one so large that this would copy each text more often than there
 are trees is compared leaf by leaf instead. Nothing is capped or dropped. Confirmed links are joined into components.
 
-Recall: a pair of similarity s meets in a leaf at depth k with probability s**k per tree; at 0.85 and depth 3, 24 trees
-miss one pair in 10**9, at depth 8 one in 2000 (only groups of many near copies lead that deep, whose members have
-many links each; branching by two tokens there would double their rows at each level). A node that is still large at
-DEEPEST is one cluster as it stands. The sketch misses one pair in 10**5 at the threshold.
+Recall: a pair of similarity s stays together to depth k with probability s**k per tree. Trees are no deeper than the
+depth at which a pair at the threshold is missed by all of them with probability MISS (7 at 0.85, 5 at 0.8, by 24 trees);
+a node that is still large there is one cluster as it stands. The sketch misses one pair in 10**5 at the threshold.
 
 Defined results: null, empty and blank texts have the empty set, link with nothing and are their own component; a text
 with fewer words than a shingle has its whole word sequence as one shingle. Equal sets link. Rows that repeat a
@@ -37,7 +36,8 @@ from .kernels import U, Words, buffers, gram_hashes, mix, steps
 TREES = 24
 COORDINATES = 128
 LEAF = 2048
-DEEPEST = 24
+#: Share of pairs at the threshold that all trees together may miss.
+MISS = 1e-4
 #: Edges of leaves that a task holds before it reduces them.
 PENDING = 300_000
 #: Classes of a cluster whose full sets are compared in one task.
@@ -240,6 +240,14 @@ def _confirm(k: int, num: int, den: int):
     return run
 
 
+def deepest(s: float, trees: int) -> int:
+    """The depth to which trees may go: a pair of similarity s parts in all of them with probability MISS at most."""
+    k = 1
+    while s < 1 and (1 - s ** (k + 1)) ** trees <= MISS:
+        k += 1
+    return k
+
+
 class _Join:
     """The state of one join: classes, leaves, clusters."""
 
@@ -247,6 +255,7 @@ class _Join:
         self.k, self.num, self.den, self.trees = k, num, den, trees
         s = num / den
         self.least = max(0.0, s - 4.5 * (s * (1 - s) / COORDINATES) ** 0.5)
+        self.deepest = deepest(s, trees)
         self.docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("__id"), F.col("text").cast("string").alias("text"))
         self.signed = materialize(self.docs.mapInArrow(_sign(k), "__id long, n long, h1 long, h2 long, sig binary"), "signatures")
         full = self.signed.filter("n > 0")
@@ -279,7 +288,7 @@ class _Join:
             large = held.filter(F.col("size") > LEAF)
             if not large.limit(1).count():
                 break
-            if depth == DEEPEST:
+            if depth == self.deepest:
                 found.append(large.select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
                 leaves.append(large.select("node", "rep"))
                 break

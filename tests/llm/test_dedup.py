@@ -93,6 +93,28 @@ def test_near_edges(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in got) == [(-1, -1, True), (3, 3, True), (5, -1, False), (5, -1, False), (9, 9, True)]
 
 
+def test_trees_stop_before_pairs_are_lost():
+    for s, depth in ((0.85, 7), (0.8, 5)):
+        assert near_dedup.deepest(s, near_dedup.TREES) == depth
+        assert (1 - s**depth) ** near_dedup.TREES <= near_dedup.MISS < (1 - s ** (depth + 1)) ** near_dedup.TREES
+
+
+def test_star_of_many_variants(spark):
+    """Each variant links with the original alone: nothing else makes up for a pair that the trees miss."""
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 20_501):
+        w = list(base)
+        for at in r.sample(range(1, 66), 5):
+            w[3 * at] = f"x{i}y{at}"
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(198)} for _, t in rows]
+    linked = sum(100 * len(sets[0] & x) >= 85 * len(sets[0] | x) for x in sets)
+    got = near_dedup.near_duplicates(frame(spark, rows, False).repartition(8), 3, 85, 100)
+    assert linked == len(rows) and got.filter("component_id = 0").count() == linked
+
+
 def test_full_links_are_exact():
     r = np.random.default_rng(1)
     sets = [set(r.choice(60, r.integers(1, 30), replace=False).tolist()) for _ in range(40)]
