@@ -8,8 +8,10 @@ order of set size, so that only sizes that can reach the threshold meet. What ag
 deviations of the threshold forms clusters; a node or group passes on one row per class (its least partner), never its pairs.
 
 All pairs of a cluster are then compared on the full sets of its texts, by products of incidence matrices. A cluster of
-more than BLOCK classes is cut into blocks and every two blocks meet in one task; one so large that this would copy each text more often than there
-are trees is compared leaf by leaf instead. Nothing is capped or dropped. Confirmed links are joined into components.
+more than BLOCK classes is cut into blocks and every two blocks meet in one task. In one of more than PAIRWISE classes only
+pairs are left out that other confirmed links join already: rounds compare its most central classes with all others, and
+at last what is outside the cluster's largest component so far is compared with everything. Nothing is capped or dropped.
+Confirmed links are joined into components.
 
 Recall: a pair of similarity s stays together to depth k with probability s**k per tree. Trees are no deeper than the
 depth at which a pair at the threshold is missed by all of them with probability MISS (7 at 0.85, 5 at 0.8, by 24 trees);
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -42,6 +44,10 @@ MISS = 1e-4
 PENDING = 300_000
 #: Classes of a cluster whose full sets are compared in one task.
 BLOCK = 384
+#: Classes of a cluster up to which all its blocks meet, whatever links are confirmed.
+PAIRWISE = 4096
+#: About so many signatures of a cluster are looked at for its most frequent tokens.
+SAMPLE = 512
 SEEDS = mix((np.arange(COORDINATES, dtype=np.uint64) + U(1)) * U(0x9E3779B97F4A7C15)) | U(1)
 
 
@@ -240,6 +246,23 @@ def _confirm(k: int, num: int, den: int):
     return run
 
 
+def _modes(rows: pa.Table) -> pa.Table:
+    """The most frequent token of a group at each coordinate."""
+    sig = _matrix(rows.column("sig"), np.uint32, COORDINATES)
+    out = np.zeros(COORDINATES, np.uint32)
+    for c in range(COORDINATES):
+        token, n = np.unique(sig[:, c], return_counts=True)
+        out[c] = token[n.argmax()]
+    return pa.table({"g": rows.column("g").slice(0, 1), "modes": pa.array([out.tobytes()], pa.binary())})
+
+
+def _central(batches):
+    """At how many coordinates each class has its group's most frequent token."""
+    for b in batches:
+        score = (_matrix(b.column("sig"), np.uint32, COORDINATES) == _matrix(b.column("modes"), np.uint32, COORDINATES)).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([b.column("g"), b.column("rep"), pa.array(score, pa.int64())], ["g", "rep", "score"])
+
+
 def deepest(s: float, trees: int) -> int:
     """The depth to which trees may go: a pair of similarity s parts in all of them with probability MISS at most."""
     k = 1
@@ -269,43 +292,79 @@ class _Join:
         rows = small.join(self.sketches, "rep").select("node", "rep", "n", "sketch")
         return rows.repartition("node").sortWithinPartitions("node", "n").mapInArrow(_leaves(self.least, self.num, self.den), "a long, b long")
 
-    def confirm(self, groups: DataFrame) -> DataFrame:
-        """Links of full sets within groups (g, rep) of any size: every two blocks of a group meet in one task."""
+    def blocks(self, groups: DataFrame) -> DataFrame:
+        """(g, i, j, rep) of groups (g, rep) of any size: every two blocks of a group meet."""
         size = groups.groupBy("g").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
         x = groups.join(size, "g").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
         x = x.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        x = x.filter("blocks < 3 or own <> other").select("g", F.when(F.col("blocks") < 3, 0).otherwise(F.least("own", "other")).alias("i"), F.when(F.col("blocks") < 3, 0).otherwise(F.greatest("own", "other")).alias("j"), "rep").distinct()
-        texts = x.join(self.docs.hint("merge"), x["rep"] == self.docs["__id"]).select("g", "i", "j", "rep", "text")
+        return x.filter("blocks < 3 or own <> other").select("g", F.when(F.col("blocks") < 3, 0).otherwise(F.least("own", "other")).alias("i"), F.when(F.col("blocks") < 3, 0).otherwise(F.greatest("own", "other")).alias("j"), "rep").distinct()
+
+    def confirm(self, met: DataFrame) -> DataFrame:
+        """Links of full sets among the classes that meet in one (g, i, j)."""
+        texts = met.join(self.texts.hint("merge"), "rep").select("g", "i", "j", "rep", "text")
         return texts.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_confirm(self.k, self.num, self.den), "a long, b long")
 
+    def central(self, groups: DataFrame) -> DataFrame:
+        """(g, rep) of the BLOCK classes of each group that hold the most of its most frequent tokens."""
+        rows = groups.join(self.ids, "rep").select("g", "rep", "sig")
+        every = groups.groupBy("g").agg(F.ceil(F.count("*") / F.lit(SAMPLE)).alias("every"))
+        modes = rows.join(every, "g").filter(F.pmod(F.xxhash64(F.lit(7), "rep"), F.col("every")) == 0).select("g", "sig").groupBy("g").applyInArrow(_modes, "g long, modes binary")
+        scored = rows.join(modes, "g").mapInArrow(_central, "g long, rep long, score long")
+        rank = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("score"), "rep"))
+        return scored.withColumn("rank", rank).filter(F.col("rank") <= BLOCK).select("g", "rep")
+
+    def large_links(self, members: DataFrame) -> DataFrame:
+        """Links of full sets that give the same components as all links within the groups (g, rep) do."""
+        sizes = materialize(members.groupBy("g").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks")), "sizes")
+        links, pivots, rest, before = None, None, members, members.count()
+        while True:
+            new = materialize(self.central(rest), "pivots")
+            others = members.join(new, ["g", "rep"], "left_anti").join(sizes, "g").select("g", F.lit(0).cast("long").alias("i"), (F.pmod(F.xxhash64("rep"), F.col("blocks")) + 1).alias("j"), "rep")
+            each = new.join(sizes, "g").select("g", F.lit(0).cast("long").alias("i"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("blocks"))).alias("j"), "rep")
+            found = materialize(self.confirm(others.union(each)), "confirmed")
+            links, pivots = (links.union(found), pivots.union(new)) if links is not None else (found, new)
+            at = members.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").select("g", "rep", F.coalesce("component", "rep").alias("c"))
+            most = at.groupBy("g", "c").agg(F.count("*").alias("n")).groupBy("g").agg(F.max(F.struct("n", "c")).alias("most")).select("g", F.col("most.c").alias("most"))
+            # pivots have met all others
+            open_ = members.join(pivots, ["g", "rep"], "left_anti")
+            rest = materialize(at.join(most, "g").filter("c <> most").select("g", "rep").join(pivots, ["g", "rep"], "left_anti"), "rest")
+            n = rest.count()
+            if not n:
+                return links
+            if n <= BLOCK or 2 * n > before:
+                break
+            before = n
+        # every block of the rest meets every block of the rest and of the other classes
+        parts = materialize(rest.groupBy("g").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("q")).join(sizes, "g"), "parts")
+        a = rest.join(parts, "g").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("q"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q") + F.col("blocks") - 1))).filter("own <> other")
+        b = open_.join(rest, ["g", "rep"], "left_anti").join(parts, "g").withColumn("own", F.col("q") + F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q") - 1)))
+        met = a.union(b.select(a.columns)).select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep")
+        return links.union(self.confirm(met))
+
     def run(self) -> DataFrame:
-        nodes, depth, leaves, found = self.ids.mapInArrow(_roots(self.trees), "node long, rep long"), 1, [], []
+        nodes, depth, found = self.ids.mapInArrow(_roots(self.trees), "node long, rep long"), 1, []
         while True:
             sizes = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).filter("size > 1")
             held = materialize(nodes.join(sizes, "node"), "nodes")
-            leaves.append(held.filter(F.col("size") <= LEAF).select("node", "rep"))
-            found.append(self.leaf_links(leaves[-1]))
+            found.append(self.leaf_links(held.filter(F.col("size") <= LEAF).select("node", "rep")))
             large = held.filter(F.col("size") > LEAF)
             if not large.limit(1).count():
                 break
             if depth == self.deepest:
                 found.append(large.select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
-                leaves.append(large.select("node", "rep"))
                 break
             nodes = large.join(self.ids, "rep").select("node", "rep", "sig").mapInArrow(_branch, "node long, rep long")
             depth += 1
-        all_found, all_leaves = found[0], leaves[0]
+        all_found = found[0]
         for x in found[1:]:
             all_found = all_found.union(x)
-        for x in leaves[1:]:
-            all_leaves = all_leaves.union(x)
         cluster = components(all_found)
         sizes = cluster.groupBy("component").agg(F.count("*").alias("size"))
-        cluster = materialize(cluster.join(sizes, "component").select(F.col("node").alias("rep"), F.col("component").alias("g"), (F.col("size") > BLOCK * self.trees).alias("giant")), "clusters")
-        links = self.confirm(cluster.filter("not giant").select("g", "rep"))
+        cluster = materialize(cluster.join(sizes, "component").select(F.col("node").alias("rep"), F.col("component").alias("g"), (F.col("size") > PAIRWISE).alias("giant")), "clusters")
+        self.texts = materialize(self.docs.hint("merge").join(cluster.select("rep"), self.docs["__id"] == cluster["rep"]).select("rep", "text"), "texts")
+        links = self.confirm(self.blocks(cluster.filter("not giant").select("g", "rep")))
         if cluster.filter("giant").limit(1).count():
-            inner = all_leaves.join(cluster.filter("giant"), "rep").select(F.xxhash64("node", "g").alias("g"), "rep").distinct()
-            links = links.union(self.confirm(inner))
+            links = links.union(self.large_links(materialize(cluster.filter("giant").select("g", "rep"), "giants")))
         return components(links)
 
 

@@ -115,6 +115,26 @@ def test_star_of_many_variants(spark):
     assert linked == len(rows) and got.filter("component_id = 0").count() == linked
 
 
+def test_large_clusters_lose_no_links(spark, monkeypatch):
+    """Stars, twins and unlinked texts in one cluster give the components of all pairs."""
+    for name, n in (("BLOCK", 8), ("PAIRWISE", 40), ("SAMPLE", 16)):
+        monkeypatch.setattr(near_dedup, name, n)
+    r = random.Random(8)
+    rows, common = [], [f"c{i}" for i in range(24)]
+    for s in range(14):
+        base = [*common, *(f"s{s}w{i}" for i in range(20))]
+        for v in range(r.choice([1, 2, 9, 30])):
+            w = list(base)
+            if v:
+                w[r.randrange(3, 41)] = f"x{s}y{v}"
+            rows.append((len(rows), " ".join(w)))
+    r.shuffle(rows)
+    join = near_dedup._Join(frame(spark, rows, False), 3, 85, 100, 24)
+    join.texts = join.docs.withColumnRenamed("__id", "rep")
+    got = dict(map(tuple, components(join.large_links(join.ids.selectExpr("1L as g", "rep"))).collect()))
+    assert [(d, got.get(d, d)) for d, _ in sorted(rows)] == [(d, c) for d, _, c, _ in near(rows)]
+
+
 def test_full_links_are_exact():
     r = np.random.default_rng(1)
     sets = [set(r.choice(60, r.integers(1, 30), replace=False).tolist()) for _ in range(40)]
