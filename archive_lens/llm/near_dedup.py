@@ -18,16 +18,17 @@ depth at which a pair at the threshold is missed by all of them with probability
 a node that is still large there is one cluster as it stands. The sketch misses one pair in 10**5 at the threshold.
 
 Defined results: null, empty and blank texts have the empty set, link with nothing and are their own component; a text
-with fewer words than a shingle has its whole word sequence as one shingle. Equal sets link. Rows that repeat a
-doc_id are each placed by their own text; sets whose smallest doc_id is the same one are in one component. A null doc_id
-counts as smaller than all others and is returned as null. Extra columns are not read.
+with fewer words than a shingle has its whole word sequence as one shingle. Equal sets link. A row is known by its doc_id
+and a hash of its text: rows that repeat a doc_id are each placed by their own text, and of a component the texts of the
+least doc_id and hash are kept. A null doc_id counts as smaller than all others and is returned as null. Classes are known
+by a 64-bit hash of their set. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -73,7 +74,7 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray
 def _sign(k: int):
     def run(batches):
         for batch in batches:
-            ids = batch.column("__id")
+            ids, hashes = batch.column("__id"), batch.column("__hash")
             data, offs = buffers(batch.column("text"))
             for lo, hi, d, o in steps(data, offs):
                 doc, h = shingle_sets(d, o, k)
@@ -87,7 +88,7 @@ def _sign(k: int):
                         sig[full, c] = (np.minimum.reduceat(h * seed, at) >> U(32)).astype(np.uint32)
                     h1[full] = np.add.reduceat(mix(h + U(0x2127599BF4325C37)), at)
                     h2[full] = np.add.reduceat(mix(h ^ U(0x880355F21E6D1965)), at)
-                yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array(n, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array([x.tobytes() for x in sig], pa.binary())], ["__id", "n", "h1", "h2", "sig"])
+                yield pa.RecordBatch.from_arrays([ids[lo:hi], hashes[lo:hi], pa.array(n, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array([x.tobytes() for x in sig], pa.binary())], ["__id", "__hash", "n", "h1", "h2", "sig"])
 
     return run
 
@@ -271,6 +272,11 @@ def deepest(s: float, trees: int) -> int:
     return k
 
 
+def row_key(docs: DataFrame) -> tuple[Column, Column]:
+    """What a row is known by: doc_id (a null one as LEAST) and a hash of its text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("__id"), F.xxhash64(F.col("text").cast("string"), F.col("text").isNull()).alias("__hash")
+
+
 class _Join:
     """The state of one join: classes, leaves, clusters."""
 
@@ -279,13 +285,13 @@ class _Join:
         s = num / den
         self.least = max(0.0, s - 4.5 * (s * (1 - s) / COORDINATES) ** 0.5)
         self.deepest = deepest(s, trees)
-        self.docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("__id"), F.col("text").cast("string").alias("text"))
-        self.signed = materialize(self.docs.mapInArrow(_sign(k), "__id long, n long, h1 long, h2 long, sig binary"), "signatures")
+        self.docs = docs.select(*row_key(docs), F.col("text").cast("string").alias("text"))
+        self.signed = materialize(self.docs.mapInArrow(_sign(k), "__id long, __hash long, n long, h1 long, h2 long, sig binary"), "signatures")
         full = self.signed.filter("n > 0")
-        self.classes = materialize(full.groupBy("h1", "h2", "n").agg(F.min("__id").alias("rep")), "classes")
-        own = full.join(self.classes, (full["__id"] == self.classes["rep"]) & (full["h1"] == self.classes["h1"]) & (full["h2"] == self.classes["h2"]))
-        # a repeated doc_id may stand for several classes: each has a line of its own, by a key of its set
-        self.ids = materialize(own.select("rep", full["n"], "sig", full["h1"]).dropDuplicates(["rep", "h1"]).drop("h1"), "ids")
+        # each class by a key of its set (rep), with its least row
+        self.classes = materialize(full.groupBy("h1", "h2", "n").agg(F.min(F.struct("__id", "__hash")).alias("least")).select(F.col("h1").alias("rep"), "h2", "n", "least.*"), "classes")
+        own = full.join(self.classes.select(F.col("rep").alias("h1"), "h2", "n", "__id", "__hash"), ["h1", "h2", "n", "__id", "__hash"])
+        self.ids = materialize(own.select(F.col("h1").alias("rep"), "n", "sig").dropDuplicates(["rep"]), "ids")
         self.sketches = materialize(self.ids.mapInArrow(_sketch, "rep long, n long, sketch binary"), "sketches")
 
     def leaf_links(self, small: DataFrame) -> DataFrame:
@@ -361,18 +367,35 @@ class _Join:
         cluster = components(all_found)
         sizes = cluster.groupBy("component").agg(F.count("*").alias("size"))
         cluster = materialize(cluster.join(sizes, "component").select(F.col("node").alias("rep"), F.col("component").alias("g"), (F.col("size") > PAIRWISE).alias("giant")), "clusters")
-        self.texts = materialize(self.docs.hint("merge").join(cluster.select("rep"), self.docs["__id"] == cluster["rep"]).select("rep", "text"), "texts")
+        own = cluster.join(self.classes, "rep").select("rep", "__id", "__hash")
+        self.texts = materialize(self.docs.hint("merge").join(own, ["__id", "__hash"]).groupBy("rep").agg(F.min("text").alias("text")), "texts")
         links = self.confirm(self.blocks(cluster.filter("not giant").select("g", "rep")))
         if cluster.filter("giant").limit(1).count():
             links = links.union(self.large_links(materialize(cluster.filter("giant").select("g", "rep"), "giants")))
         return components(links)
 
 
+def _placed(docs: DataFrame, k: int, num: int, den: int, trees: int) -> DataFrame:
+    """(__id, __hash, n, c, kept) of each row: c is the least doc_id of its component, whose least row is kept."""
+    join = _Join(docs, k, num, den, trees)
+    comp = join.run().withColumnRenamed("node", "rep")
+    at = materialize(join.classes.join(comp, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component"), "placed")
+    least = at.groupBy("c").agg(F.min(F.struct("__id", "__hash")).alias("least"))
+    classes = at.join(least, "c").select(F.col("rep").alias("h1"), "h2", "n", "least")
+    out = join.signed.select("__id", "__hash", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left")
+    own = F.struct("__id", "__hash")
+    return out.select("__id", "__hash", "n", F.coalesce("least", own).alias("least")).select("__id", "__hash", "n", F.col("least.__id").alias("c"), (own == F.col("least")).alias("kept"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, trees: int = TREES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row; linked: den * intersection >= num * union of k-word sets."""
-    join = _Join(docs, k, num, den, trees)
-    comp = join.run()
-    classes = join.classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("c"))
-    out = join.signed.select("__id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left").select("__id", "n", F.coalesce("c", "__id").alias("c"))
     real = lambda x: F.when(F.col(x) != LEAST, F.col(x))
-    return out.select(real("__id").alias("doc_id"), F.col("n").alias("n_shingles"), real("c").alias("component_id"), (F.col("__id") == F.col("c")).alias("kept"))
+    return _placed(docs, k, num, den, trees).select(real("__id").alias("doc_id"), F.col("n").alias("n_shingles"), real("c").alias("component_id"), "kept")
+
+
+def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, trees: int = TREES) -> DataFrame:
+    """One row of docs of each component, with all its columns."""
+    kept = _placed(docs, k, num, den, trees).filter("kept").select("__id", "__hash").distinct()
+    key = row_key(docs)
+    rows = docs.select("*", *key).join(kept.hint("merge"), ["__id", "__hash"], "left_semi")
+    return rows.dropDuplicates(["__id", "__hash"]).select(*docs.columns)

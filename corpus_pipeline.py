@@ -27,11 +27,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays (five-word shingles, similarity 0.8), the one of least doc_id.
 
-    Of rows that repeat that doc_id and text one stays; a row with a null doc_id is compared as the others are.
+    Of rows that repeat that doc_id and text one stays; a row with a null doc_id is compared as the others are, and texts
+    that share a doc_id as if they did not.
     """
-    found = near_dedup.near_duplicates(docs, k=5, num=80, den=100).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = docs.join(found.hint("merge"), docs["doc_id"].eqNullSafe(found["__kept"]), "left_semi")
-    return kept
+    return near_dedup.keep_one(docs, k=5, num=80, den=100)
 
 
 def substring_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -236,6 +236,15 @@ def test_pipeline_stages(spark):
     assert sorted(str(r.doc_id) for r in kept) == ["3", "4", "None"]
 
 
+def test_pipeline_keeps_one_row_of_each_text(spark):
+    p, q, u, v = (" ".join(f"{c}{i}" for i in range(60)) for c in "pquv")
+    near = p.replace("p59", "other")
+    rows = [(1, p), (1, p), (1, p), (2, near), (2, u), (None, q), (None, q), (None, v), (7, v), (8, ""), (8, ""), (9, None), (9, ""), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs.repartition(3), SF).collect()]
+    assert sorted(kept, key=str) == sorted([(1, p), (2, u), (None, q), (None, v), (8, ""), (9, None), (9, ""), (None, "")], key=str)
+
+
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 100 and "sequence_id" in out.columns
