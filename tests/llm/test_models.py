@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -63,6 +64,16 @@ def test_toxicity_edges(spark):
     assert toxicity.score(odd(spark, []), model).collect() == []
 
 
+def test_toxicity_learns_from_long_texts(spark):
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(7))
+    rows = [(i, " ".join(f"{word()} {word()} {'foul' if i < 9 else 'mild'}{r.choice('qrstuvwxyz')}" for _ in range(3000))) for i in range(18)]
+    assert min(len(t) for _, t in rows) > 50_000
+    docs, known = odd(spark, rows), spark.createDataFrame([(i, int(i < 9)) for i in range(18)], "doc_id long, toxic int")
+    got = dict(map(tuple, toxicity.score(docs, toxicity.train(docs, known, F.lit(True))).collect()))
+    assert min(got[i] for i in range(9)) > max(got[i] for i in range(9, 18))
+
+
 def test_language(spark):
     docs = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = {r.doc_id: r for r in Q.op9_language_id(spark, SF).collect()}
