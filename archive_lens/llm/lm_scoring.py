@@ -29,8 +29,6 @@ from .common import partitions
 from .kernels import U, Words, buffers, mix, steps
 from .sums import total
 
-#: Longest piece in bytes; longer pieces of the vocabulary are left out.
-LONGEST = 16
 #: Words of up to so many bytes are scored in matrices; longer ones one by one.
 WIDE = 64
 #: Share of the first estimate kept in the re-estimated piece counts.
@@ -52,11 +50,13 @@ class Lattice:
             p = sp.id_to_piece(i).encode()
             # a word begins with one start mark, which counts as its first byte
             p = b"\x00" + p[3:] if p.startswith(START) else p
-            if 0 < len(p) <= LONGEST and START not in p:
+            if p and START not in p:
                 pieces[p] = max(pieces.get(p, -np.inf), sp.get_score(i))
         for b in range(256):
             pieces.setdefault(bytes([b]), -np.inf)
         self.pieces = sorted(pieces)
+        self.longest = max(map(len, self.pieces))
+        self.byte = _bytes(self.longest)
         hashes = np.array([self._hash(p) for p in self.pieces], U)
         o = np.argsort(hashes)
         self.hashes, self.pieces = hashes[o], [self.pieces[i] for i in o]
@@ -67,23 +67,20 @@ class Lattice:
             log_p = np.log(weight / weight.sum())
         self.log_p = log_p
 
-    @staticmethod
-    def _hash(p: bytes) -> int:
+    def _hash(self, p: bytes) -> int:
         h = 0
         for k, c in enumerate(p):
-            h = (h + int(_BYTE[k, c])) & 0xFFFFFFFFFFFFFFFF
+            h = (h + int(self.byte[k, c])) & 0xFFFFFFFFFFFFFFFF
         return h
 
     def _arcs(self, m: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For words as rows of bytes: the piece number of each (word, start, length), -1 if none, and log probabilities."""
         rows, width = m.shape
-        number = np.full((rows, width, LONGEST), -1, np.int32)
+        number = np.full((rows, width, min(self.longest, width)), -1, np.int32)
         h = np.zeros((rows, width), U)
-        for k in range(LONGEST):
+        for k in range(number.shape[2]):
             live = width - k
-            if live <= 0:
-                break
-            h = h[:, :live] + _BYTE[k][m[:, k:]]
+            h = h[:, :live] + self.byte[k][m[:, k:]]
             at = np.searchsorted(self.hashes, h)
             at[at == len(self.hashes)] = 0
             ok = (self.hashes[at] == h) & (np.arange(live)[None, :] + k < n[:, None])
@@ -101,22 +98,22 @@ class Lattice:
         """log probability of each word; with backward also the expected number of each piece in each word's arcs."""
         m, n = self._matrix(words)
         number, lp = self._arcs(m, n)
-        rows, width = m.shape
+        rows, width, longest = number.shape
         alpha = np.full((rows, width + 1), -np.inf)
         alpha[:, 0] = 0
         with np.errstate(divide="ignore", invalid="ignore"):
             for j in range(1, width + 1):
-                k = np.arange(min(j, LONGEST))
+                k = np.arange(min(j, longest))
                 x = alpha[:, j - 1 - k] + lp[:, j - 1 - k, k]
                 top = x.max(axis=1)
                 alpha[:, j] = np.where(np.isfinite(top), top + np.log(np.exp(x - np.where(np.isfinite(top), top, 0)[:, None]).sum(axis=1)), -np.inf)
             z = alpha[np.arange(rows), n]
             if not backward:
                 return z
-            beta = np.full((rows, width + 1 + LONGEST), -np.inf)
+            beta = np.full((rows, width + 1 + longest), -np.inf)
             beta[np.arange(rows), n] = 0
             for j in range(width - 1, -1, -1):
-                x = lp[:, j, :] + beta[:, j + 1 : j + 1 + LONGEST]
+                x = lp[:, j, :] + beta[:, j + 1 : j + 1 + longest]
                 top = x.max(axis=1)
                 own = np.where(np.isfinite(top), top + np.log(np.exp(x - np.where(np.isfinite(top), top, 0)[:, None]).sum(axis=1)), -np.inf)
                 beta[:, j] = np.where(j < n, own, beta[:, j])
@@ -140,10 +137,10 @@ class Lattice:
         alpha[0] = 0
         for at in range(0, len(w), 4096):
             end = min(len(w), at + 4096)
-            part = np.frombuffer(w[at : end + LONGEST], np.uint8)[None, :]
+            part = np.frombuffer(w[at : end + self.longest], np.uint8)[None, :]
             _, lp = self._arcs(part, np.array([part.shape[1]]))
             for i in range(at, end):
-                k = np.arange(min(LONGEST, len(w) - i))
+                k = np.arange(min(self.longest, len(w) - i))
                 alpha[i + 1 + k] = np.logaddexp(alpha[i + 1 + k], alpha[i] + lp[0, i - at, k])
         return float(alpha[len(w)])
 
@@ -158,10 +155,8 @@ class Lattice:
                 continue
             z, number, lp, alpha, beta = self.forward([words[i] for i in part], backward=True)
             width = number.shape[1]
-            for k in range(LONGEST):
+            for k in range(number.shape[2]):
                 live = width - k
-                if live <= 0:
-                    break
                 with np.errstate(invalid="ignore"):
                     p = np.exp(alpha[:, :live] + lp[:, :live, k] + beta[:, k + 1 : k + 1 + live] - z[:, None])
                 ok = number[:, :live, k] >= 0
@@ -169,7 +164,9 @@ class Lattice:
         return out
 
 
-_BYTE = mix((np.arange(256, dtype=np.uint64)[None, :] + (np.arange(LONGEST, dtype=np.uint64)[:, None] << U(8)) + U(1)) * U(0x9E3779B97F4A7C15))
+def _bytes(longest: int) -> np.ndarray:
+    """A number for each byte at each place of a piece."""
+    return mix((np.arange(256, dtype=np.uint64)[None, :] + (np.arange(longest, dtype=np.uint64)[:, None] << U(8)) + U(1)) * U(0x9E3779B97F4A7C15))
 
 
 def _by_length(words: list[bytes], most: int = 2048):

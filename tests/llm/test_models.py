@@ -125,6 +125,21 @@ def test_lattice_sums_over_all_segmentations(lattice):
     assert lattice.log_likelihood([long])[0] == pytest.approx(float(lattice.forward([long])[0]), rel=1e-9)
 
 
+def test_lattice_holds_the_longest_pieces(lattice):
+    import public_tokenizers
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = [sp.id_to_piece(i).removeprefix("▁") for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+    long = [x.encode() for x in want if len(x.encode()) >= 16 and "▁" not in x]
+    held = {p.removeprefix(b"\x00") for p in lattice.pieces}
+    assert long and held.issuperset(long)
+    p = dict(zip(lattice.pieces, lattice.log_p.tolist(), strict=True))
+    for w in long:
+        if b"\x00" + w in p:
+            assert lattice.log_likelihood([w])[0] >= p[b"\x00" + w]
+
+
 def test_lattice_expected_counts_cover_each_byte(lattice):
     e = lattice.expected([b"nation", b"the"], np.array([2.0, 1.0]))
     assert sum(x * len(p) for x, p in zip(e, lattice.pieces, strict=True)) == pytest.approx(2 * 7 + 4)
