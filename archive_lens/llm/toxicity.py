@@ -184,7 +184,7 @@ def fit(rows: DataFrame, share: float) -> Model:
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if not n.get(1) or not n.get(0):
         return model
-    # a bounded stretch of every ordinary training text, up to the size of the base
+    # a bounded stretch of ordinary training texts in order of a hash, up to the size of the base
     heads = rows.mapInArrow(_heads(max(64, BASE_BYTES // n[0])), "doc_id long, hash long, label int, low array<long>, stretch binary").collect()
     heads.sort(key=lambda r: (r["doc_id"], r["hash"]))
     once = {y: (lambda x: [x[i] for i in originals([r["low"] for r in x])])([r for r in heads if r["label"] == y]) for y in (0, 1)}
@@ -196,7 +196,8 @@ def fit(rows: DataFrame, share: float) -> Model:
     own = contrast(t, len(once[1]), o, len(once[0]))
     other = contrast(o, len(once[0]), t, len(once[1]))
     size = max(len(own), len(other))
-    base = b" ".join(bytes(r["stretch"]) for r in heads if r["label"] == 0)[:BASE_BYTES]
+    mixed = sorted((r for r in heads if r["label"] == 0), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["hash"]))
+    base = b" ".join(bytes(r["stretch"]) for r in mixed)[:BASE_BYTES]
     model.toxic, model.ordinary = base + own.rjust(size), base + other.rjust(size)
     shared = rows.sparkSession.sparkContext.broadcast(model)
 

@@ -74,6 +74,13 @@ def test_toxicity_learns_from_long_texts(spark):
     assert min(got[i] for i in range(9)) > max(got[i] for i in range(9, 18))
 
 
+def test_toxicity_base_is_not_of_the_first_ids(spark):
+    rows = [(i, ("early " if i < 600 else "later ") * 30) for i in range(1200)]
+    docs, known = odd(spark, rows), spark.createDataFrame([(i, int(i == 3)) for i in range(1200)], "doc_id long, toxic int")
+    base = toxicity.train(docs, known, F.lit(True)).ordinary
+    assert 0.35 < base.count(b"later") / (base.count(b"later") + base.count(b"early")) < 0.65
+
+
 def test_language(spark):
     docs = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = {r.doc_id: r for r in Q.op9_language_id(spark, SF).collect()}
