@@ -31,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, release
 from .common import LEAST
-from .graph import components
+from .graph import components, labels
 from .kernels import U, Words, buffers, gram_hashes, mix, steps
 
 TREES = 24
@@ -120,20 +120,6 @@ def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(axis=1)
 
 
-def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least index that each of n nodes is connected with by the edges (a, b)."""
-    lab = np.arange(n)
-    while True:
-        m = np.minimum(lab[a], lab[b])
-        new = lab.copy()
-        np.minimum.at(new, a, m)
-        np.minimum.at(new, b, m)
-        new = new[new]
-        if (new == lab).all():
-            return lab
-        lab = new
-
-
 def _edges(rep: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     """Each node but the first of its component, with that first one."""
     lab = labels(len(rep), a, b)
@@ -290,18 +276,18 @@ class _Join:
         full = self.signed.filter("n > 0")
         # each class by a key of its set (rep), with its least row
         self.classes = materialize(full.groupBy("h1", "h2", "n").agg(F.min(F.struct("__id", "__hash")).alias("least")).select(F.col("h1").alias("rep"), "h2", "n", "least.*"), "classes")
-        own = full.join(self.classes.select(F.col("rep").alias("h1"), "h2", "n", "__id", "__hash"), ["h1", "h2", "n", "__id", "__hash"])
+        own = full.join(self.classes.select(F.col("rep").alias("h1"), "h2", "n", "__id", "__hash").hint("merge"), ["h1", "h2", "n", "__id", "__hash"])
         self.ids = materialize(own.select(F.col("h1").alias("rep"), "n", "sig").dropDuplicates(["rep"]), "ids")
         self.sketches = materialize(self.ids.mapInArrow(_sketch, "rep long, n long, sketch binary"), "sketches")
 
     def leaf_links(self, small: DataFrame) -> DataFrame:
-        rows = small.join(self.sketches, "rep").select("node", "rep", "n", "sketch")
+        rows = small.join(self.sketches.hint("merge"), "rep").select("node", "rep", "n", "sketch")
         return rows.repartition("node").sortWithinPartitions("node", "n").mapInArrow(_leaves(self.least, self.num, self.den), "a long, b long")
 
     def blocks(self, groups: DataFrame) -> DataFrame:
         """(g, i, j, rep) of groups (g, rep) of any size: every two blocks of a group meet."""
         size = groups.groupBy("g").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
-        x = groups.join(size, "g").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+        x = groups.join(size.hint("merge"), "g").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
         x = x.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         return x.filter("blocks < 3 or own <> other").select("g", F.when(F.col("blocks") < 3, 0).otherwise(F.least("own", "other")).alias("i"), F.when(F.col("blocks") < 3, 0).otherwise(F.greatest("own", "other")).alias("j"), "rep").distinct()
 
@@ -312,7 +298,7 @@ class _Join:
 
     def central(self, groups: DataFrame) -> DataFrame:
         """(g, rep) of the BLOCK classes of each group that hold the most of its most frequent tokens."""
-        rows = groups.join(self.ids, "rep").select("g", "rep", "sig")
+        rows = groups.join(self.ids.hint("merge"), "rep").select("g", "rep", "sig")
         every = groups.groupBy("g").agg(F.ceil(F.count("*") / F.lit(SAMPLE)).alias("every"))
         modes = rows.join(every, "g").filter(F.pmod(F.xxhash64(F.lit(7), "rep"), F.col("every")) == 0).select("g", "sig").groupBy("g").applyInArrow(_modes, "g long, modes binary")
         scored = rows.join(modes, "g").mapInArrow(_central, "g long, rep long, score long")
@@ -351,7 +337,7 @@ class _Join:
         nodes, depth, found = self.ids.mapInArrow(_roots(self.trees), "node long, rep long"), 1, []
         while True:
             sizes = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).filter("size > 1")
-            held = materialize(nodes.join(sizes, "node"), "nodes")
+            held = materialize(nodes.join(sizes.hint("merge"), "node"), "nodes")
             found.append(self.leaf_links(held.filter(F.col("size") <= LEAF).select("node", "rep")))
             large = held.filter(F.col("size") > LEAF)
             if not large.limit(1).count():
@@ -359,15 +345,15 @@ class _Join:
             if depth == self.deepest:
                 found.append(large.select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
                 break
-            nodes = large.join(self.ids, "rep").select("node", "rep", "sig").mapInArrow(_branch, "node long, rep long")
+            nodes = large.join(self.ids.hint("merge"), "rep").select("node", "rep", "sig").mapInArrow(_branch, "node long, rep long")
             depth += 1
         all_found = found[0]
         for x in found[1:]:
             all_found = all_found.union(x)
         cluster = components(all_found)
         sizes = cluster.groupBy("component").agg(F.count("*").alias("size"))
-        cluster = materialize(cluster.join(sizes, "component").select(F.col("node").alias("rep"), F.col("component").alias("g"), (F.col("size") > PAIRWISE).alias("giant")), "clusters")
-        own = cluster.join(self.classes, "rep").select("rep", "__id", "__hash")
+        cluster = materialize(cluster.join(sizes.hint("merge"), "component").select(F.col("node").alias("rep"), F.col("component").alias("g"), (F.col("size") > PAIRWISE).alias("giant")), "clusters")
+        own = cluster.join(self.classes.hint("merge"), "rep").select("rep", "__id", "__hash")
         self.texts = materialize(self.docs.hint("merge").join(own, ["__id", "__hash"]).groupBy("rep").agg(F.min("text").alias("text")), "texts")
         links = self.confirm(self.blocks(cluster.filter("not giant").select("g", "rep")))
         if cluster.filter("giant").limit(1).count():
@@ -379,10 +365,10 @@ def _placed(docs: DataFrame, k: int, num: int, den: int, trees: int) -> DataFram
     """(__id, __hash, n, c, kept) of each row: c is the least doc_id of its component, whose least row is kept."""
     join = _Join(docs, k, num, den, trees)
     comp = join.run().withColumnRenamed("node", "rep")
-    at = materialize(join.classes.join(comp, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component"), "placed")
+    at = materialize(join.classes.join(comp.hint("merge"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component"), "placed")
     least = at.groupBy("c").agg(F.min(F.struct("__id", "__hash")).alias("least"))
-    classes = at.join(least, "c").select(F.col("rep").alias("h1"), "h2", "n", "least")
-    out = join.signed.select("__id", "__hash", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left")
+    classes = at.join(least.hint("merge"), "c").select(F.col("rep").alias("h1"), "h2", "n", "least")
+    out = join.signed.select("__id", "__hash", "n", "h1", "h2").join(classes.hint("merge"), ["h1", "h2", "n"], "left")
     own = F.struct("__id", "__hash")
     return out.select("__id", "__hash", "n", F.coalesce("least", own).alias("least")).select("__id", "__hash", "n", F.col("least.__id").alias("c"), (own == F.col("least")).alias("kept"))
 
