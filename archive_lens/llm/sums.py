@@ -15,18 +15,24 @@ def total(df: DataFrame, fold, size: int) -> np.ndarray:
     """Sum of fold(batch) (float64 arrays of the given size) over all batches of df."""
 
     def part(batches):
-        out, k = np.zeros(size), 0
+        out, k = None, 0
         for b in batches:
-            out += fold(b).reshape(-1)
+            x = fold(b).reshape(-1)
+            out = x.astype(np.float64) if out is None else out + x
+        if out is None:
+            return
         if (c := TaskContext.get()) is not None:
             k = c.partitionId() % GROUPS
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["k", "payload"])
 
     def add(batches):
-        out = np.zeros(size)
+        out = None
         for b in batches:
             for x in b.column("payload"):
-                out += np.frombuffer(x.as_buffer(), np.float64)
+                v = np.frombuffer(x.as_buffer(), np.float64)
+                out = v.copy() if out is None else out + v
+        if out is None:  # an empty partition has no sum: at most GROUPS rows go to the driver
+            return
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["k", "payload"])
 
     rows = df.mapInArrow(part, SCHEMA).repartition(GROUPS, "k").mapInArrow(add, SCHEMA).collect()  # GROUPS rows
