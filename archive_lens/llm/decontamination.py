@@ -9,7 +9,8 @@ word trigrams of the item's question and of its answer must stand in the passage
 
 Passages are overlapping windows of words: each is twice as long as the longest item of the index and starts half of
 that after the one before, so every item lies whole in one passage. Document frequencies are counted over all items. The
-index is sent to executors in shards of at most SHARD_ITEMS items; documents are read once for each shard.
+index is parted into shards of at most about SHARD_ITEMS items and SHARD_CHARS characters, built in executors; one shard is
+broadcast at a time and documents are read once for each.
 
 Defined results: null and empty texts and items match nothing; rows that repeat an item_id are items of their own (the
 best overlap counts); repeated documents are each reported; a null item_id or doc_id stays null. No items: no hits.
@@ -18,7 +19,9 @@ Extra columns are not read.
 
 from __future__ import annotations
 
+import pickle
 import re
+import uuid
 from bisect import bisect_left, bisect_right
 
 import numpy as np
@@ -26,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .kernels import U, Words, buffers, gram_hashes, steps
 
 K1, B = 1.2, 0.75
@@ -198,31 +202,66 @@ class Index:
 def _counts(batches):
     for b in batches:
         data, offs = buffers(b.column("text"))
-        for _, _, d, o in steps(data, offs):
+        shard = b.column("shard").to_numpy()
+        for lo, hi, d, o in steps(data, offs):
             w = Words(d, o, lower=True, bare=True)
-            key = np.unique(np.rec.fromarrays([w.doc, w.hash.view(np.int64)]))
-            yield pa.RecordBatch.from_arrays([pa.array(key["f1"], pa.int64()), pa.array(np.ones(len(key), np.int64))], ["term", "n"])
+            key = np.unique(np.rec.fromarrays([shard[lo:hi][w.doc], w.doc, w.hash.view(np.int64)]))
+            yield pa.RecordBatch.from_arrays([pa.array(key["f0"], pa.int64()), pa.array(key["f2"], pa.int64()), pa.array(np.ones(len(key), np.int64))], ["shard", "term", "n"])
+
+
+def _sizes(batches):
+    """Items, characters and words, words as the index takes them."""
+    for b in batches:
+        data, offs = buffers(b.column("text"))
+        words = sum(len(Words(d, o, lower=True, bare=True)) for _, _, d, o in steps(data, offs))
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (b.num_rows, len(data), words)], ["n", "chars", "words"])
+
+
+def _build(n: int, mean: float):
+    """The index of each shard, whose items and document frequencies come together."""
+
+    def build(key, items: pa.Table, df: pa.Table) -> pa.Table:
+        held = dict(zip(df.column("term").to_numpy().view(U).tolist(), df.column("df").to_pylist(), strict=True))
+        rows = sorted(zip(items.column("item_id").to_pylist(), items.column("text").to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        index = Index([r[0] for r in rows], [r[1] for r in rows], held, n, mean)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "payload": pa.array([pickle.dumps(index)], pa.binary())})
+
+    return build
 
 
 def indexes(items: DataFrame):
-    """The broadcast index shards of a table (item_id, text)."""
+    """(number of shards, shard) of a table (item_id, text), one after another, each as a key and a broadcast.
+
+    Shards are built in executors from bounded numbers of items and characters and stand in the shared folder; the driver
+    passes on one at a time.
+    """
     spark = items.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    m = items.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.avg(F.size(F.split("text", r"\W+"))).alias("mean")).first()
+    m = items.mapInArrow(_sizes, "n long, chars long, words long").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("words").alias("words")).first()
     if not m["n"]:
-        return []
+        return
     shards = max(-(-m["n"] // SHARD_ITEMS), -(-m["chars"] // SHARD_CHARS))
-    number = F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))
-    df = items.mapInArrow(_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
-    out = []
+    numbered = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
+    told = numbered.mapInArrow(_counts, "shard long, term long, n long")
+    df = told.groupBy("term").agg(F.sum("n").alias("df"), F.collect_set("shard").alias("shards"))  # at most `shards` numbers a term
+    need = df.select(F.explode("shards").alias("shard"), "term", "df")
+    built = numbered.groupBy("shard").cogroup(need.groupBy("shard")).applyInArrow(_build(m["n"], max(m["words"] / m["n"], 1e-9)), "shard long, payload binary")
+    held = materialize(built, "index")
     for s in range(shards):
-        own = items.filter(number == s)
-        rows = own.collect()  # at most about SHARD_ITEMS items and SHARD_CHARS characters
-        need = own.mapInArrow(_counts, "term long, n long").select("term").distinct()
-        held = {r["term"] & 0xFFFFFFFFFFFFFFFF: r["df"] for r in df.join(need, "term").collect()}
-        rows.sort(key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))
-        out.append(spark.sparkContext.broadcast(Index([r["item_id"] for r in rows], [r["text"] for r in rows], held, m["n"], m["mean"])))
-    return out
+        got = held.filter(F.col("shard") == s).collect()
+        if got:
+            yield shards, (uuid.uuid4().hex, spark.sparkContext.broadcast(bytes(got[0]["payload"])))
+
+
+_LOADED: dict = {}
+
+
+def _loaded(key: str, payload) -> Index:
+    """This worker process's copy of the index that it used last."""
+    if _LOADED.get("key") != key:
+        _LOADED.clear()
+        _LOADED.update(key=key, index=pickle.loads(payload.value))
+    return _LOADED["index"]
 
 
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
@@ -234,7 +273,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = THRESHOLD, ov
 
     def run(index):
         def rows(batches):
-            x = index.value
+            x = _loaded(*index)
             for b in batches:
                 data, offs = buffers(b.column("text"))
                 ids = b.column("doc_id")
@@ -245,11 +284,14 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = THRESHOLD, ov
 
         return rows
 
-    out = docs.sparkSession.createDataFrame([], SCHEMA)
-    for k, index in enumerate(indexes(items)):
+    out = None
+    for shards, index in indexes(items):
         found = plain.mapInArrow(run(index), SCHEMA)
-        out = found if k == 0 else out.union(found)
-    return out
+        if shards > 1:  # one index at a time in the executors
+            found = materialize(found, "hits")
+            index[1].destroy()
+        out = found if out is None else out.union(found)
+    return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, least: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
@@ -257,7 +299,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, least: float = THRESHOL
 
     def run(index):
         def rows(batches):
-            x = index.value
+            x = _loaded(*index)
             for b in batches:
                 data, offs = buffers(b.column("text"))
                 keep = np.ones(b.num_rows, bool)
@@ -268,6 +310,9 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, least: float = THRESHOL
 
         return rows
 
-    for index in indexes(items):
+    for shards, index in indexes(items):
         docs = docs.mapInArrow(run(index), docs.schema)
+        if shards > 1:  # one index at a time in the executors
+            docs = materialize(docs, "clean")
+            index[1].destroy()
     return docs
