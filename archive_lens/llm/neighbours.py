@@ -3,18 +3,21 @@
 Every vector gets a long string of hash bits in each of TREES trees (signs of random projections of the vector less the
 mean of all vectors). The vectors are dealt to shards by their id; a shard keeps, for each tree, its strings in sorted
 order. A query descends in every tree to its longest matching prefix and then ascends in all trees in step, one bit at a
-time, until the prefixes' ranges hold enough different candidates: a share CANDIDATES of the shard's vectors, and at least
-LEAST. Candidates are ranked by exact Euclidean distance in double precision on the original vectors; the shards' best
-are merged per query.
+time, until the prefixes' ranges hold budget() different candidates, FACTOR * n ** GROWTH of a shard's n vectors: a share
+that falls as shards grow. Candidates are ranked by exact Euclidean distance in double precision on the original vectors;
+the shards' best are merged per query.
 
-Queries go to the shards in blocks of about BLOCK (bounded, so a block is broadcast); equal vectors of a shard are one
-entry of the index with their smallest ids, so a vector that a third of all rows share costs one candidate.
+One exchange deals the vectors and a copy of the queries to every shard, vectors first; a task builds a shard's forest once and then streams the queries
+through it, so its memory is that of SHARD_ROWS vectors whatever the number of queries, and no vector passes through the
+driver. Equal vectors of a shard are one entry of the index with their smallest ids, so a vector that a third of all rows
+share costs one candidate.
 
-The share is what data without structure needs (recall is measured in the tests); it is a parameter.
+The budget is what data without structure needs for a recall over 0.9 (measured in the tests on the queries' own path).
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those of
-another length than the most frequent one. Rows that repeat a vec_id are one row (the smallest vector); a null vec_id
-takes no part. Fewer candidates than k: all of them. Extra columns are not read.
+another length than the most frequent one (ties: the longer). Rows that repeat a vec_id are one row (the smallest vector);
+a null vec_id takes no part. Equal distances: smaller vec_id first. Fewer candidates than k: all of them. Extra columns
+are not read.
 """
 
 from __future__ import annotations
@@ -25,14 +28,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .common import partitions
 from .sums import total
 
-TREES = 32
+TREES = 128
 BITS = 32
-CANDIDATES = 0.45
-LEAST = 256
-BLOCK = 4096
+#: Candidates of a query in a shard of n vectors: FACTOR * n ** GROWTH.
+FACTOR, GROWTH = 1.3, 0.85
+#: Queries whose places in all trees are looked up at once.
+BLOCK = 128
 SHARD_ROWS = 65_536
+#: Vectors that a shard has at least, if there are so many.
+LEAST_ROWS = 4096
 SEED = 8
 HIT = "query_id long, vec_id long, score double"
 
@@ -58,9 +65,12 @@ class Hashes:
 
     def strings(self, x: np.ndarray) -> np.ndarray:
         """A row of TREES bit strings, as numbers of BITS bits, for each vector."""
-        signs = (x - self.mean) @ self.planes > 0
         weight = (1 << np.arange(self.bits - 1, -1, -1)).astype(np.int64)
-        return signs.reshape(len(x), self.trees, self.bits) @ weight
+        out = np.empty((len(x), self.trees), np.int64)
+        for a in range(0, len(x), 1024):  # bounds the signs' memory
+            signs = (x[a : a + 1024] - self.mean) @ self.planes > 0
+            out[a : a + 1024] = signs.reshape(-1, self.trees, self.bits) @ weight
+        return out
 
 
 class Forest:
@@ -74,70 +84,96 @@ class Forest:
         self.same = [ids[o[a : min(b, a + k + 1)]] for a, b in zip(cut[:-1], cut[1:], strict=True)]  # a query's own id may be one
         self.x, self.hashes, self.k = x[first], hashes, k
         s = hashes.strings(self.x)
-        self.order = np.argsort(s, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(s, self.order, axis=0)
-
-    def candidates(self, q: np.ndarray, enough: int) -> np.ndarray:
-        """Entries under the longest common prefixes of one query's strings, synchronously ascended till there are enough."""
-        n, trees, bits = len(self.x), self.hashes.trees, self.hashes.bits
-        if enough >= n:
-            return np.arange(n)
-        seen = np.zeros(n, bool)
-        shift = np.arange(bits + 1)
-        ranges = np.empty((trees, bits + 1, 2), np.int64)
-        for t in range(trees):
-            least = q[t] >> shift << shift
-            ranges[t, :, 0] = np.searchsorted(self.sorted[:, t], least, "left")
-            ranges[t, :, 1] = np.searchsorted(self.sorted[:, t], least + (1 << shift) - 1, "right")
-        lo, hi = ranges[:, 0, 0].copy(), ranges[:, 0, 0].copy()
-        for level in range(bits + 1):
-            for t in range(trees):
-                a, b = ranges[t, level]
-                if b - a > hi[t] - lo[t]:
-                    seen[self.order[a : lo[t], t]] = True
-                    seen[self.order[hi[t] : b, t]] = True
-                    lo[t], hi[t] = a, b
-            if (hi - lo).sum() >= enough and int(seen.sum()) >= enough:
-                break
-        return np.flatnonzero(seen)
-
-    def search(self, query_ids: np.ndarray, q: np.ndarray, share: float, least: int):
+        order = np.argsort(s, axis=0, kind="stable")
+        self.sorted = np.asfortranarray(np.take_along_axis(s, order, axis=0))
+        self.order = np.asfortranarray(order.astype(np.int32))
+
+    def places(self, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds [query, tree, bits dropped] of the entries that share a query's prefixes of every length."""
+        shift = np.arange(self.hashes.bits + 1)
+        lo = np.empty((len(strings), self.hashes.trees, len(shift)), np.int32)
+        hi = np.empty_like(lo)
+        for t in range(self.hashes.trees):
+            least = strings[:, t, None] >> shift << shift
+            lo[:, t] = np.searchsorted(self.sorted[:, t], least, "left")
+            hi[:, t] = np.searchsorted(self.sorted[:, t], least + (1 << shift) - 1, "right")
+        return lo, hi
+
+    def candidates(self, lo: np.ndarray, hi: np.ndarray, enough: int) -> np.ndarray:
+        """Entries under the longest prefixes of one query's strings, synchronously ascended till there are enough."""
+        seen = np.zeros(len(self.x), bool)
+        held = (hi - lo).sum(axis=0)
+        if held[-1] < enough:
+            return np.arange(len(self.x))
+        level = int(np.argmax(held >= enough))  # fewer dropped bits can't hold enough
+        if level:
+            for t in range(self.hashes.trees):
+                seen[self.order[lo[t, level - 1] : hi[t, level - 1], t]] = True
+        while True:
+            for t in range(self.hashes.trees):
+                seen[self.order[lo[t, level] : hi[t, level], t]] = True
+                if t % 8 == 7 and int(seen.sum()) >= enough:
+                    return np.flatnonzero(seen)
+            if level == self.hashes.bits:
+                return np.flatnonzero(seen)
+            level += 1
+
+    def search(self, query_ids: np.ndarray, q: np.ndarray, enough: int):
         """(query, vec_id, distance) of the k nearest found of each query."""
-        enough = max(least, int(np.ceil(share * len(self.x))))
-        strings = self.hashes.strings(q)
-        for i in range(len(q)):
-            c = self.candidates(strings[i], enough)
-            d = np.sqrt(((self.x[c] - q[i]) ** 2).sum(axis=1))
-            if len(c) > self.k + 1:
-                top = np.argpartition(d, self.k)[: self.k + 1]
-                keep = np.flatnonzero(d <= d[top].max())
-            else:
-                keep = np.arange(len(c))
-            ids = np.concatenate([self.same[c[j]] for j in keep]) if len(keep) else np.zeros(0, np.int64)
-            dist = np.repeat(d[keep], [len(self.same[c[j]]) for j in keep])
-            own = ids != query_ids[i]
-            ids, dist = ids[own], dist[own]
-            o = np.lexsort((ids, dist))[: self.k]
-            yield np.full(len(o), query_ids[i]), ids[o], dist[o]
-
-
-def _search(block, hashes, k: int, share: float, least: int, width: int):
+        for a in range(0, len(q), BLOCK):
+            lo, hi = self.places(self.hashes.strings(q[a : a + BLOCK]))
+            for i in range(len(lo)):
+                c = self.candidates(lo[i], hi[i], enough)
+                yield self._ranked(int(query_ids[a + i]), q[a + i], c)
+
+    def _ranked(self, own: int, v: np.ndarray, c: np.ndarray):
+        d = np.sqrt(((self.x[c] - v) ** 2).sum(axis=1))
+        if len(c) > self.k + 1:
+            top = np.argpartition(d, self.k)[: self.k + 1]
+            keep = np.flatnonzero(d <= d[top].max())
+        else:
+            keep = np.arange(len(c))
+        ids = np.concatenate([self.same[c[j]] for j in keep]) if len(keep) else np.zeros(0, np.int64)
+        dist = np.repeat(d[keep], [len(self.same[c[j]]) for j in keep])
+        ids, dist = ids[ids != own], dist[ids != own]
+        o = np.lexsort((ids, dist))[: self.k]
+        return np.full(len(o), own), ids[o], dist[o]
+
+
+def budget(n: int) -> int:
+    return int(np.ceil(FACTOR * n**GROWTH))
+
+
+def _search(hashes, k: int, width: int):
+    """Rows come sorted by shard, vectors before queries."""
+
+    def hits(forest, b):
+        got = list(forest.search(b.column("vec_id").to_numpy(), _matrix(b.column("embedding"), width), budget(len(forest.x))))
+        a, i, d = (np.concatenate(y) for y in zip(*got, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(i), pa.array(d)], ["query_id", "vec_id", "score"])
+
     def run(batches):
-        ids, x = [], []
+        shard, ids, x, forest = None, [], [], None
         for b in batches:
-            ids.append(b.column("vec_id").to_numpy())
-            x.append(_matrix(b.column("embedding"), width))
-        if not ids or not sum(map(len, ids)):
-            return
-        forest = Forest(np.concatenate(ids), np.concatenate(x), hashes.value, k)
-        got = list(forest.search(*block.value, share, least))
-        a, b, c = (np.concatenate(y) for y in zip(*got, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], ["query_id", "vec_id", "score"])
+            key = b.column("shard").to_numpy() * 2 + b.column("asks").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                part = b.slice(i, j - i)
+                if shard != key[i] // 2:
+                    shard, ids, x, forest = key[i] // 2, [], [], None
+                if key[i] % 2 == 0:
+                    ids.append(part.column("vec_id").to_numpy())
+                    x.append(_matrix(part.column("embedding"), width))
+                elif ids:
+                    if forest is None:
+                        forest = Forest(np.concatenate(ids), np.concatenate(x), hashes.value, k)
+                        x = []
+                    yield hits(forest, part)
 
     return run
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, share: float = CANDIDATES, least: int = LEAST, trees: int = TREES) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, trees: int = TREES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row for which is_query holds."""
     spark = vectors.sparkSession
     rows = usable(vectors)
@@ -145,22 +181,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, share: float = CA
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width, n = sizes[0]["w"], sizes[0]["n"]
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, -(-n // SHARD_ROWS), 1)
+    shards = max(-(-n // SHARD_ROWS), min(partitions(spark), n // LEAST_ROWS), 1)
     held = materialize(rows.filter(F.size("embedding") == width), "vectors")
     sums = total(held.select("embedding"), lambda b: np.append(_matrix(b.column("embedding"), width).sum(axis=0), b.num_rows), width + 1)
     hashes = spark.sparkContext.broadcast(Hashes(sums[:-1] / max(sums[-1], 1), trees))
-    asked = held.filter(is_query)
-    blocks = -(-asked.count() // BLOCK)
-    dealt = held.repartition(shards, "vec_id")
-    hits = None
-    for i in range(blocks):
-        block = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).toArrow()  # about BLOCK rows
-        if not block.num_rows:
-            continue
-        shared = spark.sparkContext.broadcast((block.column("vec_id").to_numpy(), _matrix(pa.concat_arrays(block.column("embedding").chunks), width)))
-        found = dealt.mapInArrow(_search(shared, hashes, k, share, least, width), HIT)
-        hits = found if hits is None else hits.union(found)
-    if hits is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    own = held.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"), F.lit(False).alias("asks"), "vec_id", "embedding")
+    asked = held.filter(is_query).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(True).alias("asks"), "vec_id", "embedding")
+    hits = own.union(asked).repartition(shards, "shard").sortWithinPartitions("shard", "asks").mapInArrow(_search(hashes, k, width), HIT)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -141,11 +141,12 @@ def brute(ids, x, q, k=10):
     return list(zip(ids[o].tolist(), d[o].tolist(), strict=True))
 
 
-def test_neighbours_recall(spark):
-    rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+@pytest.mark.parametrize("sf", [SF, SF.replace("0.01", "0.1")])
+def test_neighbours_recall_on_the_forest_path(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
     got = defaultdict(list)
-    for r in Q.op8_neighbours(spark, SF).orderBy("query_id", "rank").collect():
+    for r in Q.op8_neighbours(spark, sf).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     hits = []
     for q in np.flatnonzero(ids % 100 == 0):
@@ -153,18 +154,23 @@ def test_neighbours_recall(spark):
         assert len(got[ids[q]]) == 10 and got[ids[q]] == sorted(got[ids[q]], key=lambda p: (p[1], p[0]))
         hits.append(len({a for a, _ in want} & {a for a, _ in got[ids[q]]}) / 10)
     assert np.mean(hits) >= 0.9
+    assert neighbours.budget(len(ids)) < 0.55 * len(ids)  # the queries do not rank all rows
 
 
-def test_forest_recall_when_candidates_are_few():
+@pytest.mark.parametrize("n", [500, 6000, 20000])
+def test_forest_recall_and_candidates(n):
     r = np.random.default_rng(0)
-    x = r.normal(size=(6000, 64))
+    x = r.normal(size=(n, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    ids = np.arange(6000)
+    ids = np.arange(n)
     forest = neighbours.Forest(ids, x, neighbours.Hashes(x.mean(axis=0)), 10)
-    q = ids[::100]
-    found = list(forest.search(q, x[q], neighbours.CANDIDATES, neighbours.LEAST))
+    q = ids[:: max(1, n // 60)]
+    enough = neighbours.budget(n)
+    found = list(forest.search(q, x[q], enough))
     assert np.mean([len({a for a, _ in brute(ids, x, i)} & set(f[1].tolist())) / 10 for i, f in zip(q, found, strict=True)]) >= 0.9
-    assert all(len(forest.candidates(forest.hashes.strings(x[i : i + 1])[0], 2700)) < 6000 for i in q[:5])
+    lo, hi = forest.places(forest.hashes.strings(x[q]))
+    share = np.mean([len(forest.candidates(a, b, enough)) for a, b in zip(lo, hi, strict=True)]) / n
+    assert share < {500: 0.62, 6000: 0.45, 20000: 0.38}[n]
 
 
 def test_neighbour_edges(spark):
