@@ -1,20 +1,19 @@
 """LM scoring: marginal likelihood of texts over all segmentations of a subword lattice.
 
-A text is its words and an end token. A word's probability sums over all its segmentations into pieces of an existing
-vocabulary (with byte pieces for what it lacks) by a forward recursion in log space; the pieces' scores start from the
-vocabulary file's own and are re-estimated once by expected counts over all distinct training words (forward-backward;
-each word counts once, as the paths stand for words that are not known).
-An arc over the whole word, with its discounted count among the training tokens, stands beside the subword paths; the
-mass of words seen once is left to those (Good-Turing). All logarithms returned are to base 10.
+A text is a stream of pieces of an existing vocabulary (with byte pieces for what it lacks) and an end. Its probability
+sums over all segmentations of its words by a forward recursion in log space. A piece's weight is a mixture: one part
+falls with its score in the vocabulary file, the other (ADAPT) is its expected count over the training tokens under the
+file's weights (forward-backward). The chance of an end after a piece is that of the training rows. All logarithms
+returned are to base 10.
 
 Distribution: each task sends its distinct words once (with counts over training rows), counts are summed by word, so no
-frequent word is a hot key. Texts are dealt to buckets by a hash; each bucket's distinct words fetch their count and
-likelihood by a join on (bucket, word), and a bucket is scored with its own small dictionary. Nothing that grows with
-the corpus is broadcast or collected; the vocabulary (a file) is.
+frequent word is a hot key. Texts are dealt to buckets of about BUCKET_BYTES, rows that repeat each by themselves; each
+bucket's distinct words fetch their count and likelihood by a join on (bucket, word), and a bucket is scored with its own
+small dictionary. Nothing that grows with the corpus is broadcast or collected; the vocabulary (a file) is.
 
-Defined results: null and empty texts are the end token alone. Repeated rows are each counted and scored. Without
-training rows N and V are 0, every count is 0 and the pieces keep their first scores. A null doc_id is a training row. Extra
-columns are not read.
+Defined results: null and empty texts are the end alone. Repeated rows are each counted and scored. Without training rows
+N and V are 0, every count is 0, the pieces keep the file's weights and the end has the chance 1/2. A null doc_id is a
+training row. A word of any length and any bytes is scored whole. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -31,9 +30,15 @@ from .sums import total
 
 #: Words of up to so many bytes are scored in matrices; longer ones one by one.
 WIDE = 64
-#: Share of the first estimate kept in the re-estimated piece counts.
-PRIOR = 1e-3
+#: Share of the pieces' weights that comes from their expected counts in the training rows; the rest is the file's.
+ADAPT = 0.5
+#: Bytes of texts of a bucket.
+BUCKET_BYTES = 4_000_000
+#: Bytes of a long word whose arcs are held at once.
+STRETCH = 4096
 START = b"\xe2\x96\x81"
+#: Stands for the start mark: no byte of UTF-8.
+MARK = b"\xff"
 
 
 class Lattice:
@@ -49,7 +54,7 @@ class Lattice:
                 continue
             p = sp.id_to_piece(i).encode()
             # a word begins with one start mark, which counts as its first byte
-            p = b"\x00" + p[3:] if p.startswith(START) else p
+            p = MARK + p[3:] if p.startswith(START) else p
             if p and START not in p:
                 pieces[p] = max(pieces.get(p, -np.inf), sp.get_score(i))
         for b in range(256):
@@ -90,6 +95,7 @@ class Lattice:
     def _matrix(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         n = np.array([len(w) + 1 for w in words])
         m = np.zeros((len(words), int(n.max())), np.uint8)
+        m[:, 0] = MARK[0]
         for i, w in enumerate(words):
             m[i, 1 : len(w) + 1] = np.frombuffer(w, np.uint8)
         return m, n
@@ -130,28 +136,46 @@ class Lattice:
                     out[i] = self._long(words[i])
         return out
 
-    def _long(self, word: bytes) -> float:
-        """The recursion over one long word, in stretches of bounded memory."""
-        w = b"\x00" + word
+    def _stretches(self, w: bytes, backward: bool = False):
+        """(start, end, numbers, log probabilities) of the arcs that begin in each stretch of a long word."""
+        for at in sorted(range(0, len(w), STRETCH), reverse=backward):
+            part = np.frombuffer(w[at : at + STRETCH + self.longest], np.uint8)[None, :]
+            number, lp = self._arcs(part, np.array([part.shape[1]]))
+            yield at, min(len(w), at + STRETCH), number[0], lp[0]
+
+    def _alpha(self, w: bytes) -> np.ndarray:
         alpha = np.full(len(w) + 1, -np.inf)
         alpha[0] = 0
-        for at in range(0, len(w), 4096):
-            end = min(len(w), at + 4096)
-            part = np.frombuffer(w[at : end + self.longest], np.uint8)[None, :]
-            _, lp = self._arcs(part, np.array([part.shape[1]]))
+        for at, end, _, lp in self._stretches(w):
             for i in range(at, end):
-                k = np.arange(min(self.longest, len(w) - i))
-                alpha[i + 1 + k] = np.logaddexp(alpha[i + 1 + k], alpha[i] + lp[0, i - at, k])
-        return float(alpha[len(w)])
+                k = np.arange(min(lp.shape[1], len(w) - i))
+                alpha[i + 1 + k] = np.logaddexp(alpha[i + 1 + k], alpha[i] + lp[i - at, k])
+        return alpha
+
+    def _long(self, word: bytes) -> float:
+        """The recursion over one long word, in stretches of bounded memory."""
+        return float(self._alpha(MARK + word)[-1])
+
+    def _long_expected(self, word: bytes, count: float, out: np.ndarray) -> None:
+        """Adds the expected counts over one long word."""
+        w = MARK + word
+        alpha, beta = self._alpha(w), np.full(len(w) + 1, -np.inf)
+        beta[-1] = 0
+        for at, end, number, lp in self._stretches(w, backward=True):
+            for i in range(end - 1, at - 1, -1):
+                k = np.arange(min(lp.shape[1], len(w) - i))
+                x = lp[i - at, k] + beta[i + 1 + k]
+                beta[i] = np.logaddexp.reduce(x)
+                ok = number[i - at, k] >= 0
+                np.add.at(out, number[i - at, k][ok], count * np.exp(alpha[i] + x[ok] - alpha[-1]))
 
     def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """Expected counts of the pieces over words that occur so often; the stretches of a word over WIDE bytes count apart."""
+        """Expected counts of the pieces over words that occur so often."""
         out = np.zeros(len(self.pieces))
         for part in _by_length(words):
             if len(words[part[0]]) > WIDE:
                 for i in part:
-                    cut = [words[i][a : a + WIDE] for a in range(0, len(words[i]), WIDE)]
-                    out += self.expected(cut, np.full(len(cut), counts[i]))
+                    self._long_expected(words[i], float(counts[i]), out)
                 continue
             z, number, lp, alpha, beta = self.forward([words[i] for i in part], backward=True)
             width = number.shape[1]
@@ -246,7 +270,17 @@ def word_hash(col: pa.Array) -> np.ndarray:
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def score(docs: DataFrame, training: Column, vocabulary: str) -> tuple[DataFrame, int, int]:
+def adapted(file: np.ndarray, counts: np.ndarray, ends: int, adapt: float) -> tuple[np.ndarray, float]:
+    """(natural log weights of the pieces, of the end): file holds the file's log weights, counts the expected counts."""
+    seen = counts.sum()
+    weight = np.exp(file)
+    if seen:
+        weight = (1 - adapt) * weight + adapt * counts / seen
+    end = ends / (seen + ends) if ends else 0.5
+    return np.log(weight) + np.log1p(-min(end, 0.5)), float(np.log(min(end, 0.5)))
+
+
+def score(docs: DataFrame, training: Column, vocabulary: str, adapt: float = ADAPT) -> tuple[DataFrame, int, int]:
     """((doc_id, n_tokens, n_known, base_score, score), N, V): docs has doc_id and text, training is a boolean over doc_id."""
     spark = docs.sparkSession
     lattice = Lattice(vocabulary)
@@ -254,34 +288,32 @@ def score(docs: DataFrame, training: Column, vocabulary: str) -> tuple[DataFrame
     # tasks have summed their own words; the partitions are many, as each word costs time afterwards
     told = rows.select("text", "training").mapInArrow(_words, "word binary, c long").repartition(4 * partitions(spark), "word")
     words = materialize(told.groupBy("word").agg(F.sum("c").alias("c")), "words")
-    ends = rows.filter("training").count()
-    m = words.filter("c > 0").agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("c") == 1, 1)), F.lit(0)).alias("once")).first()
-    n, v, once = m["n"] + ends, m["v"] + (ends > 0), m["once"]
+    size = rows.agg(F.count_if("training").alias("ends"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    ends = size["ends"]
+    m = words.filter("c > 0").agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
+    n, v = m["n"] + ends, m["v"] + (ends > 0)
     shared = spark.sparkContext.broadcast(lattice)
 
     def expectations(b):
-        return shared.value.expected(b.column("word").to_pylist(), np.ones(b.num_rows))
+        return shared.value.expected(b.column("word").to_pylist(), b.column("c").to_numpy().astype(float))
 
     counted = total(words.filter("c > 0"), expectations, len(lattice.pieces))
-    weight = counted + PRIOR * max(counted.sum(), 1.0) * np.exp(lattice.log_p)
-    word_share = (n - ends) / n if n else 0.5  # of tokens that are words: a word's path begins with that
-    model = spark.sparkContext.broadcast(Lattice(vocabulary, np.log(weight / weight.sum())))
-    fresh = min(max((once + 1) / (n + 1), 1e-6), 0.5)  # Good-Turing: mass of words not seen
-    end_log = np.log10(ends / n) if ends else np.log10(0.5)
+    log_p, end = adapted(lattice.log_p, counted, ends, adapt)
+    model = spark.sparkContext.broadcast(Lattice(vocabulary, log_p))
+    end_log = end / np.log(10)
 
     def lookup(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 20_000):
                 part = b.slice(lo, 20_000)
-                w, c = part.column("word").to_pylist(), part.column("c").to_numpy().astype(float)
-                sub = np.log(fresh * word_share) + model.value.log_likelihood(w)
-                with np.errstate(divide="ignore"):
-                    whole = np.log((1 - fresh) * c / max(n, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(word_hash(part.column("word")).view(np.int64)), part.column("c"), pa.array(np.logaddexp(sub, whole) / np.log(10))], ["hash", "c", "lp"])
+                lp = model.value.log_likelihood(part.column("word").to_pylist()) / np.log(10)
+                yield pa.RecordBatch.from_arrays([pa.array(word_hash(part.column("word")).view(np.int64)), part.column("c"), pa.array(lp)], ["hash", "c", "lp"])
 
     known = words.mapInArrow(lookup, "hash long, c long, lp double")
-    buckets = 4 * partitions(spark)
-    dealt = docs.select("doc_id", "text").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("long")).repartition("bucket")
+    buckets = max(4 * partitions(spark), -(-size["bytes"] // BUCKET_BYTES))
+    # a row's place in its input partition deals rows that repeat apart
+    bucket = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(buckets)).cast("long")
+    dealt = docs.select("doc_id", "text").withColumn("bucket", bucket).repartition(max(partitions(spark), buckets // 4), "bucket")
     # both readers take all columns of one exchange, so it is made once
     need = dealt.sortWithinPartitions("bucket").mapInArrow(_bucket_words, "bucket long, hash long")
     own = need.join(known.hint("merge"), "hash").select("bucket", "hash", "c", "lp")
@@ -298,6 +330,8 @@ def score(docs: DataFrame, training: Column, vocabulary: str) -> tuple[DataFrame
             for lo, hi, d, off in steps(data, offs):
                 w, k = Words(d, off, lower=True), hi - lo
                 at = np.searchsorted(h, w.hash)
+                if len(w) and not (len(h) and (h[np.minimum(at, len(h) - 1)] == w.hash).all()):
+                    raise RuntimeError("a bucket's dictionary lacks a word of its texts")
                 tokens = np.bincount(w.doc, minlength=k) + 1
                 seen = np.bincount(w.doc, c[at] > 0, k).astype(np.int64) + (ends > 0)
                 out.append(pa.table({"doc_id": batch.column("doc_id")[lo:hi], "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(seen, pa.int64()), "base_score": np.bincount(w.doc, base[at], k) + end_base, "score": np.bincount(w.doc, lp[at], k) + end_log}))

@@ -125,8 +125,8 @@ def test_lattice_sums_over_all_segmentations(lattice):
     def total(w):
         return 1.0 if not w else sum(p[w[:k]] * total(w[k:]) for k in range(1, len(w) + 1) if w[:k] in p)
 
-    ws = [b"the", b"a", "été".encode(), b"zzq9", b"nation", b"\xff"]
-    assert lattice.log_likelihood(ws) == pytest.approx([math.log(total(b"\x00" + w)) for w in ws], rel=1e-9)
+    ws = [b"the", b"a", "été".encode(), b"zzq9", b"nation", b"a\x00b"]
+    assert lattice.log_likelihood(ws) == pytest.approx([math.log(total(lm_scoring.MARK + w)) for w in ws], rel=1e-9)
     assert np.exp(lattice.log_p).sum() == pytest.approx(1)
     long = b"thenation" * 40
     assert lattice.log_likelihood([long])[0] == pytest.approx(float(lattice.forward([long])[0]), rel=1e-9)
@@ -139,12 +139,12 @@ def test_lattice_holds_the_longest_pieces(lattice):
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     want = [sp.id_to_piece(i).removeprefix("▁") for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
     long = [x.encode() for x in want if len(x.encode()) >= 16 and "▁" not in x]
-    held = {p.removeprefix(b"\x00") for p in lattice.pieces}
+    held = {p.removeprefix(lm_scoring.MARK) for p in lattice.pieces}
     assert long and held.issuperset(long)
     p = dict(zip(lattice.pieces, lattice.log_p.tolist(), strict=True))
     for w in long:
-        if b"\x00" + w in p:
-            assert lattice.log_likelihood([w])[0] >= p[b"\x00" + w]
+        if lm_scoring.MARK + w in p:
+            assert lattice.log_likelihood([w])[0] >= p[lm_scoring.MARK + w]
 
 
 def test_lattice_expected_counts_cover_each_byte(lattice):
@@ -152,6 +152,44 @@ def test_lattice_expected_counts_cover_each_byte(lattice):
     assert sum(x * len(p) for x, p in zip(e, lattice.pieces, strict=True)) == pytest.approx(2 * 7 + 4)
 
 
+def test_lattice_expected_counts_of_long_words(lattice, monkeypatch):
+    w = b"nationalthe" * 30
+    monkeypatch.setattr(lm_scoring, "STRETCH", 50)
+    long = lattice.expected([w], np.array([3.0]))
+    monkeypatch.setattr(lm_scoring, "WIDE", 1000)
+    assert long == pytest.approx(lattice.expected([w], np.array([3.0])), rel=1e-6, abs=1e-9)
+
+
+def test_lm_scores_equal_all_segmentations_enumerated(spark):
+    """The whole score by brute force: every segmentation of every word is listed, for expected counts and for scores."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    file = lm_scoring.Lattice(path)
+    p0 = dict(zip(file.pieces, np.exp(file.log_p).tolist(), strict=True))
+    texts = {1: "the nation a", 2: "The THE zq", 3: "", 4: None, 5: "a\x00 unseen été", 6: "the nation a"}
+    training = [1, 2, 3, 6]
+
+    def ways(w):
+        return [[]] if not w else [[w[:k], *r] for k in range(1, len(w) + 1) if w[:k] in p0 for r in ways(w[k:])]
+
+    counts, ends = Counter(), 0
+    each = {w: ways(lm_scoring.MARK + w.encode()) for t in texts.values() for w in words(t, True)}
+    for d in training:
+        ends += 1
+        for w in words(texts[d], True):
+            mass = [math.prod(p0[x] for x in s) for s in each[w]]
+            for s, m in zip(each[w], mass, strict=True):
+                for x in s:
+                    counts[x] += m / sum(mass)
+    n = sum(counts.values())
+    p = {x: (0.5 * y + 0.5 * counts[x] / n) * n / (n + ends) for x, y in p0.items()}
+    want = {d: math.log10(ends / (n + ends)) + sum(math.log10(sum(math.prod(p[x] for x in s) for s in each[w])) for w in words(t, True)) for d, t in texts.items()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out, _, _ = lm_scoring.score(df, F.col("doc_id").isin(training), path, adapt=0.5)
+    assert {r.doc_id: r.score for r in out.collect()} == pytest.approx(want, rel=1e-9)
+
+
 def test_lm_edges(spark):
     import public_tokenizers
 
