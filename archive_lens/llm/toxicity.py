@@ -3,14 +3,14 @@
 Both zstandard dictionaries share a base of ordinary text; each ends with what its own class's training text says and the
 other's does not (its recurring words, and beginnings of words, of highest contrast in document frequency, best last, where matches are cheapest). With the
 same length and base, a window's two compressed lengths differ by what the dictionaries tell of it. A document's largest
-savings, and how many windows save more than fixed numbers of bytes, are calibrated by a logistic fit to a probability
+savings, and how many windows save more than thresholds calibrated on the ordinary training rows, are calibrated by a logistic fit to a probability
 with the labels' own share of toxic rows.
 
 All windows of a whole text count. The dictionaries and the fit are learned from a bounded sample: at most TOXIC and
 ORDINARY labelled training rows, those with the smallest hash of doc_id, of any length: terms and features are counted in
 the executors, and only terms that recur, sketches, stretches and features come to the driver.
-(Dictionaries that zstandard's own trainer selects find a held-out area under the curve of 0.73 to 0.86, as they
-favour what all text shares; chosen by contrast, 0.99.)
+(zstandard's own trainer fills dictionaries with what all text shares, or repeats the same few words in every order; see
+the README for its figures, cross-validated inside the training rows.)
 
 Defined results: null, empty and blank texts have one empty window, and a score. Rows that repeat a doc_id are each
 scored. Without training rows of both classes every score is the labels' share of toxic rows (0 without any). Null
@@ -37,7 +37,10 @@ TOXIC, ORDINARY = 1500, 3000
 #: other class, least surplus over them in standard deviations.
 LEAST_DOCS, LEAST_LENGTH, CONTRAST, SURPRISE = 4, 4, 5.0, 5.0
 BEGINNINGS = (4, 5, 6, 7, 8)
-SAVED = (4, 6, 8)
+#: The least savings that so many of the ordinary training documents reach in any window, at most.
+REACHED = (0.3, 0.05, 0.01)
+#: Savings are counted up to so many bytes.
+MOST = 32
 #: Windows compressed in one call.
 BATCH = 20_000
 #: Letters are kept, in lower case; all else is a space.
@@ -100,6 +103,7 @@ class Model:
     def __init__(self, share: float):
         self.share, self.toxic, self.ordinary = share, None, None
         self.mean = self.deviation = self.coef = None
+        self.thresholds: tuple[int, ...] = ()
         self._made = None
 
     def __getstate__(self):
@@ -126,7 +130,8 @@ class Model:
         a, b = (lengths(c) for c in self.compressors())
         return a - b
 
-    def features(self, texts: list[str | None]) -> np.ndarray:
+    def profiles(self, texts: list[str | None]) -> np.ndarray:
+        """For each text: windows by savings (0 and less, 1, ... MOST and more), the three largest, their mean."""
         out, held, counts = [], [], []
 
         def done():
@@ -134,11 +139,10 @@ class Model:
             n = np.array(counts)
             cut = np.cumsum(n) - n
             doc = np.repeat(np.arange(len(n)), n)
-            o = np.lexsort((-d, doc))
-            d = d[o]
+            many = np.bincount(doc * (MOST + 1) + np.clip(d, 0, MOST), minlength=len(n) * (MOST + 1)).reshape(-1, MOST + 1)
+            d = d[np.lexsort((-d, doc))]
             top = [np.where(n > k, d[np.minimum(cut + k, len(d) - 1)], -5) for k in range(3)]
-            many = [np.bincount(doc, d >= s, len(n)) for s in SAVED]
-            out.append(np.column_stack([*top, many[0] / np.sqrt(n), *many[1:], np.log1p(n), np.bincount(doc, d, len(n)) / n]))
+            out.append(np.column_stack([many, *top, np.bincount(doc, d, len(n)) / n]))
             held.clear()
             counts.clear()
 
@@ -150,12 +154,18 @@ class Model:
                 done()
         if held:
             done()
-        return np.concatenate(out) if out else np.zeros((0, 8))
+        return np.concatenate(out) if out else np.zeros((0, MOST + 5))
+
+    def features(self, profiles: np.ndarray) -> np.ndarray:
+        """The largest savings, their mean, and the windows over each threshold."""
+        many, rest = profiles[:, : MOST + 1], profiles[:, MOST + 1 :]
+        over = [many[:, t:].sum(axis=1) for t in self.thresholds]
+        return np.column_stack([rest, over[0] / np.sqrt(many.sum(axis=1)), *over[1:]])
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.coef is None:
             return np.full(len(texts), self.share)
-        z = np.column_stack([(self.features(texts) - self.mean) / self.deviation, np.ones(len(texts))])
+        z = np.column_stack([(self.features(self.profiles(texts)) - self.mean) / self.deviation, np.ones(len(texts))])
         return 1 / (1 + np.exp(-np.clip(z @ self.coef, -30, 30)))
 
 
@@ -203,12 +213,15 @@ def fit(rows: DataFrame, share: float) -> Model:
 
     def features(batches):
         for b in batches:
-            x = shared.value.features(b.column("text").to_pylist())
+            x = shared.value.profiles(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("hash"), b.column("label"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "hash", "label", "x"])
 
     got = rows.mapInArrow(features, "doc_id long, hash long, label int, x array<double>").collect()
     got.sort(key=lambda r: (-r["label"], r["doc_id"], r["hash"]))
     x, y = np.array([r["x"] for r in got]), np.array([float(r["label"]) for r in got])
+    top = np.clip(x[y == 0, MOST + 1], 0, MOST).astype(int)
+    model.thresholds = tuple(next((t for t in range(1, MOST) if (top >= t).mean() <= r), MOST) for r in REACHED)
+    x = model.features(x)
     model.mean, model.deviation = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.column_stack([(x - model.mean) / model.deviation, np.ones(len(x))])
     w = np.zeros(z.shape[1])
