@@ -89,6 +89,11 @@ def discover(spark: SparkSession, root: str, inspect: bool = True, sizes: bool =
     return found.join(tree.dir_sizes(files).withColumnRenamed("dir", "export_root"), "export_root", "left")
 
 
+def chat_path(file):
+    """The path of the chat's folder that a file lies in."""
+    return F.nullif(F.regexp_extract(file, r"^(.*/chats/chat_\d+)(?:/|$)", 1), F.lit(""))
+
+
 def check_links(spark: SparkSession, root: str, scope: str = "all", schemes: list[str] | None = None, allow_outside: bool = False, fail_fast: bool = False, most_missing: int = 200, most_schemes: int = 200, legacy: bool = False, exclude: list[str] | None = None) -> dict[str, DataFrame]:
     """counters (one row), missing and schemes (the first of each, with their chats' names), leftovers, buckets.
 
@@ -104,21 +109,19 @@ def check_links(spark: SparkSession, root: str, scope: str = "all", schemes: lis
     multi = files.filter((F.col("dir") == root) & ((F.col("name") == K.MULTI_ROOT_NAME) | (F.col("is_dir") & (F.col("name") == "chats")))).limit(1).count() > 0
     refs = R.classified(R.refs_by_line(rows), root, legacy)
     out = resolve.link_status(refs, files, root, scope, allow_outside)
-    out = resolve.fail_fast(out) if fail_fast else out
     left = R.leftovers(rows) if not multi else R.leftovers(rows).limit(0)
+    out = resolve.fail_fast(out, left) if fail_fast else out
     bad = out.filter(F.col("status").isin("missing", "outside"))
     seen = pages.agg(F.count("*").alias("html_files_scanned"))
-    first = body.filter(S.basename(F.col("file")) == K.SINGLE_ROOT_NAME).withColumn("chat_id", S.chat_folder(F.col("file"))).filter("chat_id is not null")
+    first = body.filter(S.basename(F.col("file")) == K.SINGLE_ROOT_NAME).withColumn("chat_id", chat_path(F.col("file"))).filter("chat_id is not null")
     titles = first.groupBy("chat_id").agg(F.min_by(S.page_title(F.col("text")), "file").alias("name"))
-    dialogs = spark.createDataFrame([], "id long, name string")
-    for db in sorted(r["path"] for r in tree.named(files, K.DATABASE_NAME).select("path").collect()):
-        if P.has_tables(sqlite.tables(db)):
-            for t in ("users", "chats"):
-                dialogs = dialogs.unionByName(P.names(sqlite.read(spark, db, t)).filter("name is not null"))
-    dialogs = dialogs.groupBy("id").agg(F.min("name").alias("name"))
+    dbs = [r["path"] for r in tree.named(files, K.DATABASE_NAME).select("path").orderBy("path").collect() if P.has_tables(sqlite.tables(r["path"]))]
+    # users before chats, the first database first
+    named = [sqlite.read(spark, db, t) for db in dbs for t in ("users", "chats")]
+    dialogs = P.first_names(*named) if named else spark.createDataFrame([], "id long, name string")
     return {
         "counters": resolve.counters(out).drop("leftover").crossJoin(F.broadcast(left.agg(F.count("*").alias("leftover")))).crossJoin(F.broadcast(seen)),
-        "missing": P.with_chat_names(R.first_of_each(bad, "status", most_missing).select("status", "n", "file", "line_no", "attr", "url", "resolved_path", "note"), titles, dialogs),
+        "missing": P.with_chat_names(R.first_of_each(bad, "status", most_missing).select("status", "n", "file", "line_no", "attr", "url", "resolved_path", "note"), titles, dialogs, chat_path),
         "schemes": R.first_of_each(R.with_scheme(refs, schemes or []).withColumn("k", F.lit(1)), "k", most_schemes).select("n", "file", "line_no", "attr", "url"),
         "leftovers": left,
         "buckets": R.bucket_counts(out),
@@ -168,7 +171,7 @@ def fix_split(spark: SparkSession, chat_root: str, multi_root: str) -> DataFrame
     body = texts(own.filter((F.col("dir") == chat_root) & F.col("name").startswith("messages")))
     fixes = rewrites.fix_in_place(lines(body), files, chat_root, multi_root)
     copies = fixes.filter("copy_from is not null").select(F.lit(1).alias("rank"), F.lit("copy").alias("action"), F.col("copy_from").alias("src"), F.col("copy_to").alias("dst"), F.lit(None).cast("string").alias("payload")).distinct()
-    pages = rewrites.rewritten(body, fixes).select(F.lit(2).alias("rank"), F.lit("rewrite").alias("action"), F.col("file").alias("src"), F.col("file").alias("dst"), F.col("new_text").alias("payload"))
+    pages = rewrites.rewritten(body, fixes, narrow=True).select(F.lit(2).alias("rank"), F.lit("rewrite").alias("action"), F.col("file").alias("src"), F.col("file").alias("dst"), F.col("new_text").alias("payload"))
     return copies.unionByName(pages)
 
 
@@ -182,4 +185,5 @@ def rename_ranges(spark: SparkSession, root: str, which: str = "all") -> DataFra
 
 
 def backfill_markers(spark: SparkSession, root: str, created: str = "") -> DataFrame:
-    return rewrites.backfill_plan(inventory(spark, root), created)
+    root = os.path.abspath(root)
+    return rewrites.backfill_plan(inventory(spark, root), created, root)

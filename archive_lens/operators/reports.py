@@ -90,22 +90,27 @@ def named_groups(groups: DataFrame, users: DataFrame, chats: DataFrame) -> DataF
     return groups.join(u, "source_id", "left").join(c, "source_id", "left").withColumn("name", F.coalesce(own, F.concat_ws(":", "source_type", F.col("source_id").cast("string")))).drop("u", "c")
 
 
+def first_names(*tables: DataFrame) -> DataFrame:
+    """(id, name) of all ids, from the first of the tables that names them."""
+    each = [names(t).filter("name is not null").withColumn("k", F.lit(k)) for k, t in enumerate(tables)]
+    rows = each[0]
+    for x in each[1:]:
+        rows = rows.unionByName(x)
+    return rows.groupBy("id").agg(F.min_by("name", F.struct("k", "name")).alias("name"))
+
+
 def first_name_found(wanted: DataFrame, *tables: DataFrame) -> DataFrame:
     """(id, name) of the wanted ids, from the first of the tables that names them."""
-    all_names = None
-    for k, t in enumerate(tables):
-        one = names(t).filter("name is not null").withColumn("k", F.lit(k))
-        all_names = one if all_names is None else all_names.unionByName(one)
-    best = all_names.join(wanted.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min_by("name", "k").alias("name"))
-    return wanted.join(best, "id", "left")
+    ids = wanted.select("id").distinct()
+    return wanted.join(first_names(*tables).join(ids, "id", "left_semi"), "id", "left")
 
 
-def with_chat_names(rows: DataFrame, titles: DataFrame, dialogs: DataFrame) -> DataFrame:
+def with_chat_names(rows: DataFrame, titles: DataFrame, dialogs: DataFrame, folder=S.chat_folder) -> DataFrame:
     """rows (file) with name: the title of the file's chat folder (chat_id, name), else of its dialog (id, name).
 
     Joined to the few rows that are shown, so names are looked up for those alone.
     """
-    x = rows.withColumn("chat_id", S.chat_folder(F.col("file"))).withColumn("id", S.dialog_id(F.col("file")))
+    x = rows.withColumn("chat_id", folder(F.col("file"))).withColumn("id", S.dialog_id(F.col("file")))
     x = x.join(titles.select("chat_id", F.col("name").alias("t")), "chat_id", "left").join(dialogs.select("id", F.col("name").alias("d")), "id", "left")
     return x.withColumn("name", F.coalesce("t", "d")).select(*rows.columns, "name")
 

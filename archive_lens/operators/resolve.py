@@ -57,9 +57,10 @@ def counters(resolved: DataFrame, leftovers: int = 0) -> DataFrame:
     return resolved.agg(*each).withColumn("leftover", F.lit(leftovers).cast("long"))
 
 
-def fail_fast(resolved: DataFrame) -> DataFrame:
-    """The refs of the files up to and with the first (in path order) that has a problem."""
-    bad = resolved.filter(F.col("status").isin("missing", "outside")).agg(F.min("file").alias("first_bad"))
+def fail_fast(resolved: DataFrame, leftovers: DataFrame | None = None) -> DataFrame:
+    """The refs of the files up to and with the first (in path order) that has a problem or a leftover of a split (file)."""
+    bad = resolved.filter(F.col("status").isin("missing", "outside")).select("file")
+    bad = (bad if leftovers is None else bad.union(leftovers.select("file"))).agg(F.min("file").alias("first_bad"))
     return resolved.crossJoin(F.broadcast(bad)).filter(F.col("first_bad").isNull() | (F.col("file") <= F.col("first_bad"))).drop("first_bad")
 
 

@@ -96,11 +96,3 @@ def media_file_counts(files: DataFrame) -> DataFrame:
     up = ancestor_pairs(files.filter(~F.col("is_dir")).select("path")).withColumn("folder", folder).filter(F.col("folder").isin(*K.CHAT_LOCAL_DIRS, "media"))
     own = up.withColumn("root", S.dirname(F.col("ancestor"))).join(roots.select(F.col("path").alias("root")), "root", "left_semi")
     return own.agg(F.count_if(F.col("folder") == "media").alias("media_files"), F.count_if(F.col("folder") != "media").alias("chat_local_files"))
-
-
-def like_single_export(files: DataFrame) -> DataFrame:
-    return html_export_roots(files).filter("kind like 'html_single%'").select("path")
-
-
-def is_ancestor(parent: Column, child: Column) -> Column:
-    return S.is_within(parent, child)

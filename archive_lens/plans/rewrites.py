@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -17,34 +17,62 @@ from ..functions import scalars as S
 from ..functions.udfs import html_unescape, url_quote, url_unquote
 from ..operators import refs as R
 from ..operators import resolve
+from ..sources.text import lines as line_rows
 
+#: Folders of an export that every chat of a split gets.
+ASSETS = ("css", "js", "images", "profile_pictures")
 PLAN = ["rank", "action", "src", "dst", "payload"]
-_ATTR = re.compile(r"""(\b(?:src|href|poster)\s*=\s*)(["'])([^"']+)\2""", re.I)
-_SRCSET = re.compile(r"""(\bsrcset\s*=\s*)(["'])([^"']+)\2""", re.I)
-_CSS = re.compile(r"""url\(\s*(["']?)([^"')]+)\1\s*\)""", re.I)
 
-
-@F.pandas_udf(StringType())
-def apply_rewrites(texts: pd.Series, maps: pd.Series) -> pd.Series:
-    """Each text with the urls of its map (a list of (url, new) pairs) replaced where pages hold references."""
-
-    def one(text, pairs):
-        new = {p["url"]: p["new"] for p in pairs} if pairs is not None else {}
-        if not new or text is None:
-            return text
-
-        def parts(m):
-            bits = [p.split() for p in m[3].split(",")]
-            bits = [b for b in bits if b]
-            if not any(b[0] in new for b in bits):
-                return m[0]
-            return f"{m[1]}{m[2]}{', '.join(' '.join([new.get(b[0], b[0]), *b[1:]]) for b in bits)}{m[2]}"
-
-        text = _ATTR.sub(lambda m: f"{m[1]}{m[2]}{new[m[3]]}{m[2]}" if m[3] in new else m[0], text)
-        text = _SRCSET.sub(parts, text)
-        return _CSS.sub(lambda m: f"url({m[1]}{new[m[2]]}{m[1]})" if m[2] in new else m[0], text)
-
-    return pd.Series([one(t, m) for t, m in zip(texts, maps, strict=True)])
+def _python(pattern: str) -> re.Pattern:
+    return re.compile(pattern.replace("(?iU)", "(?i)"))
+
+
+_WIDE, _NARROW, _SRCSET, _CSS = map(_python, (K.ATTRIBUTE, K.ATTRIBUTE_REWRITE, K.SRCSET, K.CSS))
+CHANGE = ["line_no", "pass", "idx", "sub", "new"]
+
+
+def changed(text: str, new: dict[tuple[int, int, int], str], narrow: bool) -> str:
+    """text with the references at (pass, idx, sub) replaced, found as the generators of operators/refs.py find them."""
+    spans = []
+    for k, m in enumerate((_NARROW if narrow else _WIDE).finditer(text)):
+        if (0, k, 0) in new:
+            spans.append((*m.span(3), new[0, k, 0]))
+    for k, m in enumerate(_SRCSET.finditer(text)):
+        bits = [b for b in (p.split() for p in m[2].split(",")) if b]
+        if any((1, k, i) in new for i in range(len(bits))):
+            spans.append((*m.span(2), ", ".join(" ".join([new.get((1, k, i), b[0]), *b[1:]]) for i, b in enumerate(bits))))
+    for k, m in enumerate(_CSS.finditer(text)):
+        if (2, k, 0) in new:
+            spans.append((*m.span(2), new[2, k, 0]))
+    out, at = [], 0
+    for a, b, x in sorted(spans, key=lambda s: s[:2]):
+        if a >= at:  # an attribute's url that holds a css url stays whole
+            out += [text[at:a], x]
+            at = b
+    return "".join([*out, text[at:]])
+
+
+def apply_changes(texts: Column, changes: Column, narrow: bool) -> Column:
+    """Each text with its changes (a list of CHANGE) made where they stand; line_no 0: places count over the whole text."""
+
+    @F.pandas_udf(StringType())
+    def apply(texts: pd.Series, changes: pd.Series) -> pd.Series:
+        def one(text, each):
+            if text is None or each is None or not len(each):
+                return text
+            by_line: dict[int, dict] = {}
+            for c in each:
+                by_line.setdefault(c["line_no"], {})[c["pass"], c["idx"], c["sub"]] = c["new"]
+            if 0 in by_line:
+                return changed(text, by_line[0], narrow)
+            parts = re.split(r"(\r\n|\r|\n)", text)  # lines and their ends in turn
+            for n, new in by_line.items():
+                parts[2 * (n - 1)] = changed(parts[2 * (n - 1)], new, narrow)
+            return "".join(parts)
+
+        return pd.Series([one(t, c) for t, c in zip(texts, changes, strict=True)])
+
+    return apply(texts, changes)
 
 
 def relative_to(here: Column, target: Column) -> Column:
@@ -68,10 +96,13 @@ def repair_links(texts: DataFrame, files: DataFrame, root: str) -> DataFrame:
     return hit.withColumn("new", url_quote(relative_to(here, F.col("target")))).filter("new <> url").select("file", "line_no", "pass", "idx", "sub", "url", "new")
 
 
-def rewritten(texts: DataFrame, changes: DataFrame) -> DataFrame:
-    """(file, text, new_text, rewrites) of the files that the changes (file, url, new) alter."""
-    maps = changes.groupBy("file").agg(F.collect_set(F.struct("url", "new")).alias("m"), F.count("*").alias("rewrites"))
-    out = texts.join(maps, "file").withColumn("new_text", apply_rewrites("text", "m"))
+def rewritten(texts: DataFrame, changes: DataFrame, narrow: bool = False) -> DataFrame:
+    """(file, text, new_text, rewrites) of the files that the changes (file and CHANGE) alter.
+
+    narrow: places count over href and src alone, as rewriting of lines has it.
+    """
+    maps = changes.groupBy("file").agg(F.collect_list(F.struct(*CHANGE)).alias("m"), F.count("*").alias("rewrites"))
+    out = texts.join(maps, "file").withColumn("new_text", apply_changes(F.col("text"), F.col("m"), narrow))
     return out.filter("new_text <> text").select("file", "text", "new_text", "rewrites")
 
 
@@ -136,17 +167,20 @@ def split_plan(files: DataFrame, pages: DataFrame, lines: DataFrame, root: str,
     own = below.filter("chat_id is not null").join(chats, "chat_id")
     inside = F.substring(F.col("path"), F.length(F.concat(F.lit(root + "/chats/"), F.col("chat_id"))) + 2, 1 << 20)
     own = own.select(F.lit(0).alias("rank"), F.lit("copy").alias("action"), F.col("path").alias("src"), F.concat("dst_root", F.lit("/"), inside).alias("dst"), F.lit(None).cast("string").alias("payload"))
-    shared_top = F.element_at(F.split(S.relative_path(F.lit(root), F.col("path")), "/"), 1)
-    assets = below.withColumn("top", shared_top).filter(F.col("top").isin("css", "js", "images", "profile_pictures")).select("path", S.relative_path(F.lit(root), F.col("path")).alias("rel"))
-    # every chat gets every shared asset: the plan itself is their product
-    assets = assets.crossJoin(chats.select("dst_root")).select(F.lit(1).alias("rank"), F.lit("copy").alias("action"), F.col("path").alias("src"), F.concat("dst_root", F.lit("/"), "rel").alias("dst"), F.lit(None).cast("string").alias("payload"))
+    # one step a chat and folder of shared assets (four names at most)
+    tops = below.select(F.element_at(F.split(S.relative_path(F.lit(root), F.col("path")), "/"), 1).alias("top")).distinct()
+    assets = chats.select("dst_root", F.explode(F.array(*map(F.lit, ASSETS))).alias("top")).join(tops, "top", "left_semi")
+    assets = assets.select(F.lit(1).alias("rank"), F.lit("copy_tree").alias("action"), F.concat(F.lit(root + "/"), "top").alias("src"), F.concat("dst_root", F.lit("/"), "top").alias("dst"), F.lit(None).cast("string").alias("payload"))
     moves = localize(lines, files, root).join(pages.select("file", "chat_id"), "file").join(chats.select("chat_id", "dst_root"), "chat_id")
     media = moves.filter("shared").select("dst_root", "target").distinct().select(F.lit(2).alias("rank"), F.lit("copy").alias("action"), F.col("target").alias("src"), F.concat("dst_root", F.lit("/media/"), S.relative_path(F.lit(root), F.col("target"))).alias("dst"), F.lit(None).cast("string").alias("payload"))
     text = pages.select("file", "chat_id", standalone(F.col("text"), F.col("chat_id")).alias("text"))
-    # urls as they stand after the standalone step, which the copied pages hold
-    maps = moves.withColumn("url", F.regexp_replace("url", "^(?:\\.\\./)+chats/chat_[^/]+/", "")).unionByName(moves).groupBy("file").agg(F.collect_set(F.struct("url", "new")).alias("m"))
+    # references of the pages as the standalone step leaves them; shared files only if the pages named them before it
+    after = localize(line_rows(text.select("file", "text")), files, root).join(pages.select("file", "chat_id"), "file")
+    known = moves.filter("shared").select("chat_id", "target").distinct()
+    after = after.filter("not shared").unionByName(after.filter("shared").join(known, ["chat_id", "target"], "left_semi").select(after.columns))
+    maps = after.groupBy("file").agg(F.collect_list(F.struct(*CHANGE)).alias("m"))
     page = text.join(maps, "file", "left").join(chats.select("chat_id", "dst_root"), "chat_id")
-    page = page.select(F.lit(3).alias("rank"), F.lit("rewrite").alias("action"), F.col("file").alias("src"), F.concat("dst_root", F.lit("/"), S.basename(F.col("file"))).alias("dst"), apply_rewrites("text", "m").alias("payload"))
+    page = page.select(F.lit(3).alias("rank"), F.lit("rewrite").alias("action"), F.col("file").alias("src"), F.concat("dst_root", F.lit("/"), S.basename(F.col("file"))).alias("dst"), apply_changes(F.col("text"), F.col("m"), True).alias("payload"))
     mark = marker_plan(chats.select("dst_root", "chat_id"), root, created)
     return own.unionByName(assets).unionByName(media).unionByName(page).unionByName(mark)
 
@@ -191,21 +225,12 @@ def rename_plan(folders: DataFrame, existing: DataFrame, which: str = "all") ->
     return x.join(existing.select(F.col("path").alias("dst")), "dst", "left_anti").select(F.lit(1).alias("rank"), F.lit("rename").alias("action"), "src", "dst", F.lit(None).cast("string").alias("payload"))
 
 
-def backfill_plan(files: DataFrame, created: str) -> DataFrame:
-    """Markers for the range folders of a split that look like single-chat exports and have none."""
+def backfill_plan(files: DataFrame, created: str, root: str) -> DataFrame:
+    """Markers for the range folders of a split (root/chat/range) that look like single-chat exports and have none."""
     from ..operators.tree import html_export_roots
 
     roots = html_export_roots(files).filter("kind = 'html_single_chat_export'")
-    is_range = S.basename(F.col("path")).rlike(r"^[^/]+__[^/]+$")
+    is_range = S.basename(F.col("path")).rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}-\d{2}-\d{2}Z__\d{4}-\d{2}-\d{2}T\d{2}-\d{2}-\d{2}Z$") & (S.dirname(S.dirname(F.col("path"))) == root.rstrip("/"))
     chat = S.basename(S.dirname(F.col("path")))
     payload = F.to_json(F.struct(F.lit("archive_lens").alias("tool"), F.lit("html_single_chat_export_converted").alias("kind"), chat.alias("chat_name"), F.struct(F.lit("html_multi_chat_export").alias("kind"), F.lit(None).cast("string").alias("export_root"), F.lit(None).cast("string").alias("chat_id")).alias("converted_from"), F.lit(created).alias("created_utc"), F.lit("backfilled").alias("note")), {"ignoreNullFields": "false"})
     return roots.filter(is_range).select(F.lit(1).alias("rank"), F.lit("marker").alias("action"), F.lit(None).cast("string").alias("src"), F.concat("path", F.lit("/" + K.MARKER_NAME)).alias("dst"), payload.alias("payload"))
-
-
-def statistics(plan: DataFrame) -> DataFrame:
-    return plan.groupBy("action").agg(F.count("*").alias("steps"))
-
-
-def running_number(df: DataFrame, *order) -> DataFrame:
-    """Rows numbered from 1 in order; for short lists to show (one task numbers them)."""
-    return df.withColumn("n", F.row_number().over(Window.orderBy(*order)))

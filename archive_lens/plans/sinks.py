@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def _write(dst: str, text: str) -> None:
     os.makedirs(os.path.dirname(dst), exist_ok=True)
@@ -32,6 +34,10 @@ def step(action: str, src: str | None, dst: str, payload: str | None) -> str:
     try:
         if action == "copy":
             _copy(src, dst)
+        elif action == "copy_tree":
+            for at, _, names in os.walk(src):
+                for name in names:
+                    _copy(os.path.join(at, name), os.path.join(dst, os.path.relpath(os.path.join(at, name), src)))
         elif action in ("rewrite", "marker"):
             _write(dst, payload)
         elif action == "rename":
@@ -56,10 +62,9 @@ def execute(plan: DataFrame, dry_run: bool = True) -> DataFrame:
     """(action, dst, outcome) of every step; by rank, each rank done before the next. Dry: the plan as it would run."""
     if dry_run:
         return plan.select("action", "dst", F.lit("planned").alias("outcome"))
-    held = plan.persist()
+    held = materialize(plan, "plan")  # steps change what a plan was made from: it is never computed again
     out = None
     for r in sorted(x["rank"] for x in held.select("rank").distinct().collect()):  # the few ranks of a plan
-        done = held.filter(F.col("rank") == r).mapInArrow(_run, "action string, dst string, outcome string").persist()
-        done.count()
+        done = materialize(held.filter(F.col("rank") == r).mapInArrow(_run, "action string, dst string, outcome string"), "outcomes")
         out = done if out is None else out.unionByName(done)
     return out if out is not None else plan.select("action", "dst", F.lit("planned").alias("outcome"))

@@ -210,9 +210,11 @@ def q_scope_media(spark, sf_dir):
     return resolved(spark, sf_dir, scope="media").groupBy("status").agg(F.count("*").alias("refs"))
 
 
-@query(f"with {STATUS}, b as (select min(file) as first_bad from status where status in ('missing', 'outside')) select status, count(*) as refs from status, b where first_bad is null or file <= first_bad group by status")
+@query(f"with {STATUS}, b as (select min(file) as first_bad from (select file from status where status in ('missing', 'outside') union all select min(file) from status)) select status, count(*) as refs from status, b where file <= first_bad group by status")
 def q_fail_fast(spark, sf_dir):
-    return resolve.fail_fast(resolved(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("refs"))
+    out = resolved(spark, sf_dir)
+    first = out.agg(F.min("file").alias("file"))  # a leftover of a split in the first file stops the check there
+    return resolve.fail_fast(out, first).groupBy("status").agg(F.count("*").alias("refs"))
 
 
 @query(f"with {REFS} select file, line_no, url from refs where pass < 2 and (starts_with(lower(trim(url)), 'tg:') or starts_with(lower(trim(url)), 'https:'))")
@@ -312,12 +314,6 @@ def q_bad_date_abort(spark, sf_dir):
     return all_lines.join(stops, "file", "left").select("file", "lines", "marks", F.when(F.col("s"), F.col("lines")).otherwise(F.lit(0)).cast("long").alias("stopped"))
 
 
-@query("select conv_id, count(*) as messages, min(turn) as first_turn, max(turn) as last_turn, conv_id % 10 as export from conversations group by conv_id")
-def q_conversation_chats(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    return c.groupBy("conv_id").agg(F.count("*").alias("messages"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn")).withColumn("export", F.col("conv_id") % 10)
-
-
 # SQLite-shaped reports: events as messages, customers as users, suppliers as chats.
 
 MESSAGES = "case when user_id % 7 = 0 then null when user_id % 2 = 0 then 'dialog' else 'group' end as source_type, cast(user_id % 400 as string) as source_id, cast(1500000000 + event_id as string) as time"
@@ -361,10 +357,21 @@ def q_name_lookup(spark, sf_dir):
     return P.first_name_found(wanted, a, b)
 
 
-@query("with w as (select distinct user_id % 400 as id from events where user_id is not null) select id from w where id not in (select c_custkey from customer)")
+@query("with w as (select distinct user_id % 400 as id from events where user_id is not null) select id from w where id not in (select c_custkey from customer where c_custkey % 3 <> 0)")
 def q_ids_not_found(spark, sf_dir):
     w = table(spark, sf_dir, "events").select((F.col("user_id") % 400).alias("id")).filter("id is not null").distinct()
-    return w.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), "id", "left_anti")
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).alias("name"))
+    return P.first_name_found(w, a).filter("name is null").select("id")
+
+
+@query("select concat('/x/', case when n_nationkey % 2 = 0 then concat('chats/chat_', n_nationkey, '/messages.html') else concat('files/dialogs/chat_', n_nationkey, '_p1.html') end) as file, case when n_nationkey % 4 = 0 then n_name when n_nationkey % 2 = 1 and n_nationkey % 3 = 0 then lower(n_name) end as name from nation")
+def q_chat_names(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").withColumn("k", F.col("n_nationkey").cast("string"))
+    chat = F.concat(F.lit("chat_"), "k")
+    rows = n.select(F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("/x/chats/"), chat, F.lit("/messages.html"))).otherwise(F.concat(F.lit("/x/files/dialogs/"), chat, F.lit("_p1.html"))).alias("file"))
+    titles = n.filter("n_nationkey % 4 = 0").select(chat.alias("chat_id"), F.col("n_name").alias("name"))
+    dialogs = n.filter("n_nationkey % 3 = 0").select(F.col("n_nationkey").cast("long").alias("id"), F.lower("n_name").alias("name"))
+    return P.with_chat_names(rows, titles, dialogs)
 
 
 # JSON-shaped reports.
@@ -631,21 +638,72 @@ def q_rename_plan(spark, sf_dir):
 @query("select concat('/q/', s_name, '/2020-01-01T00-00-00Z__2020-02-01T00-00-00Z/.archive_lens_export_meta.json') as dst, s_name as chat_name from supplier where s_suppkey % 3 <> 0")
 def q_backfill_plan(spark, sf_dir):
     names = F.when(F.col("s_suppkey") % 3 == 0, F.array(*map(F.lit, ("messages.html", "css", "js", K.MARKER_NAME)))).otherwise(F.array(*map(F.lit, ("messages.html", "css", "js"))))
-    f = table(spark, sf_dir, "supplier").withColumn("name", F.explode(names)).select(F.concat(F.lit("/q/"), "s_name", F.lit("/2020-01-01T00-00-00Z__2020-02-01T00-00-00Z")).alias("dir"), "name")
+    folders = ("2020-01-01T00-00-00Z__2020-02-01T00-00-00Z", "unknown__unknown", "a__b", "deep/2020-01-01T00-00-00Z__2020-02-01T00-00-00Z")  # the first alone is a split's range
+    f = table(spark, sf_dir, "supplier").withColumn("name", F.explode(names)).withColumn("folder", F.explode(F.array(*map(F.lit, folders))))
+    f = f.select(F.concat(F.lit("/q/"), "s_name", F.lit("/"), "folder").alias("dir"), "name")
     f = f.withColumn("path", F.concat_ws("/", "dir", "name")).withColumn("is_dir", F.col("name").isin("css", "js"))
-    return rewrites.backfill_plan(f, "2024-01-01T00:00:00+00:00").select("dst", F.get_json_object("payload", "$.chat_name").alias("chat_name"))
-
-
-@query("select n_nationkey, n_name from nation where n_regionkey in (select r_regionkey from region where r_name in ('ASIA', 'EUROPE'))")
-def q_split_filter(spark, sf_dir):
-    want = table(spark, sf_dir, "region").filter(F.col("r_name").isin("ASIA", "EUROPE")).select(F.col("r_regionkey").alias("n_regionkey"))
-    return table(spark, sf_dir, "nation").join(want, "n_regionkey", "left_semi").select("n_nationkey", "n_name")
+    return rewrites.backfill_plan(f, "2024-01-01T00:00:00+00:00", "/q").select("dst", F.get_json_object("payload", "$.chat_name").alias("chat_name"))
 
 
 @query("select n_nationkey, n_regionkey % 2 = 0 as has_tables from nation")
 def q_table_subset(spark, sf_dir):
-    have = F.when(F.col("n_regionkey") % 2 == 0, F.array(*map(F.lit, ("users", "x", "messages", "chats")))).otherwise(F.array(F.lit("users")))
-    return table(spark, sf_dir, "nation").select("n_nationkey", (F.size(F.array_except(F.array(*map(F.lit, K.REQUIRED_TABLES)), have)) == 0).alias("has_tables"))
+    have = {0: ["users", "x", "messages", "chats"], 1: ["users"]}
+    told = spark.createDataFrame([(k, P.has_tables(v)) for k, v in have.items()], "k int, has_tables boolean")
+    return table(spark, sf_dir, "nation").withColumn("k", (F.col("n_regionkey") % 2).cast("int")).join(told, "k").select("n_nationkey", "has_tables")
+
+
+EXPORTS = "n as (select n_nationkey as n, n_regionkey as r, concat('/e', n_regionkey) as root, concat('chat_', n_nationkey) as chat from nation)"
+
+
+def exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An inventory: regions of even number as multi-chat exports with a chat a nation, the others as single chats."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("r"), F.concat(F.lit("/e"), F.col("n_regionkey").cast("string")).alias("root"), F.concat(F.lit("chats/chat_"), F.col("n_nationkey").cast("string")).alias("chat"))
+    entry = lambda p, d=False: F.struct(p.alias("p"), F.lit(d).alias("is_dir"))
+    own = F.when(F.col("r") % 2 == 0, F.array(entry(F.lit("export_results.html")), entry(F.lit("chats"), True))).otherwise(F.array(entry(F.lit("messages.html")), entry(F.lit("css"), True), entry(F.lit("js"), True)))
+    pages = F.array(entry(F.col("chat"), True), *(entry(F.concat("chat", F.lit(x))) for x in ("/messages.html", "/messages2.html", "/photos.html")))
+    f = n.select("root", F.explode(F.concat(own, pages)).alias("e")).select(F.concat_ws("/", "root", "e.p").alias("path"), "e.is_dir").distinct()
+    return f.select("path", S.dirname(F.col("path")).alias("dir"), S.basename(F.col("path")).alias("name"), "is_dir")
+
+
+@query(f"with {EXPORTS} select root, 'html_multi_chat_export' as kind, chat, concat(root, '/chats/', chat, '/', p) as path from n, (values ('messages.html'), ('messages2.html')) t(p) where r % 2 = 0 union all select distinct root, 'html_single_chat_export', '', concat(root, '/messages.html') from n where r % 2 = 1")
+def q_message_pages(spark, sf_dir):
+    f = exports(spark, sf_dir)
+    return tree.message_pages(f, tree.html_export_roots(f))
+
+
+@query(f"with {EXPORTS} select root as path, count(*) as chats from n where r % 2 = 0 group by root")
+def q_chat_folder_counts(spark, sf_dir):
+    f = exports(spark, sf_dir)
+    return tree.chat_folder_counts(f, tree.html_export_roots(f))
+
+
+@query(f"with {EXPORTS}, p as (select distinct path from (select concat(root, '/export_results.html') as path from n where r % 2 = 0 union all select concat(root, '/messages.html') from n where r % 2 = 1 union all select concat(root, '/chats/', chat, '/', x) from n, (values ('messages.html'), ('messages2.html'), ('photos.html')) t(x))) select path, row_number() over (order by path) as n from p")
+def q_file_order(spark, sf_dir):
+    paths = [r["path"] for r in tree.html_files(exports(spark, sf_dir)).select("path").collect()]  # a short list, in the order that is shown
+    return spark.createDataFrame([(p, n) for n, p in enumerate(paths, 1)], "path string, n long")
+
+
+PAGE = "concat('<a href=\"{h}\"><video poster=\"../../shared/f ', s_suppkey, '.jpg\">', chr(10), '<A HREF=\"../../shared/f ', s_suppkey, '.jpg\">', chr(13), chr(10), '<i data=\"url({h})\">', chr(10), '<img src = \"{h}\"> src=', chr(10), '<img src=\"photos/p.jpg\">')"
+SHARED, LOCAL = "../../shared/f ', s_suppkey, '.jpg", "media/shared/f%20', s_suppkey, '.jpg"
+
+
+@query(f"select concat('/m/chats/chat_', s_suppkey, '/messages.html') as file, {PAGE.format(h=LOCAL)} as text, 4 as rewrites from supplier where s_suppkey % 3 <> 0")
+def q_localize_page(spark, sf_dir):
+    x = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "concat('/m/chats/chat_', s_suppkey) as chat", PAGE.format(h=SHARED) + " as text")
+    texts = x.select(F.concat("chat", F.lit("/messages.html")).alias("file"), "text")
+    files = x.filter("s_suppkey % 3 <> 0").select(F.concat(F.lit("/m/shared/f "), F.col("s_suppkey").cast("string"), F.lit(".jpg")).alias("path")).union(x.select(F.concat("chat", F.lit("/photos/p.jpg")))).withColumn("is_dir", F.lit(False))
+    out = rewrites.rewritten(texts, rewrites.localize(lines(texts), files, "/m"), narrow=True)
+    return out.select("file", F.col("new_text").alias("text"), F.col("rewrites").cast("int").alias("rewrites"))
+
+
+@query("select concat('/s/c/messages', s_suppkey, '.html') as file, concat('../../chats/chat_', s_suppkey, '/files/a ', s_suppkey, '.txt') as url, concat('media/chats/chat_', s_suppkey, '/files/a%20', s_suppkey, '.txt') as new, concat('/m/chats/chat_', s_suppkey, '/files/a ', s_suppkey, '.txt') as copy_from, concat('/s/c/media/chats/chat_', s_suppkey, '/files/a ', s_suppkey, '.txt') as copy_to from supplier where s_suppkey % 2 = 0 union all select concat('/s/c/messages', s_suppkey, '.html'), concat('files/b#', s_suppkey, '.txt'), concat('files/b%23', s_suppkey, '.txt'), null, null from supplier")
+def q_fix_in_place(spark, sf_dir):
+    x = table(spark, sf_dir, "supplier").withColumn("k", F.col("s_suppkey").cast("string"))
+    old = F.concat(F.lit("chats/chat_"), "k", F.lit("/files/a "), "k", F.lit(".txt"))
+    line = F.concat(F.lit('<a href="../../'), old, F.lit('"> <a href="files/b#'), "k", F.lit('.txt"> <A HREF="files/b#0.txt">'))
+    page = x.select(F.concat(F.lit("/s/c/messages"), "k", F.lit(".html")).alias("file"), F.lit(1).alias("line_no"), F.regexp_replace(line, " <A HREF.*", "").alias("line"))
+    files = x.filter("s_suppkey % 2 = 0").select(F.concat(F.lit("/m/"), old).alias("path")).union(x.select(F.concat(F.lit("/s/c/files/b#"), "k", F.lit(".txt")))).withColumn("is_dir", F.lit(False))
+    return rewrites.fix_in_place(page, files, "/s/c", "/m").select("file", "url", "new", "copy_from", "copy_to")
 
 
 @query("select n_nationkey, case when n_nationkey % 2 = 0 then concat(n_name, '%20x|', n_name, ' x') else n_name end as variants from nation")
