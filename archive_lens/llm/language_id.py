@@ -107,7 +107,8 @@ def train(docs: DataFrame, training: Column) -> Model:
     df = total(rows.select("text"), lambda b: sum(((c > 0).sum(axis=0) for _, _, c in parts(b)), np.zeros(DIMENSIONS)), DIMENSIONS)
     model.idf = np.log((1 + sum(count.values())) / (1 + df)) + 0.1
     share = F.coalesce(*[F.when(F.col("lang") == x, min(1.0, SAMPLE / n)) for x, n in count.items()])
-    chosen = rows.filter(F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1_000_000)) < share * 1_000_000)
+    # by row, so that a doc_id that repeats is no more than its rows; rare languages are taken whole
+    chosen = rows.filter(F.pmod(F.xxhash64(F.lit(9), "doc_id", "text", F.monotonically_increasing_id()), F.lit(1_000_000)) < share * 1_000_000)
 
     def sample(batches):
         for b in batches:
@@ -133,6 +134,8 @@ def train(docs: DataFrame, training: Column) -> Model:
         for lo, hi, c in parts(b):
             v = vectors(c, model.idf)
             s = np.where(model.owner[None, :] == lang[lo:hi, None], v @ model.centroids.T, -2)
+            has = s.max(axis=1) > -2  # the sample held a document of the language
+            s, v = s[has], v[has]
             own = s.argmax(axis=1)
             for i in np.unique(own):
                 out[i] += v[own == i].sum(axis=0)
