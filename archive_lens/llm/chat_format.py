@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -67,13 +68,12 @@ def mask(offsets: np.ndarray, spans: np.ndarray) -> np.ndarray:
 
 def masked_spans(offsets: np.ndarray, under: np.ndarray) -> list[tuple[int, int]]:
     """Stretches of text that the tokens under the mask cover."""
-    out: list[tuple[int, int]] = []
-    for a, b in offsets[under].tolist():
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+    a, b = offsets[under].T
+    if not len(a):
+        return []
+    b = np.maximum.accumulate(b)  # tokens of one character share its place
+    first = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
+    return list(zip(a[first].tolist(), b[np.append(first[1:], len(b)) - 1].tolist(), strict=True))
 
 
 def read_back(formatted: str) -> list[tuple[str, str]]:
@@ -98,7 +98,7 @@ def format_one(turns: list[tuple[str, str]], tokenizer, learned: tuple[str, ...]
     """(text, ids, offsets, mask) of one conversation."""
     text, spans = render(turns, learned)
     e = tokenizer.encode(text, add_special_tokens=False)
-    offsets = np.array(e.offsets, np.int64).reshape(-1, 2)
+    offsets = np.fromiter(chain.from_iterable(e.offsets), np.int64).reshape(-1, 2)
     return text, e.ids, offsets, mask(offsets, spans)
 
 
@@ -112,11 +112,13 @@ def _format(path: str, learned: tuple[str, ...]):
 
         def done():
             text, ids, offsets, under = format_one(turns, tokenizer, learned)
-            return conv, text, ids, offsets[:, 0].tolist(), offsets[:, 1].tolist(), under.tolist()
+            return conv, text, np.array(ids, np.int32), offsets[:, 0], offsets[:, 1], under
 
         def table(rows):
-            kinds = (pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_()))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["conv_id", "formatted", "ids", "starts", "ends", "loss_mask"])
+            cols = list(zip(*rows, strict=True))
+            at = pa.array(np.cumsum([0, *map(len, cols[2])]), pa.int32())
+            lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(c), k)) for c, k in zip(cols[2:], (pa.int32(), pa.int32(), pa.int32(), pa.bool_()), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), *lists], ["conv_id", "formatted", "ids", "starts", "ends", "loss_mask"])
 
         size = 0
         for b in batches:
@@ -148,10 +150,12 @@ def format_chats(chats: DataFrame, tokenizer: str, learned: tuple[str, ...] = LE
 def _digest(batches):
     for b in batches:
         rows = []
-        for c, text, s, e, m in zip(*(b.column(x).to_pylist() for x in ("conv_id", "formatted", "starts", "ends", "loss_mask")), strict=True):
-            turns = read_back(text)
-            offsets = np.array([s, e], np.int64).T.reshape(-1, 2)
-            loss = "".join(unescape(text[a:z]) for a, z in masked_spans(offsets, np.array(m, bool)))
+        at = b.column("starts").offsets.to_numpy()
+        at = at - at[0]
+        starts, ends, masks = (b.column(x).flatten().to_numpy(zero_copy_only=False) for x in ("starts", "ends", "loss_mask"))
+        for i, (c, text) in enumerate(zip(b.column("conv_id").to_pylist(), b.column("formatted").to_pylist(), strict=True)):
+            turns, own = read_back(text), slice(at[i], at[i + 1])
+            loss = "".join(unescape(text[a:z]) for a, z in masked_spans(np.stack([starts[own], ends[own]], axis=1), masks[own].astype(bool)))
             told = "".join(f"{r}\n{t}\n" for r, t in turns)
             rows.append((c, len(turns), hashlib.sha256(told.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
         if rows:
