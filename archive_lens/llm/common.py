@@ -24,3 +24,11 @@ def partitions(spark: SparkSession) -> int:
 def documents(df: DataFrame) -> DataFrame:
     """doc_id and text alone: what an operator reads, whatever other columns there are."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def spare(df: DataFrame) -> str:
+    """A beginning of column names that none of df's has."""
+    p = "__"
+    while any(c.lower().startswith(p) for c in df.columns):
+        p += "_"
+    return p

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, release
-from .common import LEAST
+from .common import LEAST, spare
 from .graph import components, labels
 from .kernels import U, Words, buffers, gram_hashes, mix, steps
 
@@ -381,7 +381,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, trees: int = TREES) -> DataFrame:
     """One row of docs of each component, with all its columns."""
-    kept = _placed(docs, k, num, den, trees).filter("kept").select("__id", "__hash").distinct()
-    key = row_key(docs)
-    rows = docs.select("*", *key).join(kept.hint("merge"), ["__id", "__hash"], "left_semi")
-    return rows.dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    p = spare(docs)
+    kept = _placed(docs, k, num, den, trees).filter("kept").select(F.col("__id").alias(p + "id"), F.col("__hash").alias(p + "hash")).distinct()
+    key = [c.alias(p + n) for c, n in zip(row_key(docs), ("id", "hash"), strict=True)]
+    rows = docs.select("*", *key).join(kept.hint("merge"), [p + "id", p + "hash"], "left_semi")
+    return rows.dropDuplicates([p + "id", p + "hash"]).select(*[f"`{c}`" for c in docs.columns])

@@ -14,7 +14,7 @@ documents share costs one window a task), one of the word ranges to remove, and
 Defined results: null or blank text has no words and nothing is removed. Rows with equal doc_id and equal text are one
 document, each copy of the row gets the same result; equal doc_id and another text: ordered by a hash of the text. A null
 doc_id is smaller than all others. Documents shorter than the window keep all words. Extra columns are passed through
-by remove_repeats(); names clash with none, as helper columns are dropped by prefix "__".
+by remove_repeats(); helper columns and results begin with what no column of the input begins with (common.spare).
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LEAST, partitions
+from .common import LEAST, partitions, spare
 from .kernels import U, Words, buffers, gram_hashes, mix, steps
 
 ROUNDS = 6
@@ -318,7 +318,7 @@ def _covered(n: int, ranges, window: int) -> np.ndarray:
     return np.cumsum(diff[:-1]) > 0
 
 
-def _apply(window: int):
+def _apply(window: int, p: str):
     def one(text: str | None, ranges):
         words = (text or "").encode().split()
         if ranges is None or not len(ranges):
@@ -328,25 +328,27 @@ def _apply(window: int):
 
     def run(frames):
         for f in frames:
-            got = [one(t, r) for t, r in zip(f["text"], f["__ranges"], strict=True)]
-            f = f.drop(columns=["__ranges"])
-            f["__kept"] = pd.array([x[0] for x in got], dtype=object)
-            f["__n_words"] = np.array([x[1] for x in got], np.int64)
-            f["__n_removed"] = np.array([x[2] for x in got], np.int64)
+            got = [one(t, r) for t, r in zip(f["text"], f[p + "ranges"], strict=True)]
+            f = f.drop(columns=[p + "ranges"])
+            f[p + "kept"] = pd.array([x[0] for x in got], dtype=object)
+            f[p + "n_words"] = np.array([x[1] for x in got], np.int64)
+            f[p + "n_removed"] = np.array([x[2] for x in got], np.int64)
             yield f
 
     return run
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, targets: int | None = None) -> DataFrame:
-    """docs with doc_id and text, and with __kept (words that stay, joined by a space), __n_words and __n_removed."""
+    """docs with doc_id and text, and, each after spare(docs), kept (words that stay, joined by a space), n_words, n_removed."""
     targets = targets or 4 * partitions(docs.sparkSession)
-    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))).withColumn("__hash", F.xxhash64("text"))
-    packed = keyed.select("__id", "__hash", "text").mapInArrow(_find(targets, window), PACKED)
-    ranges = packed.groupBy("target").applyInArrow(_decide, RANGES).groupBy("__id", "__hash").agg(F.collect_list("__ranges").alias("__ranges"))
-    joined = keyed.join(ranges, ["__id", "__hash"], "left").select(*docs.columns, "__ranges")
+    p = spare(docs)
+    keyed = docs.withColumn(p + "id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))).withColumn(p + "hash", F.xxhash64("text"))
+    packed = keyed.select(F.col(p + "id").alias("__id"), F.col(p + "hash").alias("__hash"), "text").mapInArrow(_find(targets, window), PACKED)
+    ranges = packed.groupBy("target").applyInArrow(_decide, RANGES).groupBy("__id", "__hash").agg(F.collect_list("__ranges").alias(p + "ranges"))
+    ranges = ranges.select(F.col("__id").alias(p + "id"), F.col("__hash").alias(p + "hash"), p + "ranges")
+    joined = keyed.join(ranges, [p + "id", p + "hash"], "left").select(*[f"`{c}`" for c in docs.columns], p + "ranges")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInPandas(_apply(window), f"{kinds}, __kept string, __n_words long, __n_removed long")
+    return joined.mapInPandas(_apply(window, p), f"{kinds}, {p}kept string, {p}n_words long, {p}n_removed long")
 
 
 def digest(docs: DataFrame, window: int = 20) -> DataFrame:

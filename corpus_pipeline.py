@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archive_lens.llm import decontamination, near_dedup, packing, quality, substring_dedup
-from archive_lens.llm.common import table
+from archive_lens.llm.common import spare, table
 from archive_lens.session import materialize
 
 TOKENIZER = "word_bpe_49k.json"
@@ -35,10 +35,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substring_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of WINDOW words or more that an earlier place holds are cut; a text that loses none stays as it was."""
-    out = substring_dedup.remove_repeats(docs, WINDOW)
-    cut = F.col("__n_removed") > 0
-    text = F.when(cut, F.col("__kept")).otherwise(F.col("text"))
-    return out.select(*[(text if c == "text" else F.when(cut, F.length("__kept")).otherwise(F.col(c)).cast(docs.schema[c].dataType) if c == "n_chars" else F.col(c)).alias(c) for c in docs.columns])
+    out, p = substring_dedup.remove_repeats(docs, WINDOW), spare(docs)
+    cut = F.col(p + "n_removed") > 0
+    new = {"text": F.when(cut, F.col(p + "kept")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(cut, F.length(p + "kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
