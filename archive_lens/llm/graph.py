@@ -111,7 +111,9 @@ def components(links: DataFrame) -> DataFrame:
     folder: a lost executor costs one round at most.
     """
     links = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b")
+    links = materialize(links, "links")  # what makes links and what contracts them are no two Python workers of one task
     told = materialize(links.mapInArrow(_begin, ROWS), "contracted")
+    release(links)
     rounds = [told]
     while told.filter("not done").limit(1).count():
         active = told.filter("not done").select("node", "p").repartition("node").sortWithinPartitions("node")
@@ -129,7 +131,7 @@ def components(links: DataFrame) -> DataFrame:
                 release(x)
     release(rounds[0])
     if below is None:
-        return links.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
+        return links.sparkSession.createDataFrame([], "node long, component long")
     # the root is no node of the pointers: one row more a component
     least = below.groupBy("root").agg(F.least(F.min("node"), F.col("root")).alias("component"))
     out = materialize(below.join(least.hint("merge"), "root").select("node", "component").union(least.select(F.col("root").alias("node"), "component")), "components")

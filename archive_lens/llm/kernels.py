@@ -11,7 +11,7 @@ U = np.uint64
 C1, C2, C3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Bytes of text that one vectorised step works on; a longer document is a step of its own.
-STEP = 1 << 20
+STEP = 1 << 19
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)

@@ -29,7 +29,9 @@ from .kernels import _LOWER, _SPACE, C1, C2, C3, U, Words, buffers, mix, steps
 CAPACITY = 4096
 END = 1
 #: Segments that a worker process keeps encoded.
-KNOWN = 2_000_000
+KNOWN = 500_000
+#: Segments encoded in one call: bounds what the encoder returns at once.
+ENCODED = 8192
 #: Letters, digits and symbols as the tokenizer parts them; bytes of Latin-1 letters count as letters.
 _KINDS = np.full(256, 3, np.int8)
 _KINDS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
@@ -135,7 +137,9 @@ class SegmentIds:
         h, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
         slot = self._find(h)
         if len(new := np.flatnonzero(slot < 0)):
-            self._add(h[new], [e.ids for e in self.tokenizer.encode_batch_fast(w.text(first[new]), add_special_tokens=False)])
+            for a in range(0, len(new), ENCODED):
+                part = new[a : a + ENCODED]
+                self._add(h[part], [e.ids for e in self.tokenizer.encode_batch_fast(w.text(first[part]), add_special_tokens=False)])
             slot = self._find(h)
         slot = slot[inverse.reshape(-1)]
         count = self.at[slot + 1] - self.at[slot]
