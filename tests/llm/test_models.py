@@ -1,6 +1,6 @@
 import math
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -99,6 +99,23 @@ def test_language_edges(spark):
     assert language_id.predict(df.limit(0), nobody).collect() == []
 
 
+def test_language_repeats_ties_and_names(spark):
+    rows = [(1, "the cat sat on the mat", "en"), (2, "le chat est sur la table", "fr")]
+    same = [(3, "abc def ghi", "aa"), (4, "abc def ghi", "bb")]
+    odd = [(5, "the cat " * 150_000, None), (6, "the mat", None), (6, "the mat", None), (7, "abc def", None)]
+    columns = "doc_id long, text string, lang string, v int, score string, rejected int, lang_pred string"
+    df = spark.createDataFrame([(*r, 1, "s", 2, "xx") for r in [*rows, *same, *same, *odd]], columns)
+    got = language_id.predict(df.repartition(3), language_id.train(df, F.lit(True)))
+    assert got.columns == ["doc_id", "lang_pred", "score", "rejected"]
+    by = defaultdict(set)
+    for r in got.collect():
+        by[r.doc_id].add((r.lang_pred, round(r.score, 9)))
+    assert got.count() == len(rows) + 2 * len(same) + len(odd) and all(len(x) == 1 for x in by.values())
+    lang = {d: min(x)[0] for d, x in by.items()}
+    # texts that two languages share equally go to the one that sorts first
+    assert lang == {1: "en", 2: "fr", 3: "aa", 4: "aa", 5: "en", 6: "en", 7: "aa"}
+
+
 def test_lm_base_scores(spark):
     docs = {r.doc_id: words(r.text, True) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     c = Counter()

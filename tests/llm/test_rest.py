@@ -1,7 +1,9 @@
 import hashlib
+import math
 import random
+import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -17,7 +19,7 @@ from archive_lens.llm import chat_format, decontamination, neighbours, packing
 from archive_lens.llm import queries as Q
 from archive_lens.llm.kernels import buffers
 
-from .helpers import SF
+from .helpers import LOWER, SF
 
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -81,6 +83,42 @@ def test_two_pieces_replace_the_smallest():
     assert packing.plan(counts, 10)[0] == ({6: 1, 2: 2}, 1)
 
 
+def bin_by_bin(lengths, capacity):
+    """Best-two-fit on the pieces themselves."""
+    held, out = sorted(lengths), []
+    while held:
+        own, gap = [], capacity
+        while fit := [x for x in held if x <= gap]:
+            own.append(fit[-1])
+            held.remove(fit[-1])
+            gap -= fit[-1]
+        while gap:
+            least = min(own)
+            own.remove(least)
+            held = sorted([*held, least])
+            pairs = [(a + b, -a, b) for i, a in enumerate(held) for b in [max((x for x in held[:i] + held[i + 1 :] if x <= least + gap - a), default=0)] if b]
+            if not pairs or max(pairs)[0] <= least:
+                own.append(least)
+                held.remove(least)
+                break
+            total, a, b = max(pairs)
+            for x in (-a, b):
+                own.append(x)
+                held.remove(x)
+            gap += least - total
+        out.append(sorted(own))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("capacity", [10, 20, 50])
+def test_plan_equals_packing_bin_by_bin(capacity):
+    r = random.Random(capacity)
+    for _ in range(60):
+        lengths = [r.randint(1, capacity) for _ in range(r.randint(0, 50))]
+        bins = packing.plan(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+        assert sorted(sorted(x for x, m in own.items() for _ in range(m)) for own, n in bins for _ in range(n)) == bin_by_bin(lengths, capacity)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(st.characters(blacklist_categories=("Cs",)), max_size=30), max_size=4))
 def test_segments_encode_as_the_tokenizer(xs):
@@ -208,6 +246,66 @@ def test_wand_returns_all_above_the_threshold():
                 assert want <= {i for i, _ in index.search(q, least, alive)} <= set(np.flatnonzero(s >= least - 1e-9).tolist())
 
 
+def brute_hits(docs, items, least, overlap):
+    """{(document, item): best score} by scoring every passage against every item."""
+    split = lambda t: re.findall("[0-9A-Za-z\x80-\U0010ffff]+", t.translate(LOWER))
+    runs = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
+    words = {i: split(t) for i, t in items}
+    mean = sum(map(len, words.values())) / len(items)
+    df = Counter(x for w in words.values() for x in set(w))
+    half = max(32, *map(len, words.values()))
+    out = {}
+    for i, text in items:
+        w = words[i]
+        tf = Counter(w)
+        impact = {x: math.log(1 + (len(items) - df[x] + 0.5) / (df[x] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(w) / mean)) for x, n in tf.items()}
+        whole = sum(impact.values())
+        cut = max([m.end() for m in re.finditer(r"(?i)\banswer\s*:|\?", text)], default=0)
+        q = len(split(text[:cut]))
+        q = q if 0 < q < len(w) else -(-2 * len(w) // 3)
+        sides = [runs(x, min(3, len(x))) for x in (w[:q], w[q:])]
+        for d, t in docs:
+            own = split(t or "")
+            for a in range(0, len(own), half):
+                passage = own[a : a + 2 * half]
+                score = sum(impact.get(x, 0) for x in set(passage)) / whole
+                grams = set().union(*(runs(passage, n) for n in (1, 2, 3)))
+                if score >= least and all(len(x & grams) >= overlap * len(x) for x in sides):
+                    out[d, i] = max(score, out.get((d, i), 0))
+    return out
+
+
+def test_hits_equal_brute_force(spark):
+    r = random.Random(5)
+    word = lambda: f"w{min(int(r.expovariate(0.02)), 400)}"
+    marks = ["", " ? ", " Answer: "]
+    items = [(i, " ".join(word() for _ in range(r.randrange(4, 30))) + marks[i % 3] + " ".join(word() for _ in range(r.randrange(1, 12)))) for i in range(60)]
+    docs = []
+    for d in range(120):
+        w = [word() for _ in range(r.choice([0, 3, 40, 150, 900]))]
+        for _ in range(r.randrange(3)):
+            own = re.findall(r"\w+", r.choice(items)[1])
+            rate, end = r.choice([0.85, 0.95, 1]), r.choice([len(own) - 1, len(own), len(own)])
+            kept = [x if r.random() < rate else "zz" for x in own[:end]]
+            at = r.randrange(len(w) + 1)
+            w[at:at] = kept
+        docs.append((d, " ".join(w)))
+    # columns called like the helpers of the index are not read
+    table = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in items], "item_id long, text string, shard string, n int, term int")
+    got = {(x.doc_id, x.item_id): x.score for x in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), table).collect()}
+    want = brute_hits(docs, items, decontamination.THRESHOLD, decontamination.OVERLAP)
+    assert len(want) > 40 and got == pytest.approx(want)
+
+
+def test_leaks_in_very_long_texts(spark):
+    item = " ".join(f"q{i}" for i in range(30))
+    long = "filler words " * 60_000
+    docs = spark.createDataFrame([(1, long + item + " " + long), (2, long), (3, "x" * 1_000_000)], "doc_id long, text string")
+    items = spark.createDataFrame([(10, item)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, items).collect()] == [(1, 10)]
+    assert sorted(r.doc_id for r in decontamination.drop_contaminated(docs, items).collect()) == [2, 3]
+
+
 def test_leaks_are_found(spark):
     item = " ".join(f"q{i}" for i in range(30))
     rows = [(1, "a b " * 200 + item.upper() + "! " + "c d " * 90), (2, "a b " * 300), (3, " ".join(f"q{i}" for i in range(8))), (4, None), (5, ""), (None, item), (7, item), (7, item)]
