@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, language_id, lm_scoring, near_dedup, neighbours, packing, quality, substring_dedup, toxicity
+from . import chat_format, decontamination, hard_negatives, language_id, line_dedup, lm_scoring, near_dedup, neighbours, packing, quality, substring_dedup, toxicity
 from .common import documents, fold, table
 
 
@@ -62,6 +62,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(table(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(documents(table(spark, sf_dir, "documents")))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_lm_scoring": op2_lm_scoring,
@@ -73,6 +82,8 @@ QUERIES = {
     "op8_neighbours": op8_neighbours,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 _WORDS = r"regexp_extract_all({t}, '[^\x20\x09-\x0D]+')"
@@ -105,4 +116,16 @@ gone as (select distinct doc_id, unnest(range(s, s + 20)) as i from k where n >
 each as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as i from w),
 kept as (select e.doc_id, string_agg(word, ' ' order by e.i) as text, count(*) as n from each e anti join gone g on g.doc_id = e.doc_id and g.i = e.i group by e.doc_id)
 select w.doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(kept.n, 0) as bigint) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256 from w left join kept on kept.doc_id = w.doc_id""",
+    "op11_line_dedup": """with w as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+l as (select doc_id, unnest(ls) as line, unnest(range(1, len(ls) + 1)) as i from w),
+k as (select *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from l),
+r as (select k, min(doc_id) as owner from k where length(k) >= 10 group by k having count(distinct doc_id) >= 2),
+g as (select k.*, r.owner is not null and r.owner <> doc_id as gone from k left join r on r.k = k.k)
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256 from g group by doc_id""",
+    "op12_hard_negatives": """with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as q from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, c.vec_id as other_id, a.label = c.label as same, cast(list_inner_product(a.q, c.q) as bigint) as score from v a join v c on c.vec_id <> a.vec_id where a.vec_id % 50 = 0),
+p as (select anchor_id, other_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5)
+select p.anchor_id, positive_id, cast(row_number() over (partition by p.anchor_id, positive_id order by score desc, other_id) as integer) as rank, other_id as negative_id, positive_score, score as negative_score
+  from p join s on s.anchor_id = p.anchor_id and not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score qualify rank <= 3""",
 }
