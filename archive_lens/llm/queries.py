@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, hard_negatives, language_id, line_dedup, lm_scoring, near_dedup, neighbours, packing, quality, substring_dedup, toxicity
+from . import chat_format, decontamination, hard_negatives, language_id, line_dedup, lm_scoring, near_dedup, neighbours, packing, prefix_trie, quality, substring_dedup, toxicity
+from ..session import materialize
 from .common import documents, fold, table
 
 
@@ -71,6 +72,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rebuilt = prefix_trie.with_heads(materialize(prefix_trie.sequences(table(spark, sf_dir, "conversations")), "conversations"), every=20, heads=4)
+    return prefix_trie.trie(rebuilt)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_lm_scoring": op2_lm_scoring,
@@ -84,6 +90,7 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_line_dedup": op11_line_dedup,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _WORDS = r"regexp_extract_all({t}, '[^\x20\x09-\x0D]+')"
@@ -128,4 +135,15 @@ s as (select a.vec_id as anchor_id, c.vec_id as other_id, a.label = c.label as s
 p as (select anchor_id, other_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5)
 select p.anchor_id, positive_id, cast(row_number() over (partition by p.anchor_id, positive_id order by score desc, other_id) as integer) as rank, other_id as negative_id, positive_score, score as negative_score
   from p join s on s.anchor_id = p.anchor_id and not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score qualify rank <= 3""",
+    "op13_prefix_trie": """with t as (select conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as own from conversations where conv_id is not null group by conv_id),
+h as (select conv_id, own, list_reduce(list_transform(string_split(cast(conv_id as varchar), ''), lambda s: cast(ascii(s) as bigint)), lambda c, b: list_reduce(range(0, 8), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295) as crc from t),
+r as (select h.conv_id, list_concat(coalesce(b.own, [])[1:xor(crc, 4294967295) % 4], h.own[1 + xor(crc, 4294967295) % 4:]) as ts from h left join t b on b.conv_id = h.conv_id - h.conv_id % 20),
+p as (select conv_id, d, len(ts) = d as ends, ts[1:d] as k from (select conv_id, ts, unnest(range(0, len(ts) + 1)) as d from r)),
+n as (select d, k, min(conv_id) as conv_id, count(*) as n_convs, coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (ends), '') as ends,
+  case when d = 0 then 0 else (count(*) - 1) * len(regexp_extract_all(k[d].t, '[^\x20\x09-\x0D]+')) end as saved from p group by d, k),
+c as (select d - 1 as d, k[1:d - 1] as k, count(*) as n_children from n where d > 0 group by 1, 2),
+u as (select n.*, coalesce(c.n_children, 0) as n_children from n left join c on c.d = n.d and c.k = n.k),
+a as (select k[1:e] as k, e as d, sum(saved) as saved, count(*) filter (n_children = 0) as leaves from (select *, unnest(range(0, d + 1)) as e from u) group by 1, 2)
+select u.conv_id, u.d as depth, o.conv_id as parent_conv_id, u.n_convs, u.n_children, a.leaves as n_leaves, cast(a.saved as bigint) as saved_tokens, sha256(u.ends) as ends_sha256
+  from u join a on a.d = u.d and a.k = u.k left join n o on o.d = u.d - 1 and o.k = u.k[1:u.d - 1] and u.d > 0""",
 }
