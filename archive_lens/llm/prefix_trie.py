@@ -29,12 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize, release
+from ..session import materialize
 from .kernels import C1, U, mix
 
 SEQUENCE = "conv_id long, a array<long>, b array<long>, w array<long>"
 NAMES = "conv_id long, depth int, x long, y long, px long, py long, words long, ended boolean"
-NODE = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
 NOTHING = hashlib.sha256(b"").hexdigest()
 #: The root's name.
 ROOT = 0
@@ -151,73 +150,72 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def refine(seqs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(names of every active conversation's classes, classes, (conv_id, depth, length) of where each conversation is alone)."""
-    active = materialize(seqs.select("conv_id", F.lit(ROOT).cast("long").alias("x"), F.lit(ROOT).cast("long").alias("y"), "a", "b", "w").filter("size(a) > 0"), "active")
+    """(names of every active conversation's classes, classes of two members or more, where each conversation is alone).
+
+    The last has conv_id, the depth of its first class of its own, that class's parent's name, and the length.
+    """
+    active = seqs.select("conv_id", F.lit(ROOT).cast("long").alias("x"), F.lit(ROOT).cast("long").alias("y"), "a", "b", "w").filter("size(a) > 0")
     depth, turns, names, classes, alone = 0, 1, [], [], []
     while True:
         told = materialize(active.mapInArrow(_split(depth, turns), NAMES), "names")
         by = told.groupBy("x", "y").agg(F.min("depth").alias("depth"), F.min("conv_id").alias("conv_id"), F.count("*").alias("n"), F.count_if("ended").alias("n_ended"), F.min("words").alias("words"), F.min("px").alias("px"), F.min("py").alias("py"))
         found = materialize(by, "classes")
-        single = found.filter("n = 1").groupBy("conv_id").agg(F.min("depth").alias("single"))
-        both = active.join(single.hint("merge"), "conv_id", "left")
-        after = materialize(both.filter(F.col("single").isNotNull() | (F.size("a") > turns)), "refined")
+        single = found.filter("n = 1").groupBy("conv_id").agg(F.min(F.struct("depth", "px", "py")).alias("single"))
+        after = materialize(active.join(single.hint("merge"), "conv_id", "left").filter(F.col("single").isNotNull() | (F.size("a") > turns)), "refined")
         names.append(told)
-        classes.append(found)
-        alone.append(after.filter("single is not null").select("conv_id", F.col("single").alias("depth"), (F.size("a") + depth).alias("length")))
-        release(active)
-        rest = after.filter("single is null")
+        classes.append(found.filter("n > 1"))
+        alone.append(after.filter("single is not null").select("conv_id", "single.*", (F.size("a") + depth).alias("length")))
+        rest = after.filter("single is null").drop("single")
         if not rest.limit(1).count():
             return _union(names), _union(classes), _union(alone)
-        left = rest.select("conv_id", "x", "y", "a", "b", "w").mapInArrow(_advance(turns), "conv_id long, x long, y long, a array<long>, b array<long>, w array<long>")
+        left = rest.mapInArrow(_advance(turns), "conv_id long, x long, y long, a array<long>, b array<long>, w array<long>")
         cut = [F.slice(c, turns + 1, F.greatest(F.size(c) - turns, F.lit(0))).alias(c) for c in "abw"]
-        active = materialize(left.select("conv_id", "x", "y", *cut), "active")
+        active = left.select("conv_id", "x", "y", *cut)
         depth, turns = depth + turns, 2 * turns
 
 
 def trie(seqs: DataFrame) -> DataFrame:
     """The nodes of the trie of (conv_id, a, b, w): conv_id, depth, parent_conv_id and the counts, sums and digest."""
     seqs = materialize(seqs, "sequences")
-    whole = seqs.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n"), F.count_if(F.size("a") == 0).alias("n_ended")).first()
-    names, classes, alone = refine(seqs)
-    shared = classes.filter("n > 1")
+    whole = seqs.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n")).first()
+    names, shared, alone = refine(seqs)
+    zero, root = F.lit(0).cast("long"), F.lit(ROOT).cast("long")
     # each node's own value, at its smallest member; the first node of a unary chain stands for the chain's leaf
     leaf = F.when(F.col("n") == F.col("n_ended"), 1).otherwise(0).cast("long")
-    own = shared.select("conv_id", "depth", ((F.col("n") - 1) * F.col("words")).alias("value"), leaf.alias("leaf")).unionByName(alone.select("conv_id", "depth", F.lit(0).cast("long").alias("value"), F.lit(1).cast("long").alias("leaf")))
+    own = shared.select("conv_id", "depth", ((F.col("n") - 1) * F.col("words")).alias("value"), leaf.alias("leaf")).union(alone.select("conv_id", "depth", zero, F.lit(1).cast("long")))
     own = materialize(own, "own")
-    # what each conversation that owns nodes adds to its prefixes
-    rows = names.select("conv_id", "depth", "x", "y").join(own.select("conv_id").distinct().hint("merge"), "conv_id", "left_semi").join(own.hint("merge"), ["conv_id", "depth"], "left")
-    up = Window.partitionBy("conv_id").orderBy(F.desc("depth"))
-    adds = rows.select("x", "y", F.sum("value").over(up).alias("saved"), F.sum("leaf").over(up).alias("leaves")).filter("saved > 0 or leaves > 0")
-    # sums by name: the node itself, its children, what conversations add
-    zero = lambda *cs: [F.lit(0).cast("long").alias(c) for c in cs]
-    node = F.struct("depth", "conv_id", "n", "px", "py")
-    none = F.lit(None).cast("struct<depth:int,conv_id:long,n:long,px:long,py:long>").alias("node")
-    first = classes.filter("n > 1").select("px", "py").unionAll(classes.filter("n = 1").join(alone.select("conv_id", "depth").hint("merge"), ["conv_id", "depth"], "left_semi").select("px", "py"))
-    parts = [shared.select("x", "y", node.alias("node"), *zero("children", "saved", "leaves")), first.select(F.col("px").alias("x"), F.col("py").alias("y"), none, F.lit(1).cast("long").alias("children"), *zero("saved", "leaves")), adds.select("x", "y", none, F.lit(0).cast("long").alias("children"), "saved", "leaves")]
-    sums = materialize(_union(parts).groupBy("x", "y").agg(F.max("node").alias("node"), *[F.sum(c).alias(c) for c in ("children", "saved", "leaves")]), "sums")
-    nodes = sums.filter("node is not null").select("x", "y", "node.*", "children", "saved", "leaves")
-    ended = names.filter("ended").select("x", "y", "conv_id").join(alone.select("conv_id").hint("merge"), "conv_id", "left_anti")
-    ended = ended.unionByName(seqs.filter("size(a) = 0").select(F.lit(ROOT).cast("long").alias("x"), F.lit(ROOT).cast("long").alias("y"), "conv_id"))
-    ends = materialize(ended.repartition("x", "y").sortWithinPartitions("x", "y", "conv_id").mapInArrow(_ends, "x long, y long, ends_sha256 string"), "ends")
-    # the parents of shared nodes and of the chains' first nodes; the root's id is known
-    tops = classes.filter("n = 1").join(alone.hint("merge"), ["conv_id", "depth"]).select("conv_id", "depth", "px", "py", "length")
-    below = nodes.select("conv_id", "depth", "px", "py", "n", "children", "leaves", "saved", "x", "y", F.lit(None).cast("int").alias("length")).unionByName(tops.select("conv_id", "depth", "px", "py", F.lit(1).cast("long").alias("n"), *zero("children"), F.lit(1).cast("long").alias("leaves"), *zero("saved"), F.lit(None).cast("long").alias("x"), F.lit(None).cast("long").alias("y"), "length"))
-    parents = nodes.select(F.col("x").alias("px"), F.col("y").alias("py"), F.col("conv_id").alias("up"))
-    deep = below.filter("depth > 1").join(parents.hint("merge"), ["px", "py"], "left")
-    placed = deep.unionByName(below.filter("depth = 1").withColumn("up", F.lit(whole["conv_id"]).cast("long")))
-    lone = F.explode(F.sequence("depth", "length"))
-    chains = placed.filter("length is not null").select("conv_id", "length", "up", F.col("depth").alias("top"), lone.alias("depth"))
-    last = F.col("depth") == F.col("length")
-    chains = chains.select("conv_id", "depth", F.when(F.col("depth") == F.col("top"), F.col("up")).otherwise(F.col("conv_id")).alias("parent_conv_id"), F.lit(1).cast("long").alias("n_convs"), F.when(last, 0).otherwise(1).cast("long").alias("n_children"), F.lit(1).cast("long").alias("n_leaves"), F.lit(0).cast("long").alias("saved_tokens"), F.when(last, F.sha2(F.col("conv_id").cast("string"), 256)).otherwise(NOTHING).alias("ends_sha256"))
-    told = placed.filter("length is null").join(ends.hint("merge"), ["x", "y"], "left").select("conv_id", "depth", F.col("up").alias("parent_conv_id"), F.col("n").alias("n_convs"), F.col("children").alias("n_children"), F.col("leaves").alias("n_leaves"), F.col("saved").alias("saved_tokens"), F.coalesce("ends_sha256", F.lit(NOTHING)).alias("ends_sha256"))
-    # the root: what all conversations own, its children, and the conversations without turns
-    total = own.agg(F.coalesce(F.sum("value"), F.lit(0)).alias("saved"), F.coalesce(F.sum("leaf"), F.lit(0)).alias("leaves"), F.lit(1).alias("k"))
-    at_root = lambda df: df.filter((F.col("x") == ROOT) & (F.col("y") == ROOT))
-    kids = at_root(sums).agg(F.coalesce(F.max("children"), F.lit(0)).alias("children"), F.lit(1).alias("k"))
-    digest = at_root(ends).agg(F.coalesce(F.max("ends_sha256"), F.lit(NOTHING)).alias("ends_sha256"), F.lit(1).alias("k"))
-    root = total.join(kids, "k").join(digest, "k").filter(F.lit(whole["n"] > 0))
-    root = root.select(F.lit(whole["conv_id"]).cast("long").alias("conv_id"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"), F.lit(whole["n"]).cast("long").alias("n_convs"), F.col("children").alias("n_children"), F.greatest("leaves", F.lit(1)).cast("long").alias("n_leaves"), F.col("saved").cast("long").alias("saved_tokens"), "ends_sha256")
-    return _union([told, chains, root]).select("conv_id", F.col("depth").cast("long").alias("depth"), *NODE[2:])
+    # what each conversation adds to its prefixes: the sum of its own nodes from there on
+    path = names.select("conv_id", "depth", "x", "y", zero.alias("value"), zero.alias("leaf")).union(own.select("conv_id", "depth", F.lit(None).cast("long"), F.lit(None).cast("long"), "value", "leaf"))
+    up = Window.partitionBy("conv_id").orderBy(F.desc("depth")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    adds = path.select("x", "y", F.sum("value").over(up).alias("saved"), F.sum("leaf").over(up).alias("leaves")).filter("x is not null and (saved > 0 or leaves > 0)")
+    ended = names.filter("ended").select("x", "y", "conv_id").union(seqs.filter("size(a) = 0").select(root, root, "conv_id"))
+    ends = ended.repartition("x", "y").sortWithinPartitions("x", "y", "conv_id").mapInArrow(_ends, "x long, y long, ends_sha256 string")
+    # sums by name: the node itself, its children, what conversations add, the digest
+    top = seqs.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n")).filter("n > 0")
+    row = lambda x, y, node=F.lit(None), children=zero, saved=zero, leaves=zero, sha=F.lit(None).cast("string"): [x.alias("x"), y.alias("y"), node.cast("struct<depth:int,conv_id:long,n:long,px:long,py:long>").alias("node"), children.alias("children"), saved.alias("saved"), leaves.alias("leaves"), sha.alias("ends_sha256")]
+    c = F.col
+    parts = [
+        shared.select(*row(c("x"), c("y"), node=F.struct("depth", "conv_id", "n", "px", "py"))),
+        top.select(*row(root, root, node=F.struct(F.lit(0), c("conv_id"), c("n"), F.lit(None).cast("long"), F.lit(None).cast("long")))),
+        shared.select("px", "py").union(alone.select("px", "py")).select(*row(c("px"), c("py"), children=F.lit(1).cast("long"))),
+        adds.select(*row(c("x"), c("y"), saved=c("saved"), leaves=c("leaves"))),
+        own.select(*row(root, root, saved=c("value"), leaves=c("leaf"))),
+        materialize(ends, "ends").select(*row(c("x"), c("y"), sha=c("ends_sha256"))),
+    ]
+    sums = _union(parts).groupBy("x", "y").agg(F.max("node").alias("node"), *[F.sum(k).alias(k) for k in ("children", "saved", "leaves")], F.max("ends_sha256").alias("ends_sha256"))
+    nodes = materialize(sums.filter("node is not null").select("x", "y", "node.*", "children", "saved", "leaves", "ends_sha256"), "nodes")
+    # parents of nodes and of the first nodes of unary chains; the root's id is known
+    some = nodes.select("conv_id", "depth", "px", "py", "n", "children", "saved", "leaves", "ends_sha256", F.lit(None).cast("int").alias("length"))
+    some = some.union(alone.select("conv_id", "depth", "px", "py", F.lit(1).cast("long"), zero, zero, F.lit(1).cast("long"), F.lit(None).cast("string"), "length"))
+    known = nodes.select(c("x").alias("px"), c("y").alias("py"), c("conv_id").alias("up"))
+    placed = some.filter("depth > 1").join(known.hint("merge"), ["px", "py"], "left").drop("px", "py").unionByName(some.filter("depth <= 1").drop("px", "py").withColumn("up", F.when(c("depth") == 1, F.lit(whole["conv_id"])).cast("long")))
+    lone, last = c("length").isNotNull(), c("at") == c("length")
+    each = placed.withColumn("at", F.explode(F.sequence("depth", F.coalesce("length", "depth"))))
+    return each.select(
+        "conv_id", c("at").cast("long").alias("depth"), F.when(lone & (c("at") > c("depth")), c("conv_id")).otherwise(c("up")).alias("parent_conv_id"), c("n").alias("n_convs"),
+        F.when(lone, F.when(last, 0).otherwise(1)).otherwise(c("children")).cast("long").alias("n_children"), F.greatest("leaves", F.lit(1)).cast("long").alias("n_leaves"), c("saved").alias("saved_tokens"),
+        F.when(lone & last, F.sha2(c("conv_id").cast("string"), 256)).otherwise(F.coalesce("ends_sha256", F.lit(NOTHING))).alias("ends_sha256"),
+    )
 
 
 def with_heads(seqs: DataFrame, every: int, heads: int) -> DataFrame:
