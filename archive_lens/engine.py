@@ -16,7 +16,7 @@ from .operators import resolve
 from .operators import timeline as T
 from .operators import tree
 from .plans import rewrites
-from .sources import filetree, sqlite
+from .sources import filetree, json_pieces, sqlite
 from .sources.text import lines
 
 
@@ -32,7 +32,7 @@ def texts(files: DataFrame) -> DataFrame:
 def json_part(files: DataFrame, inspect: bool = True) -> DataFrame:
     found = tree.named(files, *K.RESULT_NAMES)
     if inspect:
-        return P.json_reports(texts(found).withColumnRenamed("file", "path"))
+        return P.range_reports(P.json_item_ranges(found, json_pieces.items(json_pieces.cut(found))))
     return P.as_report(found.select(F.col("dir").alias("export_root"), F.col("path").alias("result_json"), F.lit("json").alias("fmt"), F.lit("unknown").alias("kind"), S.export_date(F.col("path")).alias("inferred_export_date")))
 
 
@@ -80,7 +80,7 @@ def sqlite_part(spark: SparkSession, files: DataFrame, inspect: bool = True, ded
 
 def discover(spark: SparkSession, root: str, inspect: bool = True, sizes: bool = True, dedupe: bool = False) -> DataFrame:
     """All backups below a folder: the report's columns and bytes."""
-    files = inventory(spark, root, ".html,result.json,results.json" if inspect else "")
+    files = inventory(spark, root, ".html" if inspect else "")
     found = json_part(files, inspect).unionByName(html_part(files, inspect))
     for one in sqlite_part(spark, files, inspect, dedupe):
         found = found.unionByName(one)

@@ -45,8 +45,34 @@ def json_chat_ranges(chats: DataFrame) -> DataFrame:
     return chats.withColumn("n", F.when(F.col("pos").isNotNull(), F.coalesce(F.size("messages"), F.lit(0)).cast("long"))).withColumn("first", F.array_min(times)).withColumn("last", F.array_max(times)).drop("messages")
 
 
+def json_item_ranges(files: DataFrame, items: DataFrame) -> DataFrame:
+    """What json_chat_ranges() tells, from the items of files (path) that were read in pieces; pos is a chat's offset.
+
+    Counts and ranges are summed where the pieces were read, so a chat of any size is no hot key. Differences by design: of
+    a member that an object names twice the last counts, but the messages of both lists do; a broken file tells what stands
+    before the break.
+    """
+    whole = items.filter(F.col("kind").isin("object", "single", "multi", "root")).groupBy("path").agg(F.bool_or(F.col("kind") == "multi").alias("multi"), F.bool_or(F.col("kind") == "single").alias("single"), F.array_sort(F.collect_set(F.when(F.col("kind") == "root", F.col("key")))).alias("keys"))
+    kind = F.when(F.col("multi"), "multi_chat_export").when(F.col("single"), "single_chat_export").otherwise("unknown")
+    exports = files.select("path").join(whole, "path", "left").select("path", kind.alias("kind"), "keys")
+    unix, iso_date = S.parse_unixtime(F.col("date_unixtime")), S.parse_iso(F.col("date"))
+    sums = items.filter("kind = 'message'").groupBy("path", "owner").agg(F.count("*").alias("n"), F.min(F.least(unix, iso_date)).alias("first"), F.max(F.greatest(unix, iso_date)).alias("last"))
+    told = lambda k: F.max_by(F.when(F.col("key") == k, F.col("id")), F.when(F.col("key") == k, F.col("at"))).alias(k)
+    named = items.filter(F.col("kind").isin("member", "root")).groupBy("path", "owner").agg(told("id"), told("name"), told("title"))
+    chats = items.filter("kind = 'chat'").select("path", F.col("at").alias("owner"), F.lit("multi_chat_export").alias("kind"))
+    chats = chats.union(items.filter("kind = 'single'").select("path", F.lit(-1).cast("long"), F.lit("single_chat_export")).distinct())
+    chats = chats.join(named, ["path", "owner"], "left").join(sums, ["path", "owner"], "left")
+    name = S.chat_name(F.col("name"), F.when(F.col("kind") == "multi_chat_export", F.col("title")), F.col("id"))
+    chats = chats.select("path", "kind", F.col("owner").alias("pos"), name.alias("name"), "id", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "first", "last")
+    return exports.join(chats, ["path", "kind"], "left").select("path", "kind", "keys", "pos", F.when(F.col("pos").isNotNull(), F.col("name")).alias("name"), "id", "n", "first", "last")
+
+
 def json_reports(exports: DataFrame) -> DataFrame:
-    c = json_chat_ranges(json_chats(exports))
+    return range_reports(json_chat_ranges(json_chats(exports)))
+
+
+def range_reports(c: DataFrame) -> DataFrame:
+    """A report for each path of json_chat_ranges() or json_item_ranges()."""
     summary = F.struct("pos", F.struct(F.col("name").alias("name"), F.col("n").alias("messages_backed_up"), iso("first").alias("first_message_utc"), iso("last").alias("last_message_utc")).alias("s"))
     g = c.groupBy("path", "kind", "keys").agg(F.count("pos").alias("chats"), F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), summary))).alias("s"))
     known = F.col("kind") != "unknown"

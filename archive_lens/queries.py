@@ -20,6 +20,8 @@ from .operators import resolve
 from .operators import timeline as T
 from .operators import tree
 from .plans import rewrites
+from .session import materialize
+from .sources import json_pieces
 from .sources.text import lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -395,6 +397,20 @@ def q_json_messages(spark, sf_dir):
     return c.select(F.col("id").cast("long").alias("conv_id"), "n", F.unix_seconds("first").alias("first"), F.unix_seconds("last").alias("last"))
 
 
+@query("select cast(conv_id as bigint) as conv_id, concat('name \"', cast(conv_id as varchar), '\\') as name, count(*) as n, least(min(1500000000 + turn * 100 + conv_id), min(1500003600 + turn * 50)) as first, greatest(max(1500000000 + turn * 100 + conv_id), max(1500003600 + turn * 50)) as last from conversations group by conv_id")
+def q_json_pieces(spark, sf_dir):
+    """Exports of a hundred conversations each, cut at bytes that have nothing to do with their content."""
+    m = F.struct(F.col("turn").cast("string").alias("id"), F.date_format(F.timestamp_seconds(1500003600 + F.col("turn") * 50), "yyyy-MM-dd'T'HH:mm:ss").alias("date"), F.expr(JSON_TIMES).alias("date_unixtime"), "role", "text")
+    chats = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(m).alias("messages"))
+    chat = F.struct(F.format_string('name "%d\\', "conv_id").alias("name"), F.col("conv_id").alias("id"), F.col("messages"))
+    exports = chats.groupBy(F.floor(F.col("conv_id") / 100).cast("string").alias("path")).agg(F.collect_list(chat).alias("list"))
+    data = exports.select("path", F.encode(F.to_json(F.struct(F.struct("list").alias("chats"))), "utf-8").alias("all"))
+    step = (F.pmod(F.xxhash64("path"), F.lit(5000)) + 100).cast("int")
+    pieces = data.withColumn("start", F.explode(F.sequence(F.lit(0), F.octet_length("all") - 1, step))).select("path", F.col("start").cast("long").alias("start"), F.substring("all", F.col("start") + 1, step).alias("data"))
+    c = P.json_item_ranges(data.select("path"), json_pieces.items(materialize(pieces, "pieces")))
+    return c.select(F.col("id").cast("long").alias("conv_id"), "name", "n", F.unix_seconds("first").alias("first"), F.unix_seconds("last").alias("last"))
+
+
 @query("select event_id, cast(epoch(date_trunc('second', ts)) as bigint) as iso, case when event_id % 4 in (0, 1) then null else event_id end as unix from events")
 def q_unix_iso(spark, sf_dir):
     e = table(spark, sf_dir, "events")
