@@ -53,13 +53,21 @@ def main(argv: list[str] | None = None) -> int:
     if o.check_links:
         options = {"scope": o.check_scope, "schemes": o.check_schemes.split(","), "allow_outside": o.check_allow_outside_root, "fail_fast": o.check_fail_fast, "most_missing": o.check_max_missing, "most_schemes": o.check_max_schemes, "legacy": o.check_legacy}
         # text is by backup, JSON of the folder as a whole
-        checks = {o.path: engine.check_links(spark, o.path, **options)} if o.json else engine.check_each(spark, o.path, **options)
+        got = engine.check_links(spark, o.path, **options) if o.json else engine.check_each(spark, o.path, **options)
+        told: dict[str, dict] = {}
+        for name, df in got.items():  # a row a backup, and the first few of each kind
+            for r in df.collect():
+                told.setdefault(r["root"] if not o.json else o.path, {}).setdefault(name, []).append({k: v for k, v in r.asDict().items() if k != "root"})
         failed = False
-        for root, got in checks.items():
-            counts = got["counters"].first().asDict()
+        for root in sorted(told, key=lambda p: (p.count("/"), p)):
+            x = told[root]
+            counts = x["counters"][0] | x.get("media", [{}])[0]
             failed |= bool(counts["missing"] or counts["outside"] or counts["leftover"])
-            told = {"counters": counts} | {k: [r.asDict() for r in got[k].collect()] for k in ("missing", "schemes", "leftovers", "buckets")}
-            print(json.dumps(told, indent=2) if o.json else "\n".join([root, *(f"  {k}: {v}" for k, v in counts.items()), *(f"  {r['status']} {r['file']}:{r['line_no']} {r['url']} {r['name'] or ''}" for r in told["missing"])]))
+            bad = sorted(x.get("missing", []), key=lambda r: (r["status"], r["n"]))
+            if o.json:
+                print(json.dumps({"counters": counts, "missing": bad} | {k: x.get(k, []) for k in ("schemes", "leftovers", "buckets")}, indent=2))
+            else:
+                print("\n".join([root, *(f"  {k}: {v}" for k, v in counts.items()), *(f"  {r['status']} {r['file']}:{r['line_no']} {r['url']} {r['name'] or ''}" for r in bad), *(f"  leftover {r['file']}:{r['line_no']} {r['url']}" for r in x.get("leftovers", []))]))
         return int(failed)
     if o.repair_html_links:
         plan = engine.repair_links(spark, o.path)

@@ -4,29 +4,32 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import constants as K
 from .functions import scalars as S
-from .functions.udfs import decode_lenient
 from .operators import refs as R
 from .operators import reports as P
 from .operators import resolve
 from .operators import timeline as T
 from .operators import tree
 from .plans import rewrites
+from .session import materialize
 from .sources import filetree, json_pieces, sqlite
 from .sources.text import lines
 
+#: What a title is looked for in: 64 Ki characters of at most four bytes.
+HEAD_BYTES = 4 << 16
 
-def inventory(spark: SparkSession, root: str, content: str = "") -> DataFrame:
-    return filetree.files(spark, os.path.abspath(root), content)
 
+def inventory(spark: SparkSession, root: str) -> DataFrame:
+    """What lies in a folder, listed once: a table that all steps of a call read. No file is opened."""
+    return materialize(filetree.files(spark, os.path.abspath(root)), "inventory")
 
-def texts(files: DataFrame) -> DataFrame:
-    """(file, text) of the files whose content was read; bytes that are no UTF-8 are left out."""
-    return files.filter("content is not null").select(F.col("path").alias("file"), decode_lenient("content").alias("text"))
+
+def html(files: DataFrame) -> DataFrame:
+    return files.filter(~F.col("is_dir") & F.lower("name").endswith(".html"))
 
 
 def json_part(files: DataFrame, inspect: bool = True) -> DataFrame:
@@ -44,11 +47,12 @@ def html_part(files: DataFrame, inspect: bool = True) -> DataFrame:
     if not inspect:
         return P.as_report(base.select(F.col("root").alias("export_root"), F.lit("html").alias("fmt"), "kind", S.export_date(F.col("root")).alias("inferred_export_date"), F.col("chats").alias("chats_backed_up")))
     pages = tree.message_pages(files, roots)
-    body = texts(files.join(pages.select("path").distinct(), "path", "left_semi"))
+    body = filetree.bodies(files.join(pages.select("path").distinct(), "path", "left_semi"))
     sums = T.page_sums(T.page_events(lines(body))).join(pages.select(F.col("path").alias("file"), "root", "chat"), "file")
     chats = T.chat_timeline(sums, "root", "chat")
     first = pages.filter(S.basename(F.col("path")) == K.SINGLE_ROOT_NAME).select(F.col("path").alias("file"), "root", "chat")
-    titles = body.join(first, "file").select("root", "chat", S.page_title(F.col("text")).alias("title"))
+    heads = filetree.bodies(files.join(first.select(F.col("file").alias("path")), "path", "left_semi"), most=HEAD_BYTES)
+    titles = heads.join(first, "file").select("root", "chat", S.page_title(F.col("text")).alias("title"))
     named = chats.join(titles, ["root", "chat"], "left").withColumn("name", F.coalesce("title", F.when(F.col("chat") != "", F.col("chat")).otherwise(S.basename(F.col("root")))))
     summary = F.struct("chat", F.struct("name", F.col("messages").alias("messages_backed_up"), P.iso("first").alias("first_message_utc"), P.iso("last").alias("last_message_utc")).alias("s"))
     lists = named.groupBy("root").agg(F.array_sort(F.collect_list(summary)).alias("s")).select("root", F.transform("s", lambda x: x["s"]).alias("chat_summaries"))
@@ -58,13 +62,11 @@ def html_part(files: DataFrame, inspect: bool = True) -> DataFrame:
 
 
 def sqlite_part(spark: SparkSession, files: DataFrame, inspect: bool = True, dedupe: bool = False) -> list[DataFrame]:
-    """A report per database that has the three tables; databases are probed one by one on the driver (a handful of files)."""
-    dbs = tree.named(files, K.DATABASE_NAME).select("path")
-    dbs = tree.canonical_databases(dbs) if dedupe else dbs
+    """A report per database that has the three tables."""
+    if dedupe:
+        files = files.join(tree.canonical_databases(tree.named(files, K.DATABASE_NAME).select("path")), "path", "left_semi")
     out = []
-    for path in sorted(r["path"] for r in dbs.collect()):
-        if not P.has_tables(sqlite.tables(path)):
-            continue
+    for path in _databases(spark, files):
         head = {"export_root": os.path.dirname(path), "result_json": path, "fmt": "sqlite", "kind": "sqlite_unofficial_backup"}
         one = spark.range(1).select(*[F.lit(v).alias(k) for k, v in head.items()], S.export_date(F.lit(path)).alias("inferred_export_date"))
         if inspect:
@@ -80,7 +82,7 @@ def sqlite_part(spark: SparkSession, files: DataFrame, inspect: bool = True, ded
 
 def discover(spark: SparkSession, root: str, inspect: bool = True, sizes: bool = True, dedupe: bool = False) -> DataFrame:
     """All backups below a folder: the report's columns and bytes."""
-    files = inventory(spark, root, ".html" if inspect else "")
+    files = inventory(spark, root)
     found = json_part(files, inspect).unionByName(html_part(files, inspect))
     for one in sqlite_part(spark, files, inspect, dedupe):
         found = found.unionByName(one)
@@ -94,58 +96,89 @@ def chat_path(file):
     return F.nullif(F.regexp_extract(file, r"^(.*/chats/chat_\d+)(?:/|$)", 1), F.lit(""))
 
 
-def check_links(spark: SparkSession, root: str, scope: str = "all", schemes: list[str] | None = None, allow_outside: bool = False, fail_fast: bool = False, most_missing: int = 200, most_schemes: int = 200, legacy: bool = False, exclude: list[str] | None = None) -> dict[str, DataFrame]:
-    """counters (one row), missing and schemes (the first of each, with their chats' names), leftovers, buckets.
+def _databases(spark: SparkSession, files: DataFrame) -> list[str]:
+    """Databases that have the three tables, probed one by one on the driver (a handful of files)."""
+    return [r["path"] for r in tree.named(files, K.DATABASE_NAME).select("path").orderBy("path").collect() if P.has_tables(sqlite.tables(r["path"]))]
+
+
+def _dialogs(spark: SparkSession, files: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, id, name): names of dialogs from the databases below each root; users before chats, the first database first."""
+    out = spark.createDataFrame([], "root string, id long, name string")
+    named = []
+    for k, db in enumerate(_databases(spark, files)):
+        above = tree.ancestor_pairs(spark.createDataFrame([(db,)], "path string")).join(roots.select(F.col("path").alias("ancestor")), "ancestor").select(F.col("ancestor").alias("root"))
+        for n, t in enumerate(("users", "chats")):
+            rows = P.names(sqlite.read(spark, db, t)).filter("name is not null")
+            named.append(rows.crossJoin(F.broadcast(above)).withColumn("k", F.lit(2 * k + n)))  # the roots above one file
+    for x in named:
+        out = out.withColumn("k", F.lit(None).cast("int")).unionByName(x) if "k" not in out.columns else out.unionByName(x)
+    return out.groupBy("root", "id").agg(F.min_by("name", F.struct("k", "name")).alias("name")) if named else out
 
-    exclude: folders below root whose pages are left to checks of their own.
+
+def check_roots(spark: SparkSession, files: DataFrame, roots: DataFrame, top: str, scope: str = "all", schemes: list[str] | None = None, allow_outside: bool = False, fail_fast: bool = False, most_missing: int = 200, most_schemes: int = 200, legacy: bool = False) -> dict[str, DataFrame]:
+    """The link checks of all roots (path) at once: every page counts for the deepest root that holds it.
+
+    files: the inventory of the folder top, which holds the roots. All results have the column root: counters (one row a
+    root, also of those without pages), missing and schemes (the first of each, with their chats' names), leftovers (the
+    first of each), buckets, media. Bodies are read once; what is kept of them are the lines that can hold a reference.
     """
-    root = os.path.abspath(root)
-    files = inventory(spark, root, ".html")
-    pages = files.filter(F.lower("name").endswith(".html") & ~F.col("is_dir"))
-    for x in exclude or []:
-        pages = pages.filter(~S.is_within(F.lit(x), F.col("path")))
-    body = texts(pages)
-    rows = lines(body)
-    multi = files.filter((F.col("dir") == root) & ((F.col("name") == K.MULTI_ROOT_NAME) | (F.col("is_dir") & (F.col("name") == "chats")))).limit(1).count() > 0
-    refs = R.classified(R.refs_by_line(rows), root, legacy)
-    out = resolve.link_status(refs, files, root, scope, allow_outside)
-    left = R.leftovers(rows) if not multi else R.leftovers(rows).limit(0)
-    out = resolve.fail_fast(out, left) if fail_fast else out
+    pages = html(files)
+    owner = tree.nearest_ancestor(pages, roots).filter("parent is not null").select("path", F.col("parent").alias("root"))
+    pages = pages.join(owner, "path")
+    hot = materialize(R.keyword_lines(lines(filetree.bodies(pages, "root"))), "keyword_lines")
+    refs = R.classified(R.all_refs(hot), F.col("root"), legacy)
+    known = files
+    if allow_outside:  # the inventory holds nothing of what lies beyond its folder
+        known = files.select("path").union(materialize(filetree.existing(resolve.beyond(refs, top), F.col("target")), "outside"))
+    out = resolve.link_status(refs, known, F.col("root"), scope, allow_outside)
+    multi = files.filter((F.col("name") == K.MULTI_ROOT_NAME) | (F.col("is_dir") & (F.col("name") == "chats"))).select(F.col("dir").alias("root")).distinct()
+    left = R.leftovers(hot).join(multi, "root", "left_anti")
+    out = materialize(resolve.fail_fast(out, left, "root") if fail_fast else out, "checked")
     bad = out.filter(F.col("status").isin("missing", "outside"))
-    seen = pages.agg(F.count("*").alias("html_files_scanned"))
-    first = body.filter(S.basename(F.col("file")) == K.SINGLE_ROOT_NAME).withColumn("chat_id", chat_path(F.col("file"))).filter("chat_id is not null")
-    titles = first.groupBy("chat_id").agg(F.min_by(S.page_title(F.col("text")), "file").alias("name"))
-    dbs = [r["path"] for r in tree.named(files, K.DATABASE_NAME).select("path").orderBy("path").collect() if P.has_tables(sqlite.tables(r["path"]))]
-    # users before chats, the first database first
-    named = [sqlite.read(spark, db, t) for db in dbs for t in ("users", "chats")]
-    dialogs = P.first_names(*named) if named else spark.createDataFrame([], "id long, name string")
+    counts = resolve.counters(out, left, "root")
+    seen = pages.groupBy("root").agg(F.count("*").alias("html_files_scanned"))
+    every = roots.select(F.col("path").alias("root")).join(counts, "root", "left").join(seen, "root", "left").na.fill(0)
+    first = pages.filter(F.col("name") == K.SINGLE_ROOT_NAME).withColumn("chat_id", chat_path(F.col("path"))).filter("chat_id is not null")
+    titles = filetree.bodies(first, "chat_id", most=HEAD_BYTES).groupBy("chat_id").agg(F.min_by(S.page_title(F.col("text")), "file").alias("name"))
+    few = R.first_of_each(bad, ["root", "status"], most_missing).select("root", "status", "n", "file", "line_no", "attr", "url", "resolved_path", "note")
+    order = Window.partitionBy("root").orderBy("file", "line_no", "idx")
     return {
-        "counters": resolve.counters(out).drop("leftover").crossJoin(F.broadcast(left.agg(F.count("*").alias("leftover")))).crossJoin(F.broadcast(seen)),
-        "missing": P.with_chat_names(R.first_of_each(bad, "status", most_missing).select("status", "n", "file", "line_no", "attr", "url", "resolved_path", "note"), titles, dialogs, chat_path),
-        "schemes": R.first_of_each(R.with_scheme(refs, schemes or []).withColumn("k", F.lit(1)), "k", most_schemes).select("n", "file", "line_no", "attr", "url"),
-        "leftovers": left,
-        "buckets": R.bucket_counts(out),
-        "media": tree.media_file_counts(files),
+        "counters": every,
+        "missing": P.with_chat_names(few, titles, _dialogs(spark, files, roots), chat_path),
+        "schemes": R.first_of_each(R.with_scheme(refs, schemes or []), ["root"], most_schemes).select("root", "n", "file", "line_no", "attr", "url"),
+        "leftovers": left.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most_missing).drop("n"),
+        "buckets": R.bucket_counts(out, "root"),
+        "media": tree.media_file_counts(files, roots),
     }
 
 
-def check_each(spark: SparkSession, root: str, **options) -> dict[str, dict[str, DataFrame]]:
-    """check_links() of every backup found below root by itself, by (depth, path); of root as a whole if there is one at most."""
+def check_links(spark: SparkSession, root: str, **options) -> dict[str, DataFrame]:
+    """check_roots() of one folder as a whole, without the column root."""
+    root = os.path.abspath(root)
+    got = check_roots(spark, inventory(spark, root), spark.createDataFrame([(root,)], "path string"), root, **options)
+    return {k: x.drop("root") for k, x in got.items()}
+
+
+def backups(files: DataFrame) -> DataFrame:
+    """(path) of the folders that hold an export of any kind."""
+    return tree.html_export_roots(files).select("path").union(tree.named(files, *K.RESULT_NAMES, K.DATABASE_NAME).select(F.col("dir").alias("path"))).distinct()
+
+
+def check_each(spark: SparkSession, root: str, **options) -> dict[str, DataFrame]:
+    """check_roots() of the backups found below root, each by itself; of root as a whole if there is one at most."""
     root = os.path.abspath(root)
     files = inventory(spark, root)
-    roots = tree.html_export_roots(files).select("path").union(tree.named(files, *K.RESULT_NAMES, K.DATABASE_NAME).select(F.col("dir").alias("path"))).distinct()
-    found = sorted((r["path"] for r in roots.collect()), key=lambda p: (p.count("/"), p))  # the backups, a handful
-    if len(found) < 2:
-        return {root: check_links(spark, root, **options)}
-    below = lambda r: [x for x in found if x.startswith(r + "/")]
-    return {r: check_links(spark, r, exclude=below(r), **options) for r in found}
+    found = materialize(backups(files), "backups")
+    if found.limit(2).count() < 2:
+        found = spark.createDataFrame([(root,)], "path string")
+    return check_roots(spark, files, found, root, **options)
 
 
 def repair_links(spark: SparkSession, root: str) -> DataFrame:
     """The plan that repairs references with an unescaped `#`."""
     root = os.path.abspath(root)
-    files = inventory(spark, root, ".html")
-    return rewrites.repair_plan(texts(files), files, root)
+    files = inventory(spark, root)
+    return rewrites.repair_plan(filetree.bodies(html(files)), files, root)
 
 
 def split(spark: SparkSession, root: str, out: str | None = None, only: list[str] | None = None, created: str = "") -> DataFrame:
@@ -156,19 +189,18 @@ def split(spark: SparkSession, root: str, out: str | None = None, only: list[str
         raise ValueError(f"no multi-chat export: {root}")
     if os.path.exists(out):
         raise FileExistsError(out)
-    files = inventory(spark, root, ".html")
+    files = inventory(spark, root)
     chat = F.nullif(F.regexp_extract(S.relative_path(F.lit(root), F.col("path")), r"^chats/(chat_[^/]*)/messages[^/]*\.html$", 1), F.lit(""))
-    body = files.withColumn("chat_id", chat).filter("chat_id is not null and not is_dir")
-    pages = body.select("chat_id", F.col("path").alias("file"), decode_lenient("content").alias("text"))
+    pages = filetree.bodies(files.withColumn("chat_id", chat).filter("chat_id is not null"), "chat_id")
     return rewrites.split_plan(files, pages, lines(pages.select("file", "text")), root, out, created, only)
 
 
 def fix_split(spark: SparkSession, chat_root: str, multi_root: str) -> DataFrame:
     """The plan that fixes an older split in place: copies to media/ and rewritten pages."""
     chat_root, multi_root = os.path.abspath(chat_root), os.path.abspath(multi_root)
-    own = inventory(spark, chat_root, ".html")
+    own = inventory(spark, chat_root)
     files = own.unionByName(inventory(spark, multi_root))
-    body = texts(own.filter((F.col("dir") == chat_root) & F.col("name").startswith("messages")))
+    body = filetree.bodies(html(own).filter((F.col("dir") == chat_root) & F.col("name").startswith("messages")))
     fixes = rewrites.fix_in_place(lines(body), files, chat_root, multi_root)
     copies = fixes.filter("copy_from is not null").select(F.lit(1).alias("rank"), F.lit("copy").alias("action"), F.col("copy_from").alias("src"), F.col("copy_to").alias("dst"), F.lit(None).cast("string").alias("payload")).distinct()
     pages = rewrites.rewritten(body, fixes, narrow=True).select(F.lit(2).alias("rank"), F.lit("rewrite").alias("action"), F.col("file").alias("src"), F.col("file").alias("dst"), F.col("new_text").alias("payload"))
@@ -178,9 +210,9 @@ def fix_split(spark: SparkSession, chat_root: str, multi_root: str) -> DataFrame
 def rename_ranges(spark: SparkSession, root: str, which: str = "all") -> DataFrame:
     """The plan that renames the range folders of a split (root/chat/range) to their pages' true range."""
     root = os.path.abspath(root)
-    files = inventory(spark, root, ".html")
+    files = inventory(spark, root)
     pages = files.filter(~F.col("is_dir") & F.col("name").rlike(r"^messages.*\.html$") & (S.depth(F.col("dir")) == len([p for p in root.split("/") if p]) + 2))
-    sums = T.page_sums(T.page_events(lines(texts(pages)))).withColumn("path", S.dirname(F.col("file")))
+    sums = T.page_sums(T.page_events(lines(filetree.bodies(pages)))).withColumn("path", S.dirname(F.col("file")))
     return rewrites.rename_plan(T.chat_timeline(sums, "path").select("path", "first", "last"), files.filter("is_dir"), which)
 
 

@@ -52,8 +52,9 @@ def css_array(text: Column) -> Column:
 
 
 def exploded(lines: DataFrame, *arrays: Column) -> DataFrame:
-    """One row a reference; all generators share one pass over the lines."""
-    return lines.select("file", "line_no", "in_css", F.explode(F.concat(*arrays)).alias("r")).select("file", "line_no", "r.*", "in_css").select(*REFS)
+    """One row a reference; all generators share one pass over the lines. Other columns are kept."""
+    other = [c for c in lines.columns if c not in ("file", "line_no", "line", "in_css")]
+    return lines.select("file", "line_no", "in_css", *other, F.explode(F.concat(*arrays)).alias("r")).select("file", "line_no", "r.*", "in_css", *other).select(*REFS, *other)
 
 
 def attribute_refs(lines: DataFrame, pattern: str = K.ATTRIBUTE) -> DataFrame:
@@ -69,9 +70,14 @@ def all_refs(lines: DataFrame) -> DataFrame:
     return exploded(lines, attribute_array(line), srcset_array(line), css_array(line))
 
 
+def keyword_lines(lines: DataFrame) -> DataFrame:
+    """The lines that can hold a reference, with in_css."""
+    return style_context(lines).filter(F.lower("line").rlike(r"href|src|poster|srcset|url\("))
+
+
 def refs_by_line(lines: DataFrame) -> DataFrame:
     """All references of (file, line_no, line); lines without any keyword are dropped before the expressions run."""
-    return all_refs(style_context(lines).filter(F.lower("line").rlike(r"href|src|poster|srcset|url\(")))
+    return all_refs(keyword_lines(lines))
 
 
 def refs_whole(texts: DataFrame) -> DataFrame:
@@ -82,18 +88,19 @@ def refs_whole(texts: DataFrame) -> DataFrame:
 def leftovers(lines: DataFrame) -> DataFrame:
     """References of message pages that still lead into another chat of a multi-chat export."""
     pages = lines.filter(S.basename(F.col("file")).startswith("messages"))
-    found = pages.select("file", "line_no", F.posexplode(all_groups(F.col("line"), K.LEFTOVER, 1, 3)).alias("idx", "m"))
-    return found.select("file", "line_no", "idx", F.lower("m.g0").alias("attr"), F.col("m.g1").alias("url"))
+    other = [c for c in lines.columns if c not in ("file", "line_no", "line", "in_css")]
+    found = pages.select("file", "line_no", *other, F.posexplode(all_groups(F.col("line"), K.LEFTOVER, 1, 3)).alias("idx", "m"))
+    return found.select("file", "line_no", "idx", F.lower("m.g0").alias("attr"), F.col("m.g1").alias("url"), *other)
 
 
-def classified(refs: DataFrame, root: str, legacy: bool = False) -> DataFrame:
-    """refs with path, skipped, media, media_class, cross_chat, bucket.
+def classified(refs: DataFrame, root: str | Column, legacy: bool = False) -> DataFrame:
+    """refs with path, skipped, media, media_class, cross_chat, bucket. root: a folder, or the column that names each row's.
 
     legacy: as an older checker has it; nothing is taken for a web host or a bare file name, only a path's head makes its
     media class, and css references outside css are of no class.
     """
     url, path = F.col("url"), F.col("path")
-    rel = S.relative_path(F.lit(root.rstrip("/")), F.col("file"))
+    rel = S.relative_path(F.lit(root.rstrip("/")) if isinstance(root, str) else root, F.col("file"))
     out = refs.withColumn("path", S.url_path(url)).withColumn("skipped", S.is_skipped(url))
     out = out.withColumn("media", S.is_media(url, path)).withColumn("media_class", F.when(F.col("media"), S.media_class(url, path)))
     if legacy:
@@ -118,11 +125,11 @@ def with_scheme(refs: DataFrame, schemes: list[str]) -> DataFrame:
     return refs.filter((F.col("pass") < 2) & hit)
 
 
-def first_of_each(rows: DataFrame, category: str, most: int) -> DataFrame:
+def first_of_each(rows: DataFrame, category: str | list[str], most: int) -> DataFrame:
     """The first rows of each category in page order (Spark limits the groups before it sorts them)."""
     order = Window.partitionBy(category).orderBy("file", "line_no", "pass", "idx", "sub")
     return rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most)
 
 
-def bucket_counts(refs: DataFrame) -> DataFrame:
-    return refs.groupBy("bucket").agg(F.count("*").alias("refs"))
+def bucket_counts(refs: DataFrame, *by: str) -> DataFrame:
+    return refs.groupBy(*by, "bucket").agg(F.count("*").alias("refs"))

@@ -137,7 +137,8 @@ def with_chat_names(rows: DataFrame, titles: DataFrame, dialogs: DataFrame, fold
     Joined to the few rows that are shown, so names are looked up for those alone.
     """
     x = rows.withColumn("chat_id", folder(F.col("file"))).withColumn("id", S.dialog_id(F.col("file")))
-    x = x.join(titles.select("chat_id", F.col("name").alias("t")), "chat_id", "left").join(dialogs.select("id", F.col("name").alias("d")), "id", "left")
+    by = ["root", "id"] if "root" in dialogs.columns else ["id"]
+    x = x.join(titles.select("chat_id", F.col("name").alias("t")), "chat_id", "left").join(dialogs.select(*by, F.col("name").alias("d")), by, "left")
     return x.withColumn("name", F.coalesce("t", "d")).select(*rows.columns, "name")
 
 

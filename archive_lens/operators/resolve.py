@@ -15,8 +15,7 @@ KEY = ["file", "line_no", "pass", "idx", "sub"]
 def lookup(rows: DataFrame, key: list[str], paths: Column, files: DataFrame) -> DataFrame:
     """(key, target, hit): for an array of absolute paths, the first that files (path) holds, else the first of all.
 
-    Only distinct paths meet the inventory; each row then takes its least position. A row stays with its own paths,
-    whatever number of rows name one path.
+    rows has each key once: what names the paths (a folder and a reference), not every place that does.
     """
     each = rows.select(*key, F.posexplode(paths).alias("pos", "target"))
     known = files.select(F.col("path").alias("target"), F.lit(True).alias("found")).distinct()
@@ -24,44 +23,70 @@ def lookup(rows: DataFrame, key: list[str], paths: Column, files: DataFrame) ->
     return best.select(*key, F.col("best.target").alias("target"), (~F.col("best.missing")).alias("hit"))
 
 
-def link_status(refs: DataFrame, files: DataFrame, root: str, scope: str = "all", allow_outside: bool = False) -> DataFrame:
-    """Classified refs with resolved_path, note and status (skipped, outside, ok or missing)."""
-    root = root.rstrip("/")
+def targets(refs: DataFrame) -> DataFrame:
+    """Classified refs with t0 and t1: the absolute paths that they may mean, as it stands and decoded; null if there is none."""
     here = S.dirname(F.col("file"))
     paths = F.transform(S.candidates(F.col("path")), lambda c: S.norm_join(here, c))
-    asked = refs.filter(~F.col("skipped") & (F.col("path") != ""))
-    found = lookup(asked.withColumn("paths", paths), KEY, F.col("paths"), files)
-    out = refs.join(found, KEY, "left")
-    hit = F.coalesce("hit", F.lit(False))
+    x = refs.withColumn("paths", F.when(~F.col("skipped") & (F.col("path") != ""), paths))
+    return x.withColumn("t0", F.try_element_at("paths", F.lit(1))).withColumn("t1", F.try_element_at("paths", F.lit(2))).drop("paths")
+
+
+def beyond(refs: DataFrame, *roots: str) -> DataFrame:
+    """(target): the distinct paths of refs that lie in none of the folders: those that no inventory of them holds."""
+    x = targets(refs).select(F.explode(F.array("t0", "t1")).alias("target")).filter("target is not null")
+    for r in roots:
+        x = x.filter(~S.is_within(F.lit(r.rstrip("/") or "/"), F.col("target")))
+    return x.distinct()
+
+
+def link_status(refs: DataFrame, files: DataFrame, root: str | Column, scope: str = "all", allow_outside: bool = False) -> DataFrame:
+    """Classified refs with resolved_path, note and status (skipped, outside, ok or missing).
+
+    A row keeps its two paths and meets the inventory twice, by equi-joins; it is neither exploded nor joined with itself.
+    A row without a path is dealt by its page, so that such rows are no hot key. files must hold what exists: with
+    allow_outside also the paths of beyond() that do.
+    """
+    root = F.lit(root.rstrip("/") or "/") if isinstance(root, str) else root
+    known = files.select(F.col("path").alias("known")).distinct()
+    spare = F.concat(F.lit("\0"), F.col("file"))
+    out = targets(refs).withColumn("k0", F.coalesce("t0", spare)).withColumn("k1", F.coalesce("t1", spare))
+    for k in ("0", "1"):
+        out = out.join(known.withColumn("hit" + k, F.lit(True)), F.col("k" + k) == F.col("known"), "left").drop("known")
+    out = out.withColumn("hit", F.coalesce("hit0", "hit1", F.lit(False))).withColumn("target", F.when(F.col("hit0").isNull() & F.col("hit1"), F.col("t1")).otherwise(F.col("t0")))
     css_off = (F.col("pass") == 2) & ~F.col("in_css")
     out_of_scope = ~F.col("media") if scope == "media" else F.lit(False)
-    none = F.col("target").isNull() | (~hit & F.col("web"))
-    within = S.is_within(F.lit(root), F.col("target"))
+    none = F.col("target").isNull() | (~F.col("hit") & F.col("web"))
+    within = S.is_within(root, F.col("target"))
     absolute = F.col("path").startswith("/")
     note = F.nullif(F.concat_ws(",", F.when(absolute, "absolute"), F.when(~within, "outside-root")), F.lit(""))
     outside = F.lit(False) if allow_outside else ~within
-    status = F.when(css_off | out_of_scope | none, "skipped").when(outside, "outside").when(hit, "ok").otherwise("missing")
+    status = F.when(css_off | out_of_scope | none, "skipped").when(outside, "outside").when(F.col("hit"), "ok").otherwise("missing")
     gone = status == "skipped"
-    return out.withColumn("status", status).withColumn("note", F.when(~gone, note)).withColumn("resolved_path", F.when(~gone, F.col("target"))).drop("target", "hit")
+    return out.withColumn("status", status).withColumn("note", F.when(~gone, note)).withColumn("resolved_path", F.when(~gone, F.col("target"))).select(*refs.columns, "status", "note", "resolved_path")
 
 
-def counters(resolved: DataFrame, leftovers: int = 0) -> DataFrame:
-    """The link check's counts, one row."""
+def counters(resolved: DataFrame, leftovers: DataFrame | None = None, *by: str) -> DataFrame:
+    """The link check's counts: one row, or one for each value of by; leftovers (by) are counted beside the references."""
     s = F.col("status")
     n = lambda c: F.count_if(c)
-    each = [F.count("*").alias("total")] + [n(s == x).alias(x) for x in ("skipped", "ok", "missing", "outside")]
+    ref = s.isNotNull()
+    each = [n(ref).alias("total")] + [n(s == x).alias(x) for x in ("skipped", "ok", "missing", "outside")]
     for kind in ("shared", "chat_local"):
         each += [n(F.col("media_class") == kind).alias(f"media_{kind}"), n((F.col("media_class") == kind) & (s == "ok")).alias(f"media_{kind}_ok")]
     each += [n(F.col("cross_chat")).alias("cross_chat"), n(F.col("cross_chat") & (s == "ok")).alias("cross_chat_ok")]
     each += [n(F.col("bucket") == b).alias(f"bucket_{b}") for b in ("non_local", "cross_chat", "media_shared", "media_chat_local", "other_local")]
-    return resolved.agg(*each).withColumn("leftover", F.lit(leftovers).cast("long"))
+    rows = resolved.select(*by, "status", "media_class", "cross_chat", "bucket")
+    if leftovers is not None:
+        rows = rows.unionByName(leftovers.select(*by), allowMissingColumns=True) if by else rows.unionByName(leftovers.select(F.lit(None).cast("string").alias("status")), allowMissingColumns=True)
+    return rows.groupBy(*by).agg(*each, n(~ref).alias("leftover"))
 
 
-def fail_fast(resolved: DataFrame, leftovers: DataFrame | None = None) -> DataFrame:
-    """The refs of the files up to and with the first (in path order) that has a problem or a leftover of a split (file)."""
-    bad = resolved.filter(F.col("status").isin("missing", "outside")).select("file")
-    bad = (bad if leftovers is None else bad.union(leftovers.select("file"))).agg(F.min("file").alias("first_bad"))
-    return resolved.crossJoin(F.broadcast(bad)).filter(F.col("first_bad").isNull() | (F.col("file") <= F.col("first_bad"))).drop("first_bad")
+def fail_fast(resolved: DataFrame, leftovers: DataFrame | None = None, *by: str) -> DataFrame:
+    """The refs of the files up to and with the first (in path order, of each value of by) that has a problem or a leftover of a split (file)."""
+    bad = resolved.filter(F.col("status").isin("missing", "outside")).select(*by, "file")
+    bad = (bad if leftovers is None else bad.union(leftovers.select(*by, "file"))).groupBy(*by).agg(F.min("file").alias("first_bad"))
+    both = resolved.join(bad, list(by), "left") if by else resolved.crossJoin(F.broadcast(bad))
+    return both.filter(F.col("first_bad").isNull() | (F.col("file") <= F.col("first_bad"))).select(*resolved.columns)
 
 
 def export_paths(url: Column, here: Column) -> Column:
@@ -76,10 +101,14 @@ def export_paths(url: Column, here: Column) -> Column:
     return F.array_distinct(F.transform(spread, lambda v: S.norm_join(here, v)))
 
 
-def resolve_in_export(refs: DataFrame, files: DataFrame, root: str, key: list[str] = KEY) -> DataFrame:
-    """(key, target): the file under root that a reference means; none in folders that are copied as a whole."""
+def resolve_in_export(refs: DataFrame, files: DataFrame, root: str) -> DataFrame:
+    """refs with target: the file under root that each means, rows without one left out; none in folders that are copied as a whole.
+
+    Looked up once for each folder and reference, however many places name it.
+    """
     root = root.rstrip("/")
-    rows = refs.filter(~S.is_skipped(F.col("url"))).withColumn("paths", export_paths(F.col("url"), S.dirname(F.col("file"))))
+    rows = refs.filter(~S.is_skipped(F.col("url"))).withColumn("here", S.dirname(F.col("file")))
     top = F.element_at(F.split(S.relative_path(F.lit(root), F.col("path")), "/"), 1)
     usable = files.filter(~F.col("is_dir") & S.is_within(F.lit(root), F.col("path")) & ~top.isin(*K.SKIP_SHARED_DIRS))
-    return lookup(rows, key, F.col("paths"), usable).filter("hit").select(*key, "target")
+    found = lookup(rows.select("here", "url").distinct(), ["here", "url"], export_paths(F.col("url"), F.col("here")), usable).filter("hit")
+    return rows.join(found.drop("hit"), ["here", "url"]).select(*refs.columns, "target")

@@ -89,10 +89,15 @@ def chat_folder_counts(files: DataFrame, roots: DataFrame) -> DataFrame:
     return multi.join(folders, "path", "left").groupBy("path", "has_chats").agg(F.count("chat").alias("n")).select("path", F.when(F.col("has_chats"), F.col("n")).alias("chats"))
 
 
-def media_file_counts(files: DataFrame) -> DataFrame:
-    """(media_files, chat_local_files) below the media folders of every folder with a message page."""
+def media_file_counts(files: DataFrame, under: DataFrame | None = None) -> DataFrame:
+    """(media_files, chat_local_files) below the media folders of every folder with a message page; by root if given roots (path)."""
     roots = chat_roots(files)
+    if under is not None:
+        roots = nearest_ancestor(roots.select(F.concat("path", F.lit("/x")).alias("path")), under).filter("parent is not null").select(F.substring("path", F.lit(1), F.length("path") - 2).alias("path"), F.col("parent").alias("root"))
     folder = F.element_at(F.split("ancestor", "/"), -1)
     up = ancestor_pairs(files.filter(~F.col("is_dir")).select("path")).withColumn("folder", folder).filter(F.col("folder").isin(*K.CHAT_LOCAL_DIRS, "media"))
-    own = up.withColumn("root", S.dirname(F.col("ancestor"))).join(roots.select(F.col("path").alias("root")), "root", "left_semi")
-    return own.agg(F.count_if(F.col("folder") == "media").alias("media_files"), F.count_if(F.col("folder") != "media").alias("chat_local_files"))
+    own = up.withColumn("at", S.dirname(F.col("ancestor"))).join(roots.withColumnRenamed("path", "at"), "at")
+    counts = [F.count_if(F.col("folder") == "media").alias("media_files"), F.count_if(F.col("folder") != "media").alias("chat_local_files")]
+    if under is None:
+        return own.agg(*counts)
+    return under.select(F.col("path").alias("root")).join(own.groupBy("root").agg(*counts), "root", "left").na.fill(0)

@@ -130,8 +130,7 @@ def localize(lines: DataFrame, files: DataFrame, root: str) -> DataFrame:
     root = root.rstrip("/")
     hot = hot_lines(R.style_context(lines))
     refs = R.attribute_refs(hot, K.ATTRIBUTE_REWRITE).unionByName(R.css_refs(hot))
-    found = resolve.resolve_in_export(refs, files, root)
-    x = refs.join(found, resolve.KEY)
+    x = resolve.resolve_in_export(refs, files, root)
     chat = S.dirname(F.col("file"))
     own = S.is_within(chat, F.col("target"))
     rel = F.when(own, S.relative_path(chat, F.col("target"))).otherwise(S.relative_path(F.lit(root), F.col("target")))

@@ -1,58 +1,104 @@
-"""A folder tree as a table: a Python data source that also sees hidden names, which Spark's own file sources skip."""
+"""A folder tree as a table, bodies of files, and whether paths exist.
+
+A Python data source lists a tree, also with hidden names, which Spark's own file sources skip. It opens no file: bodies
+are a step of their own (bodies()), asked for by those who need them, for the files that they need. Folders are on a file
+system that all workers mount.
+"""
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition, StringEndsWith, StringStartsWith
 
-SCHEMA = "path string, dir string, name string, ext string, is_dir boolean, size bigint, depth int, content binary"
+SCHEMA = "path string, dir string, name string, ext string, is_dir boolean, size bigint, depth int"
+NAMES = ["path", "dir", "name", "ext", "is_dir", "size", "depth"]
+#: Folders that are listed, at most, while the partitions are planned, and partitions that are planned for.
+PLANNED, TASKS = 2000, 64
+#: Bytes of bodies for a task, and for a batch.
+TASK_BYTES, BATCH_BYTES = 32 << 20, 8 << 20
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str, deep: bool):
-        self.path, self.deep = path, deep
+    def __init__(self, folders: list[str], deep: bool, top: bool = False):
+        self.folders, self.deep, self.top = folders, deep, top
 
 
 class FileTreeReader(DataSourceReader):
-    """One partition for the root's own entries and one for each folder right below it."""
+    """Levels of the tree are listed until one has folders enough for all tasks; each task walks its share of them.
+
+    Filters that are pushed: `path` begins with (other subtrees are not entered), and equality, membership, beginning and
+    end of any text column, and equality of is_dir.
+    """
 
     def __init__(self, options):
         self.root = os.path.abspath(options["path"])
-        self.suffixes = tuple(s for s in options.get("content", "").lower().split(",") if s)
+        self.tasks, self.planned = int(options.get("tasks", TASKS)), int(options.get("planned", PLANNED))
+        self.tests: list[tuple[str, str, object]] = []
+
+    def pushFilters(self, filters):
+        for f in filters:
+            (name, *rest), kinds = f.attribute if hasattr(f, "attribute") else ("", ""), {EqualTo: "eq", In: "in", StringStartsWith: "starts", StringEndsWith: "ends"}
+            if not rest and type(f) in kinds and name in ("path", "dir", "name", "ext", "is_dir"):
+                self.tests.append((name, kinds[type(f)], tuple(f.value) if isinstance(f, In) else f.value))
+            else:
+                yield f
+
+    def _enter(self, folder: str) -> bool:
+        """Whether anything below a folder can pass the tests."""
+        return all(folder.startswith(v) or v.startswith(folder) for name, kind, v in self.tests if name == "path" and kind in ("starts", "eq"))
+
+    def _wanted(self, row: tuple) -> bool:
+        for name, kind, v in self.tests:
+            x = row[NAMES.index(name)]
+            if not (x == v if kind == "eq" else x in v if kind == "in" else x.startswith(v) if kind == "starts" else x.endswith(v)):
+                return False
+        return True
 
     def partitions(self):
-        below = sorted(e.path for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False))
-        return [_Part(self.root, False), *(_Part(p, True) for p in below)]
+        listed, level = [], [self.root]
+        while level and len(level) < 4 * self.tasks and len(listed) + len(level) <= self.planned:
+            listed += level
+            level = [e.path for d in level for e in self._scan(d) if e.is_dir(follow_symlinks=False) and self._enter(e.path)]
+        deal = lambda xs, n: [xs[k::n] for k in range(min(n, len(xs)))]
+        shallow = [_Part(x, False) for x in deal(listed, self.tasks)]
+        shallow[0].top = True
+        return shallow + [_Part(x, True) for x in deal(sorted(level), 4 * self.tasks)]
+
+    @staticmethod
+    def _scan(folder: str):
+        try:
+            with os.scandir(folder) as it:
+                yield from it
+        except OSError:
+            return
 
     def read(self, part):
-        if part.deep:
-            yield self._row(part.path)
-            for at, dirs, files in os.walk(part.path):
-                for name in [*dirs, *files]:
-                    yield self._row(os.path.join(at, name))
-        else:
-            yield self._row(part.path)
-            for e in os.scandir(part.path):
-                if not e.is_dir(follow_symlinks=False):
-                    yield self._row(e.path)
-
-    def _row(self, path: str):
+        if part.top and self._wanted(row := self._row(self.root)):
+            yield row
+        left = list(part.folders)
+        while left:
+            for e in self._scan(left.pop()):
+                if part.deep and e.is_dir(follow_symlinks=False) and self._enter(e.path):
+                    left.append(e.path)
+                if self._wanted(row := self._row(e.path)):
+                    yield row
+
+    @staticmethod
+    def _row(path: str):
         name, is_dir = os.path.basename(path), os.path.isdir(path)
         try:
             size = os.stat(path).st_size
         except OSError:
             size = None
-        content = None
-        if not is_dir and self.suffixes and name.lower().endswith(self.suffixes):
-            with open(path, "rb") as f:
-                content = f.read()
-        return path, os.path.dirname(path), name, os.path.splitext(name)[1].lower().lstrip("."), is_dir, size, len([p for p in path.split("/") if p]), content
+        return path, os.path.dirname(path), name, os.path.splitext(name)[1].lower().lstrip("."), is_dir, size, len([p for p in path.split("/") if p])
 
 
 class FileTree(DataSource):
-    """`spark.read.format("filetree").option("content", ".html,.json").load(folder)`; content of other files stays null."""
+    """`spark.read.format("filetree").load(folder)`: a row for the folder and for all that lies below it."""
 
     @classmethod
     def name(cls):
@@ -65,6 +111,57 @@ class FileTree(DataSource):
         return FileTreeReader(self.options)
 
 
-def files(spark: SparkSession, root: str, content: str = "") -> DataFrame:
+def files(spark: SparkSession, root: str, **options) -> DataFrame:
     spark.dataSource.register(FileTree)
-    return spark.read.format("filetree").option("content", content).load(root)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("filetree").options(**options).load(root)
+
+
+def _bodies(most: int | None):
+    def run(batches):
+        for b in batches:
+            rows, texts, held = [], [], 0
+
+            def table():
+                got = b.take(pa.array(rows, pa.int64()))
+                return pa.RecordBatch.from_arrays([*got.columns, pa.array(texts, pa.string())], [*b.schema.names, "text"])
+
+            for k, path in enumerate(b.column("file").to_pylist()):
+                try:
+                    with open(path, "rb") as f:
+                        texts.append(f.read(-1 if most is None else most).decode("utf-8", "ignore"))
+                except OSError:
+                    continue  # gone since it was listed
+                rows.append(k)
+                held += len(texts[-1])
+                if held > BATCH_BYTES:
+                    yield table()
+                    rows, texts, held = [], [], 0
+            if rows:
+                yield table()
+
+    return run
+
+
+def bodies(files: DataFrame, *keep: str, most: int | None = None) -> DataFrame:
+    """(file, *keep, text) of files (path, size, is_dir): UTF-8 without the bytes that are none, the first `most` bytes only if given.
+
+    Files are dealt to tasks by a hash of their path, in as many tasks as their bytes need; a file is read by one task.
+    """
+    rows = files.filter(~F.col("is_dir")).select(F.col("path").alias("file"), *keep, "size")
+    size = F.col("size") if most is None else F.least("size", F.lit(most))
+    total = rows.agg(F.sum(size).alias("bytes"), F.count("*").alias("n")).first()
+    tasks = max(1, min(total["n"], max(-(-(total["bytes"] or 0) // TASK_BYTES), rows.sparkSession.sparkContext.defaultParallelism)))
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("file", *keep))
+    return rows.drop("size").repartition(tasks, "file").mapInArrow(_bodies(most), f"{schema}, text string")
+
+
+def _exist(batches):
+    for b in batches:
+        yield b.filter(pa.array([os.path.exists(p) for p in b.column("path").to_pylist()], pa.bool_()))
+
+
+def existing(paths: DataFrame, path: Column) -> DataFrame:
+    """(path) of the distinct paths that exist: files and folders, links followed. Probed by the executors."""
+    distinct = paths.select(path.alias("path")).filter("path is not null").distinct()
+    return distinct.repartition(int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path").mapInArrow(_exist, "path string")

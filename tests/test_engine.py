@@ -86,10 +86,54 @@ def test_check_each_backup(spark, tmp_path):
     put(tmp_path, "a/chats/chat_001/messages.html", PAGE + '<a href="photos/no.jpg">')
     put(tmp_path, "a/j/result.json", "{}")
     put(tmp_path, "a/j/x.html", '<a href="gone.pdf/x">')
-    got = {os.path.relpath(k, tmp_path): v for k, v in engine.check_each(spark, str(tmp_path)).items()}
-    assert {k: v["counters"].first()["total"] for k, v in got.items()} == {"a": 2, "a/j": 1}
-    assert [r["name"] for r in got["a"]["missing"].collect()] == ["Alice & Bob"]
-    assert got["a"]["missing"].first()["url"] == "photos/no.jpg"
+    got = engine.check_each(spark, str(tmp_path))
+    assert {os.path.relpath(r["root"], tmp_path): (r["total"], r["html_files_scanned"], r["missing"]) for r in got["counters"].collect()} == {"a": (2, 2, 1), "a/j": (1, 1, 1)}
+    missing = {os.path.relpath(r["root"], tmp_path): r for r in got["missing"].collect()}
+    assert (missing["a"]["name"], missing["a"]["url"], missing["a/j"]["url"]) == ("Alice & Bob", "photos/no.jpg", "gone.pdf/x")
+
+
+def test_one_check_of_all_backups_equals_checks_of_each(spark, tmp_path):
+    """A deeper backup's pages are not its parent's; leftovers, names and limits are each backup's own."""
+    for k in range(3):
+        at = f"b{k}"
+        put(tmp_path, f"{at}/messages.html", PAGE + f'<a href="photos/{k}.jpg"><a href="photos/no.jpg"><a href="../../chats/chat_002/x.pdf"><a href="tg://x">')
+        put(tmp_path, f"{at}/photos/{k}.jpg")
+        for d in ("css", "js"):
+            (tmp_path / at / d).mkdir()
+    put(tmp_path, "b1/in/result.json", "{}")
+    put(tmp_path, "b1/in/y.html", '<a href="photos/z.pdf"><a href="../messages.html">')
+    database(tmp_path / "b2/d/database.sqlite")
+    options = {"schemes": ["tg"], "most_missing": 1}
+    got = engine.check_each(spark, str(tmp_path), **options)
+    rows = lambda df: sorted((tuple(r[c] for c in sorted(r.asDict()) if c != "root") for r in df.collect()), key=str)
+    roots = {r["root"] for r in got["counters"].collect()}
+    assert {os.path.relpath(r, tmp_path) for r in roots} == {"b0", "b1", "b1/in", "b2", "b2/d"}
+    for at in ("b0", "b2"):
+        root = str(tmp_path / at)
+        alone = engine.check_links(spark, root, **options)
+        for k in ("counters", "missing", "schemes", "leftovers", "buckets"):
+            assert rows(got[k].filter(F.col("root") == root)) == rows(alone[k]), (at, k)
+    inner = got["counters"].filter(F.col("root") == str(tmp_path / "b1/in")).first()
+    assert (inner["total"], inner["ok"], inner["missing"], inner["outside"]) == (2, 0, 1, 1)
+    outer = got["counters"].filter(F.col("root") == str(tmp_path / "b1")).first()
+    assert (outer["html_files_scanned"], outer["total"], outer["leftover"]) == (1, 4, 1)
+    fast = engine.check_each(spark, str(tmp_path), fail_fast=True)["counters"]
+    assert fast.count() == 5
+
+
+def test_what_lies_outside_the_root_is_probed(spark, tmp_path):
+    put(tmp_path, "out.txt")
+    put(tmp_path, "with space.txt")
+    (tmp_path / "folder").mkdir()
+    put(tmp_path, "r/in/a.html", '<a href="../../out.txt"><a href="../../with%20space.txt"><a href="../../folder"><a href="../../gone.txt"><a href="../b.html"><a href="/etc/hosts">')
+    put(tmp_path, "r/b.html")
+    root = str(tmp_path / "r")
+    c = engine.check_links(spark, root)["counters"].first()
+    assert (c["ok"], c["missing"], c["outside"]) == (1, 0, 5)
+    got = engine.check_links(spark, root, allow_outside=True)
+    c = got["counters"].first()
+    assert (c["ok"], c["missing"], c["outside"]) == (5, 1, 0)
+    assert [(r["url"], r["note"]) for r in got["missing"].collect()] == [("../../gone.txt", "outside-root")]
 
 
 def test_streams(spark, tmp_path):
