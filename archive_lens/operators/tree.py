@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import scalars as S
+from ..session import materialize
 
 
 def ancestor_pairs(df: DataFrame, path: str = "path") -> DataFrame:
@@ -48,7 +49,17 @@ def named(files: DataFrame, *names: str) -> DataFrame:
 
 
 def html_files(files: DataFrame) -> DataFrame:
-    return files.filter(~F.col("is_dir") & F.lower("name").endswith(".html")).orderBy("path")
+    return files.filter(~F.col("is_dir") & F.lower("name").endswith(".html"))
+
+
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """df in order, with n from 1: ranges of the order are numbered by themselves, each from the end of those before it."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = materialize(df.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = held.groupBy("part").agg(F.count("*").alias("size"))  # a row a range
+    before = sizes.withColumn("before", F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+    n = F.row_number().over(Window.partitionBy("part").orderBy(*order)) + F.coalesce("before", F.lit(0))
+    return held.join(F.broadcast(before), "part").withColumn("n", n.cast("long")).drop("part", "size", "before").orderBy(*order)
 
 
 def chat_roots(files: DataFrame) -> DataFrame:

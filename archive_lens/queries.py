@@ -137,6 +137,14 @@ status as (select *, case when (pass = 2 and not in_css) or skipped or path = ''
   when not (target = '/r' or starts_with(target, '/r/')) then 'outside' when hit then 'ok' else 'missing' end as status from v)"""
 
 
+#: Leftovers of a split by file: links into other chats on message pages.
+LEFT = r"""lefts as (select file, unnest(regexp_extract_all(line, '(?i)\b(?:href|src)\s*=\s*(?:"(?:\.\./)+chats/chat_\d+/[^"'']+"|''(?:\.\./)+chats/chat_\d+/[^"'']+'')')) as m from lines)"""
+
+
+def page_leftovers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.leftovers(lines(page_texts(spark, sf_dir)))
+
+
 # References.
 
 
@@ -191,9 +199,9 @@ def q_link_status(spark, sf_dir):
     return resolved(spark, sf_dir).groupBy("file", "status").agg(F.count("*").alias("refs"))
 
 
-@query(f"with {STATUS} select count(*) as total, count(*) filter (status = 'skipped') as skipped, count(*) filter (status = 'ok') as ok, count(*) filter (status = 'missing') as missing, count(*) filter (status = 'outside') as outside, count(*) filter (media_class = 'shared') as media_shared, count(*) filter (media_class = 'shared' and status = 'ok') as media_shared_ok, count(*) filter (media_class = 'chat_local') as media_chat_local, count(*) filter (media_class = 'chat_local' and status = 'ok') as media_chat_local_ok, count(*) filter (cross_chat) as cross_chat, count(*) filter (cross_chat and status = 'ok') as cross_chat_ok, count(*) filter (bucket = 'non_local') as bucket_non_local, count(*) filter (bucket = 'cross_chat') as bucket_cross_chat, count(*) filter (bucket = 'media_shared') as bucket_media_shared, count(*) filter (bucket = 'media_chat_local') as bucket_media_chat_local, count(*) filter (bucket = 'other_local') as bucket_other_local, cast(0 as bigint) as leftover from status")
+@query(f"with {STATUS}, {LEFT} select count(*) as total, count(*) filter (status = 'skipped') as skipped, count(*) filter (status = 'ok') as ok, count(*) filter (status = 'missing') as missing, count(*) filter (status = 'outside') as outside, count(*) filter (media_class = 'shared') as media_shared, count(*) filter (media_class = 'shared' and status = 'ok') as media_shared_ok, count(*) filter (media_class = 'chat_local') as media_chat_local, count(*) filter (media_class = 'chat_local' and status = 'ok') as media_chat_local_ok, count(*) filter (cross_chat) as cross_chat, count(*) filter (cross_chat and status = 'ok') as cross_chat_ok, count(*) filter (bucket = 'non_local') as bucket_non_local, count(*) filter (bucket = 'cross_chat') as bucket_cross_chat, count(*) filter (bucket = 'media_shared') as bucket_media_shared, count(*) filter (bucket = 'media_chat_local') as bucket_media_chat_local, count(*) filter (bucket = 'other_local') as bucket_other_local, (select count(*) from lefts) as leftover from status")
 def q_link_counters(spark, sf_dir):
-    return resolve.counters(resolved(spark, sf_dir))
+    return resolve.counters(resolved(spark, sf_dir), page_leftovers(spark, sf_dir))
 
 
 @query(f"with {STATUS}, r as (select file, line_no, attr, url, target, row_number() over (order by file, line_no, pass, idx, sub) as n from status where status = 'missing') select * from r where n <= 200")
@@ -212,11 +220,20 @@ def q_scope_media(spark, sf_dir):
     return resolved(spark, sf_dir, scope="media").groupBy("status").agg(F.count("*").alias("refs"))
 
 
-@query(f"with {STATUS}, b as (select min(file) as first_bad from (select file from status where status in ('missing', 'outside') union all select min(file) from status)) select status, count(*) as refs from status, b where file <= first_bad group by status")
+#: The first page of each chat folder is a check of its own, chats of even number without bad references; so the stop comes from a leftover or from a bad reference.
+FAST = f"""{STATUS}, {LEFT}, x as (select *, string_split(file, '/')[4] as chat from status where not (cast(string_split(file, '/')[4][6:] as integer) % 2 = 0 and status in ('missing', 'outside'))),
+l as (select file, string_split(file, '/')[4] as chat from lefts where cast(string_split(file, '/')[4][6:] as integer) % 3 = 0),
+b as (select chat, min(file) as first_bad from (select chat, file from x where status in ('missing', 'outside') union all select chat, file from l) group by chat)"""
+
+
+@query(f"with {FAST} select x.chat, status, count(*) as refs, count(distinct file) as files from x left join b on b.chat = x.chat where first_bad is null or file <= first_bad group by x.chat, status")
 def q_fail_fast(spark, sf_dir):
-    out = resolved(spark, sf_dir)
-    first = out.agg(F.min("file").alias("file"))  # a leftover of a split in the first file stops the check there
-    return resolve.fail_fast(out, first).groupBy("status").agg(F.count("*").alias("refs"))
+    """Every chat folder stops by itself: odd ones at a bad reference or a leftover, even ones at a leftover (every third has some) or never."""
+    chat = F.element_at(F.split("file", "/"), 4)
+    number = F.substring(chat, 6, 10).cast("int")
+    out = resolved(spark, sf_dir).withColumn("chat", chat).filter(~((number % 2 == 0) & F.col("status").isin("missing", "outside")))
+    left = page_leftovers(spark, sf_dir).withColumn("chat", chat).filter(number % 3 == 0)
+    return resolve.fail_fast(out, left, "chat").groupBy("chat", "status").agg(F.count("*").alias("refs"), F.countDistinct("file").alias("files"))
 
 
 @query(f"with {REFS} select file, line_no, url from refs where pass < 2 and (starts_with(lower(trim(url)), 'tg:') or starts_with(lower(trim(url)), 'https:'))")
@@ -229,9 +246,41 @@ def q_split_leftovers(spark, sf_dir):
     return R.leftovers(lines(page_texts(spark, sf_dir))).select("file", F.col("line_no").cast("long"), "url")
 
 
-@query(f"with {STATUS} select bool_or(status in ('missing', 'outside')) as failed from status")
+@query(f"with {STATUS}, {LEFT} select string_split(file, '/')[4] as root, cast(sum(bad) > 0 as integer) as code from (select file, cast(status in ('missing', 'outside') as integer) as bad from status where status <> 'outside' union all select file, 1 from lefts) group by 1")
 def q_exit_code(spark, sf_dir):
-    return resolved(spark, sf_dir).agg(F.bool_or(F.col("status").isin("missing", "outside")).alias("failed"))
+    """The exit code of each chat folder's own check: bad references or leftovers; what lies outside is left out here, as it would make all fail."""
+    root = F.element_at(F.split("file", "/"), 4)
+    out = resolved(spark, sf_dir).filter("status <> 'outside'").withColumn("root", root)
+    c = resolve.counters(out, page_leftovers(spark, sf_dir).withColumn("root", root), "root")
+    return c.select("root", ((F.col("missing") > 0) | (F.col("outside") > 0) | (F.col("leftover") > 0)).cast("int").alias("code"))
+
+
+#: Of the paths outside /r, /out1.txt and /etc/hosts exist.
+@query(f"""with {STATUS}, w as (select *, case when target in ('/out1.txt', '/etc/hosts') then true else hit end as there from v)
+select target, case when there then 'ok' else 'missing' end as status, count(*) as refs from w
+where not ((pass = 2 and not in_css) or skipped or path = '' or (not there and web)) and not (target = '/r' or starts_with(target, '/r/')) group by 1, 2""")
+def q_allow_outside(spark, sf_dir):
+    """Links that lead out of the root, where that is allowed: the distinct targets beyond the inventory are asked for once."""
+    refs = R.classified(page_refs(spark, sf_dir), ROOT)
+    beyond = resolve.beyond(refs, ROOT).filter(F.col("target").isin("/out1.txt", "/etc/hosts")).select(F.col("target").alias("path"))
+    out = resolve.link_status(refs, page_files(spark, sf_dir).select("path").union(beyond), ROOT, allow_outside=True)
+    return out.filter((F.col("status") != "skipped") & ~S.is_within(F.lit(ROOT), F.col("resolved_path"))).groupBy(F.col("resolved_path").alias("target"), "status").agg(F.count("*").alias("refs"))
+
+
+#: Backups: each chat folder whose number is divisible by four, and /r itself; every page counts for the deepest.
+@query(f"""with {STATUS}, {LEFT}, rooted as (select *, case when cast(string_split(file, '/')[4][6:] as integer) % 4 = 0 then array_to_string(string_split(file, '/')[1:4], '/') else '/r' end as root from status),
+lefts_of as (select case when cast(string_split(file, '/')[4][6:] as integer) % 4 = 0 then array_to_string(string_split(file, '/')[1:4], '/') else '/r' end as root, count(*) as leftover from lefts group by 1),
+judged as (select *, case when status in ('ok', 'missing', 'outside') then case when not (target = root or starts_with(target, root || '/')) then 'outside' when hit then 'ok' else 'missing' end else status end as own from rooted)
+select judged.root, count(*) as total, count(*) filter (own = 'ok') as ok, count(*) filter (own = 'missing') as missing, count(*) filter (own = 'outside') as outside, coalesce(max(lefts_of.leftover), 0) as leftover from judged left join lefts_of on lefts_of.root = judged.root group by judged.root""")
+def q_check_each(spark, sf_dir):
+    """The link checks of all backups in one plan, each against its own root."""
+    files = page_files(spark, sf_dir)
+    roots = files.filter("is_dir and path rlike '^/r/chats/chat_[0-9]+$'").filter(F.substring("path", -3, 3).cast("int") % 4 == 0).select("path").union(spark.range(1).select(F.lit(ROOT).alias("path")))
+    pages = page_texts(spark, sf_dir)
+    owner = tree.nearest_ancestor(pages.select(F.col("file").alias("path")), roots).select(F.col("path").alias("file"), F.col("parent").alias("root"))
+    hot = R.keyword_lines(lines(pages.join(owner, "file")))
+    out = resolve.link_status(R.classified(R.all_refs(hot), F.col("root")), files, F.col("root"))
+    return resolve.counters(out, R.leftovers(hot), "root").select("root", "total", "ok", "missing", "outside", "leftover")
 
 
 # Timelines: message pages made from conversations and events.
@@ -695,8 +744,7 @@ def q_chat_folder_counts(spark, sf_dir):
 
 @query(f"with {EXPORTS}, p as (select distinct path from (select concat(root, '/export_results.html') as path from n where r % 2 = 0 union all select concat(root, '/messages.html') from n where r % 2 = 1 union all select concat(root, '/chats/', chat, '/', x) from n, (values ('messages.html'), ('messages2.html'), ('photos.html')) t(x))) select path, row_number() over (order by path) as n from p")
 def q_file_order(spark, sf_dir):
-    paths = [r["path"] for r in tree.html_files(exports(spark, sf_dir)).select("path").collect()]  # a short list, in the order that is shown
-    return spark.createDataFrame([(p, n) for n, p in enumerate(paths, 1)], "path string, n long")
+    return tree.numbered(tree.html_files(exports(spark, sf_dir)).select("path"), "path")
 
 
 PAGE = "concat('<a href=\"{h}\"><video poster=\"../../shared/f ', s_suppkey, '.jpg\">', chr(10), '<A HREF=\"../../shared/f ', s_suppkey, '.jpg\">', chr(13), chr(10), '<i data=\"url({h})\">', chr(10), '<img src = \"{h}\"> src=', chr(10), '<img src=\"photos/p.jpg\">')"
