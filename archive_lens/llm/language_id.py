@@ -107,18 +107,18 @@ def train(docs: DataFrame, training: Column) -> Model:
     df = total(rows.select("text"), lambda b: sum(((c > 0).sum(axis=0) for _, _, c in parts(b)), np.zeros(DIMENSIONS)), DIMENSIONS)
     model.idf = np.log((1 + sum(count.values())) / (1 + df)) + 0.1
     share = F.coalesce(*[F.when(F.col("lang") == x, min(1.0, SAMPLE / n)) for x, n in count.items()])
-    # by row, so that a doc_id that repeats is no more than its rows; rare languages are taken whole
-    chosen = rows.filter(F.pmod(F.xxhash64(F.lit(9), "doc_id", "text", F.monotonically_increasing_id()), F.lit(1_000_000)) < share * 1_000_000)
+    # by content, whatever partitions the rows are in; rows that repeat are one of the sample; rare languages are taken whole
+    chosen = rows.filter(F.pmod(F.xxhash64(F.lit(9), "doc_id", "text"), F.lit(1_000_000)) < share * 1_000_000).dropDuplicates(["doc_id", "text", "lang"])
 
     def sample(batches):
         for b in batches:
             for lo, hi, c in parts(b):
                 yield pa.RecordBatch.from_arrays([b.column("lang")[lo:hi], pa.array([x.astype(np.float16).tobytes() for x in vectors(c, model.idf)], pa.binary())], ["lang", "v"])
 
-    got = chosen.select("text", "lang").mapInArrow(sample, "lang string, v binary").collect()  # about SAMPLE a language
+    got = sorted(map(tuple, chosen.select("text", "lang").mapInArrow(sample, "lang string, v binary").collect()))  # about SAMPLE a language
     centres, owner = [], []
     for x in model.langs:
-        v = np.array([np.frombuffer(r["v"], np.float16) for r in got if r["lang"] == x], np.float32).reshape(-1, DIMENSIONS)
+        v = np.array([np.frombuffer(v, np.float16) for lang, v in got if lang == x], np.float32).reshape(-1, DIMENSIONS)
         if len(v):
             centres.append(_kmeans(v, CENTROIDS))
             owner += [number[x]] * len(centres[-1])
