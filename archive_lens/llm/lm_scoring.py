@@ -280,9 +280,15 @@ def adapted(file: np.ndarray, counts: np.ndarray, ends: int, adapt: float) -> tu
     return np.log(weight) + np.log1p(-min(end, 0.5)), float(np.log(min(end, 0.5)))
 
 
-def score(docs: DataFrame, training: Column, vocabulary: str, adapt: float = ADAPT) -> tuple[DataFrame, int, int]:
-    """((doc_id, n_tokens, n_known, base_score, score), N, V): docs has doc_id and text, training is a boolean over doc_id."""
+def score(docs: DataFrame, training: Column, vocabulary: str, adapt: float = ADAPT, place: str | None = None) -> tuple[DataFrame, int, int]:
+    """((doc_id, n_tokens, n_known, base_score, score), N, V): docs has doc_id and text, training is a boolean over doc_id.
+
+    place: a column of docs that tells rows that repeat apart and stays the same however often docs is computed, such as a
+    row's place in its file. Without one docs is written first, and the places are those of what was written.
+    """
     spark = docs.sparkSession
+    if place is None:
+        docs, place = materialize(docs.select("doc_id", "text"), "documents").select("doc_id", "text", F.col("_metadata.row_index").alias("place")), "place"
     lattice = Lattice(vocabulary)
     rows = docs.select("doc_id", "text", training.alias("training"))
     # tasks have summed their own words; the partitions are many, as each word costs time afterwards
@@ -311,9 +317,9 @@ def score(docs: DataFrame, training: Column, vocabulary: str, adapt: float = ADA
 
     known = words.mapInArrow(lookup, "hash long, c long, lp double")
     buckets = max(4 * partitions(spark), -(-size["bytes"] // BUCKET_BYTES))
-    # a row's place in its input partition deals rows that repeat apart
-    bucket = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(buckets)).cast("long")
-    dealt = docs.select("doc_id", "text").withColumn("bucket", bucket).repartition(max(partitions(spark), buckets // 4), "bucket")
+    # rows that repeat are dealt apart, in the same way whenever a task is run again
+    bucket = F.pmod(F.xxhash64("doc_id", "text", place), F.lit(buckets)).cast("long")
+    dealt = docs.select("doc_id", "text", bucket.alias("bucket")).repartition(max(partitions(spark), buckets // 4), "bucket")
     # both readers take all columns of one exchange, so it is made once
     need = dealt.sortWithinPartitions("bucket").mapInArrow(_bucket_words, "bucket long, hash long")
     own = need.join(known.hint("merge"), "hash").select("bucket", "hash", "c", "lp")

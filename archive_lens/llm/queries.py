@@ -20,8 +20,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(table(spark, sf_dir, "documents"))
-    out, n, _ = lm_scoring.score(docs, fold(F.col("doc_id"), 7) != 2, public_tokenizers.path("piece_bpe_32k.model"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("_metadata.row_index").alias("place"))
+    out, n, _ = lm_scoring.score(docs, fold(F.col("doc_id"), 7) != 2, public_tokenizers.path("piece_bpe_32k.model"), place="place")
     return out.select("doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
