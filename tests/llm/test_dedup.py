@@ -93,6 +93,13 @@ def test_near_edges(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in got) == [(-1, -1, True), (3, 3, True), (5, -1, False), (5, -1, False), (9, 9, True)]
 
 
+def test_near_texts_that_share_a_doc_id(spark):
+    p = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, p), (1, p + " x"), (2, p + " y"), (2, "another text")]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(frame(spark, rows)).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (2, 2, True)]
+
+
 def test_trees_stop_before_pairs_are_lost():
     for s, depth in ((0.85, 7), (0.8, 5)):
         assert near_dedup.deepest(s, near_dedup.TREES) == depth

@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,23 @@ def test_language_repeats_ties_and_names(spark):
     assert lang == {1: "en", 2: "fr", 3: "aa", 4: "aa", 5: "en", 6: "en", 7: "aa"}
 
 
+def test_language_is_no_matter_of_partitions(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    df = df.union(df.filter("doc_id < 3"))  # rows that repeat
+    few, many = ({(r.doc_id, r.lang_pred, r.rejected): r.score for r in language_id.predict(x, language_id.train(x, fold_column(F.col("doc_id"), 5) != 0)).collect()} for x in (df.repartition(3), df.repartition(7, "text")))
+    assert few.keys() == many.keys() and all(abs(few[k] - many[k]) < 1e-5 for k in few)
+
+
+def test_lm_scores_are_no_matter_of_partitions(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").filter("doc_id < 300")
+    df = df.union(df.filter("doc_id < 3"))
+    vocabulary = public_tokenizers.path("piece_bpe_32k.model")
+    few, many = (sorted(map(tuple, lm_scoring.score(x, fold_column(F.col("doc_id"), 7) != 2, vocabulary)[0].collect())) for x in (df.repartition(3), df.repartition(7, "text")))
+    assert len(few) == len(many) == 303
+    for a, b in zip(few, many, strict=True):
+        assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], rel=1e-9)
+
+
 def test_lm_base_scores(spark):
     docs = {r.doc_id: words(r.text, True) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     c = Counter()
