@@ -269,7 +269,8 @@ def remove_repeats(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     n = keys.count()
     shards = max(n // SHARD_KEYS, min(tasks, n // 64), 1)
     index = line_index(keys, shards)
-    asks = keys.select(F.pmod("a", F.lit(shards)).cast("long").alias("shard"), F.lit(True).alias("asks"), "chunk", "a", "b")
+    # a chunk asks for a key once, however many tasks and documents have it
+    asks = keys.select("chunk", "a", "b").distinct().select(F.pmod("a", F.lit(shards)).cast("long").alias("shard"), F.lit(True).alias("asks"), "chunk", "a", "b")
     dealt = index.withColumn("asks", F.lit(False)).unionByName(asks, allowMissingColumns=True).repartition("shard").sortWithinPartitions("shard", "asks")
     answers = materialize(dealt.mapInArrow(_probe, "chunk long, a long, b long, owner long"), "line_answers")
     rows = docs.withColumn(p + "chunk", chunk).withColumn(p + "is_doc", F.lit(True)).withColumn(p + "doc_id", doc_id)
