@@ -374,9 +374,13 @@ def _placed(docs: DataFrame, k: int, num: int, den: int, trees: int) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, trees: int = TREES) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row; linked: den * intersection >= num * union of k-word sets."""
+    """(doc_id, n_shingles, component_id, kept) of each row; linked: den * intersection >= num * union of k-word sets.
+
+    kept tells whether doc_id is component_id: rows that share the least doc_id of a component are all kept, whatever their
+    texts. keep_one() is for one row of each component.
+    """
     real = lambda x: F.when(F.col(x) != LEAST, F.col(x))
-    return _placed(docs, k, num, den, trees).select(real("__id").alias("doc_id"), F.col("n").alias("n_shingles"), real("c").alias("component_id"), "kept")
+    return _placed(docs, k, num, den, trees).select(real("__id").alias("doc_id"), F.col("n").alias("n_shingles"), real("c").alias("component_id"), (F.col("__id") == F.col("c")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, trees: int = TREES) -> DataFrame:
