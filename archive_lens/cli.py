@@ -33,7 +33,7 @@ def show_reports(df, nested: bool = True) -> list[str]:
 def main(argv: list[str] | None = None) -> int:
     a = argparse.ArgumentParser(prog="archive_lens")
     a.add_argument("path")
-    for flag in ("json", "no-inspect", "no-sizes", "dedupe-unofficial-sqlite", "check-links", "check-allow-outside-root", "check-fail-fast", "check-legacy", "repair-html-links", "split-multi-html", "rename-ranges", "backfill-meta", "apply"):
+    for flag in ("json", "no-inspect", "no-sizes", "dedupe-unofficial-sqlite", "check-links", "check-allow-outside-root", "check-fail-fast", "check-legacy", "repair-html-links", "split-multi-html", "rename-ranges", "backfill-meta", "apply", "overwrite"):
         a.add_argument(f"--{flag}", action="store_true")
     a.add_argument("--check-scope", choices=("all", "media"), default="all")
     a.add_argument("--check-schemes", default="")
@@ -78,7 +78,16 @@ def main(argv: list[str] | None = None) -> int:
             print(e, file=sys.stderr)
             return 3
     elif o.fix_split_from:
-        plan = engine.fix_split(spark, o.path, o.fix_split_from)
+        if not os.path.isdir(os.path.join(o.fix_split_from, "chats")):
+            print(f"no multi-chat export: {o.fix_split_from}", file=sys.stderr)
+            return 2
+        done = sinks.execute(engine.fix_split(spark, o.path, o.fix_split_from), not o.apply, o.overwrite)
+        each = sinks.statistics(done, engine.split_pages(engine.inventory(spark, o.path)).select("chat")).orderBy("chat").collect()  # a row a chat
+        for r in each:
+            print(r["chat"], *(f"{k}={v}" for k, v in r.asDict().items() if k != "chat"))
+        if not each:
+            print("no chats found", file=sys.stderr)
+        return int(not each)
     elif o.rename_ranges:
         plan = engine.rename_ranges(spark, o.path, o.rename)
     elif o.backfill_meta:

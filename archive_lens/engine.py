@@ -70,9 +70,9 @@ def sqlite_part(spark: SparkSession, files: DataFrame, inspect: bool = True, ded
         head = {"export_root": os.path.dirname(path), "result_json": path, "fmt": "sqlite", "kind": "sqlite_unofficial_backup"}
         one = spark.range(1).select(*[F.lit(v).alias(k) for k, v in head.items()], S.export_date(F.lit(path)).alias("inferred_export_date"))
         if inspect:
-            messages = sqlite.read(spark, path, "messages")
-            groups = P.named_groups(P.source_groups(messages), sqlite.read(spark, path, "users"), sqlite.read(spark, path, "chats"))
-            whole = P.global_range(messages).select(F.col("messages").alias("messages_backed_up"), P.iso("first").alias("first_message_utc"), P.iso("last").alias("last_message_utc"))
+            told = sqlite.read(spark, path, "messages", "source_type", "source_id", "time", where=(("source_type", "not null"), ("source_id", "not null")))
+            groups = P.named_groups(P.source_groups(told), *(sqlite.read(spark, path, t, "id", *K.NAME_COLUMNS) for t in ("users", "chats")))
+            whole = P.global_range(sqlite.read(spark, path, "messages", "time")).select(F.col("messages").alias("messages_backed_up"), P.iso("first").alias("first_message_utc"), P.iso("last").alias("last_message_utc"))
             summary = F.struct((-F.col("msgs")).alias("k"), F.struct("name", F.col("msgs").alias("messages_backed_up"), P.iso("first").alias("first_message_utc"), P.iso("last").alias("last_message_utc")).alias("s"))
             lists = groups.agg(F.nullif(F.count("*"), F.lit(0)).alias("chats_backed_up"), F.array_sort(F.collect_list(summary)).alias("s")).select("chats_backed_up", F.transform("s", lambda x: x["s"]).alias("chat_summaries"))
             one = one.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(lists))
@@ -108,7 +108,7 @@ def _dialogs(spark: SparkSession, files: DataFrame, roots: DataFrame) -> DataFra
     for k, db in enumerate(_databases(spark, files)):
         above = tree.ancestor_pairs(spark.createDataFrame([(db,)], "path string")).join(roots.select(F.col("path").alias("ancestor")), "ancestor").select(F.col("ancestor").alias("root"))
         for n, t in enumerate(("users", "chats")):
-            rows = P.names(sqlite.read(spark, db, t)).filter("name is not null")
+            rows = P.names(sqlite.read(spark, db, t, "id", *K.NAME_COLUMNS)).filter("name is not null")
             named.append(rows.crossJoin(F.broadcast(above)).withColumn("k", F.lit(2 * k + n)))  # the roots above one file
     for x in named:
         out = out.withColumn("k", F.lit(None).cast("int")).unionByName(x) if "k" not in out.columns else out.unionByName(x)
@@ -195,15 +195,24 @@ def split(spark: SparkSession, root: str, out: str | None = None, only: list[str
     return rewrites.split_plan(files, pages, lines(pages.select("file", "text")), root, out, created, only)
 
 
-def fix_split(spark: SparkSession, chat_root: str, multi_root: str) -> DataFrame:
-    """The plan that fixes an older split in place: copies to media/ and rewritten pages."""
-    chat_root, multi_root = os.path.abspath(chat_root), os.path.abspath(multi_root)
-    own = inventory(spark, chat_root)
-    files = own.unionByName(inventory(spark, multi_root))
-    body = filetree.bodies(html(own).filter((F.col("dir") == chat_root) & F.col("name").startswith("messages")))
-    fixes = rewrites.fix_in_place(lines(body), files, chat_root, multi_root)
-    copies = fixes.filter("copy_from is not null").select(F.lit(1).alias("rank"), F.lit("copy").alias("action"), F.col("copy_from").alias("src"), F.col("copy_to").alias("dst"), F.lit(None).cast("string").alias("payload")).distinct()
-    pages = rewrites.rewritten(body, fixes, narrow=True).select(F.lit(2).alias("rank"), F.lit("rewrite").alias("action"), F.col("file").alias("src"), F.col("file").alias("dst"), F.col("new_text").alias("payload"))
+def split_pages(own: DataFrame) -> DataFrame:
+    """(chat, path, ...) of the message pages of an older split: every folder that holds one is a chat."""
+    return html(own).filter(F.col("name").startswith("messages")).withColumn("chat", F.col("dir"))
+
+
+def fix_split(spark: SparkSession, single_root: str, multi_root: str) -> DataFrame:
+    """The plan that fixes all chats of an older split in place: copies to media/ and rewritten pages, by chat.
+
+    What it did is told by sinks.statistics() of its outcomes, with split_pages() as the pages that were scanned.
+    """
+    single_root, multi_root = os.path.abspath(single_root), os.path.abspath(multi_root)
+    own = inventory(spark, single_root)
+    files = own.unionByName(inventory(spark, multi_root)).dropDuplicates(["path"])
+    body = filetree.bodies(split_pages(own))
+    fixes = materialize(rewrites.fix_in_place(lines(body), files, multi_root), "fixes")
+    chat = S.dirname(F.col("file")).alias("chat")
+    copies = fixes.filter("copy_from is not null").select(F.lit(1).alias("rank"), F.lit("copy").alias("action"), F.col("copy_from").alias("src"), F.col("copy_to").alias("dst"), F.lit(None).cast("string").alias("payload"), chat, F.lit(0).cast("long").alias("rewrites")).distinct()
+    pages = rewrites.rewritten(body, fixes, narrow=True).select(F.lit(2).alias("rank"), F.lit("rewrite").alias("action"), F.col("file").alias("src"), F.col("file").alias("dst"), F.col("new_text").alias("payload"), chat, F.col("rewrites"))
     return copies.unionByName(pages)
 
 

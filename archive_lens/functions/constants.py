@@ -48,3 +48,5 @@ STANDALONE = (
     ('href="../../lists/chats.html"', 'href="messages.html"'), ('href="../../lists/chats.html#allow_back"', 'href="messages.html"'),
     ('href="../lists/chats.html"', 'href="messages.html"'), ('href="../lists/chats.html#allow_back"', 'href="messages.html"'),
 )
+#: Columns that name a row of a users or chats table, in order.
+NAME_COLUMNS = ("name", "first_name", "last_name", "title", "username", "phone", "phone_number")

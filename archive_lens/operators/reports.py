@@ -94,11 +94,12 @@ def global_range(messages: DataFrame) -> DataFrame:
 def pick_name_columns(columns: list[str]) -> list[str]:
     """The columns that name a row: `name`, else first and last name, else the first of the other known ones."""
     have = set(columns)
-    if "name" in have:
-        return ["name"]
-    if both := [c for c in ("first_name", "last_name") if c in have]:
+    name, first, last, *others = K.NAME_COLUMNS
+    if name in have:
+        return [name]
+    if both := [c for c in (first, last) if c in have]:
         return both
-    return next(([c] for c in ("title", "username", "phone", "phone_number") if c in have), [])
+    return next(([c] for c in others if c in have), [])
 
 
 def names(table: DataFrame) -> DataFrame:

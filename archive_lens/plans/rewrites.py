@@ -190,24 +190,28 @@ def marker_plan(chats: DataFrame, root: str, created: str) -> DataFrame:
     return chats.select(F.lit(4).alias("rank"), F.lit("marker").alias("action"), F.lit(None).cast("string").alias("src"), F.concat("dst_root", F.lit("/" + K.MARKER_NAME)).alias("dst"), payload.alias("payload"))
 
 
-def fix_in_place(lines: DataFrame, files: DataFrame, chat_root: str, multi_root: str) -> DataFrame:
+def fix_in_place(lines: DataFrame, files: DataFrame, multi_root: str) -> DataFrame:
     """(file, url, new, copy_from, copy_to): leftover links into the multi-chat export become media/ copies, other links with
-    `%` or `#` to existing files of the chat are quoted anew."""
-    chat_root, multi_root = chat_root.rstrip("/"), multi_root.rstrip("/")
+    `%` or `#` to existing files of the chat are quoted anew. A page's chat is the folder that it lies in.
+
+    Looked up once for each reference (in a folder), however many places name it.
+    """
+    multi_root = multi_root.rstrip("/")
     hot = hot_lines(R.style_context(lines))
-    refs = R.attribute_refs(hot, K.ATTRIBUTE_REWRITE).unionByName(R.css_refs(hot)).filter(~S.is_skipped(F.col("url")))
-    left = refs.filter(F.col("url").contains("chats/chat_"))
+    refs = R.attribute_refs(hot, K.ATTRIBUTE_REWRITE).unionByName(R.css_refs(hot)).filter(~S.is_skipped(F.col("url"))).withColumn("here", S.dirname(F.col("file")))
+    only = files.filter(~F.col("is_dir"))
+    place = ["file", *resolve.KEY[1:], "url"]
     tail = F.regexp_replace(S.strip(F.substring_index(S.strip(html_unescape(F.col("url"))), "?", 1)), r"^(?:\.\./)+", "")
     cut = S.strip(F.substring_index(tail, "#", 1))
     paths = F.array_distinct(F.transform(F.filter(F.array(tail, url_unquote(tail), cut, url_unquote(cut)), lambda v: v != ""), lambda v: S.norm_join(F.lit(multi_root), v)))
-    only = files.filter(~F.col("is_dir"))
-    hit = resolve.lookup(left.withColumn("paths", paths), resolve.KEY, F.col("paths"), only).filter("hit")
+    left = refs.filter(F.col("url").contains("chats/chat_"))
+    hit = resolve.lookup(left.select("url").distinct(), ["url"], paths, only).filter("hit")
     rel = S.relative_path(F.lit(multi_root), F.col("target"))
-    a = left.join(hit, resolve.KEY).select("file", *resolve.KEY[1:], "url", F.concat(F.lit("media/"), url_quote(rel)).alias("new"), F.col("target").alias("copy_from"), F.concat(F.lit(chat_root + "/media/"), rel).alias("copy_to"))
+    a = left.join(hit, "url").select(*place, F.concat(F.lit("media/"), url_quote(rel)).alias("new"), F.col("target").alias("copy_from"), F.concat("here", F.lit("/media/"), rel).alias("copy_to"))
     odd = refs.filter(~F.col("url").contains("chats/chat_") & F.col("url").rlike("[%#]"))
-    here = S.dirname(F.col("file"))
-    hit = resolve.lookup(odd.withColumn("paths", resolve.export_paths(F.col("url"), here)), resolve.KEY, F.col("paths"), only.filter(S.is_within(F.lit(chat_root), F.col("path")))).filter("hit")
-    b = odd.join(hit, resolve.KEY).select("file", *resolve.KEY[1:], "url", url_quote(relative_to(here, F.col("target"))).alias("new"), F.lit(None).cast("string").alias("copy_from"), F.lit(None).cast("string").alias("copy_to"))
+    own = F.filter(resolve.export_paths(F.col("url"), F.col("here")), lambda p: S.is_within(F.col("here"), p))
+    hit = resolve.lookup(odd.select("here", "url").distinct(), ["here", "url"], own, only).filter("hit")
+    b = odd.join(hit, ["here", "url"]).select(*place, url_quote(relative_to(F.col("here"), F.col("target"))).alias("new"), F.lit(None).cast("string").alias("copy_from"), F.lit(None).cast("string").alias("copy_to"))
     return a.unionByName(b)
 
 

@@ -19,7 +19,7 @@ from .operators import reports as P
 from .operators import resolve
 from .operators import timeline as T
 from .operators import tree
-from .plans import rewrites
+from .plans import rewrites, sinks
 from .session import materialize
 from .sources import json_pieces
 from .sources.text import lines
@@ -767,7 +767,26 @@ def q_fix_in_place(spark, sf_dir):
     line = F.concat(F.lit('<a href="../../'), old, F.lit('"> <a href="files/b#'), "k", F.lit('.txt"> <A HREF="files/b#0.txt">'))
     page = x.select(F.concat(F.lit("/s/c/messages"), "k", F.lit(".html")).alias("file"), F.lit(1).alias("line_no"), F.regexp_replace(line, " <A HREF.*", "").alias("line"))
     files = x.filter("s_suppkey % 2 = 0").select(F.concat(F.lit("/m/"), old).alias("path")).union(x.select(F.concat(F.lit("/s/c/files/b#"), "k", F.lit(".txt")))).withColumn("is_dir", F.lit(False))
-    return rewrites.fix_in_place(page, files, "/s/c", "/m").select("file", "url", "new", "copy_from", "copy_to")
+    return rewrites.fix_in_place(page, files, "/m").select("file", "url", "new", "copy_from", "copy_to")
+
+
+#: Chats of an older split: a nation's suppliers are its pages; two links of a page lead to one shared file, a third nowhere.
+FIX_LINE = "concat('<a href=\"../../chats/chat_1/f ', n, '.txt\"><a href=\"../../chats/chat_1/gone', n, '.txt\"><i src=\"../../chats/chat_1/f ', n, '.txt\">')"
+
+
+@query(f"""with x as (select s_nationkey as n, s_suppkey as k, s_suppkey % 3 <> 0 as linked from supplier)
+select concat('/s/', n) as chat, count(*) as pages_scanned, count(*) filter (linked) as pages_rewritten, count(*) filter (not linked) as pages_unchanged, 2 * count(*) filter (linked) as references_rewritten, count(distinct case when linked then n end) as files_to_copy from x group by n""")
+def q_fix_statistics(spark, sf_dir):
+    x = table(spark, sf_dir, "supplier").selectExpr("cast(s_nationkey as string) as n", "s_suppkey as k")
+    text = x.selectExpr("concat('/s/', n, '/messages', k, '.html') as file", f"case when k % 3 <> 0 then {FIX_LINE} else 'none' end as text")
+    files = x.selectExpr("concat('/m/chats/chat_1/f ', n, '.txt') as path").distinct().withColumn("is_dir", F.lit(False))
+    fixes = rewrites.fix_in_place(lines(text), files, "/m")
+    chat = S.dirname(F.col("file")).alias("chat")
+    copies = fixes.select(chat, F.lit("copy").alias("action"), "copy_from", "copy_to").distinct()
+    pages = rewrites.rewritten(text, fixes, narrow=True).select(chat, F.lit("rewrite").alias("action"), "rewrites")
+    planned = pages.unionByName(copies, allowMissingColumns=True).withColumns({"outcome": F.lit("planned"), "written": F.lit(0), "skipped": F.lit(0)})
+    told = sinks.statistics(planned, text.select(chat))
+    return told.join(copies.groupBy("chat").agg(F.count("*").alias("files_to_copy")), "chat", "left").na.fill(0).select("chat", "pages_scanned", "pages_rewritten", "pages_unchanged", "references_rewritten", "files_to_copy")
 
 
 @query("select n_nationkey, case when n_nationkey % 2 = 0 then concat(n_name, '%20x|', n_name, ' x') else n_name end as variants from nation")

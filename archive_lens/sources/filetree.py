@@ -7,12 +7,13 @@ system that all workers mount.
 
 from __future__ import annotations
 
+import json
 import os
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition, StringEndsWith, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "path string, dir string, name string, ext string, is_dir boolean, size bigint, depth int"
 NAMES = ["path", "dir", "name", "ext", "is_dir", "size", "depth"]
@@ -30,31 +31,25 @@ class _Part(InputPartition):
 class FileTreeReader(DataSourceReader):
     """Levels of the tree are listed until one has folders enough for all tasks; each task walks its share of them.
 
-    Filters that are pushed: `path` begins with (other subtrees are not entered), and equality, membership, beginning and
-    end of any text column, and equality of is_dir.
+    The option `where` has tests (column, test, value ...) that all rows must pass: =, in, starts and ends. Where paths must
+    begin with something, no other subtree is entered.
     """
 
     def __init__(self, options):
         self.root = os.path.abspath(options["path"])
         self.tasks, self.planned = int(options.get("tasks", TASKS)), int(options.get("planned", PLANNED))
-        self.tests: list[tuple[str, str, object]] = []
-
-    def pushFilters(self, filters):
-        for f in filters:
-            (name, *rest), kinds = f.attribute if hasattr(f, "attribute") else ("", ""), {EqualTo: "eq", In: "in", StringStartsWith: "starts", StringEndsWith: "ends"}
-            if not rest and type(f) in kinds and name in ("path", "dir", "name", "ext", "is_dir"):
-                self.tests.append((name, kinds[type(f)], tuple(f.value) if isinstance(f, In) else f.value))
-            else:
-                yield f
+        self.tests = [(name, test, values) for name, test, *values in json.loads(options.get("where", "[]"))]
+        if bad := [t for t in self.tests if t[0] not in NAMES or t[1] not in ("=", "in", "starts", "ends")]:
+            raise ValueError(f"unknown test: {bad[0]}")
 
     def _enter(self, folder: str) -> bool:
         """Whether anything below a folder can pass the tests."""
-        return all(folder.startswith(v) or v.startswith(folder) for name, kind, v in self.tests if name == "path" and kind in ("starts", "eq"))
+        return all(any(folder.startswith(v) or v.startswith(folder) for v in values) for name, test, values in self.tests if name == "path" and test != "ends")
 
     def _wanted(self, row: tuple) -> bool:
-        for name, kind, v in self.tests:
+        for name, test, values in self.tests:
             x = row[NAMES.index(name)]
-            if not (x == v if kind == "eq" else x in v if kind == "in" else x.startswith(v) if kind == "starts" else x.endswith(v)):
+            if x is None or not (x in values if test in ("=", "in") else x.startswith(tuple(values)) if test == "starts" else x.endswith(tuple(values))):
                 return False
         return True
 
@@ -111,10 +106,10 @@ class FileTree(DataSource):
         return FileTreeReader(self.options)
 
 
-def files(spark: SparkSession, root: str, **options) -> DataFrame:
+def files(spark: SparkSession, root: str, where: tuple[tuple, ...] = (), **options) -> DataFrame:
+    """The rows of a folder's tree that pass all tests of `where`."""
     spark.dataSource.register(FileTree)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("filetree").options(**options).load(root)
+    return spark.read.format("filetree").option("where", json.dumps(where)).options(**options).load(root)
 
 
 def _bodies(most: int | None):

@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import json
 import sqlite3
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
+#: Row ids of a partition.
+ROWS = 1_000_000
+COMPARED = ("=", ">", ">=", "<", "<=")
+
 
 def _open(path: str) -> sqlite3.Connection:
     return sqlite3.connect(f"file:{path}?mode=ro", uri=True)
 
 
+def _name(x: str) -> str:
+    return '"' + x.replace('"', '""') + '"'
+
+
 def tables(path: str) -> list[str]:
     """Names of a database's tables; none if it is no database."""
     try:
@@ -28,7 +37,7 @@ def tables(path: str) -> list[str]:
 def columns(path: str, table: str) -> list[str]:
     con = _open(path)
     try:
-        return [r[1] for r in con.execute(f'pragma table_info("{table}")')]
+        return [r[1] for r in con.execute(f"pragma table_info({_name(table)})")]
     finally:
         con.close()
 
@@ -38,35 +47,70 @@ class _Range(InputPartition):
         self.lo, self.hi = lo, hi
 
 
+def condition(column: str, test: str, *values: str) -> tuple[str, list]:
+    """SQL of a test of a column, as text, and its arguments: null, not null, = > >= < <= (one value), in, starts (one value).
+
+    Strings are compared byte by byte, as Spark compares them.
+    """
+    text = f"cast({_name(column)} as text)"
+    if test in ("null", "not null"):
+        return f"{_name(column)} is {test}", []
+    if test in COMPARED:
+        return f"{text} {test} ?", list(values)
+    if test == "in":
+        return f"{text} in ({', '.join('?' for _ in values)})", list(values)
+    if test == "starts":
+        return f"substr({text}, 1, ?) = ?", [len(values[0]), values[0]]
+    raise ValueError(f"unknown test: {test}")
+
+
 class SqliteReader(DataSourceReader):
-    """Partitions are ranges of row ids."""
+    """Partitions are ranges of row ids: as many as asked for (`partitions`), else one for every ROWS of the table.
+
+    The tests of the option `where` are part of what the database is asked. They are an option and not left to Spark's
+    filter pushdown, which keeps the filters of one use of a DataFrame for its other uses in the same query.
+    """
 
     def __init__(self, options, schema):
-        self.path, self.table, self.parts = options["path"], options["table"], int(options.get("partitions", "1"))
+        self.path, self.table = options["path"], options["table"]
+        self.parts, self.rows = int(options.get("partitions", "0")), int(options.get("rows", ROWS))
         self.names = [f.name for f in schema.fields]
+        tests = [condition(*t) for t in json.loads(options.get("where", "[]"))]
+        self.where, self.args = [t for t, _ in tests], [a for _, args in tests for a in args]
 
     def partitions(self):
         con = _open(self.path)
         try:
-            lo, hi = con.execute(f'select min(rowid), max(rowid) from "{self.table}"').fetchone()
+            lo, hi = con.execute(f"select min(rowid), max(rowid) from {_name(self.table)}").fetchone()
+        except sqlite3.Error:  # a table without row ids
+            lo = hi = None
         finally:
             con.close()
-        if lo is None or self.parts < 2:
+        parts = self.parts or (1 if lo is None else -(-(hi - lo + 1) // self.rows))
+        if lo is None or parts < 2:
             return [_Range(None, None)]
-        step = max(1, -(-(hi - lo + 1) // self.parts))
+        step = max(1, -(-(hi - lo + 1) // parts))
         return [_Range(a, a + step) for a in range(lo, hi + 1, step)]
 
+    def query(self, part: _Range) -> tuple[str, list]:
+        """What a partition asks the database."""
+        cols = ", ".join(f"cast({_name(n)} as text)" for n in self.names) or "null"
+        tests, args = list(self.where), list(self.args)
+        if part.lo is not None:
+            tests, args = ["rowid >= ? and rowid < ?", *tests], [part.lo, part.hi, *args]
+        return f"select {cols} from {_name(self.table)}" + (" where " + " and ".join(tests) if tests else ""), args
+
     def read(self, part):
         con = _open(self.path)
         try:
-            cols = ", ".join(f'cast("{n}" as text)' for n in self.names)
-            where, args = ("", ()) if part.lo is None else (" where rowid >= ? and rowid < ?", (part.lo, part.hi))
-            yield from con.execute(f'select {cols} from "{self.table}"{where}', args)
+            yield from con.execute(*self.query(part))
         finally:
             con.close()
 
 
 class Sqlite(DataSource):
+    """`spark.read.format("sqlite_table").option("table", name).load(path)`; a schema that is given reads its columns alone."""
+
     @classmethod
     def name(cls):
         return "sqlite_table"
@@ -78,6 +122,10 @@ class Sqlite(DataSource):
         return SqliteReader(self.options, schema)
 
 
-def read(spark: SparkSession, path: str, table: str, partitions: int = 1) -> DataFrame:
+def read(spark: SparkSession, path: str, table: str, *only: str, where: tuple[tuple[str, ...], ...] = (), **options) -> DataFrame:
+    """A table's columns, or those of `only` that it has, of the rows that pass all tests of `where` (see condition())."""
     spark.dataSource.register(Sqlite)
-    return spark.read.format("sqlite_table").option("table", table).option("partitions", partitions).load(path)
+    source = spark.read.format("sqlite_table").option("table", table).option("where", json.dumps(where)).options(**options)
+    if only:
+        source = source.schema(StructType([StructField(c, StringType()) for c in columns(path, table) if c in only]))
+    return source.load(path)

@@ -245,8 +245,50 @@ def test_rename_and_backfill(spark, tmp_path):
 
 def test_fix_of_an_older_split(spark, tmp_path):
     put(tmp_path, "m/chats/chat_002/files/x 1.pdf", "z")
-    put(tmp_path, "c/files/a#1.txt")
-    put(tmp_path, "c/messages.html", '<a href="../../chats/chat_002/files/x 1.pdf"><a href="files/a#1.txt">')
-    sinks.execute(engine.fix_split(spark, str(tmp_path / "c"), str(tmp_path / "m")), dry_run=False)
-    assert (tmp_path / "c/media/chats/chat_002/files/x 1.pdf").read_text() == "z"
-    assert (tmp_path / "c/messages.html").read_text() == '<a href="media/chats/chat_002/files/x%201.pdf"><a href="files/a%231.txt">'
+    put(tmp_path, "s/c/files/a#1.txt")
+    put(tmp_path, "s/c/messages.html", '<a href="../../chats/chat_002/files/x 1.pdf"><a href="files/a#1.txt">')
+    put(tmp_path, "s/d/messages.html", '<a href="../../chats/chat_002/files/x 1.pdf">')
+    put(tmp_path, "s/d/messages2.html", '<a href="../c/files/a#1.txt">')  # another chat's file is left alone
+    put(tmp_path, "s/d/media/chats/chat_002/files/x 1.pdf", "old")
+    root = str(tmp_path / "s")
+    plan = engine.fix_split(spark, root, str(tmp_path / "m"))
+    pages = engine.split_pages(engine.inventory(spark, root)).select("chat")
+    tell = lambda done: {os.path.basename(r["chat"]): tuple(r[k] for k in ("pages_scanned", "pages_rewritten", "pages_unchanged", "references_rewritten", "files_copied", "files_skipped", "failed")) for r in sinks.statistics(done, pages).collect()}
+    assert tell(sinks.execute(plan)) == {"c": (1, 1, 0, 2, 0, 0, 0), "d": (2, 1, 1, 1, 0, 0, 0)}
+    assert tell(sinks.execute(plan, dry_run=False, overwrite=False)) == {"c": (1, 1, 0, 2, 1, 0, 0), "d": (2, 1, 1, 1, 0, 1, 0)}
+    assert (tmp_path / "s/c/media/chats/chat_002/files/x 1.pdf").read_text() == "z"
+    assert (tmp_path / "s/d/media/chats/chat_002/files/x 1.pdf").read_text() == "old"
+    assert (tmp_path / "s/c/messages.html").read_text() == '<a href="media/chats/chat_002/files/x%201.pdf"><a href="files/a%231.txt">'
+    put(tmp_path, "s/d/messages.html", '<a href="../../chats/chat_002/files/x 1.pdf">')
+    sinks.execute(engine.fix_split(spark, root, str(tmp_path / "m")), dry_run=False)
+    assert (tmp_path / "s/d/media/chats/chat_002/files/x 1.pdf").read_text() == "z"
+
+
+STEPS = "rank int, action string, src string, dst string, payload string"
+
+
+def test_pages_change_together_or_not_at_all(spark, tmp_path):
+    for k in range(8):
+        put(tmp_path, f"p{k}.html", "old")
+    step = lambda k, text: (1, "rewrite", None, str(tmp_path / f"p{k}.html"), text)
+    broken = spark.createDataFrame([*(step(k, "new") for k in range(7)), step(7, None)], STEPS)  # a page that no task can write
+    with pytest.raises(Exception):  # noqa: B017
+        sinks.execute(broken.repartition(4), dry_run=False)
+    assert {p.read_text() for p in tmp_path.iterdir()} == {"old"} and len(list(tmp_path.iterdir())) == 8
+    (tmp_path / "file").write_text("")
+    refused = (1, "marker", None, str(tmp_path / "file" / "x.json"), "{}")
+    got = {os.path.basename(r["dst"]): r["outcome"] for r in sinks.execute(spark.createDataFrame([step(0, "new"), refused], STEPS), dry_run=False).collect()}
+    assert got["p0.html"] == "done" and got["x.json"].startswith("failed")
+    assert (tmp_path / "p0.html").read_text() == "new" and len(list(tmp_path.iterdir())) == 9
+
+
+def test_copies_skip_or_overwrite(spark, tmp_path):
+    put(tmp_path, "a/x/1.txt", "new")
+    put(tmp_path, "a/2.txt", "new")
+    put(tmp_path, "b/2.txt", "old")
+    tree = spark.createDataFrame([(0, "copy_tree", str(tmp_path / "a"), str(tmp_path / "b"), None), (1, "copy", str(tmp_path / "a/2.txt"), str(tmp_path / "b/2.txt"), None), (1, "copy", str(tmp_path / "gone"), str(tmp_path / "b/3.txt"), None)], STEPS)
+    tell = lambda **o: sorted((r["action"], r["outcome"][:6], r["written"], r["skipped"]) for r in sinks.execute(tree, dry_run=False, **o).collect())
+    assert tell(overwrite=False) == [("copy", "failed", 0, 0), ("copy", "skippe", 0, 1), ("copy_tree", "done", 1, 1)]
+    assert (tmp_path / "b/2.txt").read_text() == "old" and (tmp_path / "b/x/1.txt").read_text() == "new"
+    assert tell() == [("copy", "done", 1, 0), ("copy", "failed", 0, 0), ("copy_tree", "done", 2, 0)]
+    assert (tmp_path / "b/2.txt").read_text() == "new"

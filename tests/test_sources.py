@@ -1,11 +1,13 @@
 """The folder source: tasks, pushed filters, bodies; SQLite ranges and pushed filters."""
 
 import os
+import sqlite3
 
+import pytest
 from pyspark.sql import functions as F
 
 from archive_lens import engine
-from archive_lens.sources import filetree
+from archive_lens.sources import filetree, sqlite
 
 
 def grow(root, chats=300):
@@ -42,25 +44,27 @@ def test_one_folder_of_many_is_many_tasks(spark, tmp_path):
     assert {r.path for r in few.collect()} == by_hand(tmp_path)
 
 
-def test_filters_reach_the_listing(spark, tmp_path):
+def test_tests_reach_the_listing(spark, tmp_path):
     grow(tmp_path, 20)
-    df = filetree.files(spark, str(tmp_path))
     below = str(tmp_path / "chats" / "chat_003")
-    for cond, want in (
-        (F.col("path").startswith(below), {below, below + "/messages.html", below + "/photos", below + "/photos/p.jpg"}),
-        ((F.col("name") == "p.jpg") & F.col("path").startswith(below), {below + "/photos/p.jpg"}),
-        (F.col("name").isin("z", "messages.html") & ~F.col("path").contains("chat_"), {str(tmp_path / ".hidden/z")}),
-        (F.col("name").endswith(".html") & (F.col("dir") == below), {below + "/messages.html"}),
-        (F.col("is_dir") & (F.col("ext") == "") & F.col("dir").startswith(below), {below + "/photos"}),
+    for where, want in (
+        ((("path", "starts", below),), {below, below + "/messages.html", below + "/photos", below + "/photos/p.jpg"}),
+        ((("name", "=", "p.jpg"), ("path", "starts", below)), {below + "/photos/p.jpg"}),
+        ((("name", "in", "z", "gone"),), {str(tmp_path / ".hidden/z")}),
+        ((("name", "ends", ".html"), ("dir", "=", below)), {below + "/messages.html"}),
+        ((("is_dir", "=", True), ("ext", "=", ""), ("dir", "starts", below)), {below + "/photos"}),
+        ((("path", "in", below, str(tmp_path)),), {below, str(tmp_path)}),
     ):
-        assert {r.path for r in df.filter(cond).collect()} == want
-    reader = filetree.FileTreeReader({"path": str(tmp_path)})
-    from pyspark.sql.datasource import EqualTo, IsNotNull, StringStartsWith
+        assert {r.path for r in filetree.files(spark, str(tmp_path), where).collect()} == want
+    df = filetree.files(spark, str(tmp_path))  # one DataFrame, two filters in one query
+    assert df.filter("name = 'p.jpg'").union(df.filter("name = 'z'")).count() == 21
+    import json
 
-    left = list(reader.pushFilters([StringStartsWith(("path",), below), EqualTo(("name",), "p.jpg"), IsNotNull(("size",))]))
-    assert [type(f) for f in left] == [IsNotNull]
+    reader = filetree.FileTreeReader({"path": str(tmp_path), "where": json.dumps([("path", "starts", below)])})
     seen = [x for part in reader.partitions() for x in part.folders]
     assert not [x for x in seen if "chat_" in x and not x.startswith(below)]  # other subtrees are not entered
+    with pytest.raises(ValueError):
+        filetree.FileTreeReader({"path": "/", "where": '[["name", "like", "x"]]'})
 
 
 def test_bodies_are_read_where_asked(spark, tmp_path):
@@ -82,3 +86,54 @@ def test_existing_paths(spark, tmp_path):
     paths = [str(tmp_path / p) for p in ("chats", "link/chat_001", "broken", "gone", "chats/chat_000/messages.html")] * 3 + [None]
     df = spark.createDataFrame([(p,) for p in paths], "p string")
     assert sorted(r.path for r in filetree.existing(df, F.col("p")).collect()) == sorted(paths[k] for k in (0, 1, 4))
+
+
+def messages(path, n=250):
+    con = sqlite3.connect(path)
+    con.execute('create table "messages"(id integer primary key, source_type, "odd ""name", time)')
+    con.executemany("insert into messages values (?, ?, ?, ?)", [(k, None if k % 5 == 0 else "dialog" if k % 2 else "group", k if k % 3 else f"é{k}", 1_500_000_000 + k) for k in range(n)])
+    con.execute("create table pairs(a text primary key, b) without rowid")
+    con.execute("insert into pairs values ('x', 1), ('y', null)")
+    con.commit()
+    con.close()
+    return [(str(k), None if k % 5 == 0 else "dialog" if k % 2 else "group", str(k) if k % 3 else f"é{k}", str(1_500_000_000 + k)) for k in range(n)]
+
+
+def test_sqlite_partitions_follow_the_size(spark, tmp_path):
+    path = str(tmp_path / "d.sqlite")
+    want = messages(path)
+    df = sqlite.read(spark, path, "messages", rows=100)
+    assert df.rdd.getNumPartitions() == 3 and sqlite.read(spark, path, "messages").rdd.getNumPartitions() == 1
+    assert sqlite.read(spark, path, "messages", partitions=7).rdd.getNumPartitions() == 7
+    assert sorted(map(tuple, df.collect())) == sorted(want)
+    assert sorted(map(tuple, sqlite.read(spark, path, "pairs", rows=1).collect())) == [("x", "1"), ("y", None)]  # no row ids
+    assert sqlite.read(spark, path, "messages", "time", "id", "no such").columns == ["id", "time"]
+
+
+def test_sqlite_tests_reach_the_database(spark, tmp_path):
+    path = str(tmp_path / "d.sqlite")
+    want = messages(path)
+    odd = 'odd "name'
+    for where, test in (
+        ((("source_type", "not null"), ("id", "=", "7")), lambda r: r[1] is not None and r[0] == "7"),
+        ((("source_type", "null"),), lambda r: r[1] is None),
+        ((("source_type", "in", "group", "x"), (odd, "starts", "é")), lambda r: r[1] == "group" and r[2].startswith("é")),
+        ((("time", ">=", "1500000200"), ("id", "<", "21")), lambda r: r[3] >= "1500000200" and r[0] < "21"),
+        (((odd, ">", "é"),), lambda r: r[2].encode() > "é".encode()),
+    ):
+        assert sorted(map(tuple, sqlite.read(spark, path, "messages", where=where, rows=100).collect())) == sorted(r for r in want if test(r))
+    df = sqlite.read(spark, path, "messages")  # one DataFrame, two uses in one query
+    assert df.filter("source_type is not null").union(df).count() == 450
+    reader = sqlite.SqliteReader({"path": path, "table": "messages", "where": '[["source_type", "not null"], ["id", "=", "7"], ["time", "in", "1", "2"], ["id", "starts", "1"]]'}, sqlite.Sqlite({"path": path, "table": "messages"}).schema())
+    asked, args = reader.query(sqlite._Range(0, 10))
+    assert asked.endswith('where rowid >= ? and rowid < ? and "source_type" is not null and cast("id" as text) = ? and cast("time" as text) in (?, ?) and substr(cast("id" as text), 1, ?) = ?')
+    assert args == [0, 10, "7", "1", "2", 1, "1"]
+    with pytest.raises(ValueError):
+        sqlite.condition("id", "like", "x")
+
+
+def test_sqlite_reports_ask_for_their_columns(spark, tmp_path):
+    path = str(tmp_path / "d.sqlite")
+    messages(path)
+    plan = sqlite.read(spark, path, "messages", "source_type", "time", where=(("source_type", "not null"),))
+    assert plan.columns == ["source_type", "time"] and plan.count() == 200
