@@ -17,16 +17,40 @@ from .plans import sinks
 from .session import get_session
 
 
-def show_reports(df, nested: bool = True) -> list[str]:
-    """Lines of text for reports, one a folder, most messages first."""
-    rows = P.last_by_root(df) if nested else df
-    rows = rows.withColumn("size", F.coalesce(S.format_bytes(F.col("bytes")), F.lit("?"))).orderBy(F.desc_nulls_last("messages_backed_up"), "export_root")
-    out = []
-    for r in rows.collect():  # a line for each backup that the user sees
-        q = lambda x: "?" if x is None else str(x)
-        out.append(f"{r['export_root']}  {r['kind']}  chats {q(r['chats_backed_up'])}  messages {q(r['messages_backed_up'])}  {q(r['first_message_utc'])} .. {q(r['last_message_utc'])}  {r['size']}")
-        for c in sorted(r["chat_summaries"] or [], key=lambda c: (c["messages_backed_up"] is None, -(c["messages_backed_up"] or 0), c["name"] or "")):
-            out.append(f"    {c['name']}  {q(c['messages_backed_up'])}  {q(c['first_message_utc'])} .. {q(c['last_message_utc'])}")
+SINGLE = ("html_single_chat_export", "html_single_chat_export_converted", "single_chat_export")
+
+
+def shown(v) -> str:
+    return "?" if v is None else str(v)
+
+
+def report_line(r, left: str) -> str:
+    """One report; a range only for a single chat, whose messages have one."""
+    when = lambda t: t.replace("+00:00", "Z") if t else "?"
+    span = f" range:{when(r['first_message_utc'])} → {when(r['last_message_utc'])}" if r["kind"] in SINGLE else ""
+    return f"{left} {r['fmt']} chats:{shown(r['chats_backed_up'])} messages:{shown(r['messages_backed_up'])} size on disk: {shown(r['size'])} {r['kind']}{span}"
+
+
+def summary_lines(r, indent: str) -> list[str]:
+    """A report's chats, most messages first."""
+    stamp = lambda t: t[:19].replace(":", "-") + "Z" if t else "unknown"
+    each = sorted(r["chat_summaries"] or [], key=lambda c: (-1 * (-1 if c["messages_backed_up"] is None else c["messages_backed_up"]), c["name"] or ""))
+    return [f"{indent}  {c['name']} {stamp(c['first_message_utc'])}__{stamp(c['last_message_utc'])} messages:{shown(c['messages_backed_up'])}" for c in each]
+
+
+def show_reports(df, root: str) -> list[str]:
+    """Lines of text: by chat folder for a collection of single chats, else nested as the folders are."""
+    root = os.path.abspath(root)
+    df = df.withColumn("size", S.format_bytes(F.col("bytes")))
+    collection = P.collection_mode(df, root).first()["collection"]
+    rows = (P.collection_order if collection else P.nested_order)(df, root).orderBy("n").collect()  # a line for each backup that the user sees
+    out = [f"Export root: {root}", ""]
+    for r in rows:
+        if collection:
+            out += [report_line(r, f"{r['chat']} {r['label']}" if r["first"] else f"      {r['label']}"), *summary_lines(r, "")]
+        else:
+            indent, label = "  " * r["level"], os.path.basename(r["export_root"]) if r["label"] == "." else r["label"].replace("/", " ")
+            out += [report_line(r, indent + label), *summary_lines(r, indent)]
     return out
 
 
@@ -103,7 +127,7 @@ def main(argv: list[str] | None = None) -> int:
     if o.json:
         print("[" + ",\n".join(r["j"] for r in df.drop("bytes").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).collect()) + "]")
     else:
-        print("\n".join(show_reports(df)))
+        print("\n".join(show_reports(df, o.path)))
     return 0
 
 

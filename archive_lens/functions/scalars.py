@@ -201,18 +201,13 @@ def page_title(text: Column) -> Column:
     return F.nullif(strip(html_unescape(raw)), F.lit(""))
 
 
-def person_name(first: Column, last: Column) -> Column:
-    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
-    return F.nullif(F.concat_ws(" ", blank(first), blank(last)), F.lit(""))
-
-
 def chat_name(name: Column, title: Column, chat_id: Column) -> Column:
     blank = lambda c: F.nullif(strip(c), F.lit(""))
     return F.coalesce(blank(name), blank(title), F.concat(F.lit("chat_"), chat_id.cast("string")), F.lit("unknown_chat"))
 
 
 def format_bytes(n: Column) -> Column:
-    """Bytes with a binary unit, to three figures; halves round to even."""
+    """Bytes with a binary unit, to three figures; halves round to even; null stays null."""
     v, out = n.cast("double"), None
     for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB", "PiB"), 1):
         x = v / float(1024**k)
@@ -221,7 +216,7 @@ def format_bytes(n: Column) -> Column:
         last = unit == "PiB"
         out = F.when(v < 1024, F.concat(n.cast("long").cast("string"), F.lit("B"))) if out is None else out
         out = out.otherwise(text) if last else out.when(v < float(1024 ** (k + 1)), text)
-    return out
+    return F.when(n.isNotNull(), out)
 
 
 def parse_bytes(c: Column) -> Column:
@@ -231,7 +226,3 @@ def parse_bytes(c: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in K.UNITS.items() for x in kv])
     factor = F.coalesce(F.try_element_at(table, unit), F.try_element_at(table, F.initcap(unit)))
     return F.when(s.rlike(r"^\d+$"), s.try_cast("long")).when(num != "", F.floor(num.try_cast("double") * factor).cast("long"))
-
-
-def or_unknown(c: Column) -> Column:
-    return F.coalesce(c.cast("string"), F.lit("?"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import scalars as S
+from ..session import materialize
+from . import tree
 
 SUMMARY = "struct<name:string,messages_backed_up:bigint,first_message_utc:string,last_message_utc:string>"
 REPORT = {
@@ -156,6 +158,37 @@ def last_by_root(reports: DataFrame) -> DataFrame:
     return reports.groupBy("export_root").agg(F.max_by(F.struct(*cols), F.struct(rank, "result_json")).alias("r")).select("r.*")
 
 
+def nested_order(reports: DataFrame, top: str) -> DataFrame:
+    """One report a folder (the last wins) with parent, level, label and n: the order of display, from 1.
+
+    Each report comes behind the one that its folder lies in; among siblings the most messages come first (unknown counts
+    last), then the label, which is the path below the parent. The order of a tree is the order of the keys of all folders
+    on the way down, so it is one sort, whatever the depth.
+    """
+    one = last_by_root(reports).withColumnRenamed("export_root", "path")
+    up = tree.nearest_ancestor(one, one)
+    base = F.coalesce("parent", F.lit(top.rstrip("/") or "/"))
+    one = one.join(up, "path").withColumn("label", F.when(S.is_within(base, F.col("path")), S.relative_path(base, F.col("path"))).otherwise(F.col("path")))
+    key = F.struct(-F.coalesce("messages_backed_up", F.lit(-1).cast("long")), F.col("label"))
+    held = materialize(one.withColumn("own", key), "nodes")
+    way = held.select("path", F.explode(F.concat(F.array("path"), S.ancestors(F.col("path")))).alias("at")).join(held.select(F.col("path").alias("at"), "own"), "at")
+    keys = way.groupBy("path").agg(F.array_sort(F.collect_list(F.struct(F.length("at").alias("l"), "own"))).alias("w")).select("path", F.transform("w", lambda x: x["own"]).alias("key"))
+    placed = tree.numbered(held.drop("own").join(keys, "path").withColumn("level", F.size("key") - 1), "key")
+    return placed.withColumnRenamed("path", "export_root").drop("key")
+
+
+def collection_order(reports: DataFrame, top: str) -> DataFrame:
+    """All reports with chat (the folder below top), label, first (the chat's main export) and n: the order of display.
+
+    Chats come by the most messages of any of their exports, then by name; within a chat the main export comes first.
+    """
+    parts = F.split(S.relative_path(F.lit(top.rstrip("/") or "/"), F.col("export_root")), "/")
+    sub = F.when(F.size(parts) > 1, F.array_join(F.slice(parts, 2, F.size(parts)), " ")).otherwise(S.basename(F.col("export_root")))
+    x = primary_exports(reports.withColumn("chat", F.element_at(parts, 1)).withColumn("label", sub), "chat", "label")
+    x = x.withColumn("first", F.col("n") == 1).withColumn("within", F.col("n")).withColumn("less", -F.coalesce("most", F.lit(-1)))
+    return tree.numbered(x.drop("n"), "less", "chat", "within").drop("less", "within", "most")
+
+
 def primary_exports(reports: DataFrame, chat: str = "chat", sub: str = "sub") -> DataFrame:
     """reports with n (1: the chat's main export) and the chat's most messages; chats in order of display."""
     w = Window.partitionBy(chat).orderBy(F.desc_nulls_last("messages_backed_up"), sub)

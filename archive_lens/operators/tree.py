@@ -54,12 +54,12 @@ def html_files(files: DataFrame) -> DataFrame:
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
     """df in order, with n from 1: ranges of the order are numbered by themselves, each from the end of those before it."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = materialize(df.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "ranges")
-    sizes = held.groupBy("part").agg(F.count("*").alias("size"))  # a row a range
-    before = sizes.withColumn("before", F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    n = F.row_number().over(Window.partitionBy("part").orderBy(*order)) + F.coalesce("before", F.lit(0))
-    return held.join(F.broadcast(before), "part").withColumn("n", n.cast("long")).drop("part", "size", "before").orderBy(*order)
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = materialize(df.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = held.groupBy("__range").agg(F.count("*").alias("__rows"))  # a row a range
+    before = sizes.select("__range", F.sum("__rows").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    n = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) + F.coalesce("__before", F.lit(0))
+    return held.join(F.broadcast(before), "__range").withColumn("n", n.cast("long")).drop("__range", "__before").orderBy(*order)
 
 
 def chat_roots(files: DataFrame) -> DataFrame:

@@ -801,3 +801,39 @@ def q_running_ranges(spark, sf_dir):
 
     r = running_ranges(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
     return r.select("user_id", "messages", F.unix_seconds("first").alias("first"), F.unix_seconds("last").alias("last"))
+
+
+#: Folders with reports three levels deep, some levels left out; counts tie and are unknown.
+TREE = """select path, case when h % 7 = 0 then null else h % 5 end as messages_backed_up from (
+  select concat('/t/a', cast(r_regionkey as varchar(9))) as path, r_regionkey * 3 as h from region
+  union all select concat('/t/a', cast(n_regionkey as varchar(9)), '/b ', n_name), n_nationkey * 11 from nation where n_nationkey % 3 <> 0
+  union all select concat('/t/a', cast(n_regionkey as varchar(9)), '/b ', n_name, '/x/c', cast(s_suppkey as varchar(9))), s_suppkey * 17 from supplier join nation on n_nationkey = s_nationkey) as t"""
+
+
+@query(f"""with recursive t as ({TREE}), p as (select c.path, c.messages_backed_up, max(a.path) as parent from t c left join t a on starts_with(c.path, a.path || '/') group by c.path, c.messages_backed_up),
+l as (select *, case when parent is null then path[4:] else path[len(parent) + 2:] end as label from p),
+r as (select path, parent, 0 as level, [struct_pack(m := -coalesce(messages_backed_up, -1), l := label)] as k from l where parent is null
+  union all select l.path, l.parent, r.level + 1, list_append(r.k, struct_pack(m := -coalesce(l.messages_backed_up, -1), l := l.label)) from l join r on r.path = l.parent)
+select path as export_root, parent, level, row_number() over (order by k) as n from r""")
+def q_report_order(spark, sf_dir):
+    """The order in which nested reports are shown: a walk down the folders, most messages first."""
+    names = {t: table(spark, sf_dir, t) for t in ("region", "nation", "supplier")}
+    text = TREE
+    for t in names:
+        text = text.replace(f"from {t} ", f"from {{{t}}} ").replace(f"from {t}\n", f"from {{{t}}}\n").replace(f"join {t} ", f"join {{{t}}} ")
+    rows = P.as_report(spark.sql(text, **names).select(F.col("path").alias("export_root"), F.lit("html").alias("fmt"), F.col("path").alias("result_json"), F.col("messages_backed_up").cast("long").alias("messages_backed_up")))
+    return P.nested_order(rows, "/t").select("export_root", "parent", "level", "n")
+
+
+#: Exports of chats: a nation's suppliers.
+COLLECTION = "select concat('/c/', n_name, '/', cast(s_suppkey % 97 as varchar(9)), '/', cast(s_suppkey as varchar(9))) as export_root, case when s_suppkey % 6 = 0 then null else s_suppkey % 13 end as messages_backed_up from supplier join nation on n_nationkey = s_nationkey"
+
+
+@query(f"""with c as (select *, string_split(export_root, '/')[3] as chat, array_to_string(string_split(export_root, '/')[4:], ' ') as label from ({COLLECTION}) as t),
+m as (select *, max(coalesce(messages_backed_up, -1)) over (partition by chat) as most, row_number() over (partition by chat order by messages_backed_up desc nulls last, label) as within from c)
+select export_root, chat, label, within = 1 as first, row_number() over (order by most desc, chat, within) as n from m""")
+def q_collection_order(spark, sf_dir):
+    """The order in which a collection is shown: chats by their largest export, their other exports behind it."""
+    rows = spark.sql(COLLECTION.replace("from supplier join nation", "from {s} join {n}"), s=table(spark, sf_dir, "supplier"), n=table(spark, sf_dir, "nation"))
+    rows = P.as_report(rows.withColumn("messages_backed_up", F.col("messages_backed_up").cast("long")))
+    return P.collection_order(rows, "/c").select("export_root", "chat", "label", "first", "n")

@@ -193,6 +193,50 @@ def test_discover_tree(spark, tmp_path):
     assert only == {"u/.telegram_backup/acc"}
 
 
+def run(capsys, *argv):
+    from archive_lens import cli
+
+    code = cli.main([str(x) for x in argv])
+    return code, capsys.readouterr().out
+
+
+def test_nested_reports_are_shown_as_folders_are(spark, tmp_path, capsys):
+    put(tmp_path, "m/export_results.html")
+    put(tmp_path, "m/chats/chat_001/messages.html", PAGE)
+    put(tmp_path, "m/in/result.json", '{"messages": [{"id": 1}], "name": "J"}')
+    for d in ("css", "js"):
+        (tmp_path / "z" / d).mkdir(parents=True)
+    put(tmp_path, "z/messages.html", PAGE + PAGE)
+    code, out = run(capsys, tmp_path, "--no-sizes")
+    assert code == 0 and out.splitlines() == [
+        f"Export root: {tmp_path}", "",
+        "z html chats:1 messages:4 size on disk: ? html_single_chat_export range:2018-10-10T18:32:23Z → 2018-10-11T03:40:00Z", "  Alice & Bob 2018-10-10T18-32-23Z__2018-10-11T03-40-00Z messages:4",
+        "m html chats:1 messages:2 size on disk: ? html_multi_chat_export", "  Alice & Bob 2018-10-10T18-32-23Z__2018-10-11T03-40-00Z messages:2",
+        "  in json chats:1 messages:1 size on disk: ? single_chat_export range:? → ?", "    J unknown__unknown messages:1",
+    ]
+
+
+def test_collections_are_shown_by_chat(spark, tmp_path, capsys):
+    for chat, sub, n in (("Ann", "1", 1), ("Bob", "1", 1), ("Bob", "2", 3), ("Cy", "1", 2), ("Cy", "2", 2)):
+        for d in ("css", "js"):
+            (tmp_path / chat / sub / d).mkdir(parents=True)
+        put(tmp_path, f"{chat}/{sub}/messages.html", PAGE * n)
+    code, out = run(capsys, tmp_path)
+    lines = [x for x in out.splitlines() if "size on disk" in x]
+    assert code == 0 and [x.split(" html ")[0] for x in lines] == ["Bob 2", "      1", "Cy 1", "      2", "Ann 1"]
+
+
+def test_check_from_the_command_line(spark, tmp_path, capsys):
+    put(tmp_path, "out.txt")
+    put(tmp_path, "r/messages.html", '<a href="../out.txt"><a href="photos/p.jpg">')
+    put(tmp_path, "r/photos/p.jpg")
+    code, out = run(capsys, tmp_path / "r", "--check-links", "--json")
+    got = json.loads(out)
+    assert code == 1 and (got["counters"]["outside"], got["counters"]["media_chat_local_ok"], got["counters"]["chat_local_files"]) == (1, 1, 1)
+    code, out = run(capsys, tmp_path / "r", "--check-links", "--check-allow-outside-root")
+    assert code == 0 and "  ok: 2" in out.splitlines()
+
+
 def test_repair_is_idempotent(spark, tmp_path):
     put(tmp_path, "a#b.html")
     put(tmp_path, "page.html", '<a href="a#b.html"> <a href="page.html#anchor"> <a href="a%23b.html">')
