@@ -39,6 +39,11 @@ def json_part(files: DataFrame, inspect: bool = True) -> DataFrame:
     return P.as_report(found.select(F.col("dir").alias("export_root"), F.col("path").alias("result_json"), F.lit("json").alias("fmt"), F.lit("unknown").alias("kind"), S.export_date(F.col("path")).alias("inferred_export_date")))
 
 
+def sniff(spark: SparkSession, root: str) -> DataFrame:
+    """(path, kind, keys) of the JSON exports below a folder, from the beginning of each file alone."""
+    return json_pieces.sniff(tree.named(inventory(spark, root), *K.RESULT_NAMES))
+
+
 def html_part(files: DataFrame, inspect: bool = True) -> DataFrame:
     """Reports of HTML exports. Without inspection bodies are not read: only chat folders are counted."""
     roots = tree.html_export_roots(files)

@@ -78,7 +78,7 @@ def range_reports(c: DataFrame) -> DataFrame:
     summary = F.struct("pos", F.struct(F.col("name").alias("name"), F.col("n").alias("messages_backed_up"), iso("first").alias("first_message_utc"), iso("last").alias("last_message_utc")).alias("s"))
     g = c.groupBy("path", "kind", "keys").agg(F.count("pos").alias("chats"), F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), summary))).alias("s"))
     known = F.col("kind") != "unknown"
-    return as_report(g.select(S.dirname(F.col("path")).alias("export_root"), F.col("path").alias("result_json"), F.lit("json").alias("fmt"), "kind", F.col("keys").alias("top_level_keys"), S.export_date(F.col("path")).alias("inferred_export_date"), F.when(known, F.col("chats")).alias("chats_backed_up"), F.when(known, F.col("n")).alias("messages_backed_up"), iso("first").alias("first_message_utc"), iso("last").alias("last_message_utc"), F.transform("s", lambda x: x["s"]).alias("chat_summaries")))
+    return as_report(g.select(S.dirname(F.col("path")).alias("export_root"), F.col("path").alias("result_json"), F.lit("json").alias("fmt"), "kind", F.col("keys").alias("top_level_keys"), S.export_date(F.col("path")).alias("inferred_export_date"), F.when(known, F.col("chats")).alias("chats_backed_up"), F.when(known, F.col("n")).alias("messages_backed_up"), iso("first").alias("first_message_utc"), iso("last").alias("last_message_utc"), F.when(F.col("first").isNotNull(), F.col("path")).alias("first_message_source"), F.when(F.col("last").isNotNull(), F.col("path")).alias("last_message_source"), F.when(F.col("first").isNotNull(), "message_timestamps").alias("date_range_basis"), F.transform("s", lambda x: x["s"]).alias("chat_summaries")))
 
 
 def source_groups(messages: DataFrame) -> DataFrame:

@@ -460,6 +460,16 @@ def q_json_pieces(spark, sf_dir):
     return c.select(F.col("id").cast("long").alias("conv_id"), "name", "n", F.unix_seconds("first").alias("first"), F.unix_seconds("last").alias("last"))
 
 
+SNIFF = "concat('{\"about\": \"', repeat('x', cast(event_id % 9 as int) * 700), '\", ', case when event_id % 3 = 0 then '\"id\": [{\"inner\": 1}], ' else '' end, case when event_id % 2 = 0 then '\"messages\"' else '\"chats\"' end, ': [1, 2], \"left\": 1, \"last\": 2}')"
+
+
+@query("select cast(event_id as varchar) as path, case when event_id % 2 = 0 then 'single_chat_export' else 'multi_chat_export' end as kind, concat('about,', case when event_id % 2 = 1 then 'chats,' else '' end, case when event_id % 3 = 0 then 'id' else 'left' end, case when event_id % 2 = 0 then ',messages' else '' end) as keys from events")
+def q_json_sniff(spark, sf_dir):
+    """The first keys of exports: with three keys, one of them telling, the rest is not looked at."""
+    data = table(spark, sf_dir, "events").selectExpr("cast(event_id as string) as path", f"encode({SNIFF}, 'utf-8') as data")
+    return json_pieces.sniff(data).select("path", "kind", F.array_join("keys", ",").alias("keys"))
+
+
 @query("select event_id, cast(epoch(date_trunc('second', ts)) as bigint) as iso, case when event_id % 4 in (0, 1) then null else event_id end as unix from events")
 def q_unix_iso(spark, sf_dir):
     e = table(spark, sf_dir, "events")
@@ -837,3 +847,27 @@ def q_collection_order(spark, sf_dir):
     rows = spark.sql(COLLECTION.replace("from supplier join nation", "from {s} join {n}"), s=table(spark, sf_dir, "supplier"), n=table(spark, sf_dir, "nation"))
     rows = P.as_report(rows.withColumn("messages_backed_up", F.col("messages_backed_up").cast("long")))
     return P.collection_order(rows, "/c").select("export_root", "chat", "label", "first", "n")
+
+
+#: A multi-chat export: a nation is a chat, its title its region's; a bare name that lies in a media folder, a shared file.
+SPLIT_PAGE = "concat('<div class=\"text bold\">', chr(10), 'Region ', n_regionkey, chr(10), '</div>', chr(10), '<div class=\"pull_right date details\" title=\"10.10.2018 19:32:23 UTC+01:00\">', chr(10), '<a href=\"{video}\"><img src=\"{shared}\">')"
+SPLIT_FILES = "(case x when 0 then concat('/m/chats/chat_', n_nationkey, '/messages.html') when 1 then concat('/m/chats/chat_', n_nationkey, '/video_files/b', n_nationkey, '.mp4') when 2 then concat('/m/files/f', n_nationkey, '.jpg') when 3 then '/m/css/a.css' else '/m/export_results.html' end)"
+
+
+@query(f"""with c as (select *, concat('chat_', n_nationkey) as chat from nation where n_nationkey % 2 = 0),
+d as (select *, concat('/out/Region ', n_regionkey, case when row_number() over (partition by n_regionkey order by chat) = 1 then '' else concat(' (', chat, ')') end, '/2018-10-10T18-32-23Z__2018-10-10T18-32-23Z') as dst from c)
+select 0 as rank, 'copy' as action, concat('/m/chats/', chat, '/messages.html') as src, concat(dst, '/messages.html') as dst, null as payload from d
+union all select 0, 'copy', concat('/m/chats/', chat, '/video_files/b', n_nationkey, '.mp4'), concat(dst, '/video_files/b', n_nationkey, '.mp4'), null from d
+union all select 1, 'copy_tree', '/m/css', concat(dst, '/css'), null from d
+union all select 2, 'copy', concat('/m/files/f', n_nationkey, '.jpg'), concat(dst, '/media/files/f', n_nationkey, '.jpg'), null from d
+union all select 3, 'rewrite', concat('/m/chats/', chat, '/messages.html'), concat(dst, '/messages.html'), {SPLIT_PAGE.format(video="video_files/b', n_nationkey, '.mp4", shared="media/files/f', n_nationkey, '.jpg")} from d
+union all select 4, 'marker', null, concat(dst, '/{K.MARKER_NAME}'), chat from d""")
+def q_split_plan(spark, sf_dir):
+    """The steps of a split of every other chat; a marker's payload is told by its chat."""
+    nation = table(spark, sf_dir, "nation")
+    page = SPLIT_PAGE.format(video="b', n_nationkey, '.mp4", shared="../../files/f', n_nationkey, '.jpg")
+    pages = nation.selectExpr("concat('chat_', n_nationkey) as chat_id", "concat('/m/chats/chat_', n_nationkey, '/messages.html') as file", f"{page} as text")
+    files = nation.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(4)))).selectExpr(f"{SPLIT_FILES} as path").distinct().withColumn("is_dir", F.lit(False)).withColumn("name", S.basename(F.col("path"))).withColumn("dir", S.dirname(F.col("path")))
+    only = [f"chat_{k}" for k in range(0, 100, 2)]  # as a user names the chats
+    plan = rewrites.split_plan(files, pages, lines(pages.select("file", "text")), "/m", "/out", "now", only)
+    return plan.withColumn("payload", F.when(F.col("action") == "marker", F.get_json_object("payload", "$.converted_from.chat_id")).otherwise(F.col("payload"))).select("rank", "action", "src", "dst", "payload")

@@ -17,6 +17,7 @@ and the files may be minified or not. A file that is cut off or broken gives the
 
 from __future__ import annotations
 
+import io
 import json
 import re
 
@@ -28,6 +29,9 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 PIECE = 8 << 20
+#: What sniff() reads at most, and at once; keys that are enough, one of them in TELLING.
+HEAD, STEP, ENOUGH = 1 << 20, 1 << 16, 3
+TELLING = {"chats": "multi_chat_export", "messages": "single_chat_export"}
 #: Bytes kept of what stands between the last bracket or comma and the next: a key and, in a chat, its value.
 KEY_BYTES = 1 << 16
 MEMBERS = ("id", "name", "title")
@@ -317,3 +321,50 @@ def items(pieces: DataFrame) -> DataFrame:
     found = materialize(_spread(told.join(stacks, ["path", "start"])).mapInArrow(_items, ITEMS), "json_items")
     parts = found.filter("data is not null").groupBy("path", "owner", "at").agg(F.array_sort(F.collect_list(F.struct("part", "data"))).alias("parts"))
     return found.filter("data is null").unionByName(parts.mapInArrow(_join, ITEMS)).drop("part", "data")
+
+
+def first_keys(read) -> list[str]:
+    """Keys of the root in order, from read(n) for the next n bytes: no more than HEAD bytes, and none after enough is known."""
+    data = b""
+    while len(data) < HEAD and (more := read(STEP)):
+        data += more
+        at = marks(data, False, False)
+        depth = np.cumsum(_steps(data, at))
+        # a member of the root begins behind a bracket or comma that leaves one container open
+        ends = np.flatnonzero(depth == 1)
+        keys: list[str] = []
+        for k in ends.tolist():
+            m = KEY.match(data, int(at[k]) + 1)
+            key = _text(_load(b'"' + m[1] + b'"')) if m else None
+            if key is not None and key not in keys:
+                keys.append(key)
+            if len(keys) >= ENOUGH and TELLING.keys() & set(keys):
+                return keys
+    return keys if data else []
+
+
+def _sniff(batches):
+    schema = _schema(path=pa.string(), kind=pa.string(), keys=pa.list_(pa.string()))
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            if "data" in row:
+                keys = first_keys(io.BytesIO(row["data"] or b"").read)
+            else:
+                try:
+                    with open(row["path"], "rb") as f:
+                        keys = first_keys(f.read)
+                except OSError:
+                    continue
+            out.append((row["path"], next((v for k, v in TELLING.items() if k in keys), "unknown"), sorted(keys)))
+        if out:
+            yield _table(out, schema)
+
+
+def sniff(files: DataFrame) -> DataFrame:
+    """(path, kind, keys) of JSON exports (path; or path, data) from their beginnings: what items() would tell of the root, as far as HEAD bytes go.
+
+    kind goes by the keys alone; a `messages` that is no list is taken for one.
+    """
+    known = files.select(*[c for c in files.columns if c in ("path", "data")])
+    return _spread(known.withColumn("start", F.lit(0))).drop("start").mapInArrow(_sniff, "path string, kind string, keys array<string>")

@@ -159,6 +159,7 @@ def test_json_report(spark, tmp_path):
     r = engine.discover(spark, str(tmp_path)).first()
     assert (r["kind"], r["top_level_keys"], r["chats_backed_up"], r["messages_backed_up"]) == ("multi_chat_export", ["chats", "left_chats"], 3, 2)
     assert (r["first_message_utc"], r["last_message_utc"]) == ("2018-10-09T19:32:23+00:00", "2018-10-09T21:32:23+00:00")
+    assert (r["first_message_source"], r["date_range_basis"]) == (str(tmp_path / "j/result.json"), "message_timestamps")
     assert [(c["name"], c["messages_backed_up"], c["first_message_utc"] is None) for c in r["chat_summaries"]] == [("A", 1, False), ("B", 0, True), ("chat_3", 1, True)]
 
 

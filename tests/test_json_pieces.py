@@ -90,3 +90,31 @@ def test_quotes_after_runs_of_backslashes():
                 off = c == 92 and not off
             got, after = J.real_quotes(data, escaped)
             assert (got.tolist(), after) == (want, off)
+
+
+def test_elements_that_are_no_objects_are_no_messages(spark):
+    text = '{"chats": {"list": [1, "x", [{"id": 9, "messages": [{"id": 9}]}], null, {"id": 4, "messages": [1, "}", [{"id": 3}], null, {"id": 1, "x": [{}]}, true]}]}}'
+    for n in (1, 7, 1000):
+        pieces = [("/f", k, text.encode()[k : k + n]) for k in range(0, len(text), n)]
+        rows = P.json_item_ranges(spark.createDataFrame([("/f",)], "path string"), J.items(spark.createDataFrame(pieces, "path string, start long, data binary"))).collect()
+        assert [(r.id, r.n) for r in rows] == [("4", 1)]
+
+
+def test_a_beginning_is_enough_for_the_keys(spark, tmp_path):
+    big = tmp_path / "result.json"
+    with big.open("wb") as f:
+        f.write(b'{"about": "' + b"x" * 100_000 + rb'", "k\u00e9y": {"a": [1, {"b": "},{"}]}, "messages": [')
+        f.seek(3 << 30)  # three GB, of which the file system holds next to nothing
+        f.write(b"]}")
+    asked = []
+    with big.open("rb") as f:
+        assert J.first_keys(lambda n: asked.append(n) or f.read(n)) == ["about", "kéy", "messages"]
+    assert sum(asked) < 1 << 20
+    r = engine.sniff(spark, str(tmp_path)).first()
+    assert (r["path"], r["kind"], r["keys"]) == (str(big), "single_chat_export", ["about", "kéy", "messages"])
+    assert engine.discover(spark, str(tmp_path), inspect=False, sizes=False).first()["kind"] == "unknown"  # nothing is read without inspection
+    endless = []
+    assert J.first_keys(lambda n: endless.append(n) or b'"' * n) == [] and sum(endless) == J.HEAD
+    rows = [("a", b""), ("b", None), ("c", b"[1]"), ("d", b"{}"), ("e", b'{"a":1,"chats":2'), ("f", b'\xff{"chats"')]
+    got = {r.path: (r.kind, r["keys"]) for r in J.sniff(spark.createDataFrame(rows, "path string, data binary")).collect()}
+    assert got["e"] == ("multi_chat_export", ["a", "chats"]) and all(got[k] == ("unknown", []) for k in "abcdf")
