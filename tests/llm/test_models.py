@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from archive_lens.llm import language_id, lm_scoring, quality, toxicity
 from archive_lens.llm import queries as Q
-from archive_lens.llm.calibration import isotonic
+from archive_lens.llm.calibration import calibrated, isotonic
 from archive_lens.llm.common import fold as fold_column
+from archive_lens.llm.kernels import mix
 
 from .helpers import SF, auc, fold, words
 
@@ -237,3 +238,68 @@ def test_lm_edges(spark):
     assert out.collect() == [] and (n, v) == (0, 0)
     out, n, v = lm_scoring.score(odd(spark), F.lit(False), path)
     assert n == 0 and all(r.n_known == 0 for r in out.collect())
+
+
+def test_quality_features_approximate_the_gaussian_kernel():
+    r = np.random.default_rng(7)
+    x = r.normal(size=(60, quality.STATS))
+    model = quality.Model(np.zeros(quality.STATS), np.ones(quality.STATS))
+    z = model.features(x)[:, :-1]
+    square = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    kernel = np.exp(-square * quality.WIDTH**2 / 2)
+    assert np.abs(z @ z.T - kernel).mean() < 2 / math.sqrt(quality.FEATURES)
+
+
+def test_quality_scores_equal_a_fit_in_one_piece(spark, labels):
+    """Means, normal equations and bins are sums over partitions: here they are computed over all rows at once."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").repartition(5)
+    stats, model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"), fold_column(F.col("doc_id"), 3) != 1)
+    x = {r.doc_id: np.frombuffer(r.stats) for r in stats.collect()}
+    whole = np.array(list(x.values()))
+    mine = quality.Model(whole.mean(axis=0), whole.std(axis=0))
+    known = [d for d in labels if d in x and labels[d].quality in (0, 1) and fold(d, 3) != 1]
+    z, y = mine.features(np.array([x[d] for d in known])), np.array([labels[d].quality for d in known], float)
+    penalty = np.diag([quality.RIDGE * len(y)] * quality.FEATURES + [1e-9])
+    mine.coef = np.linalg.solve(z.T @ z + penalty, z.T @ y)
+    raw = z @ mine.coef
+    k = quality._bin(raw)
+    some = np.unique(k)
+    mine.knots = isotonic(*(np.array(v) for v in ([raw[k == i].mean() for i in some], [y[k == i].mean() for i in some], [(k == i).sum() for i in some])))
+    got = {r.doc_id: r.score for r in quality.score(stats, model).collect()}
+    want = dict(zip(x, calibrated(mine.raw(whole), mine.knots), strict=True))
+    assert got.keys() == want.keys() and max(abs(got[d] - want[d]) for d in got) < 1e-3
+    assert np.mean([abs(got[d] - want[d]) for d in got]) < 1e-6
+
+
+def grams_by_hand(text):
+    """Places of the byte pairs and triples of letters of a text, lower-cased, everything else being space."""
+    x = [b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()]
+    x = [b + 32 if i and x[i - 1] == 0xC3 and 0x80 <= b < 0x9F else b for i, b in enumerate(x)]
+    x = [32, *(b if 97 <= b <= 122 or b >= 128 else 32 for b in x), 32]
+    place = lambda g: int(mix(np.array([g * 0x9E3779B97F4A7C15 % 2**64], np.uint64))[0] >> np.uint64(40)) % language_id.DIMENSIONS
+    pairs = [(a, b) for a, b in zip(x, x[1:], strict=False)]
+    out = Counter(place(a << 8 | b) for a, b in pairs if (a, b) != (32, 32))
+    out.update(place(a << 16 | b << 8 | c | 1 << 32) for a, b, c in zip(x, x[1:], x[2:], strict=False) if (a, b) != (32, 32) and (b, c) != (32, 32))
+    return out
+
+
+def test_language_predictions_equal_cosines_by_hand(spark):
+    rows = [(r.doc_id, (r.text or "")[:400], r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 120").collect()] + [(900, None, None), (901, "ÀÉ à é ÿ Ÿ", "fr"), (902, "12 !", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language_id.train(df, F.lit(True))
+    counts = {d: grams_by_hand(t) for d, t, _ in rows}
+    learned = [d for d, t, lang in rows if t is not None and lang is not None]
+    df_ = Counter(g for d in learned for g in counts[d])
+    idf = [math.log((1 + len(learned)) / (1 + df_[g])) + 0.1 for g in range(language_id.DIMENSIONS)]
+    assert model.idf == pytest.approx(idf)
+    got = {r.doc_id: r for r in language_id.predict(df, model).collect()}
+    for d, t, _ in rows:
+        v = {g: math.log1p(c) * idf[g] for g, c in counts[d].items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cosines = [sum(x * float(c[g]) for g, x in v.items()) / (norm or 1) for c in model.centroids]
+        best = max(cosines)
+        if not any(c.isalpha() for c in t or ""):
+            assert (got[d].lang_pred, got[d].score) == ("und", 0)
+        else:
+            assert got[d].score == pytest.approx(best, abs=1e-4)
+            assert got[d].lang_pred in {model.langs[o] for o, c in zip(model.owner, cosines, strict=True) if c > best - 1e-4}
