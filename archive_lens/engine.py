@@ -164,16 +164,11 @@ def check_links(spark: SparkSession, root: str, **options) -> dict[str, DataFram
     return {k: x.drop("root") for k, x in got.items()}
 
 
-def backups(files: DataFrame) -> DataFrame:
-    """(path) of the folders that hold an export of any kind."""
-    return tree.html_export_roots(files).select("path").union(tree.named(files, *K.RESULT_NAMES, K.DATABASE_NAME).select(F.col("dir").alias("path"))).distinct()
-
-
 def check_each(spark: SparkSession, root: str, **options) -> dict[str, DataFrame]:
     """check_roots() of the backups found below root, each by itself; of root as a whole if there is one at most."""
     root = os.path.abspath(root)
     files = inventory(spark, root)
-    found = materialize(backups(files), "backups")
+    found = materialize(tree.backups(files), "backups")
     if found.limit(2).count() < 2:
         found = spark.createDataFrame([(root,)], "path string")
     return check_roots(spark, files, found, root, **options)

@@ -84,6 +84,11 @@ def html_export_roots(files: DataFrame) -> DataFrame:
     return d.select("path", kind.alias("kind"), "has_chats").filter("kind is not null")
 
 
+def backups(files: DataFrame) -> DataFrame:
+    """(path) of the folders that hold an export of any kind, each once."""
+    return html_export_roots(files).select("path").union(named(files, *K.RESULT_NAMES, K.DATABASE_NAME).select(F.col("dir").alias("path"))).distinct()
+
+
 def message_pages(files: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, kind, chat, path): pages of each export: of its own chat folders, or its own folder if it is a single chat."""
     pages = files.filter(~F.col("is_dir") & F.col("name").rlike(r"^messages.*\.html$")).select("path", "dir")

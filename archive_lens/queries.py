@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import constants as K
 from .functions import scalars as S
-from .functions.udfs import html_unescape, url_quote, url_unquote
+from .functions.udfs import decode_lenient, html_unescape, url_quote, url_unquote
 from .operators import refs as R
 from .operators import reports as P
 from .operators import resolve
@@ -871,3 +871,27 @@ def q_split_plan(spark, sf_dir):
     only = [f"chat_{k}" for k in range(0, 100, 2)]  # as a user names the chats
     plan = rewrites.split_plan(files, pages, lines(pages.select("file", "text")), "/m", "/out", "now", only)
     return plan.withColumn("payload", F.when(F.col("action") == "marker", F.get_json_object("payload", "$.converted_from.chat_id")).otherwise(F.col("payload"))).select("rank", "action", "src", "dst", "payload")
+
+
+@query(r"""with b as (select concat(html, chr(10), 'end é') as text, page_id from pages where html is not null),
+p as (select page_id, string_split_regex(text, '\r\n|\r|\n') as l from b) select page_id, cast(len(l) as bigint) as lines, l[-1] as last, cast(sum(length(x)) as bigint) as chars from (select page_id, l, unnest(l) as x from p) group by page_id, l""")
+def q_lenient_lines(spark, sf_dir):
+    """Lines of pages whose bytes are no clean UTF-8: what is none is dropped, the rest stays."""
+    data = F.concat(F.lit(b"\xff"), F.encode("html", "utf-8"), F.lit(b"\xc3\n\x80en\xe2\x82d \xc3\xa9\xf0\x9f"))
+    pages = table(spark, sf_dir, "pages").filter("html is not null").select(F.col("page_id").cast("string").alias("file"), decode_lenient(data).alias("text"))
+    each = lines(pages).groupBy("file").agg(F.count("*").alias("lines"), F.max_by("line", "line_no").alias("last"), F.sum(F.length("line")).alias("chars"))
+    return each.select(F.col("file").cast("long").alias("page_id"), "lines", "last", "chars")
+
+
+#: Folders of suppliers with an HTML, a JSON or a database export, or two of them, one in another.
+BACKUP_FILES = "case x when 0 then concat('/b/', k % 7, '/', k, case when k % 3 = 0 then '/export_results.html' else '/messages9.html' end) when 1 then concat('/b/', k % 7, '/', k, case when k % 5 = 0 then '/in/result.json' else '/in/other.json' end) else concat('/b/', k % 7, '/', k, case when k % 6 = 0 then '/database.sqlite' else '/in/x.sqlite' end) end"
+
+
+@query(f"""with f as (select s_suppkey as k, unnest([0, 1, 2]) as x from supplier), p as (select distinct regexp_replace({BACKUP_FILES}, '/[^/]*$', '') as path from f where (x = 0 and k % 3 = 0) or (x = 1 and k % 5 = 0) or (x = 2 and k % 6 = 0))
+select path, row_number() over (order by len(path) - len(replace(path, '/', '')), path) as n from p""")
+def q_backup_order(spark, sf_dir):
+    """All backups of a folder, each once, by depth and path: the order in which their checks are told."""
+    f = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("x")).selectExpr(f"{BACKUP_FILES} as path")
+    f = f.withColumns({"dir": S.dirname(F.col("path")), "name": S.basename(F.col("path")), "is_dir": F.lit(False)})
+    roots = tree.backups(f).withColumn("depth", S.depth(F.col("path")))
+    return tree.numbered(roots, "depth", "path").select("path", "n")
