@@ -7,9 +7,11 @@ file's weights (forward-backward). The chance of an end after a piece is that of
 returned are to base 10.
 
 Distribution: each task sends its distinct words once (with counts over training rows), counts are summed by word, so no
-frequent word is a hot key. Texts are dealt to buckets of about BUCKET_BYTES, rows that repeat each by themselves; each
-bucket's distinct words fetch their count and likelihood by a join on (bucket, word), and a bucket is scored with its own
-small dictionary. Nothing that grows with the corpus is broadcast or collected; the vocabulary (a file) is.
+frequent word is a hot key. Texts are dealt to buckets of about BUCKET_BYTES, rows that repeat each by themselves; a
+bucket is scored with its own small dictionary. Frequent words stand in nearly all buckets: their counts and likelihoods
+are broadcast (at most FREQUENT words of 24 bytes, whatever the corpus, as each is a FREQUENT-th part of the tokens), and
+only a bucket's other distinct words fetch theirs by a join on the word. Nothing that grows with the corpus is broadcast
+or collected; the vocabulary (a file) is.
 
 Defined results: null and empty texts are the end alone. Repeated rows are each counted and scored. Without training rows
 N and V are 0, every count is 0, the pieces keep the file's weights and the end has the chance 1/2. A null doc_id is a
@@ -34,6 +36,8 @@ WIDE = 64
 ADAPT = 0.5
 #: Bytes of texts of a bucket.
 BUCKET_BYTES = 4_000_000
+#: A word that is at least the FREQUENT-th part of all tokens is frequent, so there are at most so many.
+FREQUENT = 50_000
 #: Bytes of a long word whose arcs are held at once.
 STRETCH = 4096
 START = b"\xe2\x96\x81"
@@ -209,54 +213,58 @@ def _by_length(words: list[bytes], most: int = 2048):
 
 
 def _words(batches):
-    """Distinct words of each task's steps with their number among training rows, and all tokens of those rows."""
+    """Distinct words of each task's steps with their number among training rows (c) and among all (every)."""
     held: dict[int, list] = {}
 
     def out():
         w = list(held.values())
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in w], pa.binary()), pa.array([x[1] for x in w], pa.int64())], ["word", "c"])
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in w], pa.binary()), pa.array([x[1] for x in w], pa.int64()), pa.array([x[2] for x in w], pa.int64())], ["word", "c", "every"])
 
     for batch in batches:
         data, offs = buffers(batch.column("text"))
         training = batch.column("training").to_numpy(zero_copy_only=False)
         for lo, hi, d, o in steps(data, offs):
             w = Words(d, o, lower=True)
-            h, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
+            h, first, inverse, every = np.unique(w.hash, return_index=True, return_inverse=True, return_counts=True)
             c = np.bincount(inverse.reshape(-1), training[lo:hi][w.doc].astype(float), len(h)).astype(np.int64)
             raw = w.data.tobytes()
-            for x, n, i in zip(h.tolist(), c.tolist(), first.tolist(), strict=True):
+            for x, n, m, i in zip(h.tolist(), c.tolist(), every.tolist(), first.tolist(), strict=True):
                 if (got := held.get(x)) is not None:
                     got[1] += n
+                    got[2] += m
                 else:
-                    held[x] = [raw[w.start[i] : w.end[i]], n]
+                    held[x] = [raw[w.start[i] : w.end[i]], n, m]
             if len(held) > 300_000:
                 yield out()
     if held:
         yield out()
 
 
-def _bucket_words(batches):
-    """Distinct words of each bucket, as hashes; rows come sorted by bucket."""
-    bucket, held = None, []
+def _bucket_words(frequent):
+    """Distinct words of each bucket that are not frequent, as hashes; rows come sorted by bucket."""
 
-    def out():
-        h = np.unique(np.concatenate(held))
+    def out(bucket, held):
+        h = np.setdiff1d(np.concatenate(held), frequent.value[0])
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), bucket, np.int64)), pa.array(h.view(np.int64))], ["bucket", "hash"])
 
-    for batch in batches:
-        b = batch.column("bucket").to_numpy()
-        cuts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]]))
-        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if b[i] != bucket and held:
-                yield out()
-                held = []
-            bucket = int(b[i])
-            data, offs = buffers(batch.column("text").slice(i, j - i))
-            for _, _, d, o in steps(data, offs):
-                held.append(np.unique(Words(d, o, lower=True).hash))
-    if held:
-        yield out()
+    def run(batches):
+        bucket, held = None, []
+        for batch in batches:
+            b = batch.column("bucket").to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]]))
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if b[i] != bucket and held:
+                    yield out(bucket, held)
+                    held = []
+                bucket = int(b[i])
+                data, offs = buffers(batch.column("text").slice(i, j - i))
+                for _, _, d, o in steps(data, offs):
+                    held.append(np.unique(Words(d, o, lower=True).hash))
+        if held:
+            yield out(bucket, held)
+
+    return run
 
 
 def word_hash(col: pa.Array) -> np.ndarray:
@@ -292,11 +300,11 @@ def score(docs: DataFrame, training: Column, vocabulary: str, adapt: float = ADA
     lattice = Lattice(vocabulary)
     rows = docs.select("doc_id", "text", training.alias("training"))
     # tasks have summed their own words; the partitions are many, as each word costs time afterwards
-    told = rows.select("text", "training").mapInArrow(_words, "word binary, c long").repartition(4 * partitions(spark), "word")
-    words = materialize(told.groupBy("word").agg(F.sum("c").alias("c")), "words")
+    told = rows.select("text", "training").mapInArrow(_words, "word binary, c long, every long").repartition(4 * partitions(spark), "word")
+    words = materialize(told.groupBy("word").agg(F.sum("c").alias("c"), F.sum("every").alias("every")), "words")
     size = rows.agg(F.count_if("training").alias("ends"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     ends = size["ends"]
-    m = words.filter("c > 0").agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
+    m = words.agg(F.count_if(F.col("c") > 0).alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum("every"), F.lit(0)).alias("every")).first()
     n, v = m["n"] + ends, m["v"] + (ends > 0)
     shared = spark.sparkContext.broadcast(lattice)
 
@@ -315,20 +323,26 @@ def score(docs: DataFrame, training: Column, vocabulary: str, adapt: float = ADA
                 lp = model.value.log_likelihood(part.column("word").to_pylist()) / np.log(10)
                 yield pa.RecordBatch.from_arrays([pa.array(word_hash(part.column("word")).view(np.int64)), part.column("c"), pa.array(lp)], ["hash", "c", "lp"])
 
-    known = words.mapInArrow(lookup, "hash long, c long, lp double")
+    # at most FREQUENT rows
+    often = F.col("every") * FREQUENT >= m["every"]
+    top = words.filter(often).mapInArrow(lookup, "hash long, c long, lp double").collect()
+    top = np.array([r["hash"] for r in top], np.int64).view(U), np.array([float(r["c"]) for r in top]), np.array([r["lp"] for r in top], float)
+    frequent = spark.sparkContext.broadcast(top)
+    known = words.filter(~often).mapInArrow(lookup, "hash long, c long, lp double")
     buckets = max(4 * partitions(spark), -(-size["bytes"] // BUCKET_BYTES))
     # rows that repeat are dealt apart, in the same way whenever a task is run again
     bucket = F.pmod(F.xxhash64("doc_id", "text", place), F.lit(buckets)).cast("long")
     dealt = docs.select("doc_id", "text", bucket.alias("bucket")).repartition(max(partitions(spark), buckets // 4), "bucket")
     # both readers take all columns of one exchange, so it is made once
-    need = dealt.sortWithinPartitions("bucket").mapInArrow(_bucket_words, "bucket long, hash long")
+    need = dealt.sortWithinPartitions("bucket").mapInArrow(_bucket_words(frequent), "bucket long, hash long")
     own = need.join(known.hint("merge"), "hash").select("bucket", "hash", "c", "lp")
     end_base = np.log10((ends + 1) / (n + v + 1))
 
     def scored(key, texts: pa.Table, dictionary: pa.Table) -> pa.Table:
-        h = dictionary.column("hash").to_numpy().view(U)
+        own_words = dictionary.column("hash").to_numpy().view(U), dictionary.column("c").to_numpy().astype(float), dictionary.column("lp").to_numpy()
+        h, c, lp = (np.concatenate(x) for x in zip(frequent.value, own_words, strict=True))
         o = np.argsort(h)
-        h, c, lp = h[o], dictionary.column("c").to_numpy()[o].astype(float), dictionary.column("lp").to_numpy()[o]
+        h, c, lp = h[o], c[o], lp[o]
         base = np.log10((c + 1) / (n + v + 1))
         out = []
         for batch in texts.to_batches():

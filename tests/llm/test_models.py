@@ -135,6 +135,21 @@ def test_lm_scores_are_no_matter_of_partitions(spark):
         assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], rel=1e-9)
 
 
+@pytest.mark.parametrize("parts", [1, 300, 10**12])
+def test_lm_scores_are_no_matter_of_what_is_frequent(spark, monkeypatch, parts):
+    """No word, some words or all words broadcast: the same scores; one document has none but frequent words."""
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").filter("doc_id < 60")
+    df = df.union(spark.createDataFrame([(-1, "same " * 5000), (-2, ""), (-3, None)], "doc_id long, text string"))
+    vocabulary = public_tokenizers.path("piece_bpe_32k.model")
+    get = lambda: sorted(map(tuple, lm_scoring.score(df, fold_column(F.col("doc_id"), 7) != 2, vocabulary)[0].collect()))
+    want = get()
+    monkeypatch.setattr(lm_scoring, "FREQUENT", parts)
+    got = get()
+    assert len(got) == len(want) == 63
+    for a, b in zip(got, want, strict=True):
+        assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], rel=1e-9)
+
+
 def test_lm_base_scores(spark):
     docs = {r.doc_id: words(r.text, True) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     c = Counter()
