@@ -63,6 +63,7 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("--check-schemes", default="")
     a.add_argument("--check-max-missing", type=int, default=200)
     a.add_argument("--check-max-schemes", type=int, default=200)
+    a.add_argument("--sizes-from")
     a.add_argument("--split-out")
     a.add_argument("--split-chat", action="append")
     a.add_argument("--fix-split-from")
@@ -120,7 +121,7 @@ def main(argv: list[str] | None = None) -> int:
         for r in sinks.execute(plan, dry_run=not o.apply).groupBy("action", "outcome").count().orderBy("action", "outcome").collect():
             print(r["action"], r["outcome"], r["count"])
         return 0
-    df = engine.discover(spark, o.path, not o.no_inspect, not o.no_sizes, o.dedupe_unofficial_sqlite).cache()
+    df = engine.discover(spark, o.path, not o.no_inspect, not o.no_sizes, o.dedupe_unofficial_sqlite, o.sizes_from).cache()
     if not df.limit(1).count():
         print("no exports found", file=sys.stderr)
         return 1

@@ -85,14 +85,19 @@ def sqlite_part(spark: SparkSession, files: DataFrame, inspect: bool = True, ded
     return out
 
 
-def discover(spark: SparkSession, root: str, inspect: bool = True, sizes: bool = True, dedupe: bool = False) -> DataFrame:
-    """All backups below a folder: the report's columns and bytes."""
+def discover(spark: SparkSession, root: str, inspect: bool = True, sizes: bool = True, dedupe: bool = False, listing: str | None = None) -> DataFrame:
+    """All backups below a folder: the report's columns and bytes. listing: a file of sizes and absolute paths, as disk usage
+    tools write it, whose sizes go before those of the inventory."""
     files = inventory(spark, root)
     found = json_part(files, inspect).unionByName(html_part(files, inspect))
     for one in sqlite_part(spark, files, inspect, dedupe):
         found = found.unionByName(one)
     if not sizes:
         return found.withColumn("bytes", F.lit(None).cast("long"))
+    if listing:
+        told = tree.told_sizes(spark.read.text(os.path.abspath(listing)).withColumnRenamed("value", "line"))
+        best = tree.best_sizes(found.select(F.col("export_root").alias("path")).distinct(), told, files)
+        return found.join(best.select(F.col("path").alias("export_root"), "bytes"), "export_root", "left")
     return found.join(tree.dir_sizes(files).withColumnRenamed("dir", "export_root"), "export_root", "left")
 
 

@@ -23,6 +23,45 @@ def dir_sizes(files: DataFrame, include_dirs: bool = True) -> DataFrame:
     return up.groupBy("dir").agg(F.sum("size").alias("bytes"))
 
 
+def told_sizes(lines: DataFrame) -> DataFrame:
+    """(dir, bytes) of the lines (line) of a size listing: a number, perhaps with a unit, white space, a path to the end.
+
+    Other lines tell nothing. A slash at a path's end is none of it; of a folder told twice the larger size counts.
+    """
+    form = r"^\s*(\d+(?:\.\d+)?[A-Za-z]*)\s+(/.*?)/*\s*$"
+    told = lines.select(F.regexp_extract("line", form, 2).alias("dir"), S.parse_bytes(F.regexp_extract("line", form, 1)).alias("bytes"))
+    return told.filter("dir <> '' and bytes is not null").groupBy("dir").agg(F.max("bytes").alias("bytes"))
+
+
+def only_children(files: DataFrame) -> DataFrame:
+    """(path) of the folders beside which nothing lies in the folder above; hidden entries don't count, nor are they only children."""
+    seen = files.filter(~F.col("name").startswith("."))
+    alone = seen.groupBy("dir").agg(F.count("*").alias("n"), F.bool_and("is_dir").alias("folders"), F.min("path").alias("path"))
+    return alone.filter("n = 1 and folders").select("path")
+
+
+def chain_sizes(paths: DataFrame, told: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, bytes, own) of paths: a told size (own), or that of the nearest folder above that has one, if each folder
+    on the way down is an only child: then both hold the same. Else null."""
+    up = paths.select("path", F.explode(F.concat(F.array("path"), S.ancestors(F.col("path")))).alias("at")).withColumn("level", S.depth(F.col("at")))
+    alone = only_children(files).select(F.col("path").alias("at"), F.lit(True).alias("alone"))
+    up = up.join(told.withColumnRenamed("dir", "at"), "at", "left").join(alone, "at", "left")
+    nearest = up.groupBy("path").agg(
+        F.max(F.when(F.col("bytes").isNotNull(), F.col("level"))).alias("from"), F.max(F.when(F.col("alone").isNull(), F.col("level"))).alias("beside"),
+        F.max_by("bytes", F.when(F.col("bytes").isNotNull(), F.col("level"))).alias("bytes"),
+    )
+    chained = F.col("beside").isNull() | (F.col("beside") <= F.col("from"))
+    return nearest.select("path", F.when(chained, F.col("bytes")).alias("bytes"), F.coalesce(F.col("from") == S.depth(F.col("path")), F.lit(False)).alias("own"))
+
+
+def best_sizes(paths: DataFrame, told: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, bytes, basis): a listing's size of each of the distinct paths (told), one that follows from it (chain), or the sum of what lies in it (sum)."""
+    summed = dir_sizes(files).select(F.col("dir").alias("path"), F.col("bytes").alias("sum"))
+    both = chain_sizes(paths, told, files).join(summed, "path", "left")
+    basis = F.when(F.col("bytes").isNotNull(), F.when(F.col("own"), "told").otherwise("chain")).when(F.col("sum").isNotNull(), "sum")
+    return both.select("path", F.coalesce("bytes", "sum").alias("bytes"), basis.alias("basis"))
+
+
 def nearest_ancestor(paths: DataFrame, roots: DataFrame) -> DataFrame:
     """(path, parent): the longest proper ancestor of each path that is a root; null without one."""
     up = ancestor_pairs(paths.select("path")).join(roots.select(F.col("path").alias("ancestor")), "ancestor")

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import engine
 from .functions import constants as K
 from .functions import scalars as S
 from .functions.udfs import decode_lenient, html_unescape, url_quote, url_unquote
@@ -895,3 +896,54 @@ def q_backup_order(spark, sf_dir):
     f = f.withColumns({"dir": S.dirname(F.col("path")), "name": S.basename(F.col("path")), "is_dir": F.lit(False)})
     roots = tree.backups(f).withColumn("depth", S.depth(F.col("path")))
     return tree.numbered(roots, "depth", "path").select("path", "n")
+
+
+#: Folders of suppliers, three deep, each the only one in the one above unless a note or another supplier lies beside it.
+SIZED = """case x when 0 then concat('/z/', k % 11) when 1 then concat('/z/', k % 11, '/s', k) when 2 then concat('/z/', k % 11, '/s', k, '/only') when 3 then concat('/z/', k % 11, '/s', k, '/only/range')
+  when 4 then concat('/z/', k % 11, '/s', k, '/only/range/messages.html') when 5 then case when k % 3 = 0 then concat('/z/', k % 11, '/s', k, '/only/notes.txt') end else case when k % 5 = 0 then concat('/z/', k % 11, '/s', k, '/.hidden') end end"""
+LISTED = "case x when 0 then concat(k % 11 + 1, 'K') when 1 then case when k % 2 = 0 then cast(5000 + k as varchar(20)) end when 3 then case when k % 7 = 0 then concat(k, '.5KiB') end end"
+
+
+@query(f"""with recursive f as (select distinct {SIZED} as path, x < 4 as is_dir, case x when 4 then k * 10 + 1 when 5 then 7 when 6 then 3 else 0 end as size from (select s_suppkey as k, unnest(range(0, 7)) as x from supplier) where {SIZED} is not null),
+e as (select path, is_dir, size, regexp_replace(path, '/[^/]*$', '') as dir from f),
+t as (select distinct {SIZED} as dir, case x when 0 then (k % 11 + 1) * 1024 when 1 then 5000 + k else k * 1024 + 512 end as bytes from (select s_suppkey as k, unnest(range(0, 7)) as x from supplier) where x = 0 or (x = 1 and k % 2 = 0) or (x = 3 and k % 7 = 0)),
+o as (select min(path) as path from e where not contains(path, '/.') group by dir having count(*) = 1 and bool_and(is_dir)),
+w as (select path, path as at, true as ok from e where is_dir and path like '%/range'
+  union all select w.path, regexp_replace(w.at, '/[^/]*$', ''), w.ok and o.path is not null from w left join o on o.path = w.at left join t on t.dir = w.at where t.dir is null and w.at <> ''),
+g as (select w.path, max(t.bytes) as bytes, bool_or(w.at = w.path) as own from w join t on t.dir = w.at where w.ok group by w.path),
+s as (select r.path, sum(f.size) as bytes from e r join f on f.path = r.path or starts_with(f.path, r.path || '/') where r.path like '%/range' group by r.path)
+select s.path, cast(coalesce(g.bytes, s.bytes) as bigint) as bytes, case when g.bytes is null then 'sum' when g.own then 'told' else 'chain' end as basis from s left join g on g.path = s.path""")
+def q_best_sizes(spark, sf_dir):
+    """Sizes of folders from a listing that has only some, from chains of only children, and from sums for the rest."""
+    each = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("x"))
+    f = each.selectExpr(f"{SIZED} as path", "x < 4 as is_dir", "cast(case x when 4 then k * 10 + 1 when 5 then 7 when 6 then 3 else 0 end as bigint) as size").filter("path is not null").distinct()
+    f = f.withColumns({"dir": S.dirname(F.col("path")), "name": S.basename(F.col("path"))})
+    listing = each.selectExpr(f"concat(' ', {LISTED}, chr(9), {SIZED}, case when k % 2 = 0 then '/' else '' end) as line").union(each.selectExpr("concat('total ', k)"))
+    return tree.best_sizes(f.filter("is_dir and name = 'range'").select("path"), tree.told_sizes(listing), f)
+
+
+@query("""select cast(conv_id as bigint) as conv_id, case conv_id % 4 when 0 then concat('T', conv_id) when 1 then concat('N', conv_id) when 2 then concat('chat_', conv_id) else 'unknown_chat' end as name, count(*) as n, min(1500000000 + turn * 100 + conv_id) as first from conversations group by conv_id""")
+def q_json_odd(spark, sf_dir):
+    """Exports whose lists hold what is no chat and no message, read in pieces; names fall back to title, id and none."""
+    m = F.concat(F.lit('{"id": 1, "date_unixtime": "'), F.expr(JSON_TIMES), F.lit('", "x": [{"date_unixtime": "1"}]}, 3, [{"id": 9}], "s", null'))
+    chats = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.collect_list(m), ", ").alias("m"), F.min(F.expr(f"cast({JSON_TIMES} as bigint)")).alias("told"))
+    c = F.col("conv_id")
+    head = F.when(c % 4 == 0, F.format_string('"name": "  ", "title": "T%d", "id": 7, ', c)).when(c % 4 == 1, F.format_string('"title": "T", "name": "N%d", ', c)).when(c % 4 == 2, F.format_string('"name": null, "title": "", "id": %d, ', c)).otherwise(F.lit(""))
+    text = F.concat(F.lit('{"chats": {"list": [null, 5, "x", [{"id": 1, "messages": [{}]}], {'), head, F.lit('"messages": [null, true, '), F.col("m"), F.lit("]}, 2.5]}}"))
+    data = chats.select(c.cast("string").alias("path"), F.encode(text, "utf-8").alias("all"))
+    step = (F.pmod(F.xxhash64("path"), F.lit(900)) + 50).cast("int")
+    pieces = data.withColumn("start", F.explode(F.sequence(F.lit(0), F.octet_length("all") - 1, step))).select("path", F.col("start").cast("long").alias("start"), F.substring("all", F.col("start") + 1, step).alias("data"))
+    got = P.json_item_ranges(data.select("path"), json_pieces.items(materialize(pieces, "pieces")))
+    return got.select(F.col("path").cast("long").alias("conv_id"), "name", "n", F.unix_seconds("first").alias("first"))
+
+
+#: A customer's export: of many chats (an order is a chat) or of one.
+CUSTOMER_EXPORT = "transform(case when o_custkey % 2 = 0 then array('/export_results.html', '/chats', concat('/chats/chat_', o_orderkey), concat('/chats/chat_', o_orderkey, '/messages.html')) else array('/messages.html', '/css', '/js') end, x -> concat('/e/', o_custkey, x))"
+
+
+@query("select concat('/e/', o_custkey) as export_root, case when o_custkey % 2 = 0 then 'html_multi_chat_export' else 'html_single_chat_export' end as kind, cast(case when o_custkey % 2 = 0 then count(*) else 1 end as bigint) as chats_backed_up, cast(null as bigint) as messages_backed_up from orders group by o_custkey")
+def q_summary_without_bodies(spark, sf_dir):
+    """Reports of exports by their folders alone: chats are counted, messages are not."""
+    f = table(spark, sf_dir, "orders").select(F.explode(F.expr(CUSTOMER_EXPORT)).alias("path")).distinct()
+    f = f.withColumns({"dir": S.dirname(F.col("path")), "name": S.basename(F.col("path")), "is_dir": ~F.col("path").endswith(".html")})
+    return engine.html_part(f, inspect=False).select("export_root", "kind", "chats_backed_up", "messages_backed_up")

@@ -337,3 +337,19 @@ def test_copies_skip_or_overwrite(spark, tmp_path):
     assert (tmp_path / "b/2.txt").read_text() == "old" and (tmp_path / "b/x/1.txt").read_text() == "new"
     assert tell() == [("copy", "done", 1, 0), ("copy", "failed", 0, 0), ("copy_tree", "done", 2, 0)]
     assert (tmp_path / "b/2.txt").read_text() == "new"
+
+
+def test_sizes_come_from_a_listing_or_follow_from_it(spark, tmp_path):
+    """One export alone in its folder, whose size is listed; one beside a note; one that is listed itself; a hidden entry is no neighbour."""
+    root = tmp_path / "in"
+    for d in ("alone/a__b", "beside/a__b", "listed"):
+        put(root, f"{d}/messages.html", "x" * 100)
+        put(root, f"{d}/css/a.css")
+        put(root, f"{d}/js/a.js")
+    put(root, "alone/.DS_Store", "y")
+    put(root, "beside/note.txt", "z")
+    put(tmp_path, "listing.txt", f"12K\t{root}/alone\n9K\t{root}/beside/\n7\t{root}/listed/\n7.5KiB {root}/listed\nno size {root}/listed\n\n")
+    got = {r["export_root"].removeprefix(f"{root}/"): r["bytes"] for r in engine.discover(spark, str(root), listing=str(tmp_path / "listing.txt")).collect()}
+    summed = {r["export_root"].removeprefix(f"{root}/"): r["bytes"] for r in engine.discover(spark, str(root)).collect()}
+    assert got == {"alone/a__b": 12 << 10, "beside/a__b": summed["beside/a__b"], "listed": 7680}
+    assert all(n > 100 for n in summed.values())
