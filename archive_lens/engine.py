@@ -66,32 +66,34 @@ def html_part(files: DataFrame, inspect: bool = True) -> DataFrame:
     return P.as_report(out.select(F.col("root").alias("export_root"), F.lit("html").alias("fmt"), "kind", S.export_date(F.col("root")).alias("inferred_export_date"), F.col("chats").alias("chats_backed_up"), F.coalesce("messages", F.lit(0)).alias("messages_backed_up"), P.iso("first").alias("first_message_utc"), P.iso("last").alias("last_message_utc"), F.col("first_source").alias("first_message_source"), F.col("last_source").alias("last_message_source"), F.col("basis").alias("date_range_basis"), "chat_summaries"))
 
 
-def sqlite_part(spark: SparkSession, files: DataFrame, inspect: bool = True, dedupe: bool = False) -> list[DataFrame]:
-    """A report per database that has the three tables."""
+def databases(files: DataFrame) -> DataFrame:
+    """The tables (sqlite.probe()) of the databases that have those of a backup, probed once by the executors."""
+    found = materialize(sqlite.probe(tree.named(files, K.DATABASE_NAME)), "databases")
+    return found.join(P.with_tables(found), "path", "left_semi")
+
+
+def _names(found: DataFrame, table: str) -> DataFrame:
+    return P.scanned_names(sqlite.scan(found, table, F.concat(F.array(F.lit("id")), P.pick_name_columns(F.col("columns")))))
+
+
+def sqlite_part(files: DataFrame, inspect: bool = True, dedupe: bool = False) -> DataFrame:
+    """A report per database that has the three tables; messages are read once, whatever the number of databases."""
     if dedupe:
         files = files.join(tree.canonical_databases(tree.named(files, K.DATABASE_NAME).select("path")), "path", "left_semi")
-    out = []
-    for path in _databases(spark, files):
-        head = {"export_root": os.path.dirname(path), "result_json": path, "fmt": "sqlite", "kind": "sqlite_unofficial_backup"}
-        one = spark.range(1).select(*[F.lit(v).alias(k) for k, v in head.items()], S.export_date(F.lit(path)).alias("inferred_export_date"))
-        if inspect:
-            told = sqlite.read(spark, path, "messages", "source_type", "source_id", "time", where=(("source_type", "not null"), ("source_id", "not null")))
-            groups = P.named_groups(P.source_groups(told), *(sqlite.read(spark, path, t, "id", *K.NAME_COLUMNS) for t in ("users", "chats")))
-            whole = P.global_range(sqlite.read(spark, path, "messages", "time")).select(F.col("messages").alias("messages_backed_up"), P.iso("first").alias("first_message_utc"), P.iso("last").alias("last_message_utc"))
-            summary = F.struct((-F.col("msgs")).alias("k"), F.struct("name", F.col("msgs").alias("messages_backed_up"), P.iso("first").alias("first_message_utc"), P.iso("last").alias("last_message_utc")).alias("s"))
-            lists = groups.agg(F.nullif(F.count("*"), F.lit(0)).alias("chats_backed_up"), F.array_sort(F.collect_list(summary)).alias("s")).select("chats_backed_up", F.transform("s", lambda x: x["s"]).alias("chat_summaries"))
-            one = one.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(lists))
-        out.append(P.as_report(one))
-    return out
+    found = databases(files)
+    paths = found.select("path").distinct()
+    if not inspect:
+        return P.sqlite_reports(paths)
+    cols = ("source_type", "source_id", "time")
+    told = sqlite.scan(found, "messages", F.array(*map(F.lit, cols))).select("path", *[F.col("values")[k].alias(c) for k, c in enumerate(cols)])
+    return P.sqlite_reports(paths, materialize(P.source_sums(told, "path"), "sources"), _names(found, "users"), _names(found, "chats"))
 
 
 def discover(spark: SparkSession, root: str, inspect: bool = True, sizes: bool = True, dedupe: bool = False, listing: str | None = None) -> DataFrame:
     """All backups below a folder: the report's columns and bytes. listing: a file of sizes and absolute paths, as disk usage
     tools write it, whose sizes go before those of the inventory."""
     files = inventory(spark, root)
-    found = json_part(files, inspect).unionByName(html_part(files, inspect))
-    for one in sqlite_part(spark, files, inspect, dedupe):
-        found = found.unionByName(one)
+    found = json_part(files, inspect).unionByName(html_part(files, inspect)).unionByName(sqlite_part(files, inspect, dedupe))
     if not sizes:
         return found.withColumn("bytes", F.lit(None).cast("long"))
     if listing:
@@ -106,23 +108,12 @@ def chat_path(file):
     return F.nullif(F.regexp_extract(file, r"^(.*/chats/chat_\d+)(?:/|$)", 1), F.lit(""))
 
 
-def _databases(spark: SparkSession, files: DataFrame) -> list[str]:
-    """Databases that have the three tables, probed one by one on the driver (a handful of files)."""
-    return [r["path"] for r in tree.named(files, K.DATABASE_NAME).select("path").orderBy("path").collect() if P.has_tables(sqlite.tables(r["path"]))]
-
-
-def _dialogs(spark: SparkSession, files: DataFrame, roots: DataFrame) -> DataFrame:
+def dialogs(files: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, id, name): names of dialogs from the databases below each root; users before chats, the first database first."""
-    out = spark.createDataFrame([], "root string, id long, name string")
-    named = []
-    for k, db in enumerate(_databases(spark, files)):
-        above = tree.ancestor_pairs(spark.createDataFrame([(db,)], "path string")).join(roots.select(F.col("path").alias("ancestor")), "ancestor").select(F.col("ancestor").alias("root"))
-        for n, t in enumerate(("users", "chats")):
-            rows = P.names(sqlite.read(spark, db, t, "id", *K.NAME_COLUMNS)).filter("name is not null")
-            named.append(rows.crossJoin(F.broadcast(above)).withColumn("k", F.lit(2 * k + n)))  # the roots above one file
-    for x in named:
-        out = out.withColumn("k", F.lit(None).cast("int")).unionByName(x) if "k" not in out.columns else out.unionByName(x)
-    return out.groupBy("root", "id").agg(F.min_by("name", F.struct("k", "name")).alias("name")) if named else out
+    found = databases(files)
+    above = tree.ancestor_pairs(found.select("path").distinct()).join(roots.select(F.col("path").alias("ancestor")), "ancestor").select("path", F.col("ancestor").alias("root"))
+    named = _names(found, "users").withColumn("k", F.lit(0)).union(_names(found, "chats").withColumn("k", F.lit(1)))
+    return named.join(above, "path").groupBy("root", "id").agg(F.min_by("name", F.struct("path", "k")).alias("name"))
 
 
 def check_roots(spark: SparkSession, files: DataFrame, roots: DataFrame, top: str, scope: str = "all", schemes: list[str] | None = None, allow_outside: bool = False, fail_fast: bool = False, most_missing: int = 200, most_schemes: int = 200, legacy: bool = False) -> dict[str, DataFrame]:
@@ -154,7 +145,7 @@ def check_roots(spark: SparkSession, files: DataFrame, roots: DataFrame, top: st
     order = Window.partitionBy("root").orderBy("file", "line_no", "idx")
     return {
         "counters": every,
-        "missing": P.with_chat_names(few, titles, _dialogs(spark, files, roots), chat_path),
+        "missing": P.with_chat_names(few, titles, dialogs(files, roots), chat_path),
         "schemes": R.first_of_each(R.with_scheme(refs, schemes or []), ["root"], most_schemes).select("root", "n", "file", "line_no", "attr", "url"),
         "leftovers": left.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most_missing).drop("n"),
         "buckets": R.bucket_counts(out, "root"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -81,42 +81,69 @@ def range_reports(c: DataFrame) -> DataFrame:
     return as_report(g.select(S.dirname(F.col("path")).alias("export_root"), F.col("path").alias("result_json"), F.lit("json").alias("fmt"), "kind", F.col("keys").alias("top_level_keys"), S.export_date(F.col("path")).alias("inferred_export_date"), F.when(known, F.col("chats")).alias("chats_backed_up"), F.when(known, F.col("n")).alias("messages_backed_up"), iso("first").alias("first_message_utc"), iso("last").alias("last_message_utc"), F.when(F.col("first").isNotNull(), F.col("path")).alias("first_message_source"), F.when(F.col("last").isNotNull(), F.col("path")).alias("last_message_source"), F.when(F.col("first").isNotNull(), "message_timestamps").alias("date_range_basis"), F.transform("s", lambda x: x["s"]).alias("chat_summaries")))
 
 
-def source_groups(messages: DataFrame) -> DataFrame:
-    """Messages by source: count and range, most first. Null sources are left out; a source id that is no number too."""
+def source_sums(messages: DataFrame, *by: str) -> DataFrame:
+    """(*by, source_type, source_id, msgs, first, last): messages by source, those without one too."""
     t = S.parse_unixtime(F.col("time"))
-    g = messages.filter("source_type is not null and source_id is not null").groupBy("source_type", "source_id").agg(F.count("*").alias("msgs"), F.min(t).alias("first"), F.max(t).alias("last"))
+    return messages.groupBy(*by, "source_type", "source_id").agg(F.count("*").alias("msgs"), F.min(t).alias("first"), F.max(t).alias("last"))
+
+
+def source_groups(sums: DataFrame) -> DataFrame:
+    """source_sums() most first. Null sources are left out; a source id that is no number too."""
+    g = sums.filter("source_type is not null and source_id is not null")
     return g.withColumn("source_id", F.col("source_id").try_cast("long")).filter("source_id is not null").orderBy(F.desc("msgs"), "source_type", "source_id")
 
 
-def global_range(messages: DataFrame) -> DataFrame:
-    t = S.parse_unixtime(F.col("time"))
-    return messages.agg(F.count("*").alias("messages"), F.min(t).alias("first"), F.max(t).alias("last"))
+def global_range(sums: DataFrame, *by: str) -> DataFrame:
+    """(*by, messages, first, last) of source_sums()."""
+    return sums.groupBy(*by).agg(F.coalesce(F.sum("msgs"), F.lit(0)).cast("long").alias("messages"), F.min("first").alias("first"), F.max("last").alias("last"))
+
+
+def pick_name_columns(columns: Column) -> Column:
+    """Of an array of columns those that name a row: `name`, else first and last name, else the first of the other known ones."""
+    name, first, last, *others = map(F.lit, K.NAME_COLUMNS)
+    has = lambda c: F.array_contains(columns, c)
+    both = F.filter(F.array(first, last), has)
+    return F.when(has(name), F.array(name)).when(F.size(both) > 0, both).otherwise(F.slice(F.filter(F.array(*others), has), 1, 1))
 
 
-def pick_name_columns(columns: list[str]) -> list[str]:
-    """The columns that name a row: `name`, else first and last name, else the first of the other known ones."""
-    have = set(columns)
-    name, first, last, *others = K.NAME_COLUMNS
-    if name in have:
-        return [name]
-    if both := [c for c in (first, last) if c in have]:
-        return both
-    return next(([c] for c in others if c in have), [])
+def _whole_name(parts: Column) -> Column:
+    """The parts of a name that are not blank, joined by a space; null if there are none."""
+    return F.nullif(F.array_join(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != ""), " "), F.lit(""))
 
 
 def names(table: DataFrame) -> DataFrame:
     """(id, name) of a users or chats table."""
-    cols = pick_name_columns(table.columns)
-    blank = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
-    name = F.nullif(F.concat_ws(" ", *map(blank, cols)), F.lit("")) if cols else F.lit(None).cast("string")
-    return table.select(F.col("id").cast("long").alias("id"), name.alias("name"))
+    have = F.array(*map(F.lit, table.columns))
+    row = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in table.columns if c in K.NAME_COLUMNS])
+    parts = F.transform(F.filter(row, lambda x: F.array_contains(pick_name_columns(have), x["c"])), lambda x: x["v"]) if set(table.columns) & set(K.NAME_COLUMNS) else F.lit(None).cast("array<string>")
+    return table.select(F.col("id").cast("long").alias("id"), _whole_name(parts).alias("name"))
 
 
-def named_groups(groups: DataFrame, users: DataFrame, chats: DataFrame) -> DataFrame:
-    """groups with name: of the user for dialogs, of the chat for groups, else `type:id`."""
-    u, c = names(users).select(F.col("id").alias("source_id"), F.col("name").alias("u")), names(chats).select(F.col("id").alias("source_id"), F.col("name").alias("c"))
+def scanned_names(rows: DataFrame) -> DataFrame:
+    """(path, id, name) of rows (path, values) whose values are an id and the parts of a name; of an id's names the least."""
+    x = rows.select("path", F.col("values")[0].try_cast("long").alias("id"), _whole_name(F.slice("values", 2, F.size("values"))).alias("name"))
+    return x.filter("id is not null and name is not null").groupBy("path", "id").agg(F.min("name").alias("name"))
+
+
+def named_groups(groups: DataFrame, users: DataFrame, chats: DataFrame, *by: str) -> DataFrame:
+    """groups with name: of the user (*by, id, name) for dialogs, of the chat for groups, else `type:id`."""
+    key = [*by, "source_id"]
+    u, c = (x.select(*by, F.col("id").alias("source_id"), F.col("name").alias(n)) for x, n in ((users, "u"), (chats, "c")))
     own = F.when(F.col("source_type") == "dialog", F.col("u")).when(F.col("source_type") == "group", F.col("c"))
-    return groups.join(u, "source_id", "left").join(c, "source_id", "left").withColumn("name", F.coalesce(own, F.concat_ws(":", "source_type", F.col("source_id").cast("string")))).drop("u", "c")
+    return groups.join(u, key, "left").join(c, key, "left").withColumn("name", F.coalesce(own, F.concat_ws(":", "source_type", F.col("source_id").cast("string")))).drop("u", "c")
+
+
+def sqlite_reports(paths: DataFrame, sums: DataFrame | None = None, users: DataFrame | None = None, chats: DataFrame | None = None) -> DataFrame:
+    """A report for each database (path) from its source_sums() and scanned_names(); without them it is not inspected."""
+    head = paths.select("path", S.dirname(F.col("path")).alias("export_root"), F.col("path").alias("result_json"), F.lit("sqlite").alias("fmt"), F.lit("sqlite_unofficial_backup").alias("kind"), S.export_date(F.col("path")).alias("inferred_export_date"))
+    if sums is None:
+        return as_report(head)
+    groups = named_groups(source_groups(sums), users, chats, "path")
+    summary = F.struct((-F.col("msgs")).alias("k"), F.struct("name", F.col("msgs").alias("messages_backed_up"), iso("first").alias("first_message_utc"), iso("last").alias("last_message_utc")).alias("s"))
+    lists = groups.groupBy("path").agg(F.count("*").alias("chats_backed_up"), F.array_sort(F.collect_list(summary)).alias("s")).select("path", "chats_backed_up", F.transform("s", lambda x: x["s"]).alias("chat_summaries"))
+    whole = global_range(sums, "path").select("path", "messages", iso("first").alias("first_message_utc"), iso("last").alias("last_message_utc"))
+    out = head.join(whole, "path", "left").join(lists, "path", "left").withColumn("messages_backed_up", F.coalesce("messages", F.lit(0)))
+    return as_report(out.withColumns({"first_message_source": F.col("path"), "last_message_source": F.col("path"), "date_range_basis": F.lit("message_timestamps")}))
 
 
 def first_names(*tables: DataFrame) -> DataFrame:
@@ -202,5 +229,7 @@ def dedupe_names(chats: DataFrame) -> DataFrame:
     return chats.withColumn("dst", F.when(n == 1, F.col("base")).otherwise(F.format_string("%s (%s)", "base", "chat_id")))
 
 
-def has_tables(tables: list[str]) -> bool:
-    return not set(K.REQUIRED_TABLES) - set(tables)
+def with_tables(tables: DataFrame) -> DataFrame:
+    """(path) of the databases that have all tables of a backup, of (path, table)."""
+    needed = tables.filter(F.col("table").isin(*K.REQUIRED_TABLES)).select("path", "table").distinct()
+    return needed.groupBy("path").agg(F.count("*").alias("n")).filter(F.col("n") == len(K.REQUIRED_TABLES)).select("path")

@@ -6,8 +6,12 @@ read, so a query and its oracle start from the same rows.
 
 from __future__ import annotations
 
+import os
+import sqlite3
+import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +25,7 @@ from .operators import resolve
 from .operators import timeline as T
 from .operators import tree
 from .plans import rewrites, sinks
-from .session import materialize
+from .session import materialize, shared_folder
 from .sources import json_pieces
 from .sources.text import lines
 
@@ -380,17 +384,17 @@ GROUPS = f"m as (select {MESSAGES} from events), g as (select source_type, cast(
 
 @query(f"with {GROUPS} select source_type, source_id, msgs, epoch(first)::bigint as first, epoch(last)::bigint as last from g")
 def q_source_groups(spark, sf_dir):
-    return P.source_groups(messages(spark, sf_dir)).select("source_type", "source_id", "msgs", F.unix_seconds("first").alias("first"), F.unix_seconds("last").alias("last"))
+    return P.source_groups(P.source_sums(messages(spark, sf_dir))).select("source_type", "source_id", "msgs", F.unix_seconds("first").alias("first"), F.unix_seconds("last").alias("last"))
 
 
 @query(f"with {GROUPS} select count(*) as messages, min(cast(time as bigint)) as first, max(cast(time as bigint)) as last from m")
 def q_global_range(spark, sf_dir):
-    return P.global_range(messages(spark, sf_dir)).select("messages", F.unix_seconds("first").alias("first"), F.unix_seconds("last").alias("last"))
+    return P.global_range(P.source_sums(messages(spark, sf_dir))).select("messages", F.unix_seconds("first").alias("first"), F.unix_seconds("last").alias("last"))
 
 
 @query(f"with {GROUPS} select nullif(count(*), 0) as chats_backed_up from g")
 def q_chats_backed_up(spark, sf_dir):
-    return P.source_groups(messages(spark, sf_dir)).agg(F.nullif(F.count("*"), F.lit(0)).alias("chats_backed_up"))
+    return P.source_groups(P.source_sums(messages(spark, sf_dir))).agg(F.nullif(F.count("*"), F.lit(0)).alias("chats_backed_up"))
 
 
 @query(f"with {GROUPS}, u as (select c_custkey as id, case when c_custkey % 5 = 0 then '' else trim(concat(c_name, ' ', c_mktsegment)) end as name from customer), c as (select s_suppkey as id, s_name as name from supplier) select g.source_type, g.source_id, g.msgs, coalesce(case when source_type = 'dialog' then nullif(u.name, '') else c.name end, concat(source_type, ':', cast(source_id as string))) as name from g left join u on u.id = g.source_id left join c on c.id = g.source_id")
@@ -398,7 +402,7 @@ def q_dialog_or_group_name(spark, sf_dir):
     blank = lambda c: F.when(F.col("c_custkey") % 5 == 0, "").otherwise(F.col(c))
     users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), blank("c_name").alias("first_name"), blank("c_mktsegment").alias("last_name"))
     chats = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    return P.named_groups(P.source_groups(messages(spark, sf_dir)), users, chats).select("source_type", "source_id", "msgs", "name")
+    return P.named_groups(P.source_groups(P.source_sums(messages(spark, sf_dir))), P.names(users), P.names(chats)).select("source_type", "source_id", "msgs", "name")
 
 
 @query("with w as (select distinct user_id % 400 as id from events), a as (select c_custkey as id, case when c_custkey % 3 = 0 then null else c_name end as name from customer), b as (select s_suppkey as id, s_name as name from supplier) select w.id, coalesce(a.name, b.name) as name from w left join a on a.id = w.id left join b on b.id = w.id")
@@ -426,6 +430,96 @@ def q_chat_names(spark, sf_dir):
     return P.with_chat_names(rows, titles, dialogs)
 
 
+# SQLite files: a database for every 500 events, with the customers and suppliers of its number as users and chats. Every
+# ninth is no database, every ninth lacks a table; their columns differ.
+
+DB = "cast(floor({0} / {1}) as bigint)"
+DB_EVENT, DB_USER, DB_CHAT = DB.format("event_id", 500), DB.format("c_custkey", 75), DB.format("s_suppkey", 5)
+DB_PLACE = "concat(db % 7, '/', db)"
+
+
+def _write_databases(root: str):
+    """Writes each database of rows (db, kind, a, b, c) that come database by database; tells its path."""
+
+    def shape(db: int) -> dict[str, list[str]]:
+        users = (["id", "first_name", "last_name"], ["id", "name", "first_name"], ["id", "username", "x"])[db % 3]
+        chats = ["id", "title" if db % 2 == 0 else "x", "y"]
+        return {"messages": ["source_type", "source_id", "time"], "users": users} | ({} if db % 9 == 8 else {"chats": chats})
+
+    def begin(db: int):
+        at = os.path.join(root, str(db % 7), str(db), "database.sqlite")
+        os.makedirs(os.path.dirname(at), exist_ok=True)
+        con = sqlite3.connect(f"{at}.{uuid.uuid4().hex}")
+        for table, cols in shape(db).items():
+            con.execute(f"create table {table}({', '.join(cols)})")
+        return at, con
+
+    def end(db: int, at: str, con) -> str:
+        con.commit()
+        (own,) = [r[2] for r in con.execute("pragma database_list")]
+        con.close()
+        if db % 9 == 7:
+            with open(own, "w") as f:
+                f.write("no database")
+        os.replace(own, at)  # a task that is run again writes the same
+        return at
+
+    def run(batches):
+        db, at, con, tables, done = None, None, None, {}, []
+        for b in batches:
+            for r in b.to_pylist():
+                if r["db"] != db:
+                    if con:
+                        done.append(end(db, at, con))
+                    db, tables = r["db"], shape(r["db"])
+                    at, con = begin(db)
+                if r["kind"] in tables:
+                    con.execute(f"insert into {r['kind']} values (?, ?, ?)", (r["a"], r["b"], r["c"]))
+        if con:
+            done.append(end(db, at, con))
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["path"])
+
+    return run
+
+
+def database_folder(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """(folder, its inventory) of databases that are made of the tables."""
+    root = shared_folder(spark, "backups")
+    m = spark.sql(f"select {DB_EVENT} as db, 'messages' as kind, source_type as a, source_id as b, time as c from (select event_id, {MESSAGES} from {{e}})", e=table(spark, sf_dir, "events"))
+    blank = "case when c_custkey % 5 = 0 then ' ' else {0} end"
+    u = table(spark, sf_dir, "customer").selectExpr(f"{DB_USER} as db", "'users' as kind", "cast(c_custkey as string) as a", f"{blank.format('c_name')} as b", f"{blank.format('c_mktsegment')} as c")
+    c = table(spark, sf_dir, "supplier").selectExpr(f"{DB_CHAT} as db", "'chats' as kind", "cast(s_suppkey as string) as a", "s_name as b", "s_name as c")
+    rows = m.union(u).union(c).filter("db is not null")
+    rows.repartition("db").sortWithinPartitions("db", "kind").mapInArrow(_write_databases(root), "path string").write.format("noop").mode("overwrite").save()
+    return root, engine.inventory(spark, root)
+
+
+DB_NAMES = f"""u as (select {DB_USER} as db, 'dialog' as source_type, c_custkey as id, case when c_custkey % 5 = 0 then null when {DB_USER} % 3 = 0 then concat(c_name, ' ', c_mktsegment) else c_name end as name from customer),
+c as (select {DB_CHAT} as db, 'group' as source_type, s_suppkey as id, case when {DB_CHAT} % 2 = 0 then s_name end as name from supplier),
+named as (select *, {DB_PLACE} as place from (select * from u union all select * from c) where db % 9 < 7 and name is not null)"""
+UTC = "strftime(to_timestamp({0}) at time zone 'UTC', '%Y-%m-%dT%H:%M:%S+00:00')"
+
+
+@query(f"""with m as (select {DB_EVENT} as db, cast(time as bigint) as t, source_type, cast(source_id as bigint) as id from (select event_id, {MESSAGES} from events) where {DB_EVENT} % 9 < 7), {DB_NAMES},
+g as (select db, source_type, id, count(*) as n, min(t) as a, max(t) as z from m where source_type is not null and id is not null group by all),
+w as (select db, count(*) as n, min(t) as a, max(t) as z from m group by all), k as (select db, count(*) as chats from g group by all)
+select concat(w.db % 7, '/', w.db) as place, k.chats, w.n as messages, {UTC.format('w.a')} as first, {UTC.format('w.z')} as last, coalesce(named.name, concat(g.source_type, ':', g.id)) as name, g.n as chat_messages, {UTC.format('g.a')} as chat_first, {UTC.format('g.z')} as chat_last
+from w left join k using (db) left join g using (db) left join named on named.db = g.db and named.source_type = g.source_type and named.id = g.id""")
+def q_sqlite_reports(spark, sf_dir):
+    """Reports of a folder of SQLite databases, by chat: databases are found, probed and read by the executors."""
+    root, files = database_folder(spark, sf_dir)
+    r = engine.sqlite_part(files).select(F.substring("export_root", len(root) + 2, 99).alias("place"), F.col("chats_backed_up").alias("chats"), F.col("messages_backed_up").alias("messages"), F.col("first_message_utc").alias("first"), F.col("last_message_utc").alias("last"), F.explode_outer("chat_summaries").alias("s"))
+    return r.select("place", "chats", "messages", "first", "last", "s.name", F.col("s.messages_backed_up").alias("chat_messages"), F.col("s.first_message_utc").alias("chat_first"), F.col("s.last_message_utc").alias("chat_last"))
+
+
+@query(f"with {DB_NAMES}, r as (select '' as root union all select cast(range as varchar) from range(7)) select root, id, arg_min(name, (concat(place, '/database.sqlite'), source_type)) as name from named join r on root = '' or root = cast(db % 7 as varchar) group by root, id")
+def q_dialog_names(spark, sf_dir):
+    """Names of dialogs for each of nested roots, from all databases below it."""
+    root, files = database_folder(spark, sf_dir)
+    roots = files.filter(F.col("is_dir") & (F.col("path").rlike(r"-[0-9a-f]{32}(/\d)?$"))).select("path")
+    return engine.dialogs(files, roots).select(F.substring("root", len(root) + 2, 99).alias("root"), "id", "name")
+
+
 # JSON-shaped reports.
 
 
@@ -721,11 +815,14 @@ def q_backfill_plan(spark, sf_dir):
     return rewrites.backfill_plan(f, "2024-01-01T00:00:00+00:00", "/q").select("dst", F.get_json_object("payload", "$.chat_name").alias("chat_name"))
 
 
-@query("select n_nationkey, n_regionkey % 2 = 0 as has_tables from nation")
+#: A database for each customer, with tables by the lines of its orders.
+CUSTOMER_TABLES = "array('messages', 'users', 'x', 'chats', 'users', 'chat', 'Messages')"
+
+
+@query("select o_custkey as path from orders join lineitem on l_orderkey = o_orderkey where l_linenumber in (1, 2, 4, 5) group by o_custkey having count(distinct case l_linenumber when 5 then 2 else l_linenumber end) = 3")
 def q_table_subset(spark, sf_dir):
-    have = {0: ["users", "x", "messages", "chats"], 1: ["users"]}
-    told = spark.createDataFrame([(k, P.has_tables(v)) for k, v in have.items()], "k int, has_tables boolean")
-    return table(spark, sf_dir, "nation").withColumn("k", (F.col("n_regionkey") % 2).cast("int")).join(told, "k").select("n_nationkey", "has_tables")
+    x = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return P.with_tables(x.select(F.col("o_custkey").alias("path"), F.expr(f"element_at({CUSTOMER_TABLES}, l_linenumber)").alias("table")))
 
 
 EXPORTS = "n as (select n_nationkey as n, n_regionkey as r, concat('/e', n_regionkey) as root, concat('chat_', n_nationkey) as chat from nation)"

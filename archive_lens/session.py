@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +48,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for files that are no tables; the folder must be mounted, as files need one."""
+    at = urlparse(shared_dir(spark))
+    if at.scheme not in ("", "file"):
+        raise ValueError(f"no mounted folder: {at.geturl()}")
+    path = f"{at.path}/{name}-{uuid.uuid4().hex}"
+    _HELD.append("file://" + path)
+    return path
+
+
 _HELD: list[str] = []
 
 

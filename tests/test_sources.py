@@ -137,3 +137,39 @@ def test_sqlite_reports_ask_for_their_columns(spark, tmp_path):
     messages(path)
     plan = sqlite.read(spark, path, "messages", "source_type", "time", where=(("source_type", "not null"),))
     assert plan.columns == ["source_type", "time"] and plan.count() == 200
+
+
+def test_many_databases_are_read_at_once(spark, tmp_path):
+    paths, want = [], []
+    for k in range(6):
+        at = tmp_path / f"a?b#{k}%20" / "database.sqlite"  # marks of addresses
+        at.parent.mkdir()
+        paths.append(str(at))
+        want += [(str(at), r[0], r[1], r[3], None) for r in messages(at, 40 * k)]
+    con = sqlite3.connect(paths[5])
+    con.execute("insert into messages values (9000000000000000000, 'far', 1, 2), (-9000000000000000000, 'far', 1, 2)")  # sparse ids, over the whole range
+    con.execute("insert into messages values (7000, cast(x'ff41' as text), 1, null)")  # no UTF-8
+    con.execute("alter table messages add column more")
+    con.commit()
+    con.close()
+    want += [(paths[5], str(k), "far", "2", None) for k in (9 * 10**18, -9 * 10**18)] + [(paths[5], "7000", "�A", None, None)]
+    (tmp_path / "text").write_text("no database")
+    (tmp_path / "empty").write_text("")
+    others = [str(tmp_path / x) for x in ("text", "empty", "gone")] + [None]
+    df = spark.createDataFrame([(p,) for p in [*paths, *others, *paths]], "path string")
+    found = sqlite.probe(df, rows=50)
+    told = {(r.path, r.table): r for r in found.collect()}
+    assert set(told) == {(p, t) for p in paths for t in ("messages", "pairs")}
+    assert [len(told[p, "messages"].cuts) for p in paths[:5]] == [0, 0, 1, 2, 3] and told[paths[5], "messages"].cuts and not told[paths[0], "pairs"].cuts
+    cols = F.array(*map(F.lit, ("id", "source_type", "time", "no such")))
+    key = lambda x: tuple(map(str, x))
+    assert sorted(((r.path, *r["values"]) for r in sqlite.scan(found, "messages", cols).collect()), key=key) == sorted(want, key=key)
+    # columns that differ by database, tests, and a test of a column that only one has
+    own = F.when(F.array_contains("columns", "more"), F.array(F.lit("more"), F.lit("id"))).otherwise(F.array(F.lit("id")))
+    got = sqlite.scan(found, "messages", own, (("source_type", "=", "far"),)).collect()
+    assert sorted(r["values"] for r in got) == [[None, "-9000000000000000000"], [None, "9000000000000000000"]]
+    assert {r.path for r in sqlite.scan(found, "messages", own, (("more", "null"), ("id", "=", "7"))).collect()} == set(paths[1:])
+    assert sqlite.scan(found, "messages", own, (("more", "not null"),)).count() == 0
+    assert sqlite.scan(found, "nowhere", own).count() == 0 and sqlite.probe(df.limit(0)).count() == 0
+    pairs = sqlite.scan(found, "pairs", F.array(F.lit("b"), F.lit("A"))).filter(F.col("path") == paths[0]).collect()
+    assert sorted((r["values"] for r in pairs), key=str) == [["1", "x"], [None, "y"]]
