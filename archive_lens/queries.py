@@ -947,6 +947,23 @@ def q_collection_order(spark, sf_dir):
     return P.collection_order(rows, "/c").select("export_root", "chat", "label", "first", "n")
 
 
+#: References by bare names in every order's folder, decoded once and twice, with a fragment, and one that names its folder.
+BARE_URL = "case x when 0 then 'n0%20x.jpg' when 1 then 'n1 x.jpg#t' when 2 then 'n2%2520x.jpg' else './n1 x.jpg' end"
+BARE_FOLDER = "case when l_linenumber = 7 then '' else concat({0}, '/') end"
+
+
+@query(f"""with f as (select l_orderkey as o, l_linenumber % 3 as k, {BARE_FOLDER.format(_list(sorted(K.CHAT_LOCAL_DIRS)) + '[l_partkey % 11 + 1]')} as d from lineitem),
+best as (select o, k, min(d) as d from f group by o, k), r as (select distinct o, unnest([0, 1, 2, 3]) as x from best)
+select concat('/w/chats/c', r.o, '/messages.html') as file, {BARE_URL} as url, concat('/w/chats/c', r.o, '/', d, 'n', k, ' x.jpg') as target from r join best on best.o = r.o and k = case when x = 3 then 1 else x end where x < 3 or d = ''""")
+def q_bare_names(spark, sf_dir):
+    """The files that bare names mean: in the page's own folder, else in the first media folder of the chat that has one."""
+    items = table(spark, sf_dir, "lineitem")
+    folder = BARE_FOLDER.format(f"element_at(array{_in(sorted(K.CHAT_LOCAL_DIRS))}, cast(l_partkey % 11 + 1 as int))")
+    files = items.selectExpr(f"concat('/w/chats/c', l_orderkey, '/', {folder}, 'n', l_linenumber % 3, ' x.jpg') as path", "false as is_dir").distinct()
+    refs = items.select("l_orderkey").distinct().withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(3)))).selectExpr("concat('/w/chats/c', l_orderkey, '/messages.html') as file", f"{BARE_URL} as url")
+    return resolve.resolve_in_export(refs, files, "/w")
+
+
 #: A multi-chat export: a nation is a chat, its title its region's; a bare name that lies in a media folder, a shared file.
 SPLIT_PAGE = "concat('<div class=\"text bold\">', chr(10), 'Region ', n_regionkey, chr(10), '</div>', chr(10), '<div class=\"pull_right date details\" title=\"10.10.2018 19:32:23 UTC+01:00\">', chr(10), '<a href=\"{video}\"><img src=\"{shared}\">')"
 SPLIT_FILES = "(case x when 0 then concat('/m/chats/chat_', n_nationkey, '/messages.html') when 1 then concat('/m/chats/chat_', n_nationkey, '/video_files/b', n_nationkey, '.mp4') when 2 then concat('/m/files/f', n_nationkey, '.jpg') when 3 then '/m/css/a.css' else '/m/export_results.html' end)"
