@@ -751,6 +751,21 @@ def q_norm_join(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", S.norm_join(b, F.lit("./q/../x")).alias("same"), S.norm_join(b, F.concat(F.lit("../../y"), i)).alias("up"), S.norm_join(b, F.lit("/z/.")).alias("absolute"), S.norm_join(b, F.lit("../../../../..")).alias("top"))
 
 
+#: A segment of a path for each line of an order.
+SEGMENT = "case l_partkey % 7 when 0 then '..' when 1 then '.' when 2 then '' when 3 then '...' when 4 then '..' else concat('s', l_suppkey) end"
+
+
+@query(f"""with r as (select l_orderkey as o, string_agg({SEGMENT}, '/' order by l_linenumber, {SEGMENT}) as rel from lineitem group by l_orderkey),
+w as (select o, rel, list_reduce(string_split(case when starts_with(rel, '/') then rel else concat('/b/', o % 3, '/', rel) end, '/'), lambda a, x: case when x in ('', '.') then a when x = '..' then regexp_replace(a, '/[^/]*$', '') else concat(a, '/', x) end) as path from r)
+select o as l_orderkey, rel, case when path = '' then '/' else path end as path from w""")
+def q_norm_paths(spark, sf_dir):
+    """Normal paths of every order's segments, in any succession, seen from a folder."""
+    parts = F.array_sort(F.collect_list(F.struct("l_linenumber", F.expr(SEGMENT).alias("x"))))
+    rel = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(parts, lambda p: p["x"]), "/").alias("rel"))
+    base = F.concat(F.lit("/b/"), (F.col("l_orderkey") % 3).cast("string"))
+    return rel.select("l_orderkey", "rel", S.norm_join(base, F.col("rel")).alias("path"))
+
+
 @query("select doc_id, regexp_extract(concat('chats/chat_', cast(doc_id as string), '/messages.html'), 'chat_(\\d+)', 1) as chat, doc_id % 100 as dialog from documents")
 def q_chat_ids(spark, sf_dir):
     i = F.col("doc_id").cast("string")
