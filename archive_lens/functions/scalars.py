@@ -13,7 +13,7 @@ from .udfs import html_unescape, url_unquote
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(K.WHITE_SPACE))
 
 
 # Times.
@@ -80,7 +80,8 @@ def norm_join(base: Column, rel: Column) -> Column:
     """The normal absolute path of rel seen from the absolute folder base."""
     whole = F.when(rel.startswith("/"), rel).otherwise(F.concat(base, F.lit("/"), rel))
     fold = F.aggregate(F.split(whole, "/"), F.array().cast("array<string>"), lambda acc, x: F.when(x.isin("", "."), acc).when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))))
-    return F.concat(F.lit("/"), F.array_join(fold, "/"))
+    normal = whole.startswith("/") & ~whole.rlike(r"/\.{0,2}(?:/|\z)")  # nothing to fold
+    return F.when(normal, whole).otherwise(F.concat(F.lit("/"), F.array_join(fold, "/")))
 
 
 def ancestors(path: Column) -> Column:

@@ -89,16 +89,47 @@ def fail_fast(resolved: DataFrame, leftovers: DataFrame | None = None, *by: str)
     return both.filter(F.col("first_bad").isNull() | (F.col("file") <= F.col("first_bad"))).select(*resolved.columns)
 
 
-def export_paths(url: Column, here: Column) -> Column:
-    """Absolute paths that a reference may mean in an export, in order of preference: whole and without its fragment, as it
-    stands and decoded once and twice, each bare name also under the folders of a chat's media."""
-    u = S.strip(F.substring_index(S.strip(html_unescape(url)), "?", 1))
+def spellings(rows: DataFrame) -> DataFrame:
+    """rows (here, url) with one row for each way to read a reference in an export, by preference (pos): whole and without
+    its fragment, as it stands and decoded once and twice. at: the path that it names seen from here; bare: a name alone,
+    which may also stand for a file in one of the folders of a chat's media."""
+    u = S.strip(F.substring_index(S.strip(html_unescape(F.col("url"))), "?", 1))
     cut = S.strip(F.substring_index(u, "#", 1))
-    variants = F.array_distinct(F.filter(F.array(u, url_unquote(u), url_unquote(url_unquote(u)), cut, url_unquote(cut), url_unquote(url_unquote(cut))), lambda x: x != ""))
-    folders = F.array(*map(F.lit, sorted(K.CHAT_LOCAL_DIRS)))
-    bare = lambda v: ~v.rlike(r"[/\\]") & ~v.startswith(".")
-    spread = F.flatten(F.transform(variants, lambda v: F.when(bare(v), F.concat(F.array(v), F.transform(folders, lambda d: F.concat(d, F.lit("/"), v)))).otherwise(F.array(v))))
-    return F.array_distinct(F.transform(spread, lambda v: S.norm_join(here, v)))
+    once = [url_unquote(x) for x in (u, cut)]
+    variants = F.array_distinct(F.array(u, once[0], url_unquote(once[0]), cut, once[1], url_unquote(once[1])))
+    v = F.col("variant")
+    each = rows.select("here", "url", F.posexplode(variants).alias("pos", "variant")).filter(v != "")
+    return each.select("here", "url", "pos", S.norm_join(F.col("here"), v).alias("at"), (~v.rlike(r"[/\\]") & ~v.startswith(".")).alias("bare"))
+
+
+def export_places(files: DataFrame) -> DataFrame:
+    """(at, rank) of files (path): the paths by which they may be meant. A file is meant by its own (rank 0); one in a folder of
+    a chat's media also by a bare name in the folder above, where the first of these folders (its number) goes first."""
+    folders = sorted(K.CHAT_LOCAL_DIRS)
+    end = F.substring_index("path", "/", -2)  # a folder and a name
+    rank = F.array_position(F.array(*map(F.lit, folders)), F.substring_index(end, "/", 1)).cast("int")
+    above = F.concat(F.substring(F.col("path"), F.lit(1), F.length("path") - F.length(end)), F.substring_index(end, "/", -1))
+    own = F.struct(F.col("path").alias("at"), F.lit(0).alias("rank"))
+    both = F.when(rank > 0, F.array(own, F.struct(above.alias("at"), rank.alias("rank")))).otherwise(F.array(own))
+    return files.select("path").select(F.inline(both)).groupBy("at").agg(F.min("rank").alias("rank"))
+
+
+def lookup_in_export(rows: DataFrame, files: DataFrame, inside: bool = False) -> DataFrame:
+    """(here, url, target) of the distinct rows (here, url) that name a file: the first that a spelling means, in its own place
+    or, a bare name, in the first folder of media that holds it. inside: spellings that lead out of here don't count.
+
+    A spelling is one row of the join and a file two at most, however many folders of media there are.
+    """
+    each = spellings(rows)
+    if inside:
+        each = each.filter(S.is_within(F.col("here"), F.col("at")))
+    hit = each.join(export_places(files), "at").filter((F.col("rank") == 0) | F.col("bare"))
+    cut = F.length("at") - F.length(F.substring_index("at", "/", -1))  # up to and with the last slash
+    folder = F.try_element_at(F.array(*map(F.lit, sorted(K.CHAT_LOCAL_DIRS))), F.col("rank"))
+    moved = F.concat(F.substring(F.col("at"), F.lit(1), cut), folder, F.lit("/"), F.substring_index("at", "/", -1))
+    target = F.when(F.col("rank") == 0, F.col("at")).otherwise(moved)
+    best = hit.select("here", "url", F.struct("pos", target.alias("target")).alias("x")).groupBy("here", "url").agg(F.min("x").alias("x"))
+    return best.select("here", "url", "x.target")
 
 
 def resolve_in_export(refs: DataFrame, files: DataFrame, root: str) -> DataFrame:
@@ -110,5 +141,4 @@ def resolve_in_export(refs: DataFrame, files: DataFrame, root: str) -> DataFrame
     rows = refs.filter(~S.is_skipped(F.col("url"))).withColumn("here", S.dirname(F.col("file")))
     top = F.element_at(F.split(S.relative_path(F.lit(root), F.col("path")), "/"), 1)
     usable = files.filter(~F.col("is_dir") & S.is_within(F.lit(root), F.col("path")) & ~top.isin(*K.SKIP_SHARED_DIRS))
-    found = lookup(rows.select("here", "url").distinct(), ["here", "url"], export_paths(F.col("url"), F.col("here")), usable).filter("hit")
-    return rows.join(found.drop("hit"), ["here", "url"]).select(*refs.columns, "target")
+    return rows.join(lookup_in_export(rows.select("here", "url").distinct(), usable), ["here", "url"]).select(*refs.columns, "target")

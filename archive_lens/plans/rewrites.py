@@ -209,8 +209,7 @@ def fix_in_place(lines: DataFrame, files: DataFrame, multi_root: str) -> DataFra
     rel = S.relative_path(F.lit(multi_root), F.col("target"))
     a = left.join(hit, "url").select(*place, F.concat(F.lit("media/"), url_quote(rel)).alias("new"), F.col("target").alias("copy_from"), F.concat("here", F.lit("/media/"), rel).alias("copy_to"))
     odd = refs.filter(~F.col("url").contains("chats/chat_") & F.col("url").rlike("[%#]"))
-    own = F.filter(resolve.export_paths(F.col("url"), F.col("here")), lambda p: S.is_within(F.col("here"), p))
-    hit = resolve.lookup(odd.select("here", "url").distinct(), ["here", "url"], own, only).filter("hit")
+    hit = resolve.lookup_in_export(odd.select("here", "url").distinct(), only, inside=True)
     b = odd.join(hit, ["here", "url"]).select(*place, url_quote(relative_to(F.col("here"), F.col("target"))).alias("new"), F.lit(None).cast("string").alias("copy_from"), F.lit(None).cast("string").alias("copy_to"))
     return a.unionByName(b)
 
