@@ -195,11 +195,19 @@ def sanitize_name(name: Column, longest: int = 120) -> Column:
     return F.when(s == "", "unknown_chat").otherwise(s)
 
 
-def page_title(text: Column) -> Column:
-    """The chat's title in the first 64 Ki characters of a page; null without one."""
-    head = F.substring(text, 1, 65536)
+def page_title(text: Column, first: int | None = 65536, unescape=html_unescape, blank: str = K.WHITE_SPACE) -> Column:
+    """The chat's title in the first 64 Ki characters of a page; null without one. unescape reads its entities, blank is what is
+    taken off its ends."""
+    head = text if first is None else F.substring(text, 1, first)
     raw = F.regexp_replace(F.regexp_extract(head, K.TITLE, 1), "<[^>]+>", "")
-    return F.nullif(strip(html_unescape(raw)), F.lit(""))
+    return F.nullif(F.btrim(unescape(raw), F.lit(blank)), F.lit(""))
+
+
+def xml_unescape(c: Column) -> Column:
+    """The entities of angle brackets and ampersands alone, as they are written in full."""
+    for entity, x in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(entity), F.lit(x))
+    return c
 
 
 def chat_name(name: Column, title: Column, chat_id: Column) -> Column:

@@ -33,3 +33,16 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+#: Titles that end inside an entity, have others than three, odd white space at their ends, or more than 64 Ki characters.
+TITLES = ["a &am", "a &amp", "&quot;a&quot;", "&amp;lt;", "&lt;i&gt; &amp;", "&amp;amp;quot;", "\t a\n", "\xa0a\u3000", "\x0b a \x1c", "a\u2028", "&nbsp;", "", " ", "x" * 70000, "&#60;", "&copy"]
+
+
+def test_titles_as_sql_reads_them(spark, tmp_path):
+    html = [f"<title>{t}</title>" for t in TITLES] + ["none", None]
+    spark.createDataFrame(list(enumerate(html)), "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    c = duckdb.connect()
+    c.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = dict(c.execute(entry.oracle_sql()["q_title_extract"]).fetchall())
+    assert {r.page_id: r.title for r in entry.queries()["q_title_extract"](spark, str(tmp_path)).collect()} == want
