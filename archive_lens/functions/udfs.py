@@ -1,4 +1,4 @@
-"""The few functions that Spark has no equal of, as Arrow UDFs: HTML entities, percent coding, lenient decoding."""
+"""Functions that Spark has no equal of, as Arrow UDFs (HTML entities, percent decoding, lenient decoding), and percent encoding."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import html
 import urllib.parse
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -22,10 +23,12 @@ def url_unquote(s: pd.Series) -> pd.Series:
     return s.map(lambda x: urllib.parse.unquote(x) if x is not None and "%" in x else x)
 
 
-@F.pandas_udf(StringType())
-def url_quote(s: pd.Series) -> pd.Series:
+def url_quote(s: Column | str) -> Column:
     """Percent encoding of a path, slashes kept."""
-    return s.map(lambda x: urllib.parse.quote(x, safe="/") if x is not None else None)
+    form = F.url_encode(s)  # of a form: a plus is a space, a tilde coded and a star not
+    for old, new in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        form = F.replace(form, F.lit(old), F.lit(new))
+    return form
 
 
 @F.pandas_udf(StringType())

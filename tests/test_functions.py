@@ -40,3 +40,8 @@ def test_quoting_is_pythons(spark, xs):
     got = values(spark, xs, url_quote)
     assert got == [urllib.parse.quote(x, safe="/") for x in xs]
     assert values(spark, got, url_unquote) == xs
+
+
+def test_quoting_does_not_pass_through_python(spark):
+    """A batch of an Arrow UDF is of rows, whatever their length: so many long texts are held at once."""
+    assert "EvalPython" not in spark.createDataFrame([("a",)], "s string").select(url_quote("s"))._jdf.queryExecution().executedPlan().toString()
