@@ -1,4 +1,4 @@
-"""Functions that Spark has no equal of, as Arrow UDFs (HTML entities, percent decoding, lenient decoding), and percent encoding."""
+"""HTML entities and percent decoding, which Spark has no equal of, as Arrow UDFs; percent encoding and lenient decoding of built-in functions."""
 
 from __future__ import annotations
 
@@ -31,7 +31,9 @@ def url_quote(s: Column | str) -> Column:
     return form
 
 
-@F.pandas_udf(StringType())
-def decode_lenient(s: pd.Series) -> pd.Series:
-    """UTF-8 without the bytes that are none."""
-    return s.map(lambda x: bytes(x).decode("utf-8", "ignore") if x is not None else None)
+def decode_lenient(data: Column | str) -> Column:
+    """UTF-8 without the bytes that are none: they become U+FFFD and go, while those that the text itself holds are kept under a mark."""
+    bad, mark, own = F.lit("\ufffd"), F.lit("\0"), F.lit("\0b")
+    text = (F.col(data) if isinstance(data, str) else data).cast("string")
+    marked = F.replace(F.replace(text, mark, F.lit("\0a")), bad, own)
+    return F.replace(F.replace(F.replace(F.make_valid_utf8(marked), bad, F.lit("")), own, bad), F.lit("\0a"), mark)

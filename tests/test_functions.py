@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from archive_lens.functions import scalars as S
-from archive_lens.functions.udfs import url_quote, url_unquote
+from archive_lens.functions.udfs import decode_lenient, url_quote, url_unquote
 
 
 def values(spark, inputs, f):
@@ -42,6 +42,18 @@ def test_quoting_is_pythons(spark, xs):
     assert values(spark, got, url_unquote) == xs
 
 
-def test_quoting_does_not_pass_through_python(spark):
+#: Whole characters, heads and tails of others, surrogates, overlong forms, U+FFFD itself and the marks that stand for it.
+BYTES = [b"a", b"b", b"\0", b"\n", b"\xff", b"\xc3", b"\xc3\xa9", b"\x80", b"\xbf", b"\xe2\x82", b"\xe2\x82\xac", b"\xf0\x9f", b"\xf0\x9f\x98\x80", b"\xed\xa0\x80", b"\xef\xbf\xbd", b"\xef", b"\xbd", b"\xf4\x90\x80\x80", b"\xc0\x80", b"\xe0\x80\x80"]
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(BYTES), max_size=12).map(b"".join), min_size=1, max_size=50))
+def test_lenient_decoding_is_pythons(spark, xs):
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate([*xs, None])], "i int, x binary").select("i", decode_lenient("x").alias("y")).orderBy("i").collect()
+    assert [r["y"] for r in rows] == [x.decode("utf-8", "ignore") for x in xs] + [None]
+
+
+def test_texts_do_not_pass_through_python(spark):
     """A batch of an Arrow UDF is of rows, whatever their length: so many long texts are held at once."""
-    assert "EvalPython" not in spark.createDataFrame([("a",)], "s string").select(url_quote("s"))._jdf.queryExecution().executedPlan().toString()
+    x = spark.createDataFrame([("a", b"a")], "s string, b binary").select(url_quote("s"), decode_lenient("b"))
+    assert "EvalPython" not in x._jdf.queryExecution().executedPlan().toString()
