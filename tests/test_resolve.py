@@ -3,6 +3,7 @@
 from archive_lens.functions import constants as K
 from archive_lens.functions import scalars as S
 from archive_lens.operators import resolve
+from archive_lens.plans import rewrites
 from pyspark.sql import functions as F
 
 PATHS = ["/w/a/x y.jpg", "/w/a/photos/x.jpg", "/w/a/files/x.jpg", "/w/a/b.txt", "/w/a/stickers/b.txt", "/w/a/files/photos/c", "/photos/top", "//photos/odd", "/w/a/files/.h", "/w/a/p%20q", "/w/a/video_files/p q", "/w/photos/up"]
@@ -25,3 +26,11 @@ def test_white_space_of_any_kind_is_stripped(spark):
     xs = [a + m + a for a in K.WHITE_SPACE for m in ("", "a b", "​")] + ["﻿a", "\x1c a"]
     rows = spark.createDataFrame(list(enumerate(xs)), "i int, x string").select("x", S.strip(F.col("x")).alias("y"), F.regexp_replace("x", r"(?U)^\s+|\s+$", "").alias("z")).collect()
     assert all(r.y == r.z for r in rows)
+
+
+def test_repairs_read_entities_once(spark):
+    text = '<a href="a#1.txt"><a href="a&num;1.txt"><a href="a&#35;2.txt"><a href="b.txt"><a href="a%231.txt"><a href="x&amp;y#.txt"><a href="gone#.txt">'
+    files = spark.createDataFrame([(f"/p/{x}", False) for x in ("a#1.txt", "a#2.txt", "b.txt", "x&y#.txt")], "path string, is_dir boolean")
+    out = rewrites.repair_links(spark.createDataFrame([("/p/m.html", text)], "file string, text string"), files, "/p")
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
+    assert {(r.idx, r.new) for r in out.collect()} == {(0, "a%231.txt"), (1, "a%231.txt"), (2, "a%232.txt"), (5, "x%26y%23.txt")}
