@@ -10,6 +10,10 @@ from ..functions import scalars as S
 from ..session import materialize
 
 
+#: Paths below a folder from which on it is no key of a join.
+CROWDED = 100_000
+
+
 def ancestor_pairs(df: DataFrame, path: str = "path") -> DataFrame:
     """df with one row for each folder above path (column ancestor): hierarchies become equi-joins."""
     return df.withColumn("ancestor", F.explode(S.ancestors(F.col(path))))
@@ -62,17 +66,37 @@ def best_sizes(paths: DataFrame, told: DataFrame, files: DataFrame) -> DataFrame
     return both.select("path", F.coalesce("bytes", "sum").alias("bytes"), basis.alias("basis"))
 
 
+def crowded(paths: DataFrame, most: int) -> DataFrame:
+    """(ancestor) of the folders with more than `most` of the paths below them: few, as a path has only so many folders."""
+    own = paths.groupBy(S.dirname(F.col("path")).alias("at")).agg(F.count("*").alias("n"))
+    up = own.select(F.explode(F.concat(F.array("at"), S.ancestors(F.col("at")))).alias("ancestor"), "n")
+    return up.groupBy("ancestor").agg(F.sum("n").alias("n")).filter(F.col("n") > most).select("ancestor")
+
+
+def roots_above(paths: DataFrame, roots: DataFrame, most: int = CROWDED) -> DataFrame:
+    """(path, ancestor) of the distinct paths and each of the distinct roots (path) above them.
+
+    Folders that very many paths lie below would be rows of one task: whether they are roots is told to all tasks, so none of
+    them is a key of the join.
+    """
+    known = roots.select(F.col("path").alias("root"))
+    crowd = crowded(paths, most)
+    crowd = crowd.join(known, F.col("ancestor") == F.col("root"), "left").select("ancestor", F.col("root").isNotNull().alias("is_root"))
+    up = ancestor_pairs(paths.select("path")).join(F.broadcast(crowd), "ancestor", "left").filter(F.coalesce("is_root", F.lit(True)))
+    key = F.when(F.col("is_root"), F.concat(F.lit("\0"), "path")).otherwise(F.col("ancestor"))
+    both = up.withColumn("key", key).join(known, F.col("key") == F.col("root"), "left")
+    return both.filter(F.col("is_root") | F.col("root").isNotNull()).select("path", "ancestor")
+
+
 def nearest_ancestor(paths: DataFrame, roots: DataFrame) -> DataFrame:
     """(path, parent): the longest proper ancestor of each path that is a root; null without one."""
-    up = ancestor_pairs(paths.select("path")).join(roots.select(F.col("path").alias("ancestor")), "ancestor")
-    best = up.groupBy("path").agg(F.max_by("ancestor", F.length("ancestor")).alias("parent"))
+    best = roots_above(paths, roots).groupBy("path").agg(F.max_by("ancestor", F.length("ancestor")).alias("parent"))
     return paths.select("path").join(best, "path", "left")
 
 
 def outside_of(paths: DataFrame, roots: DataFrame) -> DataFrame:
     """The paths that lie below none of the roots."""
-    inside = ancestor_pairs(paths.select("path")).join(roots.select(F.col("path").alias("ancestor")), "ancestor", "left_semi").select("path").distinct()
-    return paths.join(inside, "path", "left_anti")
+    return paths.join(roots_above(paths, roots).select("path").distinct(), "path", "left_anti")
 
 
 def canonical_databases(dbs: DataFrame) -> DataFrame:
