@@ -94,6 +94,8 @@ A_ITEMS = _schema(path=pa.string(), kind=pa.string(), owner=pa.int64(), at=pa.in
 def real_quotes(data: bytes, escaped: bool) -> tuple[np.ndarray, bool]:
     """(places of quotes that no backslash escapes, whether the byte after data is escaped)."""
     x = np.frombuffer(data, np.uint8)
+    if not escaped and b"\\" not in data:
+        return np.flatnonzero(x == 34), False
     slash = np.flatnonzero(x == 92)
     off = np.zeros(len(x) + 1, bool)  # bytes that are escaped
     off[0] = escaped
@@ -131,11 +133,15 @@ def _fold_quotes(batches):
             yield _table(out, A_STRINGS)
 
 
+#: Which bytes are brackets and commas.
+MARKS = np.isin(np.arange(256), np.frombuffer(b"{}[],", np.uint8))
+
+
 def marks(data: bytes, escaped: bool, inside: bool) -> np.ndarray:
     """Places of brackets and commas outside strings."""
     x = np.frombuffer(data, np.uint8)
     quotes, _ = real_quotes(data, escaped)
-    found = np.flatnonzero((x == 123) | (x == 125) | (x == 91) | (x == 93) | (x == 44))
+    found = np.flatnonzero(MARKS[x])
     return found[(np.searchsorted(quotes, found) % 2 == 1) == inside]
 
 
@@ -323,6 +329,14 @@ def items(pieces: DataFrame) -> DataFrame:
     return found.filter("data is null").unionByName(parts.mapInArrow(_join, ITEMS)).drop("part", "data")
 
 
+def _string(data: bytes) -> str | None:
+    """What stands between a string's quotes; read without settings of its own, as a decoder is made for each that has some."""
+    try:
+        return json.loads(f'"{data.decode("utf-8", "replace")}"')
+    except ValueError:
+        return None
+
+
 def first_keys(read) -> list[str]:
     """Keys of the root in order, from read(n) for the next n bytes: no more than HEAD bytes, and none after enough is known."""
     data = b""
@@ -335,7 +349,7 @@ def first_keys(read) -> list[str]:
         keys: list[str] = []
         for k in ends.tolist():
             m = KEY.match(data, int(at[k]) + 1)
-            key = _text(_load(b'"' + m[1] + b'"')) if m else None
+            key = _string(m[1]) if m else None
             if key is not None and key not in keys:
                 keys.append(key)
             if len(keys) >= ENOUGH and TELLING.keys() & set(keys):

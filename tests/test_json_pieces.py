@@ -1,5 +1,6 @@
 """JSON exports read in pieces against whole reads."""
 
+import io
 import json
 import random
 
@@ -118,3 +119,12 @@ def test_a_beginning_is_enough_for_the_keys(spark, tmp_path):
     rows = [("a", b""), ("b", None), ("c", b"[1]"), ("d", b"{}"), ("e", b'{"a":1,"chats":2'), ("f", b'\xff{"chats"')]
     got = {r.path: (r.kind, r["keys"]) for r in J.sniff(spark.createDataFrame(rows, "path string, data binary")).collect()}
     assert got["e"] == ("multi_chat_export", ["a", "chats"]) and all(got[k] == ("unknown", []) for k in "abcdf")
+
+
+def test_keys_are_read_without_a_decoder_each(monkeypatch):
+    made = []
+    monkeypatch.setattr(J.json, "JSONDecoder", lambda *a, **k: made.append(k) or json.JSONDecoder(*a, **k))
+    monkeypatch.setattr(J, "_load", lambda data: made.append(data))
+    for text, want in (('{"a\\u00e9": ", [", "b": [{"c": 1}], "chats": 2, "d": 3}', ["aé", "b", "chats"]), ('{"a": 1, "a": 2, "x\\"y": {}, "messages": []', ["a", 'x"y', "messages"]), ("", []), ("{", []), ('{"\t": 1, "z": 2}', ["z"])):
+        assert J.first_keys(io.BytesIO(text.encode()).read) == want
+    assert not made
